@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from tidemark.llm import pieces, simhash
 
 QUERIES = {
     "op7_simhash": simhash.op7_simhash,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
