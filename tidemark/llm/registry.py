@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pieces, simhash
+from tidemark.llm import pieces, simhash, toxicity
 
 QUERIES = {
     "op7_simhash": simhash.op7_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
 }
 
