@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pieces, simhash, toxicity
+from tidemark.llm import pieces, pii, simhash, toxicity
 
 QUERIES = {
+    "op5_pii": pii.op5_pii,
     "op7_simhash": simhash.op7_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
