@@ -1,21 +1,51 @@
-"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing and tokens, in this order."""
+"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing and tokens, in this order.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of docs (the last: tokens).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import mixing, pieces, pii, simhash, toxicity
 from tidemark.llm.common import read
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emails, addresses, cards and phones in the texts give way to their kinds."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is repeated by a Poisson count with its source's mean, and all are shuffled."""
+    return mixing.mix(docs, mixing.WEIGHTS).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids (with begin and end id), n_tokens of every document of the mixture, and decoded."""
+    tokens = pieces.encode(docs, keep=("source",))
+    return tokens.selectExpr("doc_id", "source", "ids", "cast(size(ids) as bigint) as n_tokens", "decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
-#: SQL has no Golay decoding, training or byte-pair merges; tests/llm hold the stages to brute force instead.
+#: SQL has no training, Golay decoding or byte-pair merges; tests/llm hold the stages to brute force instead.
 ORACLE_SQL = None
 
 

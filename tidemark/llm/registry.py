@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pieces, pii, simhash, toxicity
+from tidemark.llm import mixing, pieces, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op5_pii": pii.op5_pii,
     "op7_simhash": simhash.op7_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+}
