@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,17 @@ from tidemark.llm.common import Memo, held_out, read
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 #: Bounds of the fitting sample: labelled documents of each class, and code points of a document that may be in it.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2_500, 4_500, 12_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2_000, 3_000, 8_000
 MAX_FEATURES = 6_000
 FOLDS, HELD_OUT = 5, 0
 
 
-def features(word: str) -> list[str]:
-    """A lower-cased word as it is, by its beginnings and by its ends."""
+def features(word: str) -> list[int]:
+    """32-bit hashes of a word in lower case as it is, by its beginnings and by its ends."""
+    word = word.lower()
     n = len(word)
-    return [word] + [f"{word[:k]}_" for k in (3, 4, 5, 6) if n > k] + [f"_{word[-k:]}" for k in (4, 5) if n > k]
+    names = [word] + [f"{word[:k]}_" for k in (3, 4, 5, 6) if n > k] + [f"_{word[-k:]}" for k in (4, 5) if n > k]
+    return [crc32(x.encode()) for x in names]
 
 
 @dataclass
@@ -34,7 +36,7 @@ class Model:
     """Weights by feature. A sentence's score is the logistic of the bias and its distinct words' weights."""
 
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]
 
     def __post_init__(self):
         self.word = Memo(self._word, 200_000)
@@ -44,7 +46,7 @@ class Model:
 
     def _word(self, word: str) -> float:
         get = self.weights.get
-        return sum(get(f, 0.0) for f in features(word.lower()))
+        return sum(get(f, 0.0) for f in features(word))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, logit) of each sentence that has a word."""
@@ -72,47 +74,52 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300) -> Model:
     share = sum(labels) / len(labels) if labels else 0.0
     if not 0 < share < 1:
         return Model(-30.0 if share == 0 else 30.0, {})
-    bags, sentence_of, df = [], [], (Counter(), Counter())
-    for text, y in zip(texts, labels):
-        bag = [Counter(f for w in set(WORD.findall(s.lower())) for f in features(w)) for s in SENTENCE.findall(text)]
-        bag = [b for b in bag if b]
-        bags.append(bag)
-        df[y].update(set().union(*bag))
+    hashed = Memo(lambda w: np.array(features(w), dtype=np.uint32), 100_000)
+    # one array of distinct features for each sentence: compact, as the driver holds the whole sample
+    sentences, doc_of, seen = [], [], ([], [])
+    for d, (text, label) in enumerate(zip(texts, labels)):
+        first = len(sentences)
+        for sentence in SENTENCE.findall(text):
+            words = set(WORD.findall(sentence))
+            if words:
+                sentences.append(np.unique(np.concatenate([hashed[w] for w in words])))
+                doc_of.append(d)
+        hashed.trim()
+        if len(sentences) > first:
+            seen[label].append(np.unique(np.concatenate(sentences[first:])))
+    del hashed
+    if not sentences:
+        return Model(math.log(share / (1 - share)), {})
     positive, negative = sum(labels), len(labels) - sum(labels)
-    lean = {}
-    for f in df[0].keys() | df[1].keys():
-        a, b = df[1][f], df[0][f]
-        if a + b >= 4:
-            odds = math.log((a + 0.5) / (positive - a + 0.5)) - math.log((b + 0.5) / (negative - b + 0.5))
-            spread = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (positive - a + 0.5) + 1 / (negative - b + 0.5))
-            lean[f] = abs(odds) / spread
-    chosen = {f: i for i, f in enumerate(sorted(lean, key=lambda f: (-lean[f], f))[:MAX_FEATURES])}
-
-    rows, cols, vals, doc_of = [], [], [], []
-    for d, bag in enumerate(bags):
-        for b in bag:
-            s = len(doc_of)
-            doc_of.append(d)
-            for f, n in b.items():
-                if f in chosen:
-                    rows.append(s)
-                    cols.append(chosen[f])
-                    vals.append(n)
-    rows, cols, vals, doc_of = np.array(rows), np.array(cols), np.array(vals, float), np.array(doc_of)
+    kinds = np.unique(np.concatenate([*seen[0], *seen[1]]))
+    clean, toxic = (np.bincount(np.searchsorted(kinds, np.concatenate(x)), minlength=len(kinds)) if x else np.zeros(len(kinds)) for x in seen)
+    odds = np.log((toxic + 0.5) / (positive - toxic + 0.5)) - np.log((clean + 0.5) / (negative - clean + 0.5))
+    spread = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5) + 1 / (positive - toxic + 0.5) + 1 / (negative - clean + 0.5))
+    lean = np.where(toxic + clean >= 4, np.abs(odds) / spread, -1.0)
+    order = np.argsort(-lean, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(kinds[order[lean[order] >= 0]])
+    rows, cols = [], []
+    for i, found in enumerate(sentences):
+        at = np.minimum(np.searchsorted(chosen, found), max(len(chosen) - 1, 0))
+        at = at[chosen[at] == found] if len(chosen) else at[:0]
+        cols.append(at)
+        rows.append(np.full(len(at), i))
+    rows, cols, doc_of = np.concatenate(rows), np.concatenate(cols), np.array(doc_of)
+    del sentences, seen
     y = np.array(labels, float)
     theta, bias = np.zeros(len(chosen)), -5.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(rows, vals * theta[cols], len(doc_of))
+        z = bias + np.bincount(rows, theta[cols], len(doc_of))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         hidden = np.bincount(doc_of, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence is toxic
         pull = np.where(y > 0, -np.exp(-hidden) / np.maximum(-np.expm1(-hidden), 1e-9), 1.0)
         g = pull[doc_of] * p / len(y)
-        grad = np.append(np.bincount(cols, g[rows] * vals, len(chosen)) + 1e-4 * theta, g.sum())
+        grad = np.append(np.bincount(cols, g[rows], len(chosen)) + 1e-4 * theta, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta, bias = theta - step[:-1], bias - step[-1]
-    return Model(float(bias), {f: float(theta[i]) for f, i in chosen.items() if theta[i]})
+    return Model(float(bias), {int(f): float(w) for f, w in zip(chosen, theta) if w})
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
