@@ -25,7 +25,6 @@ MAX_DOCS, MAX_CHARS = 250, 8_000
 FOLDS, HELD_OUT = 4, 2
 SMOOTHING = 0.02
 UNKNOWN = "und"
-TINY = 1e-120
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -87,6 +86,7 @@ class Model:
             self.automaton.add_word(p, (len(p), q))
         if pieces:
             self.automaton.make_automaton()
+        self.single = {p for p in pieces if len(p) == 1}
         self.word = Memo(self._word, 150_000)
 
     def __reduce__(self):
@@ -95,33 +95,37 @@ class Model:
     def _word(self, word: str) -> tuple[float, ...]:
         """Log-likelihood of a word in each language, by the forward algorithm."""
         word = SPACE + word
-        many, none = range(len(self.languages)), [0.0] * len(self.languages)
-        rows, scale = [[1.0] * len(self.languages)], 0.0
+        # rows[k]: sums over all segmentations of the first k characters, made in the order of k
+        rows, filled, floors, single = [None] * (len(word) + 1), 0, self.floors, self.single
+        rows[0], scale = [1.0] * len(floors), [0.0] * len(floors)
         for end, (length, q) in self.automaton.iter(word) if self.pieces else ():
-            while len(rows) <= end:  # a character that is no piece
-                scale += self._close(word, rows, none)
-            if len(rows) == end + 1:
-                if max(rows[-1]) < TINY:
-                    scale += self._rescale(rows)
-                rows.append([rows[-1][k] * self.floors[k] for k in many] if word[end] not in self.pieces else none[:])
-            before, here = rows[end + 1 - length], rows[-1]
-            for k in many:
-                here[k] += before[k] * q[k]
-        while len(rows) <= len(word):
-            scale += self._close(word, rows, none)
-        return tuple(scale + math.log(max(x, 1e-320)) for x in rows[-1])
-
-    def _close(self, word: str, rows: list[list[float]], none: list[float]) -> float:
-        scale = self._rescale(rows) if max(rows[-1]) < TINY else 0.0
-        rows.append([x * f for x, f in zip(rows[-1], self.floors)])
-        return scale
+            if end >= filled:
+                while filled <= end:  # characters that are no pieces
+                    if word[filled] not in single:
+                        rows[filled + 1] = [x * f for x, f in zip(rows[filled], floors)]
+                    filled += 1
+                    if not filled % 16:
+                        self._rescale(rows, filled - 1, scale)
+            before, here = rows[end + 1 - length], rows[filled]
+            if here is None:
+                rows[filled] = [x * p for x, p in zip(before, q)]
+            else:
+                rows[filled] = [y + x * p for y, x, p in zip(here, before, q)]
+        for k in range(filled, len(word)):
+            rows[k + 1] = [x * f for x, f in zip(rows[k], floors)]
+            if not k % 16:
+                self._rescale(rows, k + 1, scale)
+        return tuple([z + math.log(max(x, 5e-324)) for z, x in zip(scale, rows[-1])])
 
     @staticmethod
-    def _rescale(rows: list[list[float]]) -> float:
-        """Lifts the sums that further pieces can begin at; the sums before stay as they are, out of reach."""
-        for k in range(max(0, len(rows) - 64), len(rows)):
-            rows[k] = [x / TINY for x in rows[k]]
-        return math.log(TINY)
+    def _rescale(rows: list, last: int, scale: list[float]) -> None:
+        """Lifts the sums that pieces can still begin at to about 1, each language by itself; the earlier ones are out
+        of reach."""
+        top = [x if 0 < x < 1e-30 else 1.0 for x in rows[last]]
+        for k in range(max(0, last - 64), min(last + 2, len(rows))):
+            if rows[k] is not None:
+                rows[k] = [x / t for x, t in zip(rows[k], top)]
+        scale[:] = [z + math.log(t) for z, t in zip(scale, top)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())

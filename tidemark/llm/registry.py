@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, pieces, pii, simhash, toxicity
+from tidemark.llm import language, mixing, pieces, pii, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_pii": pii.op5_pii,
     "op7_simhash": simhash.op7_simhash,
+    "op10_language": language.op10_language,
     "op9_toxicity": toxicity.op9_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
 }
