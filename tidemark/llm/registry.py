@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, pieces, pii, simhash, toxicity
+from tidemark.llm import language, mixing, pieces, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_topk": topk.op4_topk,
     "op5_pii": pii.op5_pii,
     "op7_simhash": simhash.op7_simhash,
     "op10_language": language.op10_language,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_topk": topk.OP4_SQL,
 }
