@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, pieces, pii, simhash, topk, toxicity
+from tidemark.llm import imatch, language, mixing, pieces, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_imatch": imatch.op3_imatch,
     "op4_topk": topk.op4_topk,
     "op5_pii": pii.op5_pii,
     "op7_simhash": simhash.op7_simhash,
