@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import imatch, language, mixing, pieces, pii, simhash, topk, toxicity
+from tidemark.llm import html, imatch, language, mixing, pieces, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_imatch": imatch.op3_imatch,
     "op4_topk": topk.op4_topk,
     "op5_pii": pii.op5_pii,
+    "op6_html": html.op6_html,
     "op7_simhash": simhash.op7_simhash,
     "op10_language": language.op10_language,
     "op9_toxicity": toxicity.op9_toxicity,
