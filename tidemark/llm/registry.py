@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, imatch, language, mixing, pieces, pii, simhash, topk, toxicity
+from tidemark.llm import html, imatch, language, mixing, pieces, pii, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_urls": urls.op2_urls,
     "op3_imatch": imatch.op3_imatch,
     "op4_topk": topk.op4_topk,
     "op5_pii": pii.op5_pii,
