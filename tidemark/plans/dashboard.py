@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import rounded, share
-from tidemark.plans.marts import ON_TIME
+from tidemark.plans.marts import on_time
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def kpi_tiles(fact: DataFrame, filters: Filters) -> DataFrame:
         F.count("*").alias("orders"),
         rounded(F.avg("approval_hours"), 4).alias("approval_h"),
         rounded(F.avg("delivery_days"), 4).alias("delivery_d"),
-        rounded(ON_TIME, 6).alias("on_time"),
+        rounded(on_time(), 6).alias("on_time"),
         rounded(share(F.col("is_rto")), 6).alias("rto"),
         F.sum("net_revenue").cast("decimal(38,2)").alias("net_revenue"),
     )
@@ -55,7 +55,7 @@ def weekly_trend(fact: DataFrame, filters: Filters, in_flight_days: int = 28) ->
     weeks = (
         filters.apply(fact)
         .groupBy(F.trunc("order_date", "week").alias("week"))
-        .agg(F.count("*").alias("orders"), ON_TIME.alias("_rate"), rounded(F.avg("approval_hours"), 4).alias("approval_h"))
+        .agg(F.count("*").alias("orders"), on_time().alias("_rate"), rounded(F.avg("approval_hours"), 4).alias("approval_h"))
     )
     settled = F.col("week") <= F.date_sub("_newest", in_flight_days)
     return weeks.join(newest).select("week", "orders", F.when(settled, rounded(F.col("_rate"), 6)).alias("on_time"), "approval_h")
@@ -64,10 +64,10 @@ def weekly_trend(fact: DataFrame, filters: Filters, in_flight_days: int = 28) ->
 def state_health(fact: DataFrame, filters: Filters, least_orders: int = 30) -> DataFrame:
     rows = filters.apply(fact)
     states = rows.groupBy(F.col("customer_state").alias("state")).agg(
-        F.count("*").alias("orders"), F.avg("delivery_days").alias("delivery_d"), ON_TIME.alias("rate"),
+        F.count("*").alias("orders"), F.avg("delivery_days").alias("delivery_d"), on_time().alias("rate"),
         F.avg("approval_hours").alias("approval_h"), F.avg("processing_hours").alias("processing_h"), (F.avg("transit_days") * 24).alias("transit_h"),
     )
-    nation = F.broadcast(rows.agg(ON_TIME.alias("_rate")))
+    nation = F.broadcast(rows.agg(on_time().alias("_rate")))
     health = F.when(F.col("rate") < F.col("_rate") - 0.10, "critical").when(F.col("rate") < F.col("_rate") - 0.03, "at risk").otherwise("healthy")
     return (
         states.filter(F.col("orders") >= least_orders)
@@ -90,7 +90,7 @@ def courier_periods(fact: DataFrame, filters: Filters) -> DataFrame:
         filters.apply(fact)
         .filter("shipped_at is not null")
         .groupBy("courier", period.alias("period"))
-        .agg(rounded(ON_TIME, 6).alias("on_time"), rounded(F.avg("transit_days"), 4).alias("transit_d"), F.count("*").alias("orders"))
+        .agg(rounded(on_time(), 6).alias("on_time"), rounded(F.avg("transit_days"), 4).alias("transit_d"), F.count("*").alias("orders"))
     )
 
 

@@ -9,7 +9,8 @@ from tidemark.functions.columns import path_date, ratio, rounded, share
 from tidemark.operators.joins import calendar_days
 from tidemark.operators.rolling import rolling_zscore
 
-ON_TIME = share(~F.col("is_late"), F.col("is_delivered"))
+def on_time() -> Column:
+    return share(~F.col("is_late"), F.col("is_delivered"))
 
 
 def mean(column: str, digits: int = 2) -> Column:
@@ -54,14 +55,14 @@ def state_scorecard(fact: DataFrame) -> DataFrame:
         *[mean(c) for c in ("approval_hours", "processing_hours", "transit_days", "delivery_days")],
         quantile("delivery_days", 0.5).alias("p50_delivery_days"),
         quantile("delivery_days", 0.9).alias("p90_delivery_days"),
-        rounded(ON_TIME, 4).alias("on_time_rate"),
+        rounded(on_time(), 4).alias("on_time_rate"),
         rounded(share(F.col("is_cancelled")), 4).alias("cancellation_rate"),
         rounded(share(F.col("is_rto")), 4).alias("rto_rate"),
         rounded(share(F.col("is_returned"), F.col("is_delivered")), 4).alias("return_rate"),
         rounded(share(F.col("is_cross_region")), 4).alias("cross_region_share"),
         total("gross_merchandise_value").alias("gmv"),
     )
-    national = F.broadcast(fact.agg(F.avg("delivery_days").alias("_days"), ON_TIME.alias("_rate")))
+    national = F.broadcast(fact.agg(F.avg("delivery_days").alias("_days"), on_time().alias("_rate")))
     rate = F.col("on_time_rate")
     return (
         by_state.join(national)
@@ -91,7 +92,7 @@ def courier_performance(fact: DataFrame) -> DataFrame:
             mean("transit_days"),
             quantile("transit_days", 0.9).alias("p90_transit_days"),
             F.count_if("is_late").alias("sla_breaches"),
-            rounded(ON_TIME, 4).alias("on_time_rate"),
+            rounded(on_time(), 4).alias("on_time_rate"),
             rounded(F.avg(F.when(F.col("is_late"), F.col("days_late"))), 2).alias("avg_days_late_when_late"),
             rounded(share(F.col("is_rto")), 4).alias("rto_rate"),
         )
@@ -138,7 +139,7 @@ def sale_event_impact(fact: DataFrame, sales: DataFrame, baseline_days: int = 28
     rows = fact.join(days, F.col("order_date") == F.col("calendar_day")).filter(inside | F.col("sale_event").isNull())
     parts = rows.groupBy("event", "first", "last", inside.alias("inside")).agg(
         F.countDistinct("order_date").alias("days"), F.count("*").alias("orders"), F.avg("approval_hours").alias("approval"),
-        F.avg("delivery_days").alias("delivery"), ON_TIME.alias("on_time"),
+        F.avg("delivery_days").alias("delivery"), on_time().alias("on_time"),
     )
     keys = ["event", "first", "last"]
     e = parts.filter("inside").drop("inside", "days")
