@@ -76,8 +76,9 @@ def parse(page: str) -> Node:
 
     while at < n:
         start = page.find("<", at)
-        if start < 0 or start > last:  # no further tag ends
-            start = n
+        if start < 0 or start > last:  # no further tag ends: the rest is text, up to a comment
+            comment = page.find("<!--", start) if start >= 0 else -1
+            start, n = (n, n) if comment < 0 else (comment, comment)
         if start > at:
             stack[-1].children.append(page[at:start])
         if start == n:
