@@ -145,7 +145,7 @@ class Loader:
 def write_daily(df: DataFrame, day: str, landing: str, entity: str) -> None:
     """Publishes a feed as one folder per day, all at once; days that are there already are left alone."""
     path = f"{landing.rstrip('/')}/{entity}"
-    days = df.select(F.col(day).cast("date").alias("dt"), "*").drop(day) if day == "dt" else df.withColumn("dt", F.col(day).cast("date"))
+    days = df.withColumn("dt", F.col(day).cast("date"))
     try:
         there = df.sparkSession.read.format("binaryFile").load(f"{path}/dt=*/*.csv")
         known = there.select(F.regexp_extract("path", r"dt=(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("dt")).distinct()
