@@ -19,6 +19,13 @@ def test_article_without_its_surroundings():
     assert html.main_text(PAGE) == "Title & more\nFirst, with bold words, commas, and space.\nSecond é, unclosed.\nOne item, said.\nTwo"
 
 
+def test_heading_of_the_article_stays():
+    body = "<p>Long, text, with, commas, and more of it.</p>" * 30
+    page = f"<article><header><h1>Head</h1></header><div class='body'>{body}</div><div class='related'><p>More, here.</p></div></article>"
+    assert html.main_text(page).split("\n")[:2] == ["Head", "Long, text, with, commas, and more of it."]
+    assert "More, here" not in html.main_text(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</p></div>", "<!-- open", "<script>never closed", "<nav><a>only menus</a></nav>"])
 def test_nothing_to_extract(page):
     assert html.main_text(page) in ("", "<", "<p")

@@ -35,10 +35,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Words in class and id that mark what is around an article, comments, and an article itself.
 AROUND = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager "
-    "disclaimer copyright".split()
+    "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promos promotion menu nav navbar "
+    "navigation breadcrumb breadcrumbs side sidebar rail aside footer header masthead cookie cookies consent gdpr notice notices alert "
+    "alerts popup modal overlay toast newsletter subscribe subscription signup login share sharing social related recommended "
+    "recommendations widget toolbar pagination pager disclaimer copyright".split()
 )
 COMMENT = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ITSELF = frozenset("article content main post entry story body text page".split())
@@ -194,8 +194,8 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def score(root: Node) -> tuple[Node | None, list[Node]]:
-    """The best container, and all scored nodes."""
+def best_container(root: Node) -> Node | None:
+    """The container with the most points."""
     nodes = list(_walk(root))
     for x in reversed(nodes):  # children come before their parents
         own = []
@@ -224,8 +224,7 @@ def score(root: Node) -> tuple[Node | None, list[Node]]:
             up, level = up.parent, level + 1
     for x in scored.values():
         x.score *= 1 - min(1.0, x.linked / max(x.chars, 1))
-    best = max(scored.values(), key=lambda x: x.score, default=None)
-    return best, list(scored.values())
+    return max(scored.values(), key=lambda x: x.score, default=None)
 
 
 def main_text(page: str | None) -> str:
@@ -237,9 +236,17 @@ def main_text(page: str | None) -> str:
     points or are paragraphs of running text.
     """
     root = parse(page or "")
-    best, _ = score(root)
+    best = best_container(root)
     if best is None:
         return "\n".join(blocks(root))
+    # an article element around the best container is the article, with its heading; so is main where there is none
+    around, up = None, best
+    while up is not None:
+        if up.tag == "article" or up.tag == "main" and around is None:
+            around = up
+        up = up.parent
+    if around is not None and around.linked < 0.5 * max(around.chars, 1):
+        best = around
     kept = [best]
     if best.tag not in ("article", "main", "body") and best.parent is not None:
         bar = max(10.0, best.score / 5)
