@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, pieces, pii, simhash, toxicity
-from tidemark.llm.common import checkpointed, read
+from tidemark.llm.common import checkpointed, read, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked SimHash fingerprints stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emails, addresses, cards and phones in the texts give way to their kinds."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (with begin and end id), n_tokens of every document of the mixture, and decoded."""
+    small_batches(spark)
     tokens = pieces.encode(docs, keep=("source",))
     return tokens.selectExpr("doc_id", "source", "ids", "cast(size(ids) as bigint) as n_tokens", "decoded")
 

@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows on its way to or from Python. Texts are long, so Spark's own bound is too large for
+#: executors whose memory several Python workers share.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -35,7 +45,7 @@ class Memo(dict):
     Lookups go through dict.__getitem__ at C speed; call `trim` now and then (after each text, say).
     """
 
-    def __init__(self, fn, size: int = 250_000):
+    def __init__(self, fn, size: int = 100_000):
         super().__init__()
         self.fn, self.size, self.old = fn, size, {}
 

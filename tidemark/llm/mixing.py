@@ -69,6 +69,7 @@ def counted(docs: DataFrame, weights: dict[str, float], seed: int, size: float |
     table = rates(docs, weights, size).select(
         F.col("bucket").alias("_bucket"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps")
     )
+
     def inverted(part: Column) -> Column:
         # the one-element array binds the uniform, which is then hashed once and not for each step
         once = F.array(uniform(F.col("doc_id"), F.lit(seed), part))

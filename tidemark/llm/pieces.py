@@ -73,7 +73,7 @@ class PieceTable:
             self.matches.add_word(p, (i, len(p), i << 32))
         self.matches.make_automaton()
 
-        self._fits = Memo(self._can_follow, 400_000)
+        self._fits = Memo(self._can_follow)
         self.with_space = Memo(lambda w: self._ids(SPACE + w))
         self.without_space = Memo(self._ids)
         self._surface = [self._bytes(i) for i in range(n)]

@@ -39,7 +39,7 @@ class Model:
     weights: dict[int, float]
 
     def __post_init__(self):
-        self.word = Memo(self._word, 200_000)
+        self.word = Memo(self._word, 60_000)
 
     def __reduce__(self):
         return Model, (self.bias, self.weights)
