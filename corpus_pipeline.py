@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints stays."""
+    """One document of each group of texts linked by a five-word shingle similarity of 0.8 or more stays."""
     small_batches(spark)
     return simhash.keep_one(docs)
 

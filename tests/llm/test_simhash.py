@@ -107,3 +107,32 @@ def test_query_against_all_pairs(spark, sf_dir):
     pairs = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)) if i < j]
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(pairs, ids)
     assert fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).count() == len(found)
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_stage_finds_planted_near_copies(spark):
+    """Copies of 0.8 and more go, however large their group; less similar texts stay."""
+    rng = np.random.default_rng(3)
+    docs, kept = [], []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        docs.append(" ".join(words))
+        kept.append(len(docs) - 1)
+        for changes in (1, 2, 3, 4) * (20 if base == 0 else 1):
+            copy = list(words)
+            for at in rng.choice(np.arange(5, 195, 10), changes, replace=False):
+                copy[at] = f"new{rng.integers(1 << 40)}"
+            docs.append(" ".join(copy))
+            assert jaccard(docs[kept[-1]], docs[-1]) >= 0.8
+        other = list(words)
+        for at in range(5, 195, 20):
+            other[at] = f"new{rng.integers(1 << 40)}"
+        assert jaccard(" ".join(words), " ".join(other)) < 0.8
+        docs.append(" ".join(other))
+        kept.append(len(docs) - 1)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == kept
