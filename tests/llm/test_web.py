@@ -86,3 +86,13 @@ def test_tree_separates_bad_branches(spark):
     assert found[1005]["rule"] == "com/fr/" and found[1007]["rule"] is None
     assert {r["verdict"] for r in urls.judge(pages, labels.limit(0)).collect()} == {"allow"}
     assert urls.judge(pages.limit(0), labels).isEmpty()
+
+
+def test_small_bad_section_of_a_large_host(spark):
+    """200 sections of 0.5 % of their host each, one of them bad."""
+    rows = [(i, f"http://hot.net/s{'abcdefghij'[i // 10 % 10]}{'abcdefghijklmnopqrst'[i // 100 % 20]}/{i}") for i in range(200 * 40)]
+    bad = {i for i, u in rows if "/sab/" in u}
+    assert 20 <= len(bad) < 0.01 * len(rows)
+    labels = spark.createDataFrame([(i, int(i in bad)) for i, _ in rows], "id long, bad int")
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert {i for i, v in found.items() if v == "block"} == bad

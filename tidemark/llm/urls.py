@@ -32,7 +32,7 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DEPTH = 5  # path segments that have a level of their own; deeper ones share one wildcard
-MIN_ROWS, MIN_SHARE = 20, 0.01  # rows and share of its node that keep a segment literal
+MIN_ROWS = 20  # rows that a segment needs to stay literal, however large its node
 DISTINCT = 1.96  # standard errors that a branch's purity differs by from its node's to stay apart
 WEIGHT = 10.0  # pseudo-observations with the purity of the level above
 PURITY = 0.5  # templates with less smoothed purity are rejected
@@ -82,8 +82,8 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
 def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """rows (host, path, bad, ...) with template: the path with wildcards, from the host's tree.
 
-    The tree grows level by level. In a node (a host and the template so far) a segment stays literal if it is frequent
-    there and, where labels tell, its branch's purity differs from the node's; all other segments are variable or
+    The tree grows level by level. In a node (a host and the template so far) a segment stays literal if it has MIN_ROWS
+    rows there and, where labels tell, its branch's purity differs from the node's; all other segments are variable or
     statistically alike, and merge to the wildcard of their shape. Each level is one aggregation by node, one by node
     and segment, and a join with the literal segments only, which come from the checkpoint folder so that Spark
     can split the rows of a host or segment with very many urls.
@@ -101,9 +101,7 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         error = F.sqrt(q * (1 - q) * (1 / F.col("known") + 1 / F.col("_known")))
         # a branch that is (nearly) all of its node has nothing to merge with and names it
         apart = (F.col("n") >= 0.95 * F.col("_n")) | F.when(F.col("known") > 0, F.abs(p - q) > DISTINCT * error).otherwise(False)
-        literal = checkpointed(
-            both.filter((F.col("n") >= MIN_SHARE * F.col("_n")) & apart).select("host", "template", "_segment", F.lit(True).alias("_literal"))
-        )
+        literal = checkpointed(both.filter(apart).select("host", "template", "_segment", F.lit(True).alias("_literal")))
         part = F.when(F.col("_literal"), F.col("_segment")).otherwise(shape(F.col("_segment")))
         grown = F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), part))
         rows = rows.join(literal, ["host", "template", "_segment"], "left").withColumn("template", grown).drop("_segment", "_literal")
