@@ -21,10 +21,18 @@ def odd(spark):
     """With extra columns whose names the operators might use themselves."""
     docs = spark.createDataFrame(ODD, COLUMNS)
     return docs.selectExpr(
-        "*", "cast(char_length(text) as bigint) n_chars", "'x' fp", "'x' _text", "1 key", "'x' copy", "'x' score", "2 ids", "'x' bucket", "'y' node", "0 held_out"
+        "*", "cast(char_length(text) as bigint) n_chars", *[f"'mine {c}' `{c}`" for c in CLASHING], "1 `a.b``c`", "array(1) ids", "0 held_out"
     )
 
 
+#: Names that operators use for columns of their own.
+CLASHING = """
+    fp _text key copy score bucket node row doc n h to k parts part steps rate total shuffle_key tid keys lead component
+    component_id _bucket _parts _steps _copies _key _size _added added text_key base hits kind start end context value seed term df
+    guest label toxic long rank draw least fingerprint
+""".split()
+
+
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)

@@ -28,7 +28,9 @@ def test_large_rates_are_summed_from_parts(spark):
 def test_odd_rows(odd, empty):
     mixed = mix(odd, {"src0": 0.5, "nobody": 0.1}, size=5_000)
     assert mix(empty, {"src0": 0.5}).isEmpty()
-    assert mixed.columns == [c for c in odd.columns if c != "copy"] + ["copy", "shuffle_key"]
+    assert mixed.columns == odd.columns
     assert abs(mixed.filter("source = 'src0'").count() - 2_500) < 800
     assert mixed.filter("doc_id is null").count() > 0 and mixed.filter("source is null").count() > 0
     assert mixed.exceptAll(mix(odd, {"src0": 0.5, "nobody": 0.1}, size=5_000)).isEmpty()
+    # the rows are those of docs, with their own values
+    assert mixed.distinct().exceptAll(odd.distinct()).isEmpty()

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,10 +41,71 @@ def test_base_is_the_plain_definition(text):
 
 
 def test_long_runs_are_linear():
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "+1" * 100_000, "a:" * 100_000, "(" * 100_000):
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "+1" * 100_000, "a:" * 100_000, "(" * 100_000, "a@" * 100_000):
         pii.candidates(text, pii.base(text))
 
 
+def test_many_base_and_loose_matches_are_linear():
+    """20,000 base and 20,000 loose matches in one text."""
+    text = "".join(f"mail a{i}@b.org or ring 415 555-{i % 9000 + 1000} now\n" for i in range(20_000))
+    began = time.perf_counter()
+    found = pii.candidates(text, pii.base(text))
+    assert time.perf_counter() - began < 2
+    assert [sum(s is seed for *_, s in found) for seed in (True, False)] == [20_000, 20_000]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "415 555-2222", "(at)", "me(at)x.org", "4111 1111 1111 1112", "fe80:1:2:3:4", "tel. "]), max_size=20).map("".join))
+def test_loose_matches_are_apart_from_the_base(text):
+    found = pii.base(text)
+    expected = [
+        (k, *m.span())
+        for k, kind in enumerate(pii.KINDS)
+        for m in pii.LOOSE[kind].finditer(text)
+        if not any(m.start() < b and a < m.end() for _, a, b in found) and pii.context(text, m.start()) is not None
+    ]
+    assert [(k, a, b) for k, a, b, _, seed in pii.candidates(text, found) if not seed] == expected
+
+
+def brute_patterns(texts):
+    """The accepted patterns of a few texts, by dictionaries."""
+    seeds, loose = {}, {}
+    for text in set(texts):
+        for k, a, b, c, seed in pii.candidates(text, pii.base(text)):
+            (seeds if seed else loose).setdefault((k, c), set()).add(text[a:b].lower())
+    accepted, belief = {}, {}
+    while True:
+        sure = {}
+        for p, values in loose.items():
+            f = len(seeds.get(p, ())) + sum(belief.get((p[0], v), 0) for v in values)
+            n = len(seeds.get(p, ())) + len(values)
+            if p in accepted or f >= pii.SUPPORT and f / n * math.log2(f) >= pii.ACCEPT:
+                sure[p] = f / n
+        if sure.keys() == accepted.keys():
+            return set(accepted)
+        accepted, belief = sure, {}
+        for (k, c), confidence in accepted.items():
+            for v in loose[k, c]:
+                belief[k, v] = 1 - (1 - belief.get((k, v), 0)) * (1 - confidence)
+
+
+def test_patterns_are_those_of_brute_force(spark):
+    """'tel.' has few seeds and many unseen numbers; 'fax' has no seed, but what 'tel.' finds."""
+    texts = [f"Our tel. +1 (415) 555-{1000 + i} is open." for i in range(90)]
+    texts += [f"Our tel. 415 555-{2000 + i} is open." for i in range(60)] + [f"By fax 415 555-{2000 + i} too." for i in range(30)]
+    texts += [f"In the 415 555-{3000 + i} lines." for i in range(50)] + [f"In the +1 (415) 555-{3000 + i} lines." for i in range(5)]
+    texts += [f"Write to me: x{i}@y.org" for i in range(9)] + ["Write to me: jo(at)y.org", None, ""] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {tuple(r) for r in pii.patterns(pii.detect(docs)).collect()}
+    assert found == brute_patterns([t for t in texts if t]) == {(3, "tel._"), (3, "fax_"), (0, "me:_")}
+    added = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.spans(docs).collect()}
+    expected = {
+        i: sorted((k, a, b) for k, a, b, c, seed in pii.candidates(t or "", pii.base(t or "")) if not seed and (k, c) in found)
+        for i, t in enumerate(texts)
+    }
+    assert added == expected
+
+
 def test_patterns_find_what_the_base_misses(spark):
     rows = [(i, f"Please ring +1 (415) 555-{1000 + i} today.") for i in range(12)]
     rows += [(100, "Please ring 415 555-2222 now."), (101, "The year 415 555-3333 of lines."), (102, None), (103, "")]
@@ -61,6 +124,9 @@ def test_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     text = kept.filter("doc_id = 8").first()
     assert "[CARD]" in text["text"] and text["n_chars"] == len(text["text"])
+    same = [c for c in odd.columns if c not in ("text", "n_chars")]
+    boxed = lambda df: df.select(*[f"`{c.replace('`', '``')}`" for c in same])
+    assert boxed(kept).exceptAll(boxed(odd)).isEmpty() and pii.redact(empty).isEmpty()
 
 
 def test_query(spark, sf_dir):

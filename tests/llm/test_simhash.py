@@ -3,6 +3,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import golay, simhash
 from tidemark.llm.components import connected_components
@@ -100,6 +101,16 @@ def test_odd_rows(odd, empty):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """Copies go and unlike texts stay, whatever their ids; of equal rows one stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (6, c, "x"), (6, d, "x"), (None, c, "x"), (None, "no id", "z"), (None, "no id", "y"), (9, d, "x"), (7, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tid string").withColumn("labels", F.create_map(F.lit("k"), "tid"))
+    kept = sorted((r["doc_id"] or 0, r["text"], r["tid"]) for r in keep_one(docs).collect())
+    assert kept == sorted([(1, a, "x"), (5, b, "x"), (6, c, "x"), (6, d, "x"), (0, "no id", "y")])
+    assert keep_one(docs).columns == docs.columns and keep_one(docs.limit(0)).isEmpty()
+
+
 def test_query_against_all_pairs(spark, sf_dir):
     found = op7_simhash(spark, sf_dir).collect()
     fps = np.array([int(r["fingerprint"], 16) for r in found], dtype=np.uint64)

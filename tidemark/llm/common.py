@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Bytes of a batch of rows on its way to or from Python. Texts are long, so Spark's own bound is too large for
 #: executors whose memory several Python workers share.
 BATCH_BYTES = "4m"
@@ -25,15 +27,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) is a folder made here.
+    The folder is the one the session names in spark.checkpoint.dir; only where that is unset and all of Spark is one
+    process is a folder made here. spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove what is done with.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def fields(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """(row, *more): the rows of df as one struct column, so that no name of theirs clashes with those of `more`."""
+    return df.select(F.struct(*fields(df)).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def thinned(text: Column, most: int, part: str) -> Column:
+    """text if it has at most `most` code points; else those of its parts (matches of the pattern `part`) that a hash
+    of their place chooses, about `most` code points together, from all of the text."""
+    kept = F.filter(
+        F.regexp_extract_all(text, F.lit(part), F.lit(0)), lambda x, i: F.pmod(F.xxhash64(i), F.char_length(text)) < most
+    )
+    return F.when(F.char_length(text) <= most, text).otherwise(F.array_join(kept, ""))
+
+
+def release() -> None:
+    """Gives memory that Python has freed back to the system (where that is glibc's to do)."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id's text leaves `fold` modulo `folds`; false for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (node, component): each linked node with the smallest node it reaches.
 
     Alternating large-star and small-star rounds: every round reattaches each node's larger (then smaller)
@@ -25,9 +25,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(pairs)
     state = _state(edges)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    before = None
+    while state[0] and state != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,9 +35,5 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
-        if before == state:
-            break
-    else:
-        raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

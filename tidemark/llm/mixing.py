@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import boxed, read
 
 #: Target shares of the mixture in documents; the sources not named share what is left in their natural proportions.
 WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.02}
@@ -63,45 +63,42 @@ def bucket_of(source: Column, weights: dict[str, float]) -> Column:
     return F.when(source.isin(*weights), source).otherwise(F.lit(OTHERS)) if weights else F.lit(OTHERS)
 
 
-def counted(docs: DataFrame, weights: dict[str, float], seed: int, size: float | None) -> DataFrame:
-    """docs with _copies (long): the Poisson count of each row, from its doc_id and the seed."""
-    bucketed = docs.withColumn("_bucket", bucket_of(F.col("source"), weights))
-    table = rates(docs, weights, size).select(
-        F.col("bucket").alias("_bucket"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps")
-    )
+def copies(docs: DataFrame, weights: dict[str, float], seed: int = SEED, size: float | None = None) -> DataFrame:
+    """(row, copy, shuffle_key): each row of docs, as a struct, as often as its Poisson count says.
+
+    The count has the mean of the row's source and is found by inverting the distribution at a uniform hashed from
+    doc_id and seed: the same on every run and after any lost task. copy counts from 1; shuffle_key is a hash of
+    (doc_id, copy, seed).
+    """
+    table = rates(docs, weights, size)
+    rows = boxed(docs, bucket=bucket_of(F.col("source"), weights), doc_id=F.col("doc_id"))
 
     def inverted(part: Column) -> Column:
         # the one-element array binds the uniform, which is then hashed once and not for each step
         once = F.array(uniform(F.col("doc_id"), F.lit(seed), part))
-        return F.get(F.transform(once, lambda u: F.size(F.filter("_steps", lambda c: c <= u)).cast("long")), F.lit(0))
+        return F.get(F.transform(once, lambda u: F.size(F.filter("steps", lambda c: c <= u)).cast("long")), F.lit(0))
 
-    parts = F.sequence(F.lit(1).cast("long"), F.col("_parts"))
+    parts = F.sequence(F.lit(1).cast("long"), F.col("parts"))
     count = F.aggregate(parts, F.lit(0).cast("long"), lambda n, part: n + inverted(part))
-    joined = bucketed.join(F.broadcast(table), "_bucket")
-    return joined.withColumn("_copies", count).drop("_bucket", "_parts", "_steps")
+    rows = rows.join(F.broadcast(table), "bucket").select("row", "doc_id", count.alias("n")).filter("n > 0")
+    rows = rows.select("row", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    return rows.select("row", "copy", uniform(F.col("doc_id"), F.col("copy"), F.lit(seed), F.lit("order")).alias("shuffle_key"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], seed: int = SEED, size: float | None = None) -> DataFrame:
-    """Columns of docs, copy (1 to the row's count) and shuffle_key; globally shuffled.
-
-    Every row is repeated a Poisson number of times with the mean of its source, found by inverting the
-    distribution at a uniform hashed from doc_id and seed: the same on every run and after any lost task. Rows
-    without source count as unnamed sources. Rows that repeat a doc_id (or have none) get equal counts. Null or empty
-    texts are mixed as they are; an empty table gives an empty mixture. Columns named copy or shuffle_key are replaced,
-    others pass.
-    The order is that of shuffle_key, a hash of (doc_id, copy, seed); it deals hot sources over all partitions.
+    """The mixture in the columns of docs, whatever their names, globally shuffled (see copies).
+
+    Rows without source count as unnamed sources. Rows that repeat a doc_id (or have none) get equal counts. Null, empty
+    and very long texts are mixed as they are; an empty table gives an empty mixture. The order is that of a hash, which
+    deals hot sources over all partitions.
     """
-    plain = docs.drop("copy", "shuffle_key")
-    rows = counted(plain, weights, seed, size).filter("_copies > 0")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
-    rows = rows.withColumn("shuffle_key", uniform(F.col("doc_id"), F.col("copy"), F.lit(seed), F.lit("order")))
-    return rows.select(*plain.columns, "copy", "shuffle_key").orderBy("shuffle_key")
+    return copies(docs, weights, seed, size).orderBy("shuffle_key").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents at WEIGHTS: doc_id, source, copy, shuffle_key, text."""
+    """The mixture of all documents at WEIGHTS, in its shuffled order: doc_id, source, copy, shuffle_key, text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, WEIGHTS).select("doc_id", "source", "copy", "shuffle_key", "text")
+    return copies(docs, WEIGHTS).orderBy("shuffle_key").select("row.doc_id", "row.source", "copy", "shuffle_key", "row.text")
 
 
 def _uniform_sql(*parts: str) -> str:

@@ -6,7 +6,6 @@ import codecs
 import functools
 import hashlib
 import re
-import tempfile
 from collections.abc import Iterator
 from struct import pack
 
@@ -38,10 +37,10 @@ class PieceTable:
     across the seam that would have come first. The ids are read from the table backwards.
     """
 
-    def __init__(self, path: str):
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model: bytes):
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         if sp.normalize("ﬁ  ①") != f"{SPACE}ﬁ{SPACE}{SPACE}①":
-            raise ValueError(f"{path} normalises texts; only models that keep them are supported")
+            raise ValueError("the model normalises texts; only models that keep them are supported")
         n = sp.vocab_size()
         self.begin, self.end, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.silent = {i for i in range(n) if sp.is_control(i)}
@@ -215,12 +214,7 @@ class PieceTable:
         return raw.decode("utf-8", "each_byte")
 
 
-@functools.cache
-def _load(content: bytes) -> PieceTable:
-    with tempfile.NamedTemporaryFile(suffix=".model") as f:
-        f.write(content)
-        f.flush()
-        return PieceTable(f.name)
+_load = functools.cache(PieceTable)
 
 
 def table(path: str | None = None) -> PieceTable:

@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, read
+from tidemark.llm.common import boxed, checkpointed, read
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -21,14 +22,18 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-# What a pattern may find: looser than the base, so that identifiers which the base misses can be learnt.
+# What a pattern may find: looser than the base, so that identifiers which the base misses can be learnt. Matches
+# begin where their run of characters does, so each character is read a bounded number of times.
+NAME = r"[^\s@<>()\[\]\"',;]"
 LOOSE = {
-    "email": re.compile(r"[^\s@<>()\[\]\"',;]{1,64}(?:@|\(at\)|\[at\])[^\s@<>()\[\]\"',;]{3,255}"),
+    "email": re.compile(rf"(?<!{NAME}){NAME}++(?:@|\(at\)|\[at\]){NAME}{{3,}}+"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9-])[0-9]{4}(?:[ .-][0-9]{4}){2}[ .-][0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.)-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,5}(?![0-9.-])"),
 }
-LEFT = re.compile(r"(\S{1,40})([^\S\n]?)\Z")
+#: A lexical pattern is the end of the token before a position, so many code points of it at most.
+TOKEN = 40
+LEFT = re.compile(rf"(\S{{1,{TOKEN}}})([^\S\n]?)\Z")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -76,116 +81,135 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 
 def context(text: str, start: int) -> str | None:
-    """The lexical pattern left of a position: the lower-cased token before it on its line and whether white space
-    follows; None at the start of a line."""
-    m = LEFT.search(text, max(0, start - 42), start)
+    """The lexical pattern left of a position: the lower-cased end of the token before it on its line (TOKEN code points)
+    and whether white space follows; None at the start of a line."""
+    m = LEFT.search(text, max(0, start - TOKEN - 2), start)
     return f"{m[1].lower()}{'_' if m[2] else ''}" if m else None
 
 
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, bool]]:
     """(kind, start, end, context, seed): base matches, and loose matches of a kind apart from all base matches."""
     out = [(k, a, b, c, True) for k, a, b in found if (c := context(text, a)) is not None]
-    taken = sorted((a, b) for _, a, b in found)
+    taken: list[list[int]] = []  # the base matches as disjoint stretches
+    for a, b in sorted((a, b) for _, a, b in found):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    taken.append([len(text) + 1, len(text) + 1])
     for k, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text and "(at)" not in text and "[at]" not in text:
             continue
+        at = 0  # both lists go by position, so one walk over them will do
         for m in LOOSE[kind].finditer(text):
             a, b = m.span()
-            if not any(a < y and x < b for x, y in taken) and (c := context(text, a)) is not None:
+            while taken[at][1] <= a:
+                at += 1
+            if b <= taken[at][0] and (c := context(text, a)) is not None:
                 out.append((k, a, b, c, False))
     return out
 
 
 SPAN = "struct<kind: int, start: long, end: long>"
 _HIT = pa.struct(
-    [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]
+    [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string()), ("value", pa.int64()), ("seed", pa.bool_())]
 )
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_chars, base: array of spans, hits: array of candidates), one row per row of docs.
+def value_hash(value: str) -> int:
+    """64 bits of an identifier in lower case, as a signed long; they stand for it in the graph."""
+    found = xxhash.xxh64_intdigest(value.lower().encode(), 5)
+    return found - (1 << 64) if found >> 63 else found
 
-    text_key is a 64-bit hash of the text: with the length it stands for the text, of which spans are a function.
-    """
+
+def text_key(text: Column) -> Column:
+    """A cryptographic hash of a text, of which its spans are a function; null for null."""
+    return F.sha2(text.cast("string").cast("binary"), 256)
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, base: array of spans, hits: array of candidates), one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, hits, sizes = [], [], []
+            spans, hits = [], []
             for x in batch.column(2):
                 text = x.as_py() or ""
                 found = base(text)
-                sizes.append(len(text))
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 hits.append(
                     [
-                        {"kind": k, "start": a, "end": b, "context": c, "value": text[a:b][:320], "seed": s}
+                        {"kind": k, "start": a, "end": b, "context": c, "value": value_hash(text[a:b]), "seed": s}
                         for k, a, b, c, s in candidates(text, found)
                     ]
                 )
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_chars", "base", "hits"])
+            columns = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "base", "hits"])
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("text_key"),
-        F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text")
     )
     return rows.mapInArrow(
         run,
-        f"doc_id long, text_key long, n_chars long, base array<{SPAN}>, "
-        "hits array<struct<kind: int, start: long, end: long, context: string, value: string, seed: boolean>>",
+        f"doc_id long, text_key string, base array<{SPAN}>, "
+        "hits array<struct<kind: int, start: long, end: long, context: string, value: long, seed: boolean>>",
     )
 
 
-def patterns(
-    detected: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5, instances: int = 2
-) -> DataFrame:
+#: Score from which a pattern is accepted, and the believed instances it needs.
+ACCEPT, SUPPORT = 2.0, 5.0
+
+
+def patterns(detected: DataFrame, accept: float = ACCEPT, support: float = SUPPORT) -> DataFrame:
     """(kind, context) of the accepted patterns, from the graph of patterns and instances of the whole corpus.
 
-    Instances are distinct values; those of the base are seeds with confidence 1, others begin at 0. In each round a
-    pattern's confidence is the mean confidence of its instances (smoothed by one instance of confidence 0), and an
-    instance's is the noisy-or of its patterns with `support` seeds or more, each discounted by half. Accepted are
-    patterns with at least `support` distinct seeds and, after the last round, the given confidence.
+    Instances are distinct values; those of the base are seeds, believed fully. With F the sum of the beliefs in a
+    pattern's n instances, its confidence is F / n and its score F / n * log2(F), so that a pattern which many known
+    identifiers support may bring in many unseen ones. Patterns of score `accept` and F `support` are accepted and stay
+    so. An unseen instance is believed by the noisy-or of its accepted patterns' confidences, so that found identifiers
+    in turn induce patterns. Rounds go on until none is accepted any more.
     """
     hits = detected.select(F.explode("hits").alias("h"))
-    edges = checkpointed(
-        hits.groupBy("h.kind", "h.context", F.lower("h.value").alias("value")).agg(F.max("h.seed").alias("seed"))
+    edges = checkpointed(hits.groupBy("h.kind", "h.context", "h.value").agg(F.max("h.seed").alias("seed")))
+    loose = checkpointed(edges.filter(~F.col("seed")).select("kind", "context", "value"))
+    # only patterns with unseen instances can find anything
+    unseen = loose.groupBy("kind", "context").agg(F.count("*").alias("unseen"))
+    seeds = edges.filter("seed").groupBy("kind", "context").agg(F.count("*").alias("seeds"))
+    graph = checkpointed(
+        unseen.join(seeds, ["kind", "context"], "left").select("kind", "context", "unseen", F.coalesce("seeds", F.lit(0)).alias("seeds"))
     )
-    strong = checkpointed(
-        edges.groupBy("kind", "context")
-        .agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n"))
-        .filter(F.col("seeds") >= support)
-    )
-    # seeds keep confidence 1, so only the few other instances move; rounds pass those alone
-    loose = checkpointed(edges.filter(~F.col("seed")).join(strong, ["kind", "context"]).select("kind", "context", "value"))
-    scored = strong.withColumn("confidence", F.col("seeds") / (F.col("n") + 1))
-    for _ in range(rounds):
-        believed = (
-            loose.join(scored, ["kind", "context"])
+    scored, accepted = graph.select("*", F.lit(0.0).alias("lift"), F.lit(False).alias("accepted")), 0
+    while True:
+        believed = F.col("seeds") + F.col("lift")
+        confidence = believed / (F.col("seeds") + F.col("unseen"))
+        good = (believed >= support) & (confidence * F.log2(believed) >= accept)
+        scored = scored.select("kind", "context", "unseen", "seeds", (F.col("accepted") | good).alias("accepted"), confidence.alias("confidence"))
+        scored = checkpointed(scored)
+        taken = scored.filter("accepted")
+        before, accepted = accepted, taken.count()
+        if accepted == before:
+            return taken.select("kind", "context")
+        beliefs = (
+            loose.join(taken.select("kind", "context", "confidence"), ["kind", "context"])
             .groupBy("kind", "value")
-            .agg((1 - F.exp(F.sum(F.log1p(-0.5 * F.col("confidence"))))).alias("belief"))
-        )
-        lift = loose.join(believed, ["kind", "value"]).groupBy("kind", "context").agg(F.sum("belief").alias("lift"))
-        scored = checkpointed(
-            strong.join(lift, ["kind", "context"], "left").withColumn(
-                "confidence", (F.col("seeds") + F.coalesce("lift", F.lit(0.0))) / (F.col("n") + 1)
-            ).select("kind", "context", "seeds", "n", "confidence")
+            .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))).alias("belief"))
         )
-    return scored.filter(F.col("confidence") >= confidence).select("kind", "context")
+        lift = loose.join(beliefs, ["kind", "value"]).groupBy("kind", "context").agg(F.sum("belief").alias("lift"))
+        scored = scored.drop("confidence").join(lift, ["kind", "context"], "left").withColumn("lift", F.coalesce("lift", F.lit(0.0)))
 
 
 def additions(detected: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(text_key, n_chars, added: array of spans) of the texts in which accepted patterns find more than the base."""
+    """(text_key, added: array of spans) of the texts in which accepted patterns find more than the base."""
     fresh = (
-        detected.select("text_key", "n_chars", F.explode("hits").alias("h"))
+        detected.select("text_key", F.explode("hits").alias("h"))
         .filter("not h.seed")
-        .select("text_key", "n_chars", "h.kind", "h.context", "h.start", "h.end")
+        .select("text_key", "h.kind", "h.context", "h.start", "h.end")
         .distinct()  # copies of a text count once
     )
     return (
         fresh.join(accepted, ["kind", "context"])
-        .groupBy("text_key", "n_chars")
+        .groupBy("text_key")
         .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     )
 
@@ -203,13 +227,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end), one row per row of docs.
 
     kind counts KINDS from 0; start and end are code points, end exclusive; both arrays go by kind and start. Null and
-    empty texts have none. Whole texts are read, in time linear in their length; repeated rows and null ids are kept;
-    other columns are not looked at.
+    empty texts have none; an empty table has no rows. Whole texts are read, in time linear in their length (and the
+    logarithm of the number of matches). Repeated rows and null ids are kept, each with its spans; copies of a text
+    count once as evidence for patterns. Other columns are not looked at.
     """
     detected = checkpointed(detect(docs))
     added = small(additions(detected, patterns(detected)))
     none = F.array().cast(f"array<{SPAN}>")
-    return detected.join(added, ["text_key", "n_chars"], "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return detected.join(added, "text_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -251,33 +276,30 @@ def masked(text: str, found: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs, in their own columns, with all spans masked in text, and n_chars (if there) counted anew.
 
-    Null texts stay null. The corpus is read twice: for the patterns, and to mask.
+    Null texts stay null and empty ones empty. Rows that repeat, or share an id, are each masked by their own text;
+    an empty table stays empty; other columns pass as they are, whatever their names. The corpus is read twice: for
+    the patterns, and to mask.
     """
-    detected = checkpointed(detect(docs).filter("size(hits) > 0").select("text_key", "n_chars", "hits"))
+    detected = checkpointed(detect(docs).filter("size(hits) > 0").select("text_key", "hits"))
     added = small(additions(detected, patterns(detected)))
-    keyed = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias("_key"), F.char_length("text").cast("long").alias("_size"))
-    joined = keyed.join(
-        added.select(F.col("text_key").alias("_key"), F.col("n_chars").alias("_size"), F.col("added").alias("_added")),
-        ["_key", "_size"],
-        "left",
-    ).select(*docs.columns, "_added")
-    at, n = docs.columns.index("text"), len(docs.columns)
+    joined = boxed(docs, text_key=text_key(F.col("text"))).join(added, "text_key", "left").select("row", "added")
+    at = docs.columns.index("text")
     sizes = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for x, more in zip(batch.column(at), batch.column(n)):
+            columns, texts = batch.column(0).flatten(), []
+            for x, more in zip(columns[at], batch.column(1)):
                 text = x.as_py()
                 if text is not None:
                     more = [(s["kind"], s["start"], s["end"]) for s in more.as_py() or ()]
                     text = masked(text, base(text) + more)
                 texts.append(text)
-            columns = batch.columns[:n]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[at] = pa.array(texts, columns[at].type)
             if sizes is not None:
                 old = columns[sizes]
                 columns[sizes] = pa.array([o.as_py() if t is None else len(t) for t, o in zip(texts, old)], old.type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)

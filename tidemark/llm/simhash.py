@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
-from tidemark.llm.common import checkpointed, read
+from tidemark.llm.common import boxed, checkpointed, fields, read
 from tidemark.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -179,18 +179,18 @@ def minima(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tid, text -> doc_id, tid, the keys of the bands, and a sketch of one bit for each minimum."""
+    """tid, text -> tid, the keys of the bands, and a sketch of one bit for each minimum."""
     for batch in batches:
         keys, bits = [], []
-        for text in batch.column(2):
+        for text in batch.column(1):
             least = minima(text.as_py())
             keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))])
             bits.append(np.packbits(least & 1, bitorder="little").view("<i8"))
         keys = pa.array(np.array(keys, dtype=np.uint64).view(np.int64).reshape(-1))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BANDS), keys)
         sketch = np.array(bits, dtype=np.int64).reshape(-1, len(SKETCH)).T
-        columns = [batch.column(0), batch.column(1), keys, *[pa.array(np.ascontiguousarray(c)) for c in sketch]]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "keys", *SKETCH])
+        columns = [batch.column(0), keys, *[pa.array(np.ascontiguousarray(c)) for c in sketch]]
+        yield pa.RecordBatch.from_arrays(columns, ["tid", "keys", *SKETCH])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,23 +227,27 @@ def _alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(_verified, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id. Texts are linked if the sets of their five-word shingles have a
-    Jaccard similarity of 0.8 or more.
+def text_hash(text: Column) -> Column:
+    """64 bits that stand for a text (null counts as empty) where links are made."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(tid, part): each distinct text of docs by its text_hash, and the smallest tid of the texts that it is linked to
+    over any number of links. Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8
+    or more; texts without words (and null) are alike.
 
     At 0.8 the SimHash fingerprints differ in some ten of 64 bits, more than keys of their segments can bridge, so
     candidates share a band of minima instead, and every link is verified on the shingles themselves. First each text
     of a bucket is verified against the bucket's smallest, which settles large groups of copies with one pair a text.
     Then, in buckets whose texts still are in several components, all pairs across these are, unless their sketches rule
     it out. So no pair that shares a band and could join two components is left out, whatever the size of its bucket.
-    Null texts, texts without words and rows without id are treated as in near_duplicates.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    texts = docs.select(text_hash(F.col(text_col)).alias("tid"), text.alias("text"))
     sketched = ", ".join(f"{s} long" for s in SKETCH)
-    rows = checkpointed(rows.mapInArrow(_banded, f"doc_id long, tid long, keys array<long>, {sketched}"))
-    nodes = checkpointed(rows.dropDuplicates(["tid"]).drop("doc_id"))
+    rows = texts.mapInArrow(_banded, f"tid long, keys array<long>, {sketched}")
+    nodes = checkpointed(rows.dropDuplicates(["tid"]))
     keyed = nodes.select("tid", F.explode("keys").alias("key"))
     leads = checkpointed(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).filter("lead < last"))
     shared = checkpointed(keyed.join(leads.select("key", "lead"), "key"))
@@ -269,34 +273,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = _alike(texts, checkpointed(across.join(stars, ["a", "b"], "left_anti")))
     parts = checkpointed(connected_components(first.unionByName(second)))
-
-    least = rows.groupBy("tid").agg(F.min("doc_id").alias("least"))
-    joined = checkpointed(least.join(parts, least.tid == parts.node, "left").select("tid", "least", F.coalesce("component", "tid").alias("part")))
-    ids = checkpointed(joined.groupBy("part").agg(F.min("least").alias("component_id")))
-    named = checkpointed(joined.join(ids, "part").select("tid", "component_id"))
-    return rows.select("doc_id", "tid").join(named, "tid").select("doc_id", "component_id")
+    return nodes.select("tid").join(parts, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("component", "tid").alias("part"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies (near_copies): of each group, the row with the smallest doc_id.
+    """docs, in their own columns, without near copies: of each group of rows whose texts near_copies links, one stays.
 
-    Rows without doc_id can't be told apart by id and all stay; of rows that repeat the smallest id of a group, the
-    one with the smallest text (null first) stays.
+    That is the row with the smallest doc_id (rows without come last), then with the smallest text_hash, then with the
+    smallest JSON text. Rows that share an id but not their texts are judged by their texts alone: none goes for its id.
+    Null and empty texts are a group. Very long texts are compared as a whole; an empty table stays empty; columns of
+    other names pass as they are. Texts are told apart by text_hash; of n distinct texts some n^2 / 2^65 pairs share one.
     """
-    found = near_copies(docs)
-    best = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null")
-    kept = named.join(best, "doc_id", "left_semi")
-    # ids are hardly ever repeated: only those that are get sorted
-    repeated = checkpointed(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    again = (
-        kept.join(repeated, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-        .select("doc_id", "row.*")
-        .select(docs.columns)
-    )
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    parts = checkpointed(near_copies(docs))
+    ids, text = F.col("doc_id").cast("long"), text_hash(F.col("text"))
+    rows = docs.select(ids.alias("id"), text.alias("tid")).groupBy("tid", "id").agg(F.count("*").alias("n"))
+    # each text's first row, then that of each group; n tells how many rows share both id and text
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("tid"), F.col("n"))
+    first = rows.groupBy("tid").agg(F.min(order).alias("first"))
+    best = first.join(parts, "tid").groupBy("part").agg(F.min("first").alias("first"))
+    best = checkpointed(best.select(F.col("first.tid").alias("tid"), F.col("first.id").alias("id"), F.col("first.n").alias("n")))
+
+    def chosen(which: str, **more: Column) -> DataFrame:
+        left, right = boxed(docs, tid=text, id=ids, **more).alias("l"), best.filter(which).alias("r")
+        return left.join(right, (F.col("l.tid") == F.col("r.tid")) & F.col("l.id").eqNullSafe(F.col("r.id")), "left_semi")
+
+    single = chosen("n = 1").select("row.*")
+    if best.filter("n > 1").isEmpty():
+        return single
+    others = F.to_json(F.struct(*[c for c, name in zip(fields(docs), docs.columns) if name != "text"]))
+    first = F.row_number().over(Window.partitionBy("tid", "id").orderBy("others"))
+    return single.unionByName(chosen("n > 1", others=others).withColumn("first", first).filter("first = 1").select("row.*"))
