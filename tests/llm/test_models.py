@@ -4,6 +4,7 @@ import math
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import language, toxicity
 from tidemark.llm.common import read
@@ -31,14 +32,56 @@ def test_toxic_sentences_are_learnt_and_located():
     assert toxicity.fit([], []).sentences("x") and toxicity.fit(["a"], [0]).weights == {}
 
 
+def plain_score(model, text):
+    """Noisy-or by its definition: 1 - product over sentences of 1 - logistic(bias + weights of the distinct words)."""
+    hidden = 0.0
+    for sentence in toxicity.SENTENCE.findall(text):
+        words = set(toxicity.WORD.findall(sentence))
+        if words:
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+            hidden += -math.log(1 / (1 + math.exp(z)))
+    return 1 - math.exp(-hidden)
+
+
 def test_toxicity_query_on_held_out_rows(spark):
-    sf_dir = "/root/testdata/sf0.01"
-    labels = {r["doc_id"]: r["toxic"] for r in read(spark, sf_dir, "labels").collect()}
+    """Of the held-out fold alone: most toxic documents are found, hardly any clean one; scores are those of the plain formula."""
+    sf_dir = "/root/testdata/sf0.1"  # the smaller tables have a handful of toxic held-out documents
+    docs, table = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    labels = {r["doc_id"]: r["toxic"] for r in table.collect()}
     rows = toxicity.op9_toxicity(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
-    clean = [r for r in rows if labels.get(r["doc_id"]) == 0]
-    toxic = [r for r in rows if labels.get(r["doc_id"]) == 1]
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
+    held = [r for r in rows if r["held_out"]]
+    clean = [r for r in held if labels.get(r["doc_id"]) == 0]
+    toxic = [r for r in held if labels.get(r["doc_id"]) == 1]
+    hits, wrong = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in clean)
+    print(f"held out: {len(toxic)} toxic, {hits} found; {len(clean)} clean, {wrong} accused")
+    assert hits >= 0.8 * len(toxic) and hits >= 0.9 * (hits + wrong)
+    model = toxicity.train(docs, table)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in rows[::7]:
+        assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9)
+
+
+def test_toxicity_sample(spark):
+    """Both classes are learnt even where all their documents are long; long clean documents stay clean."""
+    fill = "A quiet line of prose about gardens. "
+    rows = [(i, fill * (400 if i % 2 else 3) + ("You grumfle idiot. " if i % 4 == 1 else "")) for i in range(200)]
+    rows += [(300, None), (4, "another text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(200)] + [(300, 1), (2, None), (999, 1)], "doc_id long, toxic int")
+    texts, known = toxicity.sample(docs, labels)
+    assert sum(known) == min(toxicity.MAX_LONG, sum(i % 4 == 1 and zlib.crc32(str(i).encode()) % 5 > 0 for i in range(200)))
+    assert (texts, known) == toxicity.sample(docs.repartition(7), labels)
+    model = toxicity.fit(texts, known)
+    assert plain_score(model, fill * 5_000) < 0.5 < plain_score(model, fill * 5 + "You grumfle idiot.")
+
+
+def test_thinned_texts(spark):
+    text = "".join(f"sentence {i}. " for i in range(5_000))
+    found = spark.createDataFrame([(text,), ("short.",), ("",), (None,)], "t string").select(toxicity.thinned(F.col("t"), 10_000, toxicity.PART)).collect()
+    assert [r[0] for r in found[1:]] == ["short.", "", None] and 7_000 < len(found[0][0]) < 13_000
+    parts = [p.strip() for p in found[0][0].split(".")[:-1]]
+    assert int(parts[0].split()[1]) < 100 and int(parts[-1].split()[1]) > 4_900 and parts == sorted(parts, key=lambda p: int(p.split()[1]))
 
 
 def test_toxicity_odd_rows(spark, odd, empty):

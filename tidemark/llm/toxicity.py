@@ -10,15 +10,20 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, held_out, read
+from tidemark.llm.common import Memo, boxed, held_out, read, release, thinned
 
 SENTENCE = re.compile(r"[^.!?\n]+")
+#: A sentence with what ends it.
+PART = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
 WORD = re.compile(r"\w+")
-#: Bounds of the fitting sample: labelled documents of each class, and code points of a document that may be in it.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2_000, 3_000, 8_000
+#: Bounds of the fitting sample: labelled documents of each class; documents of each class with over LONG code points;
+#: code points of a document, of which longer ones are represented by some of their sentences.
+MAX_POSITIVE, MAX_NEGATIVE, LONG, MAX_LONG, MAX_CHARS = 2_000, 3_000, 8_000, 40, 150_000
+#: Features of the model: those that lean most to either class. The others have weight 0, as almost all would under the
+#: penalty; the bound keeps the model to a broadcast of some 100 KB.
 MAX_FEATURES = 6_000
 FOLDS, HELD_OUT = 5, 0
 
@@ -123,32 +128,41 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most MAX_POSITIVE and MAX_NEGATIVE labelled texts outside the held-out fold, chosen by a hash of doc_id."""
+    """The fitting sample: at most MAX_POSITIVE and MAX_NEGATIVE labelled texts of up to LONG code points, and MAX_LONG
+    longer ones of each class, outside the held-out fold.
+
+    Documents are chosen by a hash of doc_id, so that a rerun takes the same. An id with several labels counts as toxic
+    if one says so; of its several texts the one with the smallest hash is taken. Ids without text take no part.
+    """
     fold = held_out(F.col("doc_id"), FOLDS, HELD_OUT)
-    known = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").filter(~fold)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # long texts say little about single sentences: they are left out of the sample (never out of the scoring)
-    short = docs.select("doc_id", "text").filter(F.char_length("text") <= MAX_CHARS)
-    ids = short.select("doc_id").join(known, "doc_id")
-    rank = F.xxhash64("doc_id")
-    rows = []
-    for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        chosen = ids.filter(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(rank, "doc_id").limit(most)
-        # at most `most` ids and labels: a bounded broadcast
-        rows += short.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic in (0, 1) and doc_id is not null").filter(~fold)
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    sizes = texts.select("doc_id", (F.char_length("text") > LONG).alias("long"))
+    there = sizes.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("long").alias("long"))
+    place = F.row_number().over(Window.partitionBy("toxic", "long").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    most = F.when(F.col("long"), MAX_LONG).when(F.col("toxic") == 1, MAX_POSITIVE).otherwise(MAX_NEGATIVE)
+    chosen = there.withColumn("place", place).filter(F.col("place") <= MAX_NEGATIVE).filter(F.col("place") <= most)
+    # as many ids as the sample has: a bounded broadcast, and a bounded number of bounded texts for the driver
+    rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    found = rows.select("doc_id", "toxic", thinned(F.col("text"), MAX_CHARS, PART).alias("text")).toArrow().sort_by("doc_id")
+    return found.column("text").to_pylist(), found.column("toxic").to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels))
+    """The model of the fitting sample; no labels or no documents make a model that finds nothing toxic."""
+    model = fit(*sample(docs, labels))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1), offending: array of (start, end, score) of the sentences
     whose own score reaches the threshold, in code points, end exclusive.
 
-    Null and empty texts have score 0 and no sentences. Whole texts are read; other columns are not looked at.
+    Null and empty texts have score 0 and no sentences; an empty table has no rows. Whole texts are read, however long;
+    equal texts have equal scores, and rows that repeat or have no id stay. Other columns are not looked at.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
@@ -172,19 +186,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs, in their own columns, without the rows whose text scores at least the threshold."""
+    """docs, in their own columns, without the rows whose text scores at least the threshold.
+
+    Null and empty texts score 0 and stay, unless threshold is 0. Each row is judged by its own whole text, so copies go
+    or stay together, whether ids repeat or not; an empty table stays empty; other columns pass, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            keep = [
-                noisy_or([z for *_, z in model.sentences(x.as_py() or "")]) < threshold for x in batch.column(at)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            columns = batch.column(0).flatten()
+            keep = [noisy_or([z for *_, z in model.sentences(x.as_py() or "")]) < threshold for x in columns[at]]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return boxed(docs).mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
