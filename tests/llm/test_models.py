@@ -3,7 +3,10 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, toxicity
@@ -94,15 +97,19 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and toxicity.clean(empty, labels).isEmpty()
 
 
+VOCABULARY = set(language.vocabulary())
+
+
 def brute(model, word, k):
+    """The sum over all segmentations into pieces of the whole vocabulary and single characters, by recursion."""
     word = language.SPACE + word
-    known = set(model.pieces)
+    known = dict(zip(model.pieces, model.probabilities[:, k]))
 
     def total(i):
         if i == len(word):
             return 1.0
-        ends = [j for j in range(i + 1, len(word) + 1) if j == i + 1 or word[i:j] in known]
-        return sum(model.pieces.get(word[i:j], model.floors)[k] * total(j) for j in ends)
+        ends = [j for j in range(i + 1, len(word) + 1) if j == i + 1 or word[i:j] in VOCABULARY]
+        return sum(known.get(word[i:j], model.floors[k]) * total(j) for j in ends)
 
     return math.log(total(0))
 
@@ -112,20 +119,63 @@ def languages():
     return language.fit({k: [" ".join([v] * 5)] * 20 for k, v in FAMILIES.items()})
 
 
-@pytest.mark.parametrize("word", ["the", "water", "krumblip", "q", "ñ漢x", "thethewater"])
+def test_every_piece_of_the_vocabulary_takes_part(languages):
+    assert set(languages.pieces) == VOCABULARY and (languages.probabilities > 0).all()
+
+
+@pytest.mark.parametrize("word", ["the", "water", "krumblip", "q", "ñ漢x", "thethewater", "international", "a", "漢"])
 def test_words_sum_all_segmentations(languages, word):
+    together = languages.forward([word, "other", word + "s"])
     for k in range(len(languages.languages)):
         assert languages._word(word)[k] == pytest.approx(brute(languages, word, k))
+        assert together[0, k] == pytest.approx(brute(languages, word, k))
+        assert together[2, k] == pytest.approx(brute(languages, word + "s", k))
+
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="thewaronéñ漢", min_size=1, max_size=9), min_size=1, max_size=8, unique=True))
+def test_words_together_and_one_by_one(languages, words):
+    found = languages.forward(words)
+    assert np.allclose(found, [languages._word(w) for w in words])
 
-def test_long_words_do_not_underflow(languages):
+
+def test_predictions_are_those_of_brute_force(languages):
+    texts = ["the water of zog", "lamu water, tiki 12 tiki!", "zog blip the krum", None, "", "12 ..", "漢 q", "The WATER"]
+    for text, (name, score) in zip(texts, languages.predict(texts)):
+        words = language.WORD.findall((text or "").lower())
+        if not words:
+            assert (name, score) == ("und", 0.0)
+            continue
+        totals = [sum(brute(languages, w, k) for w in words) for k in range(3)]
+        best = max(range(3), key=lambda k: totals[k])
+        assert name == languages.languages[best] and score == pytest.approx(1 / sum(math.exp(t - totals[best]) for t in totals))
+
+
+def test_long_words_and_texts(languages, monkeypatch):
     short, long = languages._word("krum" * 8), languages._word("krum" * 800)
     assert all(math.isfinite(x) for x in long) and long[1] / 100 == pytest.approx(short[1], rel=0.1)
+    texts = ["zog blip " * 400 + "krum" * 500, "lamu tiki the " * 300, "of"]
+    whole = languages.predict(texts)
+    monkeypatch.setattr(language.Model, "STEP", 7)  # texts of over 70 characters go in steps
+    monkeypatch.setattr(language.Model, "KEPT", 3)
+    languages.forget()
+    assert [n for n, _ in languages.predict(texts)] == [n for n, _ in whole] == ["xx", "yy", "en"]
+
+
+def test_language_sample(spark, monkeypatch):
+    """Languages whose documents are all long are learnt; a dirty column brings its most frequent values alone."""
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    monkeypatch.setattr(language, "MAX_DOCS", 20)
+    rows = [(i, "zog blip krum " * (1_000 if i % 2 else 5), "xx" if i % 2 else "yy") for i in range(120)]
+    rows += [(1000 + i, "noise", f"dirt {i}") for i in range(50)] + [(2000, None, "xx"), (2001, "a", None)]
+    found = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(found) <= 3 and len(found["xx"]) == len(found["yy"]) == 20
+    assert all(5_000 < len(t) < 11_000 for t in found["xx"]) and all(t == "zog blip krum " * 5 for t in found["yy"])
 
 
 def test_language_edges(languages, odd, empty):
-    assert languages.predict(None) == languages.predict("12 ... ²") == ("und", 0.0)
-    assert languages.predict("zog vaxo blip")[0] == "xx"
+    assert languages.predict([None, "12 ... ²", ""]) == [("und", 0.0)] * 3
+    assert languages.predict(["zog vaxo blip"])[0][0] == "xx"
     rows = language.identify(odd, languages).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
