@@ -1,6 +1,9 @@
 """URL filters and main texts."""
 
+import math
+import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -96,3 +99,108 @@ def test_small_bad_section_of_a_large_host(spark):
     labels = spark.createDataFrame([(i, int(i in bad)) for i, _ in rows], "id long, bad int")
     found = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
     assert {i for i, v in found.items() if v == "block"} == bad
+
+
+def test_deep_bad_branch(spark):
+    """Urls that differ from the sixth segment on."""
+    rows = [(i, f"http://deep.net/a/b/c/d/e/{'good' if i % 2 else 'bad'}/x/y/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "id long, bad int")
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert {i for i, r in found.items() if r["verdict"] == "block"} == set(range(0, 400, 2))
+    assert found[2]["template"].startswith("/a/b/c/d/e/bad/")
+
+
+def plain_shape(s):
+    stem, ending = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s, re.S).groups()
+    kind = "number" if re.fullmatch("[0-9]+", stem) else "hex" if re.fullmatch("[0-9A-Fa-f]{8,}", stem) else "mixed" if re.search("[0-9]", stem) else "words" if re.search("[-_+%]", stem) else "word"
+    return f"<{kind}>{(ending or '').lower()}"
+
+
+def plain_tree(rows):
+    """The tree by recursion over lists: rows are (host, path, bad or None); returns template and purity of each."""
+    templates, purity = [None] * len(rows), [None] * len(rows)
+    split = [[s for s in path.split("/") if s] for _, path, _ in rows]
+
+    def count(some):
+        known = [rows[i][2] for i in some if rows[i][2] is not None]
+        return len(some), len(known), sum(known)
+
+    def grow(some, template, level):
+        inner = [i for i in some if len(split[i]) > level]
+        n, known, wrong = count(inner)
+        if n < urls.MIN_ROWS or not 0 < wrong < known:
+            for i in some:
+                templates[i] = template + "".join("/" + plain_shape(s) for s in split[i][level:])
+            return
+        for i in set(some) - set(inner):
+            templates[i] = template
+        by_segment, by_shape = defaultdict(list), defaultdict(list)
+        for i in inner:
+            by_segment[split[i][level]].append(i)
+            by_shape[plain_shape(split[i][level])].append(i)
+        bands = defaultdict(list)
+        for s, own in by_segment.items():
+            a, b = count(own), count(by_shape[plain_shape(s)])
+            if a[0] < urls.MIN_ROWS:
+                continue
+            rest = b[1] - a[1]
+            differs = False
+            if a[1] and rest:
+                pooled = b[2] / b[1]
+                differs = abs(a[2] / a[1] - (b[2] - a[2]) / rest) > urls.DISTINCT * math.sqrt(pooled * (1 - pooled) * (1 / a[1] + 1 / rest))
+            if a[0] >= urls.ALONE * b[0]:
+                bands["=" + s].append(s)
+            elif differs:
+                shrunk = (a[2] + urls.WEIGHT * (wrong + 1) / (known + 2)) / (a[1] + urls.WEIGHT)
+                bands[min(int(math.asin(math.sqrt(shrunk)) * 2 / math.pi * urls.BANDS), urls.BANDS - 1)].append(s)
+        part = {s: s if len(alike) == 1 else f"<like {min(alike)}>" for alike in bands.values() for s in alike}
+        groups = defaultdict(list)
+        for i in inner:
+            groups[part.get(split[i][level], plain_shape(split[i][level]))].append(i)
+        for p, own in groups.items():
+            grow(own, f"{template}/{p}", level + 1)
+
+    hosts = defaultdict(list)
+    for i, (host, _, _) in enumerate(rows):
+        hosts[host].append(i)
+    _, known, wrong = count(range(len(rows)))
+    rate = wrong / known if known else 0.0
+    for own in hosts.values():
+        grow(own, "", 0)
+        _, known, wrong = count(own)
+        host_rate = (wrong + urls.WEIGHT * rate) / (known + urls.WEIGHT)
+        leaves = defaultdict(list)
+        for i in own:
+            templates[i] += "/" if rows[i][1].endswith("/") else ""
+            leaves[templates[i]].append(i)
+        for some in leaves.values():
+            _, known, wrong = count(some)
+            for i in some:
+                purity[i] = 1 - (wrong + urls.WEIGHT * host_rate) / (known + urls.WEIGHT)
+    return templates, purity
+
+
+def test_tree_is_that_of_brute_force(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(4_000):
+        host, section = rng.choice(["a.net", "a.net", "b.net", "c.info"]), rng.choice("news blog bad worse shop forum x-y spam".split())
+        bad = rng.random() < {"bad": 0.95, "worse": 0.9, "spam": 0.5, "forum": 0.3}.get(section, 0.05)
+        deep = rng.choice(["", "/2020/01", f"/user{rng.randrange(5)}/posts", "/archive/old/older/oldest/page"])
+        rows.append((i, f"http://{host}/{section}{deep}/{i}{rng.choice(['', '.html', '/'])}"))
+        if rng.random() < 0.6:
+            labels.append((i, int(bad)))
+    rows += [(5_000 + i, u) for i, u in enumerate([None, "", "http://a.net", "http://a.net/", "http://a.net/bad", "http://new.net/x/1"])]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad int")).collect()}
+    known, plain = dict(labels), []
+    for i, u in rows:
+        host, path = split(u)
+        m = re.search(r"/([0-9]{1,18})([.][A-Za-z]+)?/?$", path)
+        plain.append((host, path, known.get(int(m[1])) if m else None))
+    templates, purity = plain_tree(plain)
+    assert len({t for t in templates if "<like" in t}) > 0
+    for (i, _), (host, path, _), template, p in zip(rows, plain, templates, purity):
+        r, rule = found[i], fitting(host, path)
+        assert (r["template"], r["purity"]) == (template, pytest.approx(p))
+        assert r["verdict"] == (rule.verdict if rule else "block" if p < urls.PURITY else "allow")
+    assert sum(r["verdict"] == "block" for r in found.values()) > 500

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,10 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-DEPTH = 5  # path segments that have a level of their own; deeper ones share one wildcard
-MIN_ROWS = 20  # rows that a segment needs to stay literal, however large its node
-DISTINCT = 1.96  # standard errors that a branch's purity differs by from its node's to stay apart
+MIN_ROWS = 20  # rows that a branch needs to be told apart from others, however large its node
+DISTINCT = 1.96  # standard errors between the purities of a branch and of all others like it that tell it apart
+BANDS = 6  # bands of purity; branches of a node in the same band are alike
+ALONE = 0.95  # share of its shape's rows from which a branch names the shape, as there is nothing to merge it with
 WEIGHT = 10.0  # pseudo-observations with the purity of the level above
 PURITY = 0.5  # templates with less smoothed purity are rejected
 
@@ -75,40 +77,85 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, F.lower(ending))
 
 
+SUMS = ("n", "known", "wrong")
+
+
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """n rows, known of them labelled, wrong of these bad, for each key."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("wrong"))
 
 
-def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _added(sums: DataFrame, *keys: str) -> DataFrame:
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def _other(sums: DataFrame, prefix: str) -> DataFrame:
+    return sums.select(*[c for c in sums.columns if c not in SUMS], *[F.col(c).alias(f"{prefix}_{c}") for c in SUMS])
+
+
+def branches(segments: DataFrame) -> DataFrame:
+    """segments (host, template, segment, shape, n, known, wrong) -> (host, template, segment, part): how the branches that
+    don't go by the wildcard of their shape are written in the template.
+
+    A branch of MIN_ROWS rows or more stands apart if its labelled purity differs from that of all other branches of its
+    node and shape. Branches apart are compared by their purity, shrunk to their node's: those in the same band of its
+    arcsine (whose spread doesn't depend on the purity) are alike and merge to one part; a single one stays literal.
+    """
+    node = ["host", "template"]
+    kinds = _other(checkpointed(_added(segments, *node, "shape")), "all")
+    nodes = _other(_added(segments, *node), "node")
+    large = segments.filter(F.col("n") >= MIN_ROWS).join(kinds, [*node, "shape"]).join(nodes, node)
+    known, rest = F.col("known"), F.col("all_known") - F.col("known")
+    p, q = F.col("wrong") / known, (F.col("all_wrong") - F.col("wrong")) / rest
+    pooled = F.col("all_wrong") / F.col("all_known")
+    error = F.sqrt(pooled * (1 - pooled) * (1 / known + 1 / rest))
+    differs = F.when((known > 0) & (rest > 0), F.abs(p - q) > DISTINCT * error).otherwise(False)
+    named = F.col("n") >= ALONE * F.col("all_n")
+    base = (F.col("node_wrong") + 1) / (F.col("node_known") + 2)
+    shrunk = (F.col("wrong") + WEIGHT * base) / (known + WEIGHT)
+    band = F.least(F.floor(F.asin(F.sqrt(shrunk)) * (2 / math.pi) * BANDS), F.lit(BANDS - 1))
+    apart = large.filter(differs | named).select(*node, "segment", F.when(named, F.lit(-1)).otherwise(band).alias("band"))
+    # a branch that names its shape is not merged with those of other shapes
+    apart = checkpointed(apart.withColumn("band", F.when(F.col("band") < 0, F.concat(F.lit("="), "segment")).otherwise(F.col("band").cast("string"))))
+    alike = apart.groupBy(*node, "band").agg(F.min("segment").alias("least"), F.count("*").alias("branches"))
+    part = F.when(F.col("branches") == 1, F.col("segment")).otherwise(F.concat(F.lit("<like "), "least", F.lit(">")))
+    return apart.join(alike, [*node, "band"]).select(*node, "segment", part.alias("part"))
+
+
+def templates(rows: DataFrame) -> DataFrame:
     """rows (host, path, bad, ...) with template: the path with wildcards, from the host's tree.
 
-    The tree grows level by level. In a node (a host and the template so far) a segment stays literal if it has MIN_ROWS
-    rows there and, where labels tell, its branch's purity differs from the node's; all other segments are variable or
-    statistically alike, and merge to the wildcard of their shape. Each level is one aggregation by node, one by node
-    and segment, and a join with the literal segments only, which come from the checkpoint folder so that Spark
-    can split the rows of a host or segment with very many urls.
+    The tree grows level by level, as deep as branches can still differ: a node is open if it has MIN_ROWS rows or more
+    and labels of both kinds; all below other nodes merges to the wildcards of its shapes at once. Each level is one
+    aggregation by node and segment, from which all counts come, and a join with the open nodes and the branches that
+    have a part of their own; these come from the checkpoint folder, so that Spark can split the rows of a host or segment
+    with very many urls.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.withColumn("_segments", segments).withColumn("template", F.lit(""))
-    deepest = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
-        inner = rows.filter("_segment is not null")
-        nodes = _sums(inner, "host", "template").select("host", "template", *[F.col(c).alias(f"_{c}") for c in ("n", "known", "wrong")])
-        frequent = checkpointed(_sums(inner, "host", "template", "_segment").filter(F.col("n") >= MIN_ROWS))
-        both = frequent.join(checkpointed(nodes.filter(F.col("_n") >= MIN_ROWS)), ["host", "template"])
-        p, q = F.col("wrong") / F.col("known"), F.col("_wrong") / F.col("_known")
-        error = F.sqrt(q * (1 - q) * (1 / F.col("known") + 1 / F.col("_known")))
-        # a branch that is (nearly) all of its node has nothing to merge with and names it
-        apart = (F.col("n") >= 0.95 * F.col("_n")) | F.when(F.col("known") > 0, F.abs(p - q) > DISTINCT * error).otherwise(False)
-        literal = checkpointed(both.filter(apart).select("host", "template", "_segment", F.lit(True).alias("_literal")))
-        part = F.when(F.col("_literal"), F.col("_segment")).otherwise(shape(F.col("_segment")))
-        grown = F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), part))
-        rows = rows.join(literal, ["host", "template", "_segment"], "left").withColumn("template", grown).drop("_segment", "_literal")
-        rows = checkpointed(rows)
-    deeper = F.when(F.size("_segments") > depth, F.concat("template", F.lit("/<more>"))).otherwise(F.col("template"))
+    rows = rows.withColumns({"segments": segments, "template": F.lit("")})
+    done, node, level = None, ["host", "template"], 0
+    while True:
+        below = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), shape(s)))
+        closed = F.concat("template", F.array_join(below, ""))
+        inner = rows.select(*node, "bad", F.get("segments", F.lit(level)).alias("segment")).filter("segment is not null")
+        found = checkpointed(_sums(inner, *node, "segment").withColumn("shape", shape(F.col("segment"))))
+        nodes = _added(found, *node).filter((F.col("n") >= MIN_ROWS) & (F.col("wrong") > 0) & (F.col("wrong") < F.col("known")))
+        nodes = checkpointed(nodes.select(*node, F.lit(True).alias("open")))
+        if nodes.isEmpty():
+            last = rows.withColumn("template", closed)
+            rows = last if done is None else done.unionByName(last)
+            break
+        parts = checkpointed(branches(found.join(nodes, node, "left_semi")))
+        segment = F.get("segments", F.lit(level))
+        rows = rows.withColumn("segment", segment).join(nodes, node, "left").join(parts, [*node, "segment"], "left")
+        going = F.col("open").isNotNull() & F.col("segment").isNotNull()
+        longer = F.concat("template", F.lit("/"), F.coalesce("part", shape(F.col("segment"))))
+        rows = checkpointed(rows.withColumns({"template": F.when(going, longer).otherwise(closed), "open": going}).drop("segment", "part"))
+        ended = rows.filter("not open").drop("open")
+        done = ended if done is None else done.unionByName(ended)
+        rows, level = rows.filter("open").drop("open"), level + 1
     slash = F.when(F.endswith("path", F.lit("/")), "/").otherwise("")
-    return rows.withColumn("template", F.concat(deeper, slash)).drop("_segments")
+    return rows.withColumn("template", F.concat("template", slash)).drop("segments")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,8 +164,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES)
     labels: (id long, bad 0 or 1) of the documents that urls name by the number that ends their path. The longest
     fitting rule decides; else a url is blocked if the smoothed purity of its template is below PURITY: the share of
     labelled urls that aren't bad, shrunk to the host's, which is shrunk to the whole table's (1 without labels).
-    Null urls and urls without :// have an empty host and path, fit no rule, and form a template of their own.
-    Repeated rows count each; rows without page_id stay. Other columns are not looked at.
+    Null and empty urls and urls without :// have an empty host and path, fit no rule, and form a template of their own.
+    Of equally long rules that fit, the last by text decides. Repeated rows count each and
+    get equal results; rows without page_id stay; very long urls are taken as a whole; an empty table has no rows, and
+    without labels nothing is blocked but by rules. Other columns are not looked at.
     """
     rest = after_scheme(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
