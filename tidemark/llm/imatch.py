@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, read
+from tidemark.llm.common import Memo, checkpointed, read
 
 TERM = re.compile(r"[^\W_]+")
 #: The band of document frequency (as a share of all documents) of lexicon terms: not the rarest, not the commonest.
@@ -23,7 +25,8 @@ RAREST, COMMONEST = 0.0005, 0.05
 #: terms change with any edit, subsets with few survive larger ones.
 RATES, DRAWS = (2 / 3, 1 / 3, 1 / 12, 1 / 48, 1 / 128, 1 / 256, 1 / 512, 1 / 1024), 8
 EMPTY = "0000"
-#: Lexicon terms that a broadcast may hold. The band alone bounds them: at most (distinct terms per document) / RAREST.
+#: Lexicon terms up to which the lexicon is broadcast (64 bytes each); a larger one is joined by term. The band alone bounds
+#: them: at most (distinct terms per document) / RAREST.
 BROADCAST_TERMS = 4_000_000
 FLUSH = 400_000
 
@@ -62,22 +65,39 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def member(keys: np.ndarray) -> np.ndarray:
+    """The subsets (one bit each) that each term (by its hash) is in: the splitmix64 of the term and the draw's number is
+    compared with the draw's rate."""
+    base, found = keys.astype(np.int64).view(np.uint64), np.zeros(len(keys), dtype=np.uint64)
+    for k, rate in enumerate(np.repeat(RATES, DRAWS)):
+        z = base + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        inside = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) < np.uint64(int(rate * (1 << 53)))
+        found |= inside.astype(np.uint64) << np.uint64(k)
+    return found
+
+
+def whole_hash(found: set[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:8] if found else "00000000"
+
+
+def subset_hashes(keys: np.ndarray, subsets: np.ndarray) -> list[str]:
+    """Four hex digits of each subset's terms, of a document's lexicon terms (sorted hashes) and the subsets they are in."""
+    inside = subsets[:, None] >> np.arange(len(RATES) * DRAWS, dtype=np.uint64) & np.uint64(1)
+    out = [EMPTY] * inside.shape[1]
+    for k in np.nonzero(inside.any(axis=0))[0].tolist():
+        out[k] = f"{xxhash.xxh64_intdigest(keys[inside[:, k] > 0].tobytes()) % 0xFFFF + 1:04x}"
+    return out
+
+
 class Lexicon:
     """Terms of the band, and the subsets that each of them is in."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys)
         self.where = Memo(self._find, 200_000)
-        draws = np.arange(len(RATES) * DRAWS, dtype=np.uint64)
-        bars = np.repeat(np.array([int(r * (1 << 53)) for r in RATES], dtype=np.uint64), DRAWS)
-        self.member = np.empty((len(self.keys), len(draws)), dtype=bool)
-        base = self.keys.astype(np.int64).view(np.uint64)
-        for k, bar in enumerate(bars):
-            # splitmix64 of the term and the draw's number
-            z = base + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            self.member[:, k] = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) < bar
+        self.member = member(self.keys)
 
     def __reduce__(self):
         return Lexicon, (self.keys,)
@@ -88,19 +108,13 @@ class Lexicon:
         return at if at < len(self.keys) and self.keys[at] == key else -1
 
     def fingerprint(self, text: str) -> list[str]:
-        """Four hex digits of each subset's terms in the text (EMPTY for none), and of all terms whatever their
-        frequency. Terms count once, in the order of their hashes."""
+        """subset_hashes of the text's terms (EMPTY for none), and a hash of all terms whatever their frequency. Terms
+        count once, in the order of their hashes."""
         found = terms(text)
         at = np.fromiter(map(self.where.__getitem__, found), dtype=np.int64, count=len(found))
         self.where.trim()
         at = np.unique(at[at >= 0])
-        keys, member = self.keys[at], self.member[at]
-        out = [EMPTY] * member.shape[1]
-        for k in np.nonzero(member.any(axis=0))[0].tolist():
-            mine = keys[member[:, k]]
-            out[k] = f"{xxhash.xxh64_intdigest(mine.tobytes()) % 0xFFFF + 1:04x}"
-        whole = hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:8] if found else "00000000"
-        return [*out, whole]
+        return [*subset_hashes(self.keys[at], self.member[at]), whole_hash(found)]
 
 
 def likeness(a: list[str], b: list[str]) -> float:
@@ -112,62 +126,122 @@ def likeness(a: list[str], b: list[str]) -> float:
     return sum(x == y for x, y in used) / len(used)
 
 
-def lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
-    """The lexicon of all rows of docs. Only terms of the band come to the driver, which bounds their number."""
+def band(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term long): the lexicon of all rows of docs."""
     total = docs.count()
     least, most = max(2, math.ceil(RAREST * total)), math.floor(COMMONEST * total)
-    band = frequencies(docs, text_col).filter(F.col("df").between(least, most)).select("term")
-    keys = band.limit(BROADCAST_TERMS + 1).toArrow().column("term").to_numpy()
-    if len(keys) > BROADCAST_TERMS:
-        raise ValueError("documents have too many distinct terms for the band: raise RAREST")
-    return Lexicon(keys.astype(np.int64))
+    return frequencies(docs, text_col).filter(F.col("df").between(least, most)).select("term")
 
 
-def fingerprints(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint), one row per row of docs. Null texts count as empty; equal texts have equal fingerprints;
-    other columns are not looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon | DataFrame:
+    """The lexicon, for a broadcast if it has at most BROADCAST_TERMS terms, else as a table. Only terms of the band come
+    to the driver."""
+    table = checkpointed(band(docs, text_col))
+    if table.count() > BROADCAST_TERMS:
+        return table
+    return Lexicon(table.toArrow().column("term").to_numpy().astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+TERMS = "array<long>"
+
+
+def joined(rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """rows with each array of term hashes in `names` (distinct, sorted) restricted to the terms of table.
+
+    Arrays are exploded and joined by term; a term in a third of all rows is beyond the band, and its rows are
+    split by Spark as for any skewed key. What is gathered again are the terms of one row.
+    """
+    rows = checkpointed(rows.withColumn("at", F.monotonically_increasing_id()))
+    for name in names:
+        each = rows.select("at", F.explode(name).alias("term"))
+        kept = each.join(table, "term").groupBy("at").agg(F.sort_array(F.collect_list("term")).alias("kept"))
+        rows = rows.join(kept, "at", "left").withColumn(name, F.coalesce("kept", F.array().cast(TERMS))).drop("kept")
+    return rows.drop("at")
+
+
+def hashed(found: set[str]) -> list[int]:
+    return sorted({term_hash(t) for t in found})
+
+
+def joined_fingerprint(keys, whole: str) -> list[str]:
+    """As Lexicon.fingerprint, from a row's terms that are in the lexicon."""
+    keys = np.array(keys, dtype=np.int64)
+    return [*subset_hashes(keys, member(keys)), whole]
+
+
+def fingerprints(docs: DataFrame, words: Lexicon | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint), one row per row of docs. Null texts count as empty, and all texts without terms have the
+    same fingerprint; equal texts have equal fingerprints, also where ids repeat or are missing. Whole texts are read,
+    however long; an empty table has no rows; other columns are not looked at."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(words, Lexicon):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = ["".join(shared.value.fingerprint(x.as_py() or "")) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
+
+        return rows.mapInArrow(run, "doc_id long, fingerprint string")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ["".join(shared.value.fingerprint(x.as_py() or "")) for x in batch.column(1)]
+            found = [terms(x.as_py() or "") for x in batch.column(1)]
+            columns = [pa.array([hashed(f) for f in found], pa.list_(pa.int64())), pa.array([whole_hash(f) for f in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "mine", "whole"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = ["".join(joined_fingerprint(k, w)) for k, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    rows = joined(rows.mapInArrow(split, f"doc_id long, mine {TERMS}, whole string"), words, ["mine"])
+    return rows.select("doc_id", "mine", "whole").mapInArrow(finish, "doc_id long, fingerprint string")
+
 
+FIRST = -(1 << 63)  # the place of rows without id: before all others
 
-def dealt(docs: DataFrame, per_bucket: int = 1000, most: int = 2000) -> DataFrame:
-    """(bucket int, guest boolean, doc_id, text): docs dealt to buckets that are ranges of doc_id, each with a copy of
-    the first row of the bucket after it (of the first bucket, after the last) as a guest.
 
-    Texts move once. Only the bounds of the buckets, at most `most`, come to the driver.
+def dealt(docs: DataFrame, per_bucket: int = 1000, most: int = 200_000) -> DataFrame:
+    """(bucket int, guest boolean, doc_id, h, text): docs dealt to buckets that are ranges of (doc_id, h), where h is a hash of
+    the text, each with a copy of the first row of the bucket after it (of the first bucket, after the last) as a guest.
+
+    Texts move once. The bounds of the buckets come from a sample of ids and hashes, some twenty a bucket; only these
+    come to the driver. Rows that repeat an id are split by their texts. A bucket of more rows than memory holds is
+    sorted on disk.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    ids = rows.select("doc_id")
-    n = ids.count()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    place = F.coalesce("doc_id", F.lit(FIRST))
+    n = docs.count()
     buckets = max(1, min(most, n // per_bucket))
-    cuts = []
+    cuts: list[tuple[int, int]] = []
     if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 20 * buckets)).first()[0] or ()))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).cast("int")
-    placed = rows.select(bucket.alias("bucket"), F.lit(False).alias("guest"), "doc_id", "text")
-    # the order of rows with equal ids (or none) is that of their texts' hashes
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
-    first = sorted(
-        placed.groupBy("bucket").agg(F.min(key).alias("k")).select("bucket", "k.doc_id", "k.h").collect(), key=lambda r: r["bucket"]
-    )
-    before = [(first[i - 1]["bucket"], r["doc_id"], r["h"]) for i, r in enumerate(first)]
-    if not before:
+        every = max(1, n // (20 * buckets))
+        seen = rows.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(every)) == 0).select(place.alias("k"), "h").toArrow()
+        seen = sorted(set(zip(seen.column("k").to_pylist(), seen.column("h").to_pylist())))
+        cuts = seen[20::20] if every > 1 else seen[per_bucket::per_bucket]
+    keys, hashes = (np.array(x, dtype=np.int64) for x in (zip(*cuts) if cuts else ((), ())))
+
+    @F.pandas_udf("int")
+    def bucket_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(keys, k.to_numpy(), side) for side in ("left", "right"))
+        for i in np.nonzero(high > low)[0]:  # ids that are a bound: the hash decides
+            low[i] += np.searchsorted(hashes[low[i] : high[i]], h.iat[i], "right")
+        return pd.Series(low.astype(np.int32))
+
+    bucket = bucket_of(place, "h") if cuts else F.lit(0)
+    placed = rows.select(bucket.alias("bucket"), F.lit(False).alias("guest"), "doc_id", "h", "text")
+    least = rows.agg(F.min(place)).first()[0]
+    if least is None:
         return placed
-    guests = docs.sparkSession.createDataFrame(before, "to int, id long, h long")
-    met = rows.join(F.broadcast(guests), rows.doc_id.eqNullSafe(guests.id) & (F.xxhash64("text") == guests.h))
-    copies = met.select(F.col("to").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
-    return placed.unionByName(copies.dropDuplicates(["bucket"]))
+    # the bounds are rows themselves, the first ones of their buckets; that of the first bucket has the least id
+    before = [(i, k, h) for i, (k, h) in enumerate(cuts)] + [(len(cuts), least, None)]
+    guests = docs.sparkSession.createDataFrame(before, "to int, k long, of long")
+    met = rows.join(F.broadcast(guests), (place == F.col("k")) & F.coalesce(F.col("of") == F.col("h"), F.lit(True)))
+    first = met.groupBy("to").agg(F.min(F.struct("h", "doc_id", "text")).alias("x"))
+    copies = first.select(F.col("to").alias("bucket"), F.lit(True).alias("guest"), "x.doc_id", "x.h", "x.text")
+    return placed.unionByName(copies)
 
 
 def edited(text: str, following: str) -> str:
@@ -179,44 +253,76 @@ def edited(text: str, following: str) -> str:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """RESULT for every row of docs, from it and the row after it by doc_id (rows without id come first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
+    """(doc_id, text, the following row's text) of the rows of dealt, sorted."""
+    held = None
+    for batch in batches:
+        columns = [batch.column(i) for i in range(4)]
+        for i in range(batch.num_rows):
+            bucket, guest, doc_id, text = (c[i].as_py() for c in columns)
+            if guest and held is None:
+                continue  # the bucket's rows are done
+            if held is not None:
+                yield held[0], held[1], text
+            held = None if guest else (doc_id, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = shared.value, None
-        out: list[tuple] = []
-        for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for i in range(batch.num_rows):
-                bucket, guest, doc_id, text = (c[i].as_py() for c in columns)
-                if guest and held is None:
-                    continue  # the bucket's rows are done
-                print_ = words.fingerprint(text)
-                if held is not None:
-                    old_id, old_text, old_print = held
-                    changed = edited(old_text, text)
-                    other = words.fingerprint(changed)
-                    out.append(
-                        (
-                            old_id,
-                            len(old_text),
-                            hashlib.sha256(changed.encode()).hexdigest(),
-                            "".join(old_print),
-                            "".join(other),
-                            likeness(old_print, other),
-                            likeness(old_print, print_),
-                        )
-                    )
-                held = None if guest else (doc_id, text, print_)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-                out = []
-
-    names = [f.split()[0] for f in RESULT.split(", ")]
-    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-    rows = dealt(docs).repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(run, RESULT)
+
+def rows_of(found: Iterator[tuple], schema: str, size: int = 200) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), TERMS: pa.list_(pa.int64())}
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    while some := list(itertools.islice(found, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*some), types)], list(names))
+
+
+def compare(docs: DataFrame, words: Lexicon | DataFrame) -> DataFrame:
+    """RESULT for every row of docs, from it and the row after it by doc_id (rows without id come first, rows that share an
+    id go by the hashes of their texts; the first row follows the last).
+
+    Null texts count as empty. Rows that repeat stay, each beside the next. Whole texts are read, however long; a single
+    row is its own next; an empty table has no rows; other columns are not looked at.
+    """
+    rows = dealt(docs).repartition("bucket").sortWithinPartitions("bucket", "guest", F.coalesce("doc_id", F.lit(FIRST)), "h")
+    rows = rows.select("bucket", "guest", "doc_id", "text")
+    if isinstance(words, Lexicon):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found() -> Iterator[tuple]:
+                words, last = shared.value, (None, None)
+                for doc_id, text, following in pairs(batches):
+                    mine = last[1] if last[0] is text else words.fingerprint(text)
+                    changed = edited(text, following)
+                    other, last = words.fingerprint(changed), (following, words.fingerprint(following))
+                    sha = hashlib.sha256(changed.encode()).hexdigest()
+                    yield doc_id, len(text), sha, "".join(mine), "".join(other), likeness(mine, other), likeness(mine, last[1])
+
+            return rows_of(found(), RESULT)
+
+        return rows.mapInArrow(run, RESULT)
+
+    sets = [f"{x} {TERMS}, {x}_whole string" for x in ("mine", "other", "following")]
+    first = ", ".join(["doc_id long, n_chars long, edited_sha256 string", *sets])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for doc_id, text, following in pairs(batches):
+                changed = edited(text, following)
+                three = [terms(x) for x in (text, changed, following)]
+                yield doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), *(x for t in three for x in (hashed(t), whole_hash(t)))
+
+        return rows_of(found(), first)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                for doc_id, n, sha, *x in zip(*(c.to_pylist() for c in batch.columns)):
+                    mine, other, following = (joined_fingerprint(*x[i : i + 2]) for i in (0, 2, 4))
+                    yield doc_id, n, sha, "".join(mine), "".join(other), likeness(mine, other), likeness(mine, following)
+
+        return rows_of(found(), RESULT)
+
+    restricted = joined(rows.mapInArrow(split, first), words, ["mine", "other", "following"])
+    return restricted.select(*[f.split()[0] for f in first.split(", ")]).mapInArrow(finish, RESULT)
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
