@@ -29,6 +29,67 @@ def test_heading_of_the_article_stays():
     assert "More, here" not in html.main_text(page)
 
 
+LONG = "<p>Long, text, with, commas, and more of it, on one thing.</p>" * 8
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ('<h2 id="discussion">Discussion</h2>', "Discussion"),
+        ('<section id="discussion"><h2>Discussion</h2><p>We found little.</p></section>', "We found little."),
+        ('<div class="related-work"><p>Others did much.</p></div>', "Others did much."),
+        ('<ol class="references"><li><a href="/1">Doe 2001</a></li><li><a href="/2">Roe 2002</a></li></ol>', "Doe 2001"),
+        ('<ul><li><a href="/1">Source one</a></li></ul>', "Source one"),
+        ('<figure><figcaption><label>Figure 1</label> A tide.</figcaption></figure>', "Figure 1 A tide."),
+        ('<div class="share-price"><p>Shares fell.</p></div>', "Shares fell."),
+        ('<div><div><div><div><div><div><div><p>Very deep text.</p></div></div></div></div></div></div></div>', "Very deep text."),
+        ("<blockquote>Short, quoted.</blockquote>", "Short, quoted."),
+        ("<table><tr><td>One</td><td>1</td></tr></table>", "One"),
+    ],
+)
+@pytest.mark.parametrize("page", ["<main><article>{}{}</article></main>", "<body><nav>Home</nav><div><article><div>{}{}</div></article></div></body>"])
+def test_parts_of_an_article_stay(page, part, text):
+    assert text in html.main_text(page.format(LONG, part)).split("\n")
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="comments"><p>Nice, post, this, is, really.</p></div>',
+        '<section id="discussion"><div class="comment"><p>Nice, post, this.</p></div></section>',
+        '<section id="replies"><p>Say, something, nice.</p><form><input></form></section>',
+        '<div class="related-posts"><p>Nice, post, this.</p></div>',
+        '<div class="ad-slot"><p>Buy, nice, things.</p></div>',
+        '<div class="newsletter signup"><p>A nice, letter.</p></div>',
+        '<ul class="menu"><li><a href="/">Nice</a></li></ul>',
+        '<ul role="navigation"><li><a href="/">Nice</a></li></ul>',
+        '<div class="cookie-notice">Nice cookies.</div>',
+        "<aside>Nice side.</aside>",
+        '<p hidden>Nice.</p>',
+    ],
+)
+def test_surroundings_within_an_article_go(part):
+    assert html.main_text(f"<article>{LONG}{part}</article>") == html.main_text(f"<article>{LONG}</article>") != ""
+
+
+def test_siblings_of_a_container_stay():
+    page = f"<body><ul><li><a href=/>Menu</a></ul><h1>Head</h1><div class='story'>{LONG}</div><blockquote>Short quote.</blockquote><table><tr><td>Cell</table><h2>Sources</h2><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div class=footer>Imprint</div></body>"
+    found = html.main_text(page).split("\n")
+    assert [found[0], *found[9:]] == ["Head", "Short quote.", "Cell", "Sources"]
+    # a heading or a colon introduces a list of links as part of the text
+    page = f"<body><ul><li><a href='/'>Menu</a></ul><div class='story'>{LONG}<h2>Sources</h2><ul><li><a href='/a'>One</a></ul><ul><li><a href='/b'>Two</a></ul></div></body>"
+    assert html.main_text(page).split("\n")[8:] == ["Sources", "One"]
+
+
+def test_both_articles_of_a_page_stay():
+    found = html.main_text(f"<main><article><h2>First</h2>{LONG}</article><article><h2>Second</h2>{LONG}</article><article><a href=/>More</a></article></main>")
+    assert "First" in found and "Second" in found and "More" not in found
+
+
+def test_nested_names_are_linear():
+    html.main_text("<article>" + '<div class="discussion">' * 30_000 + "x</article>")
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</p></div>", "<!-- open", "<script>never closed", "<nav><a>only menus</a></nav>"])
 def test_nothing_to_extract(page):
     assert html.main_text(page) in ("", "<", "<p")

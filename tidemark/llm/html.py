@@ -16,6 +16,7 @@ from tidemark.llm.common import read
 OPEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 OPEN_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+BARE_END = re.compile(r"""=\s*[^\s"'>]*/$""")  # the slash is part of a value without quotes
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed sets of HTML names.
@@ -29,7 +30,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 STOPS = frozenset("ul ol dl table menu dir select".split())
 NEVER_TEXT = frozenset(
     "head script style title textarea noscript iframe xmp noembed noframes template nav footer aside form button select option "
-    "object embed svg canvas dialog menu audio video map input label fieldset".split()
+    "object embed svg canvas dialog menu audio video map input".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -43,15 +44,25 @@ AROUND = frozenset(
 COMMENT = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ITSELF = frozenset("article content main post entry story body text page".split())
 WITH = frozenset("has with no without layout".split())
+# Words that an article uses of itself too: within one, only their content tells what they mark.
+UNSURE = frozenset("discussion reply replies respond disclaimer copyright side notice notices alert alerts".split())
+# Words that say nothing more where they stand beside a word of AROUND or COMMENT.
+PLAIN = frozenset(
+    "area bar block blocks box button buttons container count form group icons inner item items js left link links list news outer "
+    "panel post posts articles stories right section sections site slot thread top bottom unit wrap wrapper area".split()
+)
+#: Elements beside a container that belong to its text unless they are mostly links.
+BESIDE = frozenset("blockquote pre table figure ul ol dl".split())
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "own")
+    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "own", "readers")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked, self.own = 0.0, 0, 0, ""
+        self.readers: bool | None = None
 
 
 def parse(page: str) -> Node:
@@ -111,7 +122,7 @@ def parse(page: str) -> Node:
             close = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             end = page.find(">", close.end()) if close else -1
             at = n if end < 0 else end + 1
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and (not m[3].endswith("/") or BARE_END.search(m[3])):
             stack.append(node)
             count[tag] += 1
         elif tag not in VOID and tag in BLOCK:  # <div/> opens an element in HTML
@@ -120,12 +131,42 @@ def parse(page: str) -> Node:
     return root
 
 
-def unwanted(node: Node) -> bool:
-    """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and hidden parts."""
+def _named(value: str) -> set[str]:
+    return {p.lower() for p in PART.findall(value)}
+
+
+def _of_readers(node: Node) -> bool:
+    """A reader's comment, or what takes one."""
+    if node.tag in ("form", "textarea", "button", "input"):
+        return True
+    values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
+    return bool(_named(f"{values.get('class', '')} {values.get('itemprop', '')} {values.get('itemtype', '')}") & {"comment", "comments", "commentlist"})
+
+
+def _holds_readers(node: Node) -> bool:
+    """Whether an element below node is of readers; kept for each element, as their names may be nested."""
+    if node.readers is None:
+        below, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            below.append(x)
+            todo += [c for c in x.children if isinstance(c, Node) and c.readers is None]
+        for x in reversed(below):
+            x.readers = any(isinstance(c, Node) and (c.readers or _of_readers(c)) for c in x.children)
+    return node.readers
+
+
+def unwanted(node: Node, inside: bool = False) -> bool:
+    """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and hidden parts.
+
+    inside: whether the node is within an article. There a class or id marks what is around it only if one of its names
+    says nothing else ("related-posts", not "related-work"), and unsure names ("discussion") only where comments or
+    forms are in the element; headings are the article's.
+    """
     tag = node.tag
-    if tag in NEVER_TEXT:
+    if tag in NEVER_TEXT or tag == "fieldset" and not inside:
         return True
-    if tag == "header" and not _within(node, ("article", "main")):
+    if tag == "header" and not inside:
         return True
     if not node.attributes or tag in ("html", "body", "main"):
         return False
@@ -134,7 +175,17 @@ def unwanted(node: Node) -> bool:
         return True
     if "display:none" in values.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|/|$)", node.attributes, re.I):
         return True
-    words = {p.lower() for p in PART.findall(f"{values.get('class', '')} {values.get('id', '')}")}
+    names = f"{values.get('class', '')} {values.get('id', '')}"
+    words = _named(names)
+    if inside:
+        if tag in HEADINGS or tag == "header":
+            return bool(words & {"ad", "ads", "advert"})
+        for name in names.split():
+            parts = _named(name)
+            marks = parts & (AROUND | COMMENT)
+            if marks and parts <= marks | PLAIN and (marks - UNSURE or _holds_readers(node)):
+                return True
+        return False
     if words & COMMENT:
         return True
     if tag == "article" or words & WITH:
@@ -145,24 +196,16 @@ def unwanted(node: Node) -> bool:
     return bool(around)
 
 
-def _within(node: Node, tags: tuple[str, ...]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
-
-
-def _walk(node: Node) -> Iterator[Node]:
+def _walk(node: Node, inside: bool = False) -> Iterator[Node]:
     """All wanted nodes below (and with) node in page order, without recursion; unwanted parts are cut out."""
-    todo = [node]
+    todo = [(node, inside)]
     while todo:
-        x = todo.pop()
+        x, within = todo.pop()
         yield x
         if any(isinstance(c, Node) for c in x.children):
-            x.children = [c for c in x.children if isinstance(c, str) or not unwanted(c)]
-            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+            within = within or x.tag in ("article", "main")
+            x.children = [c for c in x.children if isinstance(c, str) or not unwanted(c, within)]
+            todo += [(c, within) for c in reversed(x.children) if isinstance(c, Node)]
 
 
 def blocks(node: Node) -> list[str]:
@@ -209,31 +252,59 @@ def best_container(root: Node) -> Node | None:
                 if c.tag not in BLOCK:
                     own.append(c.own)
         x.own = "".join(own) if x.tag not in ("a", "#root") else ""
-    scored: dict[int, Node] = {}
-    for x in nodes:
-        text = x.own.strip()
-        if x.tag not in BLOCK or x.tag in HEADINGS or not text or x.parent is None:
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - min(1.0, x.linked / max(x.chars, 1)))
-        up, level = (x, 0) if x.tag in ("div", "section", "article", "main", "td", "body") else (x.parent, 0)
-        while up is not None and up.tag != "#root" and level < 5:
-            if id(up) not in scored:
-                scored[id(up)] = up
-                up.score = {"article": 12.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}.get(up.tag, 0.0)
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    for x in scored.values():
-        x.score *= 1 - min(1.0, x.linked / max(x.chars, 1))
-    return max(scored.values(), key=lambda x: x.score, default=None)
+    # points: of a paragraph. given: what its children's paragraphs give to x. handed: what x passes on from further below
+    given: dict[int, list] = {}  # by node: the node, points of children, points from deeper levels
+    for x in reversed(nodes):
+        text, up = x.own.strip(), x.parent
+        points = 0.0
+        if x.tag in BLOCK and x.tag not in HEADINGS and text and up is not None:
+            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - min(1.0, x.linked / max(x.chars, 1)))
+            if x.tag in HOLDERS:  # its own text makes it a container
+                held = given.setdefault(id(x), [x, 0.0, 0.0])
+                held[1] += points
+                points = 0.0
+        held = given.get(id(x))
+        if up is not None and up.tag != "#root" and (points or held):
+            to = given.setdefault(id(up), [up, 0.0, 0.0])
+            to[1] += points
+            if held:
+                to[2] += held[1] / 2 + held[2] / 3
+    for x, near, far in given.values():
+        x.score = (BONUS.get(x.tag, 0.0) + near + far) * (1 - min(1.0, x.linked / max(x.chars, 1)))
+    return max((x for x in nodes if id(x) in given), key=lambda x: x.score, default=None)
+
+
+#: Elements whose own text counts for themselves, and points that an element has from the start.
+HOLDERS = frozenset("div section article main td body".split())
+BONUS = {"article": 12.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
+
+
+def _menus(kept: list[Node]) -> None:
+    """Cuts out lists that are nothing but links, where no article or main element vouches for them: those before the
+    first running text, and later ones that neither a heading nor a line with a colon introduces."""
+    begun, introduced = False, False
+    for x in kept:
+        for y in _walk(x):
+            children = []
+            for c in y.children:
+                if isinstance(c, Node):
+                    if c.tag in ("ul", "ol") and c.chars and c.linked >= 0.8 * c.chars and not (begun and introduced):
+                        continue
+                    if c.tag in BLOCK and c.chars:
+                        introduced = c.tag in HEADINGS or c.own.strip().endswith(":")
+                        begun = begun or c.tag not in HEADINGS and c.linked < 0.5 * c.chars
+                children.append(c)
+            y.children = children
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the best container and of siblings like it, in page order, one a line; empty if there are none.
 
     A paragraph's points (one, one for each comma, up to three for its length, less its share of linked text) go to its
-    parent, half of them to the grandparent and less above. A container's sum is discounted by its own share of
-    linked text. Beside a container that is no article or main element, siblings stay that have a fifth of its
-    points or are paragraphs of running text.
+    parent, half of them to the grandparent, a sixth to the next and a third of that to each further one. A container's
+    sum is discounted by its own share of linked text. Beside the best container, siblings stay that have a fifth of its
+    points (beside an article, only other articles), headings, paragraphs of running text, quotations, tables and lists
+    that aren't mostly links.
     """
     root = parse(page or "")
     best = best_container(root)
@@ -248,7 +319,7 @@ def main_text(page: str | None) -> str:
     if around is not None and around.linked < 0.5 * max(around.chars, 1):
         best = around
     kept = [best]
-    if best.tag not in ("article", "main", "body") and best.parent is not None:
+    if best.tag not in ("main", "body") and best.parent is not None:
         bar = max(10.0, best.score / 5)
         kept = []
         for x in best.parent.children:
@@ -256,24 +327,26 @@ def main_text(page: str | None) -> str:
                 continue
             dense = x.linked / max(x.chars, 1)
             text = x.own.strip()
-            if x is best or x.score >= bar or x.tag == "p" and dense < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")) and not dense):
+            if x is best:
                 kept.append(x)
-            elif x.tag in HEADINGS:
+            elif best.tag == "article":
+                if x.tag == "article" and x.score >= bar and dense < 0.25:
+                    kept.append(x)
+            elif x.score >= bar or x.tag == "p" and dense < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")) and not dense):
                 kept.append(x)
-    for x in kept:
-        for y in _walk(x):  # lists that are nothing but links are menus
-            y.children = [
-                c for c in y.children
-                if isinstance(c, str) or c.tag not in ("ul", "ol") or c.linked < 0.8 * max(c.chars, 1) or c.chars > 400
-            ]
+            elif x.tag in HEADINGS or x.tag in BESIDE and dense < 0.25 and x.chars:
+                kept.append(x)
+    if best.tag not in ("article", "main"):
+        _menus(kept)
     return "\n".join(b for x in kept for b in blocks(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of pages.
 
-    Null or empty html gives an empty text. Whole pages are read; nested, broken or very long markup and repeated rows
-    are no special case. Other columns are not looked at.
+    Null or empty html gives an empty text. Of containers with equal points the first in the page is the best. Whole
+    pages are read; nested, broken or very long markup is no special case. Rows that repeat or have no page_id stay, each
+    with its page's text; an empty table has no rows. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
