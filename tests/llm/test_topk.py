@@ -33,3 +33,18 @@ def test_odd_rows(spark):
     found = [tuple(r) for r in top_k(df, 5).orderBy("query_id", "rank").collect()]
     assert found == [(0, 1, 1, 81920), (0, 2, 1, 81920), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 1, 0)]
     assert top_k(df.limit(0)).isEmpty()
+
+
+def test_several_vectors_of_an_id(spark):
+    """Each distinct vector of an id is a query of its own."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in top_k(df, 2).collect())
+    assert found == [(50, 1, 1, 65536), (50, 1, 2, 131072), (50, 2, 1, 0), (50, 2, 2, 0)]
+
+
+@pytest.mark.parametrize("top", [3, 200, 40_000, 2**33])
+def test_packed_blocks_open_to_the_same(top):
+    columns = np.array([[0.0, -top], [top, 1.0]])
+    kind, raw = topk.packed(columns)
+    assert (topk.opened(kind, raw, 2, 2) == columns).all() and kind == {3: "<i1", 200: "<i2", 40_000: "<i4", 2**33: "<f8"}[top]

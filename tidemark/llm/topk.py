@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,13 @@ EXACT = float(1 << 53)
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
+def packed(columns: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers in the smallest type that holds them all (i1 to i4, else doubles), and the type's name."""
+    top = np.abs(columns).max(initial=0)
+    kind = next((f"<i{n}" for n in (1, 2, 4) if top < 1 << (8 * n - 1)), "<f8")
+    return kind, np.ascontiguousarray(columns).astype(kind).tobytes()
+
+
 def _blocks(size: int, scale: int, only: int):
     """Packs vectors to blocks of one dimension in vertical layout: all first components, then all second ones ..."""
 
@@ -26,11 +34,11 @@ def _blocks(size: int, scale: int, only: int):
 
         def block(dim: int) -> pa.RecordBatch:
             ids, rows = held.pop(dim)
-            columns = np.floor(np.array(rows, dtype=np.float64).reshape(len(ids), dim) * scale).T
+            kind, columns = packed(np.floor(np.array(rows, dtype=np.float64).reshape(len(ids), dim) * scale).T)
             ids = np.array(ids, dtype="<i8")
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([int(ids.min())], pa.int64()), pa.array([ids.tobytes()]), pa.array([np.ascontiguousarray(columns).tobytes()])],
-                ["dim", "first", "ids", "columns"],
+                [pa.array([dim], pa.int32()), pa.array([int(ids.min())], pa.int64()), pa.array([kind]), pa.array([ids.tobytes()]), pa.array([columns])],
+                ["dim", "first", "kind", "ids", "columns"],
             )
 
         for batch in batches:
@@ -50,7 +58,11 @@ def _blocks(size: int, scale: int, only: int):
     return run
 
 
-BLOCK = "dim int, first long, ids binary, columns binary"
+BLOCK = "dim int, first long, kind string, ids binary, columns binary"
+
+
+def opened(kind: str, raw: bytes, dim: int, n: int) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(dim, n).astype(np.float64)
 
 
 def search(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int, least: np.ndarray):
@@ -103,48 +115,60 @@ def _pairs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # the bars of the last few query blocks seen by this task
         for batch in batches:
-            for dim, q_raw, q_cols, c_raw, c_cols in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, q_kind, q_raw, q_cols, c_kind, c_raw, c_cols in zip(*(c.to_pylist() for c in batch.columns)):
                 q_ids, c_ids = np.frombuffer(q_raw, "<i8"), np.frombuffer(c_raw, "<i8")
-                q = np.frombuffer(q_cols, "<f8").reshape(dim, len(q_ids))
-                c = np.frombuffer(c_cols, "<f8").reshape(dim, len(c_ids))
+                q, c = opened(q_kind, q_cols, dim, len(q_ids)), opened(c_kind, c_cols, dim, len(c_ids))
                 if len(known) > 64:
                     known.clear()
-                least = known.setdefault(q_raw, np.full(len(q_ids), -np.inf))
+                # a block's ids and columns, as an id may have several vectors
+                least = known.setdefault(q_raw + q_cols, np.full(len(q_ids), -np.inf))
+                marks = [xxhash.xxh64_intdigest(np.ascontiguousarray(q[:, i]).tobytes()) >> 1 for i in range(q.shape[1])]
                 found = search(q, c, q_ids, c_ids, k, least)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(q_ids[i]) for i, *_ in found], pa.int64()),
+                        pa.array([marks[i] for i, *_ in found], pa.int64()),
                         pa.array([int(c_ids[j]) for _, j, _ in found], pa.int64()),
                         pa.array([s for *_, s in found], pa.int64()),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["query_id", "mark", "vec_id", "score"],
                 )
 
     return run
 
 
+#: Candidate blocks of a group: at least as many as leave each of the cluster's cores some groups, at most as many as a task
+#: reads in good time. Each query block is copied once for every group, so larger groups move less.
+GROUP, TASKS = 64, 4
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query, ties to the smaller vec_id.
 
     Components become floor(scale * x). Queries are the vectors whose vec_id `every` divides, candidates all others
     than the query's own id. Vectors that are null or hold null or non-finite components, and rows without id, take no
-    part; vectors of different lengths aren't compared. Rows that repeat an id are candidates each (and queries once
-    per distinct vector); fewer than k candidates give fewer rows. Products beyond 64 bits count as the largest long.
+    part; vectors of different lengths aren't compared; an empty vector has score 0 with every other. Rows that repeat an
+    id are candidates each; an id with several distinct vectors is a query with each of them, each with ranks from 1.
+    Fewer than k candidates give fewer rows, an empty table none. Products beyond 64 bits count as the largest long.
+    Other columns are not looked at.
 
     Vectors are packed to blocks in vertical layout. Each block of queries meets each block of candidates once, as the
     query set is stated against all rows: query blocks are repeated for every group of candidate blocks and joined by
-    the group's number, so tasks hold one pair of blocks at a time whatever the size of the table.
+    the group's number, so a task holds one pair of blocks at a time whatever the size of the table.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     candidates = checkpointed(rows.mapInArrow(_blocks(CANDIDATES, scale, 0), BLOCK))
     queries = checkpointed(rows.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(_blocks(QUERIES, scale, every), BLOCK))
-    n = candidates.count()
-    groups = max(1, n // 2)
-    left = candidates.select("dim", F.pmod(F.xxhash64("dim", "first", "ids"), F.lit(groups)).alias("g"), F.col("ids").alias("c_ids"), F.col("columns").alias("c"))
-    right = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("ids").alias("q_ids"), F.col("columns").alias("q"))
-    met = right.join(left, ["dim", "g"]).select("dim", "q_ids", "q", "c_ids", "c")
-    found = met.mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n, cores = candidates.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(n // 2, max(n // GROUP, TASKS * cores)))
+    group = F.pmod(F.xxhash64("dim", "first", "ids", "columns"), F.lit(groups))
+    left = candidates.select("dim", group.alias("g"), *[F.col(c).alias(f"c_{c}") for c in ("kind", "ids", "columns")])
+    right = queries.select(
+        "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *[F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "columns")]
+    )
+    met = right.join(left, ["dim", "g"]).select("dim", "q_kind", "q_ids", "q_columns", "c_kind", "c_ids", "c_columns")
+    found = met.mapInArrow(_pairs(k), "query_id long, mark long, vec_id long, score long")
+    by_score = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
