@@ -146,5 +146,18 @@ def test_versions_are_published_by_pointer(spark, tmp_path):
 
 def test_zscore_needs_two_days_before(spark):
     df = spark.createDataFrame([(date(2024, 1, d), n) for d, n in ((1, 10), (2, 12), (3, 20))], "day date, n long")
-    found = [r["z"] for r in df.select("day", rolling_zscore(df, "day", "n").alias("z")).orderBy("day").collect()]
+    found = [r["z"] for r in df.select("day", rolling_zscore("day", "n").alias("z")).orderBy("day").collect()]
     assert found[:2] == [None, None] and found[2] == pytest.approx((20 - 11) / 2**0.5)
+
+
+def test_zscore_of_large_volumes(spark):
+    """A thousand million rows a day overflow nothing, and the spread isn't lost beside the mean."""
+    df = spark.createDataFrame([(date(2024, 1, d), 1_000_000_000 + d) for d in range(1, 20)], "day date, n long")
+    found = [r["z"] for r in df.select("day", rolling_zscore("day", "n").alias("z")).orderBy("day").collect()]
+    assert found[:2] == [None, None]
+    for k in range(2, 19):
+        before = list(range(1, k + 1))
+        mean = sum(before) / k
+        assert found[k] == pytest.approx((k + 1 - mean) / (sum((x - mean) ** 2 for x in before) / (k - 1)) ** 0.5, rel=1e-6)
+    flat = spark.createDataFrame([(date(2024, 1, d), 7) for d in range(1, 6)], "day date, n long")
+    assert [r["z"] for r in flat.select(rolling_zscore("day", "n").alias("z")).collect()] == [None] * 5

@@ -39,13 +39,9 @@ def surrogate_key(*parts: Column) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Half away from zero on the scaled double.
-
-    What is less than a millionth of the last digit below a half counts as one: sums of doubles depend on the order of
-    additions in their last bits, and the result shouldn't. There is no negative zero.
-    """
-    x, scale = x.cast("double"), float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.500001) / scale + F.lit(0.0)
+    """Half away from zero, of the value to twelve digits: the noise of binary fractions and of the order of additions lies
+    below these and decides no tie. There is no negative zero."""
+    return F.round(x.cast("decimal(38,12)"), digits).cast("double")
 
 
 def ratio(a: Column, b: Column) -> Column:

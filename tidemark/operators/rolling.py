@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def rolling_zscore(daily: DataFrame, day: str, value: str, days: int = 28) -> Column:
-    """How far a row's value is from the mean of the rows before it, in their standard deviations.
+def rolling_zscore(day: str, value: str, days: int = 28) -> Column:
+    """How far a row's value is from the mean of the rows before it, in their sample standard deviations; null where these
+    are 0 or fewer than two rows come before.
 
-    Computed from exact whole-number sums, so the last bits don't depend on the order of additions. A daily series has
-    one row a day, so the window's one partition stays small whatever the size of the feed.
+    A daily series has one row a day, so the window's one partition stays small whatever the size of the feed.
     """
-    w = Window.orderBy(day).rowsBetween(-days, -1)
-    n = F.col(value).cast("double")
-    count, total = F.count(value).over(w).cast("double"), F.sum(value).over(w).cast("double")
-    squares = F.sum(F.col(value) * F.col(value)).over(w).cast("double")
-    mean = F.try_divide(total, count)
-    variance = F.try_divide(squares - total * mean, count - 1)
-    return F.try_divide(n - mean, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    before = Window.orderBy(day).rowsBetween(-days, -1)
+    number = F.col(value).cast("double")
+    return F.try_divide(number - F.avg(number).over(before), F.stddev_samp(number).over(before))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hours_between, long, surrogate_key
@@ -13,18 +13,24 @@ FOREVER = "9999-12-31 00:00:00"
 def keep_one(df: DataFrame, keys: list[str], order: list[Column], copies: str | None = None) -> DataFrame:
     """The first row of each key by `order`; with `copies`, a column of that name has how many rows the key had.
 
-    Without copies Spark limits each key to one row before the shuffle (WindowGroupLimit).
+    Without copies Spark limits each key to one row before the shuffle (WindowGroupLimit). The count goes by the same sort
+    as the rank.
     """
-    w = Window.partitionBy(*keys)
+    w = Window.partitionBy(*keys).orderBy(*order)
     if copies:
-        df = df.withColumn(copies, F.count("*").over(w))
-    return df.withColumn("_rank", F.row_number().over(w.orderBy(*order))).filter("_rank = 1").drop("_rank")
+        df = df.withColumn(copies, F.count("*").over(_whole(w)))
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
+def _whole(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def latest_version(versions: DataFrame, key: str = "order_id") -> DataFrame:
     """The row of each key with the latest event time (then the furthest status), with version_count, last_loaded_at
-    and had_late_arrival over all of the key's versions. When rows arrived doesn't matter."""
-    every = Window.partitionBy(key)
+    and had_late_arrival over all of the key's versions. When rows arrived doesn't matter. One sort serves all windows."""
+    order = [F.desc("updated_at"), F.desc("status_precedence")]
+    every = _whole(Window.partitionBy(key).orderBy(*order))
     counted = versions.withColumns(
         {
             "version_count": F.count("*").over(every),
@@ -32,7 +38,7 @@ def latest_version(versions: DataFrame, key: str = "order_id") -> DataFrame:
             "had_late_arrival": F.bool_or("is_late_arrival").over(every),
         }
     )
-    return keep_one(counted, [key], [F.desc("updated_at"), F.desc("status_precedence")])
+    return keep_one(counted, [key], order)
 
 
 def status_history(versions: DataFrame) -> DataFrame:

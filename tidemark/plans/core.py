@@ -26,6 +26,7 @@ def fct_orders(lifecycle: DataFrame, items: DataFrame, payments: DataFrame) -> D
 
 def dim_geography(states: DataFrame) -> DataFrame:
     tier = F.col("remoteness_tier")
+    # The labels of the tiers
     label = F.when(tier == 1, "Metro / well connected").when(tier == 2, "Standard").otherwise("Remote")
     return states.select("state", "state_code", "region", "remoteness_tier", label.alias("remoteness_label"))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import rounded, share
-from tidemark.plans.marts import on_time
+from tidemark.functions.columns import ratio, rounded, share
+from tidemark.plans.marts import on_time, overall
 
 
 @dataclass(frozen=True)
@@ -22,12 +22,15 @@ class Filters:
     payment: str = "All"
 
     def apply(self, fact: DataFrame) -> DataFrame:
+        return fact.filter(self.condition())
+
+    def condition(self) -> Column:
         keep = F.col("order_date").between(F.lit(self.first), F.lit(self.last)) & F.col("customer_region").isin(*self.regions)
         if self.payment == "COD":
             keep = keep & (F.col("payment_method") == "COD")
         elif self.payment == "Prepaid":
             keep = keep & (F.col("payment_method") != "COD")
-        return fact.filter(keep)
+        return keep
 
 
 def order_date_bounds(fact: DataFrame) -> DataFrame:
@@ -50,28 +53,35 @@ def kpi_tiles(fact: DataFrame, filters: Filters) -> DataFrame:
 
 
 def weekly_trend(fact: DataFrame, filters: Filters, in_flight_days: int = 28) -> DataFrame:
-    """Weeks; the on-time rate of the last four is null, as most of their orders are still under way."""
-    newest = F.broadcast(fact.agg(F.max("order_date").alias("_newest")))
-    weeks = (
-        filters.apply(fact)
-        .groupBy(F.trunc("order_date", "week").alias("week"))
-        .agg(F.count("*").alias("orders"), on_time().alias("_rate"), rounded(F.avg("approval_hours"), 4).alias("approval_h"))
+    """Weeks; the on-time rate of the last four is null, as most of their orders are still under way.
+
+    The newest day is that of all orders, so all are grouped by week, and only those within the filters are counted.
+    """
+    keep = filters.condition()
+    rate = share(~F.col("is_late"), keep & F.col("is_delivered"))
+    weeks = fact.groupBy(F.trunc("order_date", "week").alias("week")).agg(
+        F.count_if(keep).alias("orders"), rate.alias("_rate"), F.avg(F.when(keep, F.col("approval_hours"))).alias("_hours"), F.max("order_date").alias("_last")
     )
+    # one row a week
+    weeks = weeks.withColumn("_newest", F.max("_last").over(Window.partitionBy())).filter("orders > 0")
     settled = F.col("week") <= F.date_sub("_newest", in_flight_days)
-    return weeks.join(newest).select("week", "orders", F.when(settled, rounded(F.col("_rate"), 6)).alias("on_time"), "approval_h")
+    return weeks.select("week", "orders", F.when(settled, rounded(F.col("_rate"), 6)).alias("on_time"), rounded(F.col("_hours"), 4).alias("approval_h"))
 
 
 def state_health(fact: DataFrame, filters: Filters, least_orders: int = 30) -> DataFrame:
     rows = filters.apply(fact)
     states = rows.groupBy(F.col("customer_state").alias("state")).agg(
         F.count("*").alias("orders"), F.avg("delivery_days").alias("delivery_d"), on_time().alias("rate"),
-        F.avg("approval_hours").alias("approval_h"), F.avg("processing_hours").alias("processing_h"), (F.avg("transit_days") * 24).alias("transit_h"),
+        F.count_if(F.col("is_delivered") & ~F.col("is_late")).alias("_punctual"),
+        F.count_if(F.col("is_delivered") & F.col("is_late").isNotNull()).alias("_judged"),
+        F.avg("approval_hours").alias("approval_h"), F.avg("processing_hours").alias("processing_h"),
+        (F.avg("transit_days") * 24).alias("transit_h"),
     )
-    nation = F.broadcast(rows.agg(on_time().alias("_rate")))
+    # the national rate is that of all states, small ones too
+    states = states.withColumn("_rate", ratio(overall("_punctual"), overall("_judged")))
     health = F.when(F.col("rate") < F.col("_rate") - 0.10, "critical").when(F.col("rate") < F.col("_rate") - 0.03, "at risk").otherwise("healthy")
     return (
         states.filter(F.col("orders") >= least_orders)
-        .join(nation)
         .select(
             "state", "orders", rounded(F.col("delivery_d"), 4).alias("delivery_d"), rounded(F.col("rate"), 6).alias("on_time"),
             *[rounded(F.col(c), 4).alias(c) for c in ("approval_h", "processing_h", "transit_h")], health.alias("health"),

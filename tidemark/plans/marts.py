@@ -9,12 +9,13 @@ from tidemark.functions.columns import path_date, ratio, rounded, share
 from tidemark.operators.joins import calendar_days
 from tidemark.operators.rolling import rolling_zscore
 
+
 def on_time() -> Column:
     return share(~F.col("is_late"), F.col("is_delivered"))
 
 
 def mean(column: str, digits: int = 2) -> Column:
-    return rounded(F.avg(column), digits).alias(f"avg_{column}")
+    return rounded(F.avg(F.col(column)), digits).alias(f"avg_{column}")
 
 
 def quantile(column: str, p: float) -> Column:
@@ -47,7 +48,8 @@ def fulfillment_daily(fact: DataFrame) -> DataFrame:
 
 
 def state_scorecard(fact: DataFrame) -> DataFrame:
-    """States against the national averages. The ranks run over one row per state."""
+    """States against the national averages, which come from the states' own sums: the fact is read once. Ranks and national
+    sums run over one row per state."""
     by_state = fact.groupBy(
         F.col("customer_state").alias("state"), F.col("customer_region").alias("region"), "remoteness_tier"
     ).agg(
@@ -61,22 +63,38 @@ def state_scorecard(fact: DataFrame) -> DataFrame:
         rounded(share(F.col("is_returned"), F.col("is_delivered")), 4).alias("return_rate"),
         rounded(share(F.col("is_cross_region")), 4).alias("cross_region_share"),
         total("gross_merchandise_value").alias("gmv"),
+        *parts("delivery_days"),
+        F.count_if(F.col("is_delivered") & ~F.col("is_late")).alias("_punctual"),
+        F.count_if(F.col("is_delivered") & F.col("is_late").isNotNull()).alias("_judged"),
     )
-    national = F.broadcast(fact.agg(F.avg("delivery_days").alias("_days"), on_time().alias("_rate")))
-    rate = F.col("on_time_rate")
-    return (
-        by_state.join(national)
-        .withColumns(
-            {
-                "delivery_days_vs_national": rounded(F.col("avg_delivery_days") - F.col("_days"), 2),
-                "on_time_rate_vs_national": rounded(rate - F.col("_rate"), 4),
-                "on_time_rank": F.rank().over(Window.orderBy(F.desc_nulls_last("on_time_rate"))).cast("long"),
-                "speed_rank": F.rank().over(Window.orderBy(F.asc_nulls_last("avg_delivery_days"))).cast("long"),
-                "sla_health": F.when(rate < F.col("_rate") - 0.10, "critical").when(rate < F.col("_rate") - 0.03, "at risk").otherwise("healthy"),
-            }
-        )
-        .drop("_days", "_rate")
-    )
+    rate, national = F.col("on_time_rate"), ratio(overall("_punctual"), overall("_judged"))
+    return by_state.withColumns(
+        {
+            "delivery_days_vs_national": rounded(F.col("avg_delivery_days") - overall_mean("delivery_days"), 2),
+            "on_time_rate_vs_national": rounded(rate - national, 4),
+            "on_time_rank": F.rank().over(Window.orderBy(F.desc_nulls_last("on_time_rate"))).cast("long"),
+            "speed_rank": F.rank().over(Window.orderBy(F.asc_nulls_last("avg_delivery_days"))).cast("long"),
+            "sla_health": F.when(rate < national - 0.10, "critical").when(rate < national - 0.03, "at risk").otherwise("healthy"),
+        }
+    ).drop("_punctual", "_judged", "_sum_delivery_days", "_n_delivery_days")
+
+
+def parts(column: str) -> list[Column]:
+    """The sum and the count of which group means and the overall mean are made."""
+    return [F.sum(column).alias(f"_sum_{column}"), F.count(column).alias(f"_n_{column}")]
+
+
+def overall(column: str) -> Column:
+    """The sum over all groups, of which there are few."""
+    return F.sum(column).over(Window.partitionBy())
+
+
+def overall_mean(column: str) -> Column:
+    return ratio(overall(f"_sum_{column}"), overall(f"_n_{column}"))
+
+
+def group_mean(column: str) -> Column:
+    return ratio(F.col(f"_sum_{column}"), F.col(f"_n_{column}"))
 
 
 def courier_performance(fact: DataFrame) -> DataFrame:
@@ -102,15 +120,16 @@ def courier_performance(fact: DataFrame) -> DataFrame:
 def stage_bottlenecks(fact: DataFrame) -> DataFrame:
     """Where each state loses its time; of equal excesses the earlier stage is named."""
     done = fact.filter("delivery_days is not null")
-    means = {"approval": F.avg("approval_hours"), "processing": F.avg("processing_hours"), "transit": F.avg("transit_days") * 24}
+    means = {"approval": ("approval_hours", 1), "processing": ("processing_hours", 1), "transit": ("transit_days", 24)}
     by_state = done.groupBy(F.col("customer_state").alias("state"), F.col("customer_region").alias("region")).agg(
-        F.count("*").alias("delivered_orders"), *[m.alias(s) for s, m in means.items()]
+        F.count("*").alias("delivered_orders"), *[p for c, _ in means.values() for p in parts(c)]
     )
-    national = F.broadcast(done.agg(*[m.alias(f"_{s}") for s, m in means.items()]))
+    both = [f(c) * hours for c, hours in means.values() for f in (group_mean, overall_mean)]
+    by_state = by_state.select("state", "region", "delivered_orders", *[m.alias(n) for m, n in zip(both, [n for s in means for n in (s, f"_{s}")])])
     whole = F.col("approval") + F.col("processing") + F.col("transit")
     excess = {s: F.col(s) - F.col(f"_{s}") for s in means}
     worst = F.greatest(*excess.values())
-    return by_state.join(national).select(
+    return by_state.select(
         "state",
         "region",
         "delivered_orders",
@@ -138,8 +157,8 @@ def sale_event_impact(fact: DataFrame, sales: DataFrame, baseline_days: int = 28
     inside = F.col("order_date") >= F.col("first")
     rows = fact.join(days, F.col("order_date") == F.col("calendar_day")).filter(inside | F.col("sale_event").isNull())
     parts = rows.groupBy("event", "first", "last", inside.alias("inside")).agg(
-        F.countDistinct("order_date").alias("days"), F.count("*").alias("orders"), F.avg("approval_hours").alias("approval"),
-        F.avg("delivery_days").alias("delivery"), on_time().alias("on_time"),
+        F.countDistinct("order_date").alias("days"), F.count("*").alias("orders"),
+        F.avg("approval_hours").alias("approval"), F.avg("delivery_days").alias("delivery"), on_time().alias("on_time"),
     )
     keys = ["event", "first", "last"]
     e = parts.filter("inside").drop("inside", "days")
@@ -200,5 +219,5 @@ def data_quality_daily(raw_orders: DataFrame, versions: DataFrame, fact: DataFra
         *[F.coalesce(c, none).alias(c) for c in ("duplicate_rows_dropped", "late_arriving_versions")],
         rounded(ratio(F.coalesce("late_arriving_versions", none), F.col("distinct_versions")), 4).alias("late_arrival_rate"),
         *[F.coalesce(c, none).alias(c) for c in ("max_arrival_lag_days", "timestamp_anomalies")],
-        rounded(rolling_zscore(joined, "extract_date", "raw_rows"), 2).alias("volume_zscore_28d"),
+        rounded(rolling_zscore("extract_date", "raw_rows"), 2).alias("volume_zscore_28d"),
     )

@@ -112,7 +112,7 @@ model("data_quality_daily", lambda w: w.data_quality_daily)
 @query
 def volume_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    return days.select("day", "n", rounded(rolling_zscore(days, "day", "n"), 2).alias("zscore"))
+    return days.select("day", "n", rounded(rolling_zscore("day", "n"), 2).alias("zscore"))
 
 
 # Dashboard

@@ -10,9 +10,12 @@ from tidemark.operators.versions import keep_one
 
 
 def orders_cdc(orders: DataFrame) -> DataFrame:
-    """One row per order version; of copies that were sent again the one loaded first stays."""
+    """One row per order version; of copies that were sent again the one loaded first stays.
+
+    Rows are dealt by order, which suits this step and all that follow by order: the versions move once.
+    """
     kept = keep_one(
-        orders, ["order_id", "order_status", "updated_at"], [F.col("_loaded_at"), F.col("_source_file")], copies="_copies"
+        orders.repartition("order_id"), ["order_id", "order_status", "updated_at"], [F.col("_loaded_at"), F.col("_source_file")], copies="_copies"
     )
     extracted = path_date(F.col("_source_file"))
     return kept.select(

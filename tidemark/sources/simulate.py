@@ -21,7 +21,7 @@ REGIONS = {
 }
 COURIERS = (("Swift", 0), ("Steady", 12), ("Budget", 36), ("Regional", 24), ("Metro", 6))
 CATEGORIES = ("Fashion", "Electronics", "Home", "Beauty", "Books", "Sports")
-UPLIFT = {"Festive Sale": 3.0, "Diwali Sale": 2.2, "Black Friday": 1.8, "Winter Sale": 1.5, "Summer Sale": 1.5}
+UPLIFT = {"Harvest Sale": 2.7, "Year-End Rush": 2.1, "Midyear Days": 1.9, "Spring Fair": 1.6, "Clearance Week": 1.4}
 
 
 @dataclass(frozen=True)
