@@ -1,11 +1,14 @@
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.warehouse import Warehouse
+from tidemark.operators.incremental import Versioned, delete_insert
+from tidemark.plans.warehouse import Warehouse, increment
 from tidemark.schemas import RAW
+from tidemark.session import materialised
 from tidemark.sources.loader import Loader, last_run, run_results, write_daily
 from tidemark.sources.tables import feeds
 from tidemark.streaming.ingest import ingest, order_stream
@@ -75,12 +78,25 @@ def test_run_results(spark):
 
 @pytest.mark.parametrize("split", ["1996-03-01", "1999-09-09"])
 def test_incremental_fact_equals_full_build(spark, sf_dir, split):
-    from tidemark.operators.incremental import affected, delete_insert
-
     source = feeds(spark, sf_dir)
-    until = F.lit(split).cast("timestamp_ntz")
-    early = Warehouse(type(source)(**{**vars(source), "orders": source.orders.filter(F.col("_loaded_at") <= until), "payments": source.payments.filter(F.col("_loaded_at") <= until)}))
-    full, target = Warehouse(source).fct_orders, early.fct_orders
-    keys = affected(full, target).unionByName(target.filter("is_open").select("order_id")).distinct()
-    merged = delete_insert(target, full.join(keys, "order_id", "left_semi"))
+    early = F.col("_loaded_at") <= F.lit(split).cast("timestamp_ntz")
+    target = materialised(Warehouse(replace(source, orders=source.orders.filter(early), payments=source.payments.filter(early))).fct_orders)
+    full = materialised(Warehouse(source).fct_orders)
+    rows, keys = increment(source, target)
+    merged = materialised(delete_insert(target, rows, keys))
     assert merged.exceptAll(full).isEmpty() and full.exceptAll(merged).isEmpty()
+
+
+def test_versions_are_replaced_by_partition(spark, tmp_path):
+    """An increment writes the partitions it touches and leaves the others where they are."""
+    store = Versioned(spark, str(tmp_path / "fact"), "k % 3")
+    first = spark.range(30).selectExpr("id order_id", "id k", "'old' v")
+    assert store.read() is None and store.publish(first).count() == 30
+    before = store.current()
+    rebuilt = materialised(spark.createDataFrame([(3, 3, "new"), (99, 99, "new")], "order_id long, k long, v string"))
+    keys = materialised(spark.createDataFrame([(3,), (99,), (6,)], "order_id long"))
+    now = store.replace(rebuilt, keys)
+    assert {p for p, folder in store.current().items() if folder != before[p]} == {"0"}
+    expected = [(i, i, "old") for i in range(30) if i not in (3, 6)] + [(3, 3, "new"), (99, 99, "new")]
+    assert sorted(tuple(r) for r in now.collect()) == sorted(expected)
+    assert store.vacuum() == 0 and store.publish(first.limit(3)).count() == 3 and store.vacuum() == 2 and store.read().count() == 3

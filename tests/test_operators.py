@@ -10,6 +10,7 @@ from tidemark.operators.rolling import rolling_zscore
 from tidemark.operators.versions import keep_one, latest_version, scd2, status_history
 from tidemark.plans.intermediate import orders_lifecycle
 from tidemark.schemas import FACT, ContractError, conform
+from tidemark.sources.tables import Feeds
 
 
 def ts(text):
@@ -126,13 +127,18 @@ def test_contract(spark):
 
 
 def test_delete_insert_and_affected(spark):
-    old = spark.createDataFrame([("a", 1), ("b", 1)], "order_id string, source_last_loaded_at int")
-    new = spark.createDataFrame([("b", 2), ("c", 2), ("a", 1)], "order_id string, source_last_loaded_at int")
-    keys = affected(new, old)
-    assert sorted(r[0] for r in keys.collect()) == ["b", "c"]
-    merged = delete_insert(old, new.join(keys, "order_id", "left_semi"))
+    """Affected: loaded after all that the target has seen, in either feed, and what the target has as open."""
+    schema = "order_id string, _loaded_at timestamp_ntz"
+    orders = spark.createDataFrame([("a", ts("2024-01-01")), ("b", ts("2024-01-03")), ("c", ts("2024-01-03"))], schema)
+    payments = spark.createDataFrame([("a", ts("2024-01-02")), ("e", ts("2024-01-04"))], schema)
+    none = [None] * 8
+    source = Feeds(orders, none[0], none[1], payments, *none[2:])
+    old = spark.createDataFrame([("a", ts("2024-01-02"), False), ("b", ts("2024-01-01"), False), ("d", ts("2024-01-01"), True)], "order_id string, source_last_loaded_at timestamp_ntz, is_open boolean")
+    assert sorted(r[0] for r in affected(source, old).collect()) == ["b", "c", "d", "e"]
+    assert sorted(r[0] for r in affected(source, old.limit(0)).collect()) == ["a", "b", "c", "e"]
+    values = spark.createDataFrame([("a", 1), ("b", 1)], "order_id string, v int")
+    merged = delete_insert(values, spark.createDataFrame([("b", 2), ("c", 2)], "order_id string, v int"))
     assert sorted(map(tuple, merged.collect())) == [("a", 1), ("b", 2), ("c", 2)]
-    assert affected(new, old.limit(0)).count() == 3
 
 
 def test_versions_are_published_by_pointer(spark, tmp_path):

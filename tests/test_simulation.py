@@ -1,48 +1,209 @@
-from datetime import date
+import math
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.cli import Project
-from tidemark.operators import checks
+from tidemark.plans.build import Builder, BuildError, Check, Model, schema_name, suite
 from tidemark.plans.warehouse import Warehouse
-from tidemark.sources.simulate import Plan, Simulator
+from tidemark.session import materialised
+from tidemark.sources.schedule import Daily, Sensor
+from tidemark.sources.seed_files import SEEDS, alias_table, load_seeds
+from tidemark.sources.simulate import COURIERS, REGIONS, Plan, Simulator
 
-SMALL = Plan(start=date(2024, 1, 1), end=date(2024, 1, 14), orders_per_day=12, seed=7, customers=200, products=50, sellers=10)
+SMALL = Plan(start=date(2024, 2, 1), end=date(2024, 2, 16), orders_per_day=12, seed=3, customers=150, products=40, sellers=9)
 
 
 @pytest.fixture(scope="module")
-def simulator(spark):
-    return Simulator(spark, SMALL)
-
-
-def test_same_seed_same_feeds(spark, simulator):
-    again = Simulator(spark, SMALL)
-    assert simulator.order_versions().exceptAll(again.order_versions()).isEmpty()
-    other = Simulator(spark, Plan(**{**vars(SMALL), "seed": 8}))
-    assert not simulator.order_versions().exceptAll(other.order_versions()).isEmpty()
-
-
-def test_properties(spark):
-    s = Simulator(spark, Plan(start=date(2024, 1, 1), end=date(2024, 3, 31), orders_per_day=40, seed=7, customers=500))
-    v = s.order_versions()
-    assert checks.missing(v, v.filter("order_status = 'created'"), "order_id").isEmpty()
-    assert v.filter("order_status = 'shipped' and (shipped_at is null or delivered_at is not null)").isEmpty()
-    r = v.agg(F.avg((F.col("extract_day") > F.col("updated_at").cast("date")).cast("int")).alias("late")).first()
-    assert 0.005 < r["late"] < 0.05
-    assert v.count() > v.select("order_id", "order_status", "updated_at").distinct().count()
-    paid = s.payments().groupBy("order_id").agg(F.sum("amount").alias("net"))
-    assert paid.filter("net < 0").count() <= 0.01 * paid.count()
-
-
-def test_two_steps_equal_one(spark, tmp_path):
-    two = Project(spark, str(tmp_path / "p"), SMALL)
-    two.generate(date(2024, 1, 8))
-    assert two.load().rows["orders"] > 0
-    two.transform()
-    fact = two.advance(30)
-    full = Warehouse(two.feeds()).fct_orders
-    assert fact.count() == full.count() and fact.exceptAll(full).isEmpty()
-    assert two.load().files == {e: 0 for e in ("orders", "order_items", "payments", "customers")}
-    assert {r["entity"] for r in two.status().collect()} == {"orders", "order_items", "payments", "customers"}
-    assert spark.read.parquet(f"{two.root}/kpi/state_scorecard").count() > 0
+def half_year(spark):
+    """The orders of half a year, stored."""
+    return Simulator(spark, Plan(start=date(2024, 1, 1), end=date(2024, 6, 30), orders_per_day=60, seed=5, customers=900))
+
+
+@pytest.fixture(scope="module")
+def orders(half_year, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("orders"))
+    half_year.orders().write.mode("overwrite").parquet(path)
+    return half_year.spark.read.parquet(path)
+
+
+def test_poisson_counts(spark):
+    """Mean, spread and the chance of none are those of the distribution, also for means beyond one part."""
+    s = Simulator(spark, SMALL)
+    k = F.col("id")
+    row = spark.range(20_000).select(s.poisson("a", F.lit(2.5), k).alias("a"), s.poisson("b", F.lit(900.0), k).alias("b")).agg(
+        F.avg("a"), F.var_samp("a"), F.avg((F.col("a") == 0).cast("int")), F.avg("b"), F.var_samp("b")
+    ).first()
+    assert row[0] == pytest.approx(2.5, abs=0.05) and row[1] == pytest.approx(2.5, abs=0.12) and row[2] == pytest.approx(math.exp(-2.5), abs=0.01)
+    assert row[3] == pytest.approx(900, abs=1) and row[4] == pytest.approx(900, rel=0.05)
+
+
+def test_parcels_go_from_the_first_sellers_hub(half_year, orders):
+    first = half_year.order_items().filter("order_item_seq = 1").join(half_year.sellers(), "seller_id").select("order_id", F.col("hub_id").alias("from_hub"))
+    assert orders.join(first, "order_id").filter("hub_id <> from_hub").isEmpty() and first.count() == orders.count()
+
+
+def test_parcels_go_to_the_address_at_purchase(half_year, orders):
+    """The tier of an order is that of its customer's version valid then, as the warehouse finds it."""
+    versions = half_year.customers().withColumn("alias", F.lower(F.trim("state"))).drop("state").join(half_year.aliases(), "alias")
+    moved = versions.groupBy("customer_id").agg(F.max("updated_at").alias("since"), F.max_by("state", "updated_at").alias("state"), F.count("*").alias("n")).filter("n = 2")
+    met = orders.join(moved, "customer_id").filter("purchase_at >= since").join(half_year.states, "state")
+    assert met.count() > 0 and met.filter("tier <> remoteness_tier").isEmpty()
+
+
+def hours(start, end):
+    return F.avg((F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))) / 3600)
+
+
+def test_what_makes_parcels_slow(orders):
+    """Distance, remoteness, cash on delivery, unreliable couriers and congestion all tell."""
+    transit = hours("shipped_at", "arrived_at")
+    mean = lambda condition, what=transit: orders.filter(condition).agg(what).first()[0]
+    assert mean("distance > 7") > mean("distance < 3") + 20
+    assert mean("tier = 3") > mean("tier = 1") + 15
+    assert mean("courier = 'Budget'") > mean("courier = 'Swift'") + 15
+    approval = hours("purchase_at", "approved_at")
+    assert mean("payment_method = 'COD'", approval) > 1.4 * mean("payment_method <> 'COD'", approval)
+    assert mean("congestion > 1.5", approval) > mean("congestion < 1.1", approval) + 1
+    assert {r["courier"] for r in orders.select("courier").distinct().collect()} == {c[0] for c in COURIERS}
+
+
+def test_service_is_calibrated(orders):
+    """Most parcels are on time, some are not, and each outcome has about its share."""
+    late = orders.filter("arrived_at is not null").agg(F.avg((F.col("arrived_at").cast("date") > F.col("estimated_delivery_date")).cast("int"))).first()[0]
+    assert 0.05 < late < 0.45
+    n = {r["outcome"]: r["count"] / orders.count() for r in orders.groupBy("outcome").count().collect()}
+    assert n["cancelled"] == pytest.approx(0.03, abs=0.012) and n["rto"] == pytest.approx(0.022, abs=0.012) and n["returned"] == pytest.approx(0.045, abs=0.015)
+    by_day = orders.groupBy(F.col("purchase_at").cast("date").alias("d")).count()
+    usual, busy = (by_day.filter(c).agg(F.avg("count")).first()[0] for c in ("d < '2024-02-09'", "d between '2024-02-09' and '2024-02-15'"))
+    assert busy > 1.2 * usual
+
+
+def test_a_run_depends_on_its_seed_alone(spark):
+    one, same, other = (Simulator(spark, Plan(**{**vars(SMALL), "seed": seed})).payments() for seed in (3, 3, 4))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one) == rows(same) != rows(other)
+
+
+def test_aliases_know_each_spelling(spark):
+    s = Simulator(spark, SMALL)
+    known = {r["alias"]: r["state"] for r in s.aliases().collect()}
+    assert known["northmark"] == known["s00"] == known["nothmark"] == known["norrthmark"] == known["nort-hmark"] == known["northmark st"] == "Northmark"
+    spelt = [r["state"] for r in s.customers().select("state").distinct().collect()]
+    assert all(x.strip().lower() in known for x in spelt)
+    states = spark.createDataFrame([("Aa", "bb", "R", 1), ("Bb", "cc", "R", 1)], SEEDS["ref_states"])
+    wrong = spark.createDataFrame([(" CC ", "Aa"), ("bbb", "Bb")], "alias string, state string")
+    assert {(r["alias"], r["state"]) for r in alias_table(states, wrong).collect()} == {("aa", "Aa"), ("bb", "Bb"), ("cc", "Bb"), ("bbb", "Bb")}
+
+
+@pytest.fixture(scope="module")
+def project(spark, tmp_path_factory):
+    """Half of the plan released, loaded and built; then the rest."""
+    p = Project(spark, str(tmp_path_factory.mktemp("project")), SMALL)
+    p.generate(date(2024, 2, 9))
+    p.load()
+    p.transform()
+    p.first = p.builder.fact.current()
+    p.fact = p.advance(100)
+    return p
+
+
+def test_an_increment_equals_a_full_build(project):
+    full = materialised(Warehouse(project.feeds()).fct_orders)  # later loads replace the snapshots it reads
+    assert project.fact.count() == full.count() and project.fact.exceptAll(full).isEmpty()
+    assert project.load().files == {e: 0 for e in ("orders", "order_items", "payments", "customers")}
+    newest = project.loader.manifest().select(F.max("file_path")).first()[0]
+    assert project.advance(5).count() == full.count() and newest
+    again = project.transform(full_refresh=True)
+    assert again.exceptAll(full).isEmpty() and again.count() == full.count()
+
+
+def test_tables_results_and_status(project):
+    status = project.status()
+    assert {r["entity"] for r in status["loads"].collect()} == {"orders", "order_items", "payments", "customers"}
+    tables = {r["table"]: r["rows"] for r in status["tables"].collect()}
+    assert len(tables) == 21 and tables["core.fct_orders"] == project.fact.count() > 0 and tables["kpi.state_scorecard"] > 0
+    last = {r["status"]: r["n"] for r in status["last run"].collect()}
+    assert last["success"] == 27 and last["pass"] > 50 and "fail" not in last
+    results = project.builder.results()
+    assert results.select("invocation_id").distinct().count() >= 2
+    assert results.filter("unique_id = 'test.fct_orders.every_order_is_there' and failures = 0").count() >= 2
+
+
+def test_questions_are_answered_read_only_and_kept(project):
+    now = [0.0]
+    desk = project.desk()
+    desk.clock = lambda: now[0]
+    sql = "select courier, count(*) n from core_fct_orders where array_contains(:regions, customer_region) group by 1 order by 1"
+    found = desk.ask(sql, regions=["North", "South"])
+    assert found["n"].sum() == project.fact.filter("customer_region in ('North', 'South')").count()
+    assert desk.ask(sql, regions=["North", "South"]) is found
+    now[0] = 301.0
+    assert desk.ask(sql, regions=["North", "South"]) is not found
+    for wrong in ("drop view core_fct_orders", "select 1; select 2", "insert into x select 1"):
+        with pytest.raises(ValueError):
+            desk.ask(wrong)
+    desk.most = 3
+    with pytest.raises(ValueError, match="aggregate"):
+        desk.ask("select * from kpi_fulfillment_daily")
+
+
+def test_a_red_test_stops_what_is_built_on_it(spark, project, tmp_path):
+    """The models after it are skipped, results are kept, and the build fails; a warning stops nothing."""
+    builder = Builder(spark, str(tmp_path))
+    red, warn = (Check(f"none_{s}", F.lit(True), severity=s) for s in ("error", "warn"))
+    builder.models = (
+        Model("sellers", "staging", (), (warn,)),
+        Model("dim_hubs", "core", ("sellers",), (red,)),
+        Model("dim_geography", "core", ("dim_hubs",)),
+        Model("products", "staging"),
+        Model("nothing", "kpi", ("products",)),
+    )
+    with pytest.raises(BuildError, match="dim_hubs.none_error"):
+        builder.run(project.feeds())
+    found = {r["unique_id"]: r["status"] for r in builder.results().collect()}
+    assert found == {
+        "model.sellers": "success", "test.sellers.none_warn": "warn", "model.dim_hubs": "success", "test.dim_hubs.none_error": "fail",
+        "model.dim_geography": "skipped", "model.products": "success", "model.nothing": "error",
+    }
+
+
+def test_suite_finds_planted_faults(spark, project):
+    w = Warehouse(project.feeds())
+    fact = project.fact
+    w.__dict__["fct_orders"] = fact.unionByName(fact.limit(1)).withColumn("net_revenue", F.when(F.col("order_id") == fact.first()["order_id"], -1).otherwise(F.col("net_revenue")).cast("decimal(14,2)"))
+    models = tuple(m for m in Builder(spark, "unused").models if m.name == "fct_orders")
+    found = {test: (n, status) for _, test, _, n, status in suite(w, models)}
+    assert found["unique_order_id"] == (1, "fail") and found["between_net_revenue"][1] == "fail" and found["every_order_is_there"] == (0, "pass")
+
+
+def test_seed_files_have_their_types(project, spark, tmp_path):
+    seeds = load_seeds(spark, f"{project.root}/seeds")
+    assert dict(seeds["sale_calendar"].dtypes) == {"sale_event": "string", "start_date": "date", "end_date": "date"}
+    assert seeds["ref_states"].agg(F.sum("remoteness_tier")).first()[0] == sum(t for many in REGIONS.values() for _, t, _, _ in many)
+    for name, kinds in SEEDS.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(f.split()[0] for f in kinds.split(", ")) + "\nX,Y,Z,far\n" * (name == "ref_states"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        load_seeds(spark, str(tmp_path))["ref_states"].collect()
+
+
+def test_extracts_are_sorted(project, spark):
+    rows = spark.read.option("header", True).csv(f"{project.root}/landing/orders/dt=2024-02-05")
+    times = [r["updated_at"] for r in rows.withColumn("f", F.col("_metadata.file_path")).filter(F.col("f") == rows.select("_metadata.file_path").first()[0]).collect()]
+    assert times == sorted(times) and times
+
+
+def test_sensor_and_schedule(project):
+    sensor = Sensor(project.loader)
+    assert sensor.look(None)[0] is False  # not started
+    sensor.running = True
+    due, cursor = sensor.look(None)
+    assert due and sensor.look(cursor) == (False, cursor)
+    utc = ZoneInfo("UTC")
+    assert Daily().next(datetime(2024, 1, 1, tzinfo=utc)) is None
+    daily = Daily(time(6, 0), "Asia/Kolkata", running=True)
+    assert daily.next(datetime(2024, 1, 1, 0, 29, tzinfo=utc)).astimezone(utc) == datetime(2024, 1, 1, 0, 30, tzinfo=utc)
+    assert daily.next(datetime(2024, 1, 1, 0, 30, tzinfo=utc)).astimezone(utc) == datetime(2024, 1, 1, 0, 30, tzinfo=utc) + timedelta(1)
+    assert schema_name("kpi") == "kpi" and schema_name(None) == schema_name(" ") == "main"

@@ -1,4 +1,4 @@
-"""Commands: generate, load, transform, run, advance and status."""
+"""Commands: generate, load, transform, run, advance, status and seeds."""
 
 from __future__ import annotations
 
@@ -8,59 +8,59 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import Versioned, affected, delete_insert
-from tidemark.plans import marts
-from tidemark.plans.warehouse import Warehouse
+from tidemark.plans.ask import Desk
+from tidemark.plans.build import Builder
 from tidemark.session import session
-from tidemark.sources.loader import Loader
+from tidemark.sources.loader import Loader, last_run
+from tidemark.sources.seed_files import export_seeds, load_seeds
 from tidemark.sources.simulate import Plan, Simulator
 from tidemark.sources.tables import Feeds
 
 
 class Project:
-    """Landing folder, raw feeds, the fact (versioned) and the marts under one root."""
+    """Landing folder, raw feeds, seeds and the built tables under one root."""
 
     def __init__(self, spark: SparkSession, root: str, plan: Plan = Plan()):
         self.spark, self.root, self.plan = spark, root.rstrip("/"), plan
         self.simulator = Simulator(spark, plan)
         self.loader = Loader(spark, f"{self.root}/landing", f"{self.root}/raw")
-        self.fact = Versioned(spark, f"{self.root}/core/fct_orders")
+        self.builder = Builder(spark, self.root)
 
     def generate(self, until: date | None = None) -> None:
+        export_seeds(self.simulator, f"{self.root}/seeds")
         self.simulator.write(f"{self.root}/landing", until)
 
     def load(self):
         return self.loader.run()
 
     def feeds(self) -> Feeds:
-        t, s = self.loader.table, self.simulator
-        return Feeds(t("orders"), t("customers"), t("order_items"), t("payments"), t("products"), t("sellers"), s.states, s.aliases(), s.hubs, s.sales)
-
-    def transform(self) -> DataFrame:
-        """Brings the fact up to date (all of it the first time, then what was loaded since) and rebuilds the marts."""
-        w = Warehouse(self.feeds())
-        old = self.fact.read()
-        if old is None:
-            fact = self.fact.publish(w.fct_orders)
-        else:
-            keys = affected(w.fct_orders, old).unionByName(old.filter("is_open").select("order_id")).distinct()
-            fact = self.fact.publish(delete_insert(old, w.fct_orders.join(keys, "order_id", "left_semi")))
-        for mart in (marts.fulfillment_daily, marts.state_scorecard, marts.courier_performance, marts.stage_bottlenecks, marts.order_funnel):
-            mart(fact).write.mode("overwrite").parquet(f"{self.root}/kpi/{mart.__name__}")
-        marts.sale_event_impact(fact, w.feeds.sale_calendar).write.mode("overwrite").parquet(f"{self.root}/kpi/sale_event_impact")
-        marts.data_quality_daily(w.feeds.orders, w.orders_cdc, fact).write.mode("overwrite").parquet(f"{self.root}/kpi/data_quality_daily")
-        return fact
+        t = self.loader.table
+        return Feeds(t("orders"), t("customers"), t("order_items"), t("payments"), t("products"), t("sellers"), **load_seeds(self.spark, f"{self.root}/seeds"))
+
+    def transform(self, full_refresh: bool = False) -> DataFrame:
+        """Builds and tests all models; the fact takes what was loaded since, unless all of it is to be built anew."""
+        return self.builder.run(self.feeds(), full_refresh, command="transform").fct_orders
 
     def advance(self, days: int) -> DataFrame:
-        """Releases the next days, loads and builds."""
-        found = self.loader.manifest().select(F.max(F.regexp_extract("file_path", r"dt=(\d{4}-\d{2}-\d{2})", 1)).alias("d")).first()["d"]
-        newest = date.fromisoformat(found) if found else self.plan.start - timedelta(1)
-        self.generate(newest + timedelta(days))
+        """Releases the days after the newest landed one, up to the plan's end, loads and builds."""
+        landed = self.loader.discover("orders").select(F.max(F.regexp_extract("file_path", r"dt=(\d{4}-\d{2}-\d{2})", 1)).alias("d")).first()["d"]
+        newest = date.fromisoformat(landed) if landed else self.plan.start - timedelta(1)
+        self.generate(min(newest + timedelta(days), self.plan.end))
         self.load()
         return self.transform()
 
-    def status(self) -> DataFrame:
-        return self.loader.manifest().groupBy("entity").agg(F.count("*").alias("files"), F.sum("rows_loaded").alias("rows"), F.max("loaded_at").alias("last_load"))
+    def desk(self) -> Desk:
+        return Desk(self.builder)
+
+    def status(self) -> dict[str, DataFrame]:
+        """What was loaded, the tables with their rows, and how the last build ended."""
+        manifest = self.loader.manifest()
+        out = {"loads": manifest.groupBy("entity").agg(F.count("*").alias("files"), F.sum("rows_loaded").alias("rows"), F.max("loaded_at").alias("last_load"))}
+        out["tables"] = self.builder.catalogue()
+        results = self.builder.results()
+        if results is not None:
+            out["last run"] = last_run(results)
+        return out
 
 
 def main(args: list[str] | None = None) -> None:
@@ -69,6 +69,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--root", default="data")
     parser.add_argument("--days", type=int, default=1)
     parser.add_argument("--until", type=date.fromisoformat)
+    parser.add_argument("--full-refresh", action="store_true")
     given = parser.parse_args(args)
     project = Project(session(), given.root)
     if given.command in ("generate", "run"):
@@ -76,11 +77,13 @@ def main(args: list[str] | None = None) -> None:
     if given.command in ("load", "run"):
         print(project.load().to_json())
     if given.command in ("transform", "run"):
-        print(f"{project.transform().count()} orders")
+        print(f"{project.transform(given.full_refresh).count()} orders")
     if given.command == "advance":
         print(f"{project.advance(given.days).count()} orders")
     if given.command == "status":
-        project.status().show(truncate=False)
+        for title, table in project.status().items():
+            print(title)
+            table.show(100, truncate=False)
 
 
 if __name__ == "__main__":

@@ -1,52 +1,124 @@
-"""Incremental maintenance by load time: delete and insert by key, published as versions."""
+"""Incremental maintenance by load time: delete and insert by key, published as versions of partitions."""
 
 from __future__ import annotations
 
-import re
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.loader import is_missing
+from tidemark.sources.tables import Feeds
 
-def affected(source: DataFrame, target: DataFrame, loaded: str = "source_last_loaded_at", key: str = "order_id") -> DataFrame:
-    """Keys of source with rows loaded after everything in target. Event times don't matter: a row may be late by any
-    time. The watermark is a one-row aggregate that the filter reads as a scalar."""
-    seen = target.agg(F.max(loaded).alias("seen"))
-    return source.join(F.broadcast(seen), F.col("seen").isNull() | (F.col(loaded) > F.col("seen"))).select(key).distinct()
+KEY = "order_id"
 
 
-def delete_insert(target: DataFrame, rebuilt: DataFrame, key: str = "order_id") -> DataFrame:
-    """target with the rows of rebuilt in place of its own rows of those keys."""
-    return target.join(rebuilt.select(key), key, "left_anti").select(target.columns).unionByName(rebuilt)
+def affected(feeds: Feeds, target: DataFrame, loaded: str = "source_last_loaded_at") -> DataFrame:
+    """Orders of which anything was loaded after all that target has seen, and those that target has as open.
+
+    Event times don't matter: a row may be late by any time. Open orders are affected as passing time alone can make them
+    overdue. The watermark is one value, a literal for the scans of the feeds, so that they skip what is older.
+    """
+    seen = target.agg(F.max(loaded)).first()[0]
+    rows = feeds.orders.select(KEY, "_loaded_at").unionByName(feeds.payments.select(KEY, "_loaded_at"))
+    if seen is not None:
+        rows = rows.filter(F.col("_loaded_at") > F.lit(seen).cast("timestamp_ntz"))
+    return rows.select(KEY).unionByName(target.filter("is_open").select(KEY)).distinct()
+
+
+def restricted(feeds: Feeds, keys: DataFrame) -> Feeds:
+    """The feeds' rows of these orders and of their customers, before anything is sorted or joined."""
+
+    def only(df: DataFrame) -> DataFrame:
+        return df.join(keys, KEY, "left_semi")
+
+    orders = only(feeds.orders)
+    customers = feeds.customers.join(orders.select("customer_id").distinct(), "customer_id", "left_semi")
+    return replace(feeds, orders=orders, customers=customers, order_items=only(feeds.order_items), payments=only(feeds.payments))
+
+
+def delete_insert(target: DataFrame, rebuilt: DataFrame, keys: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """target with the rows of rebuilt in place of its own rows of `keys` (those of rebuilt, if not given)."""
+    gone = rebuilt.select(key) if keys is None else keys
+    return target.join(gone, key, "left_anti").select(target.columns).unionByName(rebuilt)
 
 
 class Versioned:
-    """A Parquet dataset of full versions and a pointer to the current one, for stores without transactions.
+    """A Parquet dataset of which each partition has versions, and a pointer to the current ones, for stores without
+    transactions.
 
-    A version is written first and becomes current by writing the small pointer dataset; readers of the old version are
-    not disturbed, and a failed write leaves the pointer alone.
+    A change writes the partitions that it touches to a folder of their own and then a small pointer dataset, which makes
+    them current; partitions that it doesn't touch stay where they are. Readers of the former state are not disturbed,
+    and a failed write leaves the pointer alone. `part` is an SQL expression of few values, as a month.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    POINTER = "pointer string, at timestamp, part string, folder string"
 
-    def current(self) -> str | None:
+    def __init__(self, spark: SparkSession, path: str, part: str = "'all'"):
+        self.spark, self.path, self.part = spark, path.rstrip("/"), F.coalesce(F.expr(part).cast("string"), F.lit("none"))
+
+    def _pointers(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema("version string, at timestamp").parquet(f"{self.path}/pointer").collect()
-        except Exception as e:  # Spark has no narrower way to say that the path is missing
-            if re.search("PATH_NOT_FOUND", str(e)):
+            return self.spark.read.schema(self.POINTER).parquet(f"{self.path}/pointer")
+        except Exception as e:
+            if is_missing(e):
                 return None
             raise
-        return max(rows, key=lambda r: r["at"])["version"] if rows else None
 
-    def read(self) -> DataFrame | None:
-        version = self.current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
+    def current(self) -> dict[str, str]:
+        """The folder of each partition's current version; empty if nothing was published."""
+        pointers = self._pointers()
+        if pointers is None:
+            return {}
+        newest = pointers.orderBy(F.desc("at")).limit(1).select("pointer")
+        return {r["part"]: r["folder"] for r in pointers.join(newest, "pointer", "left_semi").collect()}
+
+    def paths(self, parts: list[str] | None = None) -> list[str]:
+        """Where the current rows are, of these partitions or all."""
+        return [f"{self.path}/{folder}/_part={part}" for part, folder in sorted(self.current().items()) if parts is None or part in parts]
+
+    def read(self, parts: list[str] | None = None) -> DataFrame | None:
+        paths = self.paths(parts)
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _write(self, df: DataFrame, kept: dict[str, str]) -> None:
+        folder = f"data={uuid.uuid4().hex}"
+        # dealt by partition; a large one goes to several tasks and files
+        df.withColumn("_part", self.part).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        written = self.spark.read.parquet(f"{self.path}/{folder}").select(F.col("_part").cast("string").alias("p")).distinct().collect()
+        now = [(part, where) for part, where in kept.items()] + [(r["p"], folder) for r in written]
+        rows = self.spark.createDataFrame(now, "part string, folder string")
+        rows = rows.select(F.lit(uuid.uuid4().hex).alias("pointer"), F.current_timestamp().alias("at"), "part", "folder")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
     def publish(self, df: DataFrame) -> DataFrame:
-        version = f"version={uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        """All rows anew."""
+        self._write(df, {})
+        return self.read()
+
+    def replace(self, rebuilt: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
+        """Publishes rebuilt in place of the rows of `keys`; only the partitions with such rows are written.
+
+        Both are read more than once, so they should be stored.
+        """
+        now, old = self.current(), self.read()
+        both = rebuilt.select(self.part.alias("p")).unionByName(old.join(keys, key, "left_semi").select(self.part.alias("p")))
+        touched = [r["p"] for r in both.distinct().collect()]
+        if touched:
+            before = self.read(touched)
+            rows = rebuilt if before is None else delete_insert(before, rebuilt, keys, key)
+            self._write(rows, {part: folder for part, folder in now.items() if part not in touched})
+        return self.read()
+
+    def vacuum(self) -> int:
+        """Removes the folders that no current partition is in (readers of former states lose them); says how many."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs, used, gone = root.getFileSystem(conf), set(self.current().values()), 0
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("data=") and name not in used:
+                fs.delete(status.getPath(), True)
+                gone += 1
+        return gone

@@ -67,3 +67,11 @@ def payments(payments: DataFrame) -> DataFrame:
         "payment_id", "order_id", "payment_type", "payment_method", F.col("amount").cast("decimal(14,2)").alias("amount"),
         (F.col("payment_type") == "refund").alias("is_refund"), F.col("created_at").alias("paid_at"), "_loaded_at",
     )
+
+
+def products(products: DataFrame) -> DataFrame:
+    return products.select("product_id", "category", F.col("list_price").cast("decimal(12,2)").alias("list_price"), "weight_kg", "seller_id")
+
+
+def sellers(sellers: DataFrame) -> DataFrame:
+    return sellers.select("seller_id", "seller_name", "hub_id")

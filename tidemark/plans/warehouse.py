@@ -6,16 +6,19 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.incremental import affected, restricted
 from tidemark.operators.versions import latest_version, status_history
 from tidemark.plans import core, intermediate, marts, staging
+from tidemark.session import materialised
 from tidemark.sources.tables import Feeds, feeds
 
 
 class Warehouse:
     """Each model is a lazy DataFrame: a query plans (and reads) only what it needs."""
 
-    def __init__(self, source: Feeds, settings: intermediate.Settings = intermediate.Settings()):
-        self.feeds, self.settings = source, settings
+    def __init__(self, source: Feeds, settings: intermediate.Settings = intermediate.Settings(), clock: DataFrame | None = None):
+        """clock: rows whose newest updated_at is now; the order feed itself, unless that is a part of one."""
+        self.feeds, self.settings, self.clock = source, settings, source.orders if clock is None else clock
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -37,6 +40,14 @@ class Warehouse:
     def payments(self) -> DataFrame:
         return staging.payments(self.feeds.payments)
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return staging.products(self.feeds.products)
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return staging.sellers(self.feeds.sellers)
+
     @cached_property
     def latest(self) -> DataFrame:
         return latest_version(self.orders_cdc)
@@ -51,7 +62,7 @@ class Warehouse:
 
     @cached_property
     def items_by_order(self) -> DataFrame:
-        return intermediate.items_by_order(self.order_items, self.feeds.products)
+        return intermediate.items_by_order(self.order_items, self.products)
 
     @cached_property
     def payments_by_order(self) -> DataFrame:
@@ -62,7 +73,7 @@ class Warehouse:
         f = self.feeds
         # the newest event of the feed is that of its versions: copies repeat event times
         return intermediate.orders_lifecycle(
-            self.latest, f.orders, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings
+            self.latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings
         )
 
     @cached_property
@@ -79,11 +90,11 @@ class Warehouse:
 
     @cached_property
     def dim_hubs(self) -> DataFrame:
-        return core.dim_hubs(self.feeds.ref_hubs, self.feeds.sellers)
+        return core.dim_hubs(self.feeds.ref_hubs, self.sellers)
 
     @cached_property
     def dim_products(self) -> DataFrame:
-        return core.dim_products(self.feeds.products, self.feeds.sellers)
+        return core.dim_products(self.products, self.sellers)
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -100,3 +111,36 @@ class Warehouse:
     @cached_property
     def data_quality_daily(self) -> DataFrame:
         return marts.data_quality_daily(self.feeds.orders, self.orders_cdc, self.fct_orders)
+
+    @cached_property
+    def fulfillment_daily(self) -> DataFrame:
+        return marts.fulfillment_daily(self.fct_orders)
+
+    @cached_property
+    def state_scorecard(self) -> DataFrame:
+        return marts.state_scorecard(self.fct_orders)
+
+    @cached_property
+    def courier_performance(self) -> DataFrame:
+        return marts.courier_performance(self.fct_orders)
+
+    @cached_property
+    def stage_bottlenecks(self) -> DataFrame:
+        return marts.stage_bottlenecks(self.fct_orders)
+
+    @cached_property
+    def sale_event_impact(self) -> DataFrame:
+        return marts.sale_event_impact(self.fct_orders, self.feeds.sale_calendar)
+
+    @cached_property
+    def order_funnel(self) -> DataFrame:
+        return marts.order_funnel(self.fct_orders)
+
+
+def increment(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
+    """(rows, keys): the fact's rows of the orders that are affected by what was loaded since target, and these orders.
+
+    Feeds are cut down to the affected orders first, so that an increment costs what it touches.
+    """
+    keys = materialised(affected(feeds, target))
+    return Warehouse(restricted(feeds, keys), settings, clock=feeds.orders).fct_orders, keys

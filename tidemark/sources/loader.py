@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +28,9 @@ class LoadReport:
         return json.dumps(asdict(self), indent=2)
 
 
-def _exists(e: Exception) -> bool:
-    return not re.search("PATH_NOT_FOUND|UNABLE_TO_INFER_SCHEMA", str(e))
+def is_missing(e: Exception) -> bool:
+    """Whether Spark says that there is nothing at a path."""
+    return isinstance(e, AnalysisException) and e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 class Loader:
@@ -49,7 +50,7 @@ class Loader:
         try:
             files = self.spark.read.format("binaryFile").load(f"{self.landing}/{entity}/dt=*/*.csv")
         except Exception as e:
-            if _exists(e):
+            if not is_missing(e):
                 raise
             files = self.spark.createDataFrame([], "path string, length long, modificationTime timestamp")
         return files.select(
@@ -63,31 +64,40 @@ class Loader:
         try:
             return self.spark.read.schema(MANIFEST).parquet(f"{self.raw}/_manifest")
         except Exception as e:
-            if _exists(e):
+            if not is_missing(e):
                 raise
             return self.spark.createDataFrame([], MANIFEST)
 
+    def states(self, entity: str) -> DataFrame:
+        """discover, with state: new, changed (another size or time than when it was loaded) or loaded."""
+        seen = self.manifest().select("entity", "file_path", F.col("file_bytes").alias("_bytes"), F.col("file_mtime").alias("_mtime"))
+        same = (F.col("file_bytes") == F.col("_bytes")) & (F.col("file_mtime") == F.col("_mtime"))
+        state = F.when(F.col("_bytes").isNull(), "new").when(same, "loaded").otherwise("changed")
+        return self.discover(entity).join(seen, ["entity", "file_path"], "left").withColumn("state", state).drop("_bytes", "_mtime")
+
     def new_files(self, entity: str) -> DataFrame:
-        return self.discover(entity).join(self.manifest(), ["entity", "file_path"], "left_anti")
+        return self.states(entity).filter("state = 'new'").drop("state")
 
     def changed_files(self, entity: str) -> DataFrame:
-        seen = self.manifest().select("entity", "file_path", F.col("file_bytes").alias("_bytes"), F.col("file_mtime").alias("_mtime"))
-        both = self.discover(entity).join(seen, ["entity", "file_path"])
-        return both.filter((F.col("file_bytes") != F.col("_bytes")) | (F.col("file_mtime") != F.col("_mtime"))).select("file_path")
+        return self.states(entity).filter("state = 'changed'").select("file_path")
 
     def _read(self, schema: T.StructType, paths: list[str]) -> DataFrame:
+        """A line that doesn't fit the schema ends the load, before anything of it is published."""
         reader = self.spark.read.schema(schema).option("header", True).option("timestampNTZFormat", TIMESTAMPS)
-        return reader.csv(paths)
+        return reader.option("mode", "FAILFAST").csv(paths)
 
     def _load(self, entity: str, load_id: str, report: LoadReport) -> None:
-        # file names only: as many as there are new files of one entity
-        files = self.new_files(entity).collect()
-        report.skipped[entity] = self.discover(entity).count() - len(files)
+        # one listing; to the driver come the names of files that a load has to read or tell of, and a count of the others
+        names = ("entity", "file_path", "file_bytes", "file_mtime")
+        told = F.collect_list(F.when(F.col("state") != "loaded", F.struct(*names)))
+        found = {r["state"]: r for r in self.states(entity).groupBy("state").agg(F.count("*").alias("n"), told.alias("files")).collect()}
+        files = [tuple(f) for f in found["new"]["files"]] if "new" in found else []
+        report.skipped[entity] = sum(r["n"] for state, r in found.items() if state != "new")
         report.files[entity], report.rows[entity] = len(files), 0
-        report.changed += sorted(r["file_path"] for r in self.changed_files(entity).collect())
+        report.changed += sorted(f["file_path"] for f in found["changed"]["files"]) if "changed" in found else []
         if not files:
             return
-        rows = self._read(RAW[entity], [f"{self.landing}/{r['file_path']}" for r in files])
+        rows = self._read(RAW[entity], [f"{self.landing}/{path}" for _, path, *_ in files])
         now = F.current_timestamp().cast("timestamp_ntz")
         stamped = rows.withColumns(
             {
@@ -110,7 +120,7 @@ class Loader:
         try:
             rows = self._read(SNAPSHOTS[entity], [f"{self.landing}/{entity}.csv"])
         except Exception as e:
-            if _exists(e):
+            if not is_missing(e):
                 raise
             return
         stamped = rows.withColumn("_loaded_at", F.current_timestamp().cast("timestamp_ntz"))
@@ -134,26 +144,28 @@ class Loader:
         try:
             rows = self.spark.read.schema(lineage).parquet(f"{self.raw}/{entity}")
         except Exception as e:
-            if _exists(e):
+            if not is_missing(e):
                 raise
             rows = self.spark.createDataFrame([], lineage)
-        return rows.withColumnRenamed("load_id", "_load_id").join(F.broadcast(loads), "_load_id", "left_semi").select(
+        return rows.withColumnRenamed("load_id", "_load_id").join(loads, "_load_id", "left_semi").select(
             *RAW[entity].names, "_source_file", "_loaded_at", "_load_id"
         )
 
 
-def write_daily(df: DataFrame, day: str, landing: str, entity: str) -> None:
-    """Publishes a feed as one folder per day, all at once; days that are there already are left alone."""
+def write_daily(df: DataFrame, day: str, landing: str, entity: str, order: tuple[str, ...] = ()) -> None:
+    """Publishes a feed as one folder per day, all at once; days that are there already are left alone. The rows of a file
+    stand in `order`."""
     path = f"{landing.rstrip('/')}/{entity}"
     days = df.withColumn("dt", F.col(day).cast("date"))
     try:
         there = df.sparkSession.read.format("binaryFile").load(f"{path}/dt=*/*.csv")
         known = there.select(F.regexp_extract("path", r"dt=(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("dt")).distinct()
-        days = days.join(F.broadcast(known), "dt", "left_anti")
+        days = days.join(known, "dt", "left_anti")
     except Exception as e:
-        if _exists(e):
+        if not is_missing(e):
             raise
-    days.repartition("dt").write.mode("append").partitionBy("dt").option("header", True).option("timestampNTZFormat", TIMESTAMPS).csv(path)
+    # dealt by day, but a day with very many rows goes to several tasks and files
+    days.hint("rebalance", "dt").sortWithinPartitions("dt", *order).write.mode("append").partitionBy("dt").option("header", True).option("timestampNTZFormat", TIMESTAMPS).csv(path)
 
 
 RUN_RESULTS = (
