@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import path_date, rounded, status_rank
 from tidemark.operators import checks
 from tidemark.operators.incremental import Versioned, affected, delete_insert
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rolling import rolling_zscore
 from tidemark.operators.versions import keep_one, latest_version, scd2, status_history
 from tidemark.plans.intermediate import orders_lifecycle
@@ -167,3 +168,14 @@ def test_zscore_of_large_volumes(spark):
         assert found[k] == pytest.approx((k + 1 - mean) / (sum((x - mean) ** 2 for x in before) / (k - 1)) ** 0.5, rel=1e-6)
     flat = spark.createDataFrame([(date(2024, 1, d), 7) for d in range(1, 6)], "day date, n long")
     assert [r["z"] for r in flat.select(rolling_zscore("day", "n").alias("z")).collect()] == [None] * 5
+
+
+def test_exact_quantiles(spark):
+    """As the percentile aggregate has them: ties, one value, nulls, a null key, bins of one and of many values."""
+    rows = [(k, float(v)) for k, values in {"a": range(101), "b": [7], "c": [1, 1, 1, 2], "d": [0.1 * i for i in range(37)], None: [5, 6]}.items() for v in values]
+    df = spark.createDataFrame([*rows, ("a", None), ("none", None)], "k string, v double")
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    expected = {r["k"]: tuple(r)[1:] for r in df.filter("v is not null").groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()]).collect()}
+    for step in (0.01, 1.0, 1000.0):
+        found = {r["k"]: tuple(r)[1:] for r in exact_quantiles(df, ["k"], "v", shares, step).collect()}
+        assert found == expected

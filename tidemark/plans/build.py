@@ -232,6 +232,8 @@ class Builder:
             try:
                 df = self._kept(model, w, full_refresh)
                 w.__dict__[model.name] = df  # what comes later reads what was kept
+                if model.name == "fct_orders":
+                    w.__dict__["stored_fact"] = df
                 rows = None if self.kept[model.layer] == "view" else df.count()
                 note("model", model.name, "success", since, rows)
             except Exception as e:  # one model's failure is a result like any other

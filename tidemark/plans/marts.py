@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import path_date, ratio, rounded, share
 from tidemark.operators.joins import calendar_days
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rolling import rolling_zscore
 
 
@@ -48,15 +49,14 @@ def fulfillment_daily(fact: DataFrame) -> DataFrame:
 
 
 def state_scorecard(fact: DataFrame) -> DataFrame:
-    """States against the national averages, which come from the states' own sums: the fact is read once. Ranks and national
-    sums run over one row per state."""
-    by_state = fact.groupBy(
-        F.col("customer_state").alias("state"), F.col("customer_region").alias("region"), "remoteness_tier"
-    ).agg(
+    """States against the national averages, which come from the states' own sums. Ranks and national sums run over one row
+    per state; a state may have any number of orders, so its quantiles come from bins of an hour. fact should be stored."""
+    keys = ["state", "region", "remoteness_tier"]
+    fact = fact.withColumnsRenamed({"customer_state": "state", "customer_region": "region"})
+    quantiles = exact_quantiles(fact, keys, "delivery_days", {"p50": 0.5, "p90": 0.9}, step=1 / 24)
+    by_state = fact.groupBy(*keys).agg(
         F.count("*").alias("orders"),
         *[mean(c) for c in ("approval_hours", "processing_hours", "transit_days", "delivery_days")],
-        quantile("delivery_days", 0.5).alias("p50_delivery_days"),
-        quantile("delivery_days", 0.9).alias("p90_delivery_days"),
         rounded(on_time(), 4).alias("on_time_rate"),
         rounded(share(F.col("is_cancelled")), 4).alias("cancellation_rate"),
         rounded(share(F.col("is_rto")), 4).alias("rto_rate"),
@@ -67,6 +67,10 @@ def state_scorecard(fact: DataFrame) -> DataFrame:
         F.count_if(F.col("is_delivered") & ~F.col("is_late")).alias("_punctual"),
         F.count_if(F.col("is_delivered") & F.col("is_late").isNotNull()).alias("_judged"),
     )
+    met = [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
+    by_state = by_state.alias("s").join(quantiles.alias("q"), met, "left").select(
+        "s.*", rounded(F.col("p50"), 2).alias("p50_delivery_days"), rounded(F.col("p90"), 2).alias("p90_delivery_days")
+    )
     rate, national = F.col("on_time_rate"), ratio(overall("_punctual"), overall("_judged"))
     return by_state.withColumns(
         {

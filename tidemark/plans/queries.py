@@ -128,7 +128,7 @@ model("filtered_state_health", lambda w: dashboard.state_health(w.fct_orders, FI
 model("slowest_states_topk", lambda w: dashboard.slowest_states(w.fct_orders, FILTERS))
 model("quality_between", lambda w: dashboard.quality_between(w.data_quality_daily, *QUALITY))
 model("latest_days_tail", lambda w: dashboard.latest_days(w.data_quality_daily))
-model("scorecard_by_rank", lambda w: marts.state_scorecard(w.fct_orders).select("on_time_rank", "state", "orders", "on_time_rate", "sla_health").orderBy("on_time_rank", "state"))
+model("scorecard_by_rank", lambda w: w.state_scorecard.select("on_time_rank", "state", "orders", "on_time_rate", "sla_health").orderBy("on_time_rank", "state"))
 model("sale_impact_listing", lambda w: marts.sale_event_impact(w.fct_orders, w.feeds.sale_calendar).select("sale_event", "start_date", "volume_uplift", "on_time_rate_delta").orderBy("start_date"))
 
 
@@ -164,8 +164,8 @@ model("check_accepted_values", lambda w: checks.accepted_values(w.orders_cdc, "o
 def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the data tests of TESTED, as a build counts them."""
     w = Warehouse.over(spark, sf_dir)
-    for name in ("orders_cdc", "fct_orders"):  # many tests read these
-        w.__dict__[name] = materialised(getattr(w, name))
+    w.__dict__["orders_cdc"] = materialised(w.orders_cdc)  # many tests read these
+    w.__dict__["fct_orders"] = w.stored_fact
     chosen = tuple(m for m in models() if m.name in TESTED)
     return spark.createDataFrame(suite(w, chosen), "model string, test string, severity string, failures long, status string")
 
@@ -173,7 +173,7 @@ def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def marts_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the marts beside those of the fact."""
-    stored = materialised(Warehouse.over(spark, sf_dir).fct_orders)  # built once for all that read it
+    stored = Warehouse.over(spark, sf_dir).stored_fact
     fact = stored.agg(F.count("*").alias("fact_value"), F.count("shipped_at").alias("fact_shipped"))
     parts = [
         ("fulfillment_daily", marts.fulfillment_daily(stored).agg(F.sum("orders").alias("v")), "fact_value"),
@@ -194,7 +194,7 @@ def marts_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def revenue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settled orders that were kept but whose net revenue isn't their lines plus shipping."""
-    fact, s = materialised(Warehouse.over(spark, sf_dir).fct_orders), intermediate.Settings()
+    fact, s = Warehouse.over(spark, sf_dir).stored_fact, intermediate.Settings()
     newest = F.broadcast(fact.agg(F.max("delivered_at").alias("newest")))
     gmv = F.col("gross_merchandise_value")
     expected = gmv + F.when(gmv < F.lit(s.free_shipping_from).cast("decimal(14,2)"), F.lit(s.shipping).cast("decimal(14,2)")).otherwise(F.lit(0).cast("decimal(14,2)"))

@@ -80,6 +80,11 @@ class Warehouse:
     def fct_orders(self) -> DataFrame:
         return core.fct_orders(self.lifecycle, self.items_by_order, self.payments_by_order)
 
+    @cached_property
+    def stored_fact(self) -> DataFrame:
+        """The fact, computed once for what reads it more than once."""
+        return materialised(self.fct_orders)
+
     @cached_property
     def dim_geography(self) -> DataFrame:
         return core.dim_geography(self.feeds.ref_states)
@@ -118,7 +123,7 @@ class Warehouse:
 
     @cached_property
     def state_scorecard(self) -> DataFrame:
-        return marts.state_scorecard(self.fct_orders)
+        return marts.state_scorecard(self.stored_fact)
 
     @cached_property
     def courier_performance(self) -> DataFrame:
