@@ -20,7 +20,7 @@ def test_likeness():
     near = text.replace("w7 ", "w3999 ")
     far = " ".join(f"w{i}" for i in range(2000, 2200))
     one = words.fingerprint(text)
-    assert one == words.fingerprint(" ".join(reversed(text.split())) + " w5 other words")[:-1] + [one[-1]]
+    assert one == words.fingerprint(" ".join(reversed(text.split())) + " w5 other words")
     assert imatch.likeness(one, one) == 1 and imatch.likeness(one, words.fingerprint(near)) > 0.4 > 0.01 > imatch.likeness(one, words.fingerprint(far))
     assert imatch.likeness(words.fingerprint(""), words.fingerprint("")) == 1
     assert imatch.likeness(words.fingerprint("aa"), words.fingerprint("bb")) == 0
@@ -41,7 +41,7 @@ def plain_fingerprint(text, lexicon):
                 mine.append(key)
         packed = b"".join(key.to_bytes(8, "little", signed=True) for key in mine)
         out.append(f"{xxhash.xxh64_intdigest(packed) % 0xFFFF + 1:04x}" if mine else "0000")
-    return out, hashlib.sha256("\n".join(found).encode()).hexdigest()[:8] if found else "00000000"
+    return out, hashlib.sha256("\n".join(found).encode()).hexdigest()[:8] if found and not keys else "00000000"
 
 
 def plain_likeness(a, b):

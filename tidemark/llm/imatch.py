@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, checkpointed, read
+from tidemark.llm.common import checkpointed, read
 
 TERM = re.compile(r"[^\W_]+")
 #: The band of document frequency (as a share of all documents) of lexicon terms: not the rarest, not the commonest.
@@ -24,7 +24,9 @@ RAREST, COMMONEST = 0.0005, 0.05
 #: Lexicon subsets: each rate keeps its share of the lexicon, several times with other random draws. Subsets with many
 #: terms change with any edit, subsets with few survive larger ones.
 RATES, DRAWS = (2 / 3, 1 / 3, 1 / 12, 1 / 48, 1 / 128, 1 / 256, 1 / 512, 1 / 1024), 8
-EMPTY = "0000"
+EMPTY, NO_WHOLE = "0000", "00000000"
+#: Terms whose place in the lexicon is kept by a task.
+KNOWN = 400_000
 #: Lexicon terms up to which the lexicon is broadcast (64 bytes each); a larger one is joined by term. The band alone bounds
 #: them: at most (distinct terms per document) / RAREST.
 BROADCAST_TERMS = 4_000_000
@@ -79,15 +81,21 @@ def member(keys: np.ndarray) -> np.ndarray:
 
 
 def whole_hash(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:8] if found else "00000000"
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:8] if found else NO_WHOLE
 
 
 def subset_hashes(keys: np.ndarray, subsets: np.ndarray) -> list[str]:
     """Four hex digits of each subset's terms, of a document's lexicon terms (sorted hashes) and the subsets they are in."""
-    inside = subsets[:, None] >> np.arange(len(RATES) * DRAWS, dtype=np.uint64) & np.uint64(1)
-    out = [EMPTY] * inside.shape[1]
-    for k in np.nonzero(inside.any(axis=0))[0].tolist():
-        out[k] = f"{xxhash.xxh64_intdigest(keys[inside[:, k] > 0].tobytes()) % 0xFFFF + 1:04x}"
+    out = [EMPTY] * (len(RATES) * DRAWS)
+    # one row for each subset; its terms stand together, in order
+    inside = np.unpackbits(subsets.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    subset, term = np.divmod(np.flatnonzero(inside), max(len(keys), 1))
+    raw, ends = keys[term].tobytes(), np.cumsum(np.bincount(subset, minlength=len(out))) * 8
+    at = 0
+    for k, end in enumerate(ends.tolist()):
+        if end > at:
+            out[k] = f"{xxhash.xxh64_intdigest(raw[at:end]) % 0xFFFF + 1:04x}"
+            at = end
     return out
 
 
@@ -96,25 +104,30 @@ class Lexicon:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys)
-        self.where = Memo(self._find, 200_000)
         self.member = member(self.keys)
+        self.place: dict[str, int] = {}
 
     def __reduce__(self):
         return Lexicon, (self.keys,)
 
-    def _find(self, term: str) -> int:
-        key = term_hash(term)
-        at = int(np.searchsorted(self.keys, key))
-        return at if at < len(self.keys) and self.keys[at] == key else -1
+    def know(self, found: set[str]) -> None:
+        """Afterwards `place` has these terms: where they stand in keys, -1 for those beyond the lexicon."""
+        if len(self.place) > KNOWN:
+            self.place = {}
+        new = list(found.difference(self.place))
+        hashes = np.fromiter(map(term_hash, new), np.int64, len(new))
+        at = np.searchsorted(self.keys, hashes)
+        there = self.keys[np.minimum(at, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(new), bool)
+        self.place.update(zip(new, np.where(there, at, -1).tolist()))
 
     def fingerprint(self, text: str) -> list[str]:
-        """subset_hashes of the text's terms (EMPTY for none), and a hash of all terms whatever their frequency. Terms
-        count once, in the order of their hashes."""
+        """subset_hashes of the text's terms (EMPTY for none), and for a text without terms of the lexicon a hash of all its
+        terms. Terms count once, in the order of their hashes."""
         found = terms(text)
-        at = np.fromiter(map(self.where.__getitem__, found), dtype=np.int64, count=len(found))
-        self.where.trim()
-        at = np.unique(at[at >= 0])
-        return [*subset_hashes(self.keys[at], self.member[at]), whole_hash(found)]
+        self.know(found)
+        at = np.fromiter(map(self.place.__getitem__, found), dtype=np.int64, count=len(found))
+        at = np.unique(at[at >= 0])  # two terms may share a hash
+        return [*subset_hashes(self.keys[at], self.member[at]), NO_WHOLE if len(at) else whole_hash(found)]
 
 
 def likeness(a: list[str], b: list[str]) -> float:
@@ -166,7 +179,7 @@ def hashed(found: set[str]) -> list[int]:
 def joined_fingerprint(keys, whole: str) -> list[str]:
     """As Lexicon.fingerprint, from a row's terms that are in the lexicon."""
     keys = np.array(keys, dtype=np.int64)
-    return [*subset_hashes(keys, member(keys)), whole]
+    return [*subset_hashes(keys, member(keys)), NO_WHOLE if len(keys) else whole]
 
 
 def fingerprints(docs: DataFrame, words: Lexicon | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +270,7 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str,
     """(doc_id, text, the following row's text) of the rows of dealt, sorted."""
     held = None
     for batch in batches:
-        columns = [batch.column(i) for i in range(4)]
-        for i in range(batch.num_rows):
-            bucket, guest, doc_id, text = (c[i].as_py() for c in columns)
+        for guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             if guest and held is None:
                 continue  # the bucket's rows are done
             if held is not None:
