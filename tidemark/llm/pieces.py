@@ -72,7 +72,7 @@ class PieceTable:
             self.matches.add_word(p, (i, len(p), i << 32))
         self.matches.make_automaton()
 
-        self._fits = Memo(self._can_follow)
+        self._fits = Memo(self._can_follow, 400_000)
         self.with_space = Memo(lambda w: self._ids(SPACE + w))
         self.without_space = Memo(self._ids)
         self._surface = [self._bytes(i) for i in range(n)]
@@ -229,7 +229,7 @@ def encode(
     """One row per row of docs: doc_id, the columns of `keep`, ids (array of int, with begin and end id), decoded.
 
     A null text counts as empty: its ids are the begin and end id, decoded is empty. Rows without id, repeated rows
-    and very long texts are encoded like any other. path names a model file that every executor can read
+    and very long texts are encoded like any other; an empty table has no rows. path names a model file that every executor can read
     (None: the installed public one). Other columns are not looked at.
     """
     keep = tuple(c for c in keep if c != id_col)
