@@ -23,6 +23,7 @@ def calendar_days(calendar: DataFrame) -> DataFrame:
 
 
 def calendar_join(df: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:
-    """df with sale_event of the period that holds `day`. The calendar is configuration: some periods a year."""
-    days = F.broadcast(calendar_days(calendar).select("calendar_day", "sale_event"))
+    """df with sale_event of the period that holds `day`. The calendar is configuration, some periods a year, so Spark sees that
+    it may be broadcast."""
+    days = calendar_days(calendar).select("calendar_day", "sale_event")
     return df.join(days, day == F.col("calendar_day"), "left").drop("calendar_day")

@@ -32,7 +32,7 @@ def dim_geography(states: DataFrame) -> DataFrame:
 
 
 def dim_customers(customers: DataFrame, geography: DataFrame) -> DataFrame:
-    places = F.broadcast(geography.select("state", "region", "remoteness_tier"))
+    places = geography.select("state", "region", "remoteness_tier")
     return customers.join(places, "state", "left").select(
         "customer_sk", "customer_id", "state", "region", "remoteness_tier", "state_raw", "pincode", "signup_at", "valid_from",
         "valid_to", "is_current", "version_number",

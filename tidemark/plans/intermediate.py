@@ -72,19 +72,18 @@ def orders_lifecycle(
     """Latest orders with the customer version valid at purchase, region, hub, sale, durations and service flags.
 
     `now` is the newest event in the feed. Orders and customer versions are joined on the customer; states, hubs and
-    the sale calendar are seeds and broadcast.
+    the sale calendar are seeds, which Spark broadcasts as long as their size is below its threshold.
     """
     now = F.broadcast(versions.agg(F.max("updated_at").alias("as_of_ts")))
     valid = customers.select("customer_id", "customer_sk", F.col("state").alias("customer_state"), "valid_from", "valid_to")
+    # by order first, as the latest versions are dealt; then by customer
+    paid = raw_payments.groupBy("order_id").agg(F.max("_loaded_at").alias("_paid"))
+    latest = latest.join(paid, "order_id", "left")
     rows = point_in_time_join(latest, valid, "customer_id", F.col("purchase_at"), ["customer_sk", "customer_state"])
-    rows = rows.join(
-        F.broadcast(states.select(F.col("state").alias("customer_state"), F.col("region").alias("customer_region"), "remoteness_tier")),
-        "customer_state", "left",
-    )
-    rows = rows.join(F.broadcast(hubs.select("hub_id", "hub_state", "hub_region")), "hub_id", "left")
+    rows = rows.join(states.select(F.col("state").alias("customer_state"), F.col("region").alias("customer_region"), "remoteness_tier"), "customer_state", "left")
+    rows = rows.join(hubs.select("hub_id", "hub_state", "hub_region"), "hub_id", "left")
     rows = calendar_join(rows, sales, F.col("purchase_at").cast("date"))
-    paid = raw_payments.groupBy("order_id").agg(F.max("_loaded_at").alias("_paid"))
-    rows = rows.join(paid, "order_id", "left").join(now)
+    rows = rows.join(now)
     status, arrived = F.col("order_status"), F.col("delivered_at")
     delivered_in_order = arrived >= F.col("shipped_at")
     approval = hours_between(F.col("purchase_at"), F.col("approved_at"))

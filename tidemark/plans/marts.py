@@ -157,7 +157,7 @@ def sale_event_impact(fact: DataFrame, sales: DataFrame, baseline_days: int = 28
         F.col("sale_event").alias("event"), F.col("start_date").alias("first"), F.col("end_date").alias("last"),
         F.date_sub("start_date", baseline_days).alias("start_date"), "end_date",
     )
-    days = F.broadcast(calendar_days(widened).drop("start_date", "end_date"))
+    days = calendar_days(widened).drop("start_date", "end_date")
     inside = F.col("order_date") >= F.col("first")
     rows = fact.join(days, F.col("order_date") == F.col("calendar_day")).filter(inside | F.col("sale_event").isNull())
     parts = rows.groupBy("event", "first", "last", inside.alias("inside")).agg(

@@ -32,9 +32,9 @@ def orders_cdc(orders: DataFrame) -> DataFrame:
 
 def customers_cdc(customers: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row per customer version; of copies the one loaded last stays. Free-text states become canonical ones, or
-    null where no alias fits. Aliases are a seed, hence the broadcast."""
+    null where no alias fits. Aliases are a seed of a size that Spark sees and broadcasts."""
     kept = keep_one(customers, ["customer_id", "updated_at"], [F.desc("_loaded_at")])
-    known = F.broadcast(aliases.select("alias", F.col("state").alias("_state")))
+    known = aliases.select("alias", F.col("state").alias("_state"))
     joined = kept.join(known, F.lower(F.trim("state")) == F.col("alias"), "left")
     return joined.select(
         "customer_id",
@@ -50,9 +50,10 @@ def customers_cdc(customers: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def order_items(items: DataFrame) -> DataFrame:
-    """One row per order line. The load time alone may tie, so the order names enough columns to be total."""
+    """One row per order line. The load time alone may tie, so the order names enough columns to be total. Lines are dealt by
+    order, as what follows goes by order too: they move once."""
     order = [F.col(c) for c in ("_loaded_at", "product_id", "seller_id", "quantity", "unit_price")]
-    kept = keep_one(items, ["order_id", "order_item_seq"], order)
+    kept = keep_one(items.repartition("order_id"), ["order_id", "order_item_seq"], order)
     return kept.select(
         F.concat("order_id", F.lit("-"), F.lpad(F.col("order_item_seq").cast("string"), 2, "0")).alias("order_item_id"),
         "order_id", "order_item_seq", "product_id", "seller_id", "quantity", "unit_price",
