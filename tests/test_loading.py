@@ -50,6 +50,19 @@ def test_loads_are_incremental_and_idempotent(spark, tmp_path):
     assert loader.table("orders").count() == 3
 
 
+def test_a_malformed_line_ends_the_load(spark, tmp_path):
+    """Nothing of it is published; once the file is mended, the load runs as a whole."""
+    landing = tmp_path / "landing"
+    land(landing, 1, ROW.format(n=1, d=1))
+    land(landing, 2, ROW.format(n=2, d=2), "O3,two,notatime,garbage")
+    loader = Loader(spark, str(landing), str(tmp_path / "raw"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        loader.run()
+    assert loader.manifest().isEmpty() and loader.table("orders").isEmpty()
+    land(landing, 2, ROW.format(n=2, d=2))
+    assert loader.run().rows["orders"] == 2 and loader.table("orders").count() == 2
+
+
 def test_daily_sink_leaves_published_days_alone(spark, tmp_path):
     df = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "k string, day string")
     write_daily(df, "day", str(tmp_path), "things")
