@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fitting sample: documents of a language, code points of a document (longer ones are represented by some
 #: of their parts) and languages (those with most documents are learnt).
 MAX_DOCS, MAX_CHARS, MAX_LANGUAGES = 250, 8_000, 500
-PART = r"\S*\s+|\S{1,200}"
+PART = r"\S*+\s++|\S{1,200}+"
 FOLDS, HELD_OUT = 4, 2
 SMOOTHING = 0.02
 UNKNOWN = "und"
@@ -268,7 +268,8 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
     taken = taken.withColumn("place", first).filter(F.col("place") <= MAX_DOCS)
     found = defaultdict(list)
-    for r in taken.select("lang", "place", thinned(F.col("text"), MAX_CHARS, PART).alias("text")).orderBy("lang", "place").collect():
+    chosen = taken.select("lang", "place", thinned(F.col("text"), MAX_CHARS, PART).alias("text")).collect()
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["place"])):
         found[r["lang"]].append(r["text"])
     return dict(found)
 

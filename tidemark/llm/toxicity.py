@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, boxed, held_out, read, release, thinned
+from tidemark.llm.common import Memo, boxed, checkpointed, held_out, read, release, thinned
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: A sentence with what ends it.
-PART = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
+PART = r"[^.!?\n]*+[.!?\n]|[^.!?\n]++"
 WORD = re.compile(r"\w+")
 #: Bounds of the fitting sample: labelled documents of each class; documents of each class with over LONG code points;
 #: code points of a document, of which longer ones are represented by some of their sentences.
@@ -139,7 +139,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     sizes = texts.select("doc_id", (F.char_length("text") > LONG).alias("long"))
-    there = sizes.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("long").alias("long"))
+    there = checkpointed(sizes.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max("long").alias("long")))
+    limits = {(y, long): MAX_LONG if long else MAX_POSITIVE if y else MAX_NEGATIVE for y in (0, 1) for long in (False, True)}
+    counts = {(r["toxic"], r["long"]): r["count"] for r in there.groupBy("toxic", "long").count().collect()}  # four rows at most
+    # somewhat more than is wanted of each kind, then the first ones by hash
+    steps, share = 1 << 20, F.lit(0)
+    for (y, long), n in counts.items():
+        wanted = min(steps, math.ceil(steps * 1.3 * limits[y, long] / n))
+        share = F.when((F.col("toxic") == y) & (F.col("long") == long), wanted).otherwise(share)
+    there = there.filter(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(steps)) < share)
     place = F.row_number().over(Window.partitionBy("toxic", "long").orderBy(F.xxhash64("doc_id"), "doc_id"))
     most = F.when(F.col("long"), MAX_LONG).when(F.col("toxic") == 1, MAX_POSITIVE).otherwise(MAX_NEGATIVE)
     chosen = there.withColumn("place", place).filter(F.col("place") <= MAX_NEGATIVE).filter(F.col("place") <= most)
