@@ -115,13 +115,13 @@ def _pairs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # the bars of the last few query blocks seen by this task
         for batch in batches:
-            for dim, q_kind, q_raw, q_cols, c_kind, c_raw, c_cols in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, q_kind, q_raw, q_cols, bars, c_kind, c_raw, c_cols in zip(*(c.to_pylist() for c in batch.columns)):
                 q_ids, c_ids = np.frombuffer(q_raw, "<i8"), np.frombuffer(c_raw, "<i8")
                 q, c = opened(q_kind, q_cols, dim, len(q_ids)), opened(c_kind, c_cols, dim, len(c_ids))
                 if len(known) > 64:
                     known.clear()
                 # a block's ids and columns, as an id may have several vectors
-                least = known.setdefault(q_raw + q_cols, np.full(len(q_ids), -np.inf))
+                least = known.setdefault(q_raw + q_cols, np.frombuffer(bars, "<f8").copy())
                 marks = [xxhash.xxh64_intdigest(np.ascontiguousarray(q[:, i]).tobytes()) >> 1 for i in range(q.shape[1])]
                 found = search(q, c, q_ids, c_ids, k, least)
                 yield pa.RecordBatch.from_arrays(
@@ -137,6 +137,23 @@ def _pairs(k: int):
     return run
 
 
+def _bars(k: int):
+    """Query blocks with, for each query, the score that k candidates of one block reach: what any task begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bars = []
+            for dim, q_kind, q_raw, q_cols, c_kind, c_raw, c_cols in zip(*(c.to_pylist() for c in batch.columns)):
+                q_ids, c_ids = np.frombuffer(q_raw, "<i8"), np.frombuffer(c_raw, "<i8")
+                q, c = opened(q_kind, q_cols, dim, len(q_ids)), opened(c_kind, c_cols, dim, len(c_ids))
+                least = np.full(len(q_ids), -np.inf)
+                search(q, c, q_ids, c_ids, k, least)
+                bars.append(least.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bars, pa.binary())], ["dim", "q_kind", "q_ids", "q_columns", "bars"])
+
+    return run
+
+
 #: Candidate blocks of a group: at least as many as leave each of the cluster's cores some groups, at most as many as a task
 #: reads in good time. Each query block is copied once for every group, so larger groups move less.
 GROUP, TASKS = 64, 4
@@ -154,7 +171,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     Vectors are packed to blocks in vertical layout. Each block of queries meets each block of candidates once, as the
     query set is stated against all rows: query blocks are repeated for every group of candidate blocks and joined by
-    the group's number, so a task holds one pair of blocks at a time whatever the size of the table.
+    the group's number, so a task holds one pair of blocks at a time whatever the size of the table. One block of
+    candidates is met by all queries first; the scores that it gives them are the bars that all tasks begin with.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     candidates = checkpointed(rows.mapInArrow(_blocks(CANDIDATES, scale, 0), BLOCK))
@@ -163,10 +181,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     groups = max(1, min(n // 2, max(n // GROUP, TASKS * cores)))
     group = F.pmod(F.xxhash64("dim", "first", "ids", "columns"), F.lit(groups))
     left = candidates.select("dim", group.alias("g"), *[F.col(c).alias(f"c_{c}") for c in ("kind", "ids", "columns")])
-    right = queries.select(
-        "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), *[F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "columns")]
-    )
-    met = right.join(left, ["dim", "g"]).select("dim", "q_kind", "q_ids", "q_columns", "c_kind", "c_ids", "c_columns")
+    # one block of each length gives every query a bar, so that bounds prune from the start in all tasks
+    one = left.groupBy("dim").agg(F.min_by(F.struct("c_kind", "c_ids", "c_columns"), F.xxhash64("c_ids", "c_columns")).alias("c")).select("dim", "c.*")
+    asked = queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "columns")]).join(checkpointed(one), "dim")
+    asked = checkpointed(asked.mapInArrow(_bars(k), "dim int, q_kind string, q_ids binary, q_columns binary, bars binary"))
+    right = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    met = right.join(left, ["dim", "g"]).select("dim", "q_kind", "q_ids", "q_columns", "bars", "c_kind", "c_ids", "c_columns")
     found = met.mapInArrow(_pairs(k), "query_id long, mark long, vec_id long, score long")
     by_score = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
