@@ -125,8 +125,11 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_stage_finds_planted_near_copies(spark):
-    """Copies of 0.8 and more go, however large their group; less similar texts stay."""
+@pytest.mark.parametrize("tries", [simhash.TRIES, ()])
+def test_stage_finds_planted_near_copies(spark, monkeypatch, tries):
+    """Copies of 0.8 and more go, however large their group; less similar texts stay. Without tries, all is left to blocks."""
+    monkeypatch.setattr(simhash, "TRIES", tries)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 9)
     rng = np.random.default_rng(3)
     docs, kept = [], []
     for base in range(40):

@@ -6,6 +6,10 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +28,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset and all of Spark is one
-    process is a folder made here. spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove what is done with.
+    Only where that is unset and all of Spark is one process is a folder made here.
     """
-    context = df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
+    return folder or context.getCheckpointDir()
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """df, written to a checkpoint and read from there. spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove it
+    once nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, what is checkpointed goes to tables of a folder that is removed in the end, so results must be `lasting`.
+
+    Checkpoints carry Spark's estimate of their size on, and joins multiply it: over many rounds the estimates alone fill the
+    driver's memory. The size of a written table is that of its files.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and read from the shared folder, so that its lineage ends: a table within `scratch`, else a checkpoint."""
+    folder = _scratch.get()
+    if folder is None:
+        return lasting(df)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fields(df: DataFrame) -> list[Column]:
     """The columns of df by name, whatever characters the names hold."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
@@ -54,10 +94,12 @@ def boxed(df: DataFrame, **more: Column) -> DataFrame:
 def thinned(text: Column, most: int, part: str) -> Column:
     """text if it has at most `most` code points; else those of its parts (matches of the pattern `part`) that a hash
     of their place chooses, about `most` code points together, from all of the text."""
-    kept = F.filter(
-        F.regexp_extract_all(text, F.lit(part), F.lit(0)), lambda x, i: F.pmod(F.xxhash64(i), F.char_length(text)) < most
+    # the one-element array binds the length, which is then counted once and not for each part
+    kept = F.transform(
+        F.array(F.char_length(text)),
+        lambda n: F.array_join(F.filter(F.regexp_extract_all(text, F.lit(part), F.lit(0)), lambda x, i: F.pmod(F.xxhash64(i), n) < most), ""),
     )
-    return F.when(F.char_length(text) <= most, text).otherwise(F.array_join(kept, ""))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.get(kept, F.lit(0)))
 
 
 def release() -> None:

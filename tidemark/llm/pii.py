@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import boxed, checkpointed, read
+from tidemark.llm.common import boxed, checkpointed, lasting, read, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -170,6 +170,11 @@ def patterns(detected: DataFrame, accept: float = ACCEPT, support: float = SUPPO
     so. An unseen instance is believed by the noisy-or of its accepted patterns' confidences, so that found identifiers
     in turn induce patterns. Rounds go on until none is accepted any more.
     """
+    with scratch(detected.sparkSession):
+        return lasting(_patterns(detected, accept, support))
+
+
+def _patterns(detected: DataFrame, accept: float, support: float) -> DataFrame:
     hits = detected.select(F.explode("hits").alias("h"))
     edges = checkpointed(hits.groupBy("h.kind", "h.context", "h.value").agg(F.max("h.seed").alias("seed")))
     loose = checkpointed(edges.filter(~F.col("seed")).select("kind", "context", "value"))

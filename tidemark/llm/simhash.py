@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
-from tidemark.llm.common import boxed, checkpointed, fields, read
+from tidemark.llm.common import boxed, checkpointed, fields, lasting, read, scratch
 from tidemark.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -29,6 +29,9 @@ WIDTH, LEAST = 5, (4, 5)
 BANDS, ROWS = 40, 8
 #: Of the BANDS * ROWS bits of two sketches, (1 - similarity) / 2 differ: 32 of 320 at 0.8, and 59 is five standard errors more.
 MAX_APART = 59
+#: Texts that each text of a bucket is compared with in each round, before the pairs that are left, and texts of a block
+#: in which these are compared.
+TRIES, BLOCK_TEXTS = (1, 8, 16), 64
 FACTORS, SUMMANDS = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 FACTORS |= np.uint32(1)
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 64)]
@@ -68,15 +71,24 @@ def _shingles(raw: bytes, width: int) -> Iterator[list[int]]:
         yield out
 
 
+def _counted(block: list[int]) -> np.ndarray:
+    """How many hashes of a block have each bit set."""
+    bits = np.unpackbits(np.array(block, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(total: np.ndarray, n: int) -> int:
+    packed = np.packbits(total * 2 > n, bitorder="little") if n else np.zeros(8, np.uint8)
+    return int(packed.view("<i8")[0])
+
+
 def simhash(text: str | None, width: int = 3) -> int:
     """The 64-bit fingerprint, as a signed long; 0 for a text without words."""
     total, n = np.zeros(64, dtype=np.int64), 0
     for block in _shingles((text or "").encode().lower(), width):  # bytes.lower changes A-Z only
-        bits = np.unpackbits(np.array(block, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        total += _counted(block)
         n += len(block)
-    packed = np.packbits(total * 2 > n, bitorder="little") if n else np.zeros(8, np.uint8)
-    return int(packed.view("<i8")[0])
+    return _majority(total, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -146,19 +158,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs without ASCII white space of the text with A-Z lower-cased; a fingerprint's bit is set if it is set
     in over half of the hashes of the shingles, repeats included. Equal texts have equal fingerprints and are
-    linked before any key is made. Null and empty texts have fingerprint 0 and are linked to each other (and to others
-    within two bits). A row without id stays, with the smallest id of its group, or null if none has one; ids that
-    repeat stay as often as they came. Other columns of docs are not looked at.
+    linked before any key is made, however many there are. Null and empty texts have fingerprint 0 and are linked to each
+    other (and to others within two bits). Whole texts are read, very long ones word by word. A row without id stays, with
+    the smallest id of its group, or null if none has one; ids that repeat stay as often as they came. An empty table has
+    no rows. Other columns of docs are not looked at.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, width))
-    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = checkpointed(connected_components(links(fps)))
-    joined = fps.join(parts, fps.fp == parts.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("part")
-    )
-    ids = checkpointed(joined.groupBy("part").agg(F.min("least").alias("component_id")))
-    named = checkpointed(joined.join(ids, "part").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession):
+        rows = checkpointed(fingerprints(docs, id_col, text_col, width))
+        fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        parts = checkpointed(connected_components(links(fps)))
+        joined = fps.join(parts, fps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+        joined = checkpointed(joined)
+        ids = joined.groupBy("part").agg(F.min("least").alias("component_id"))
+        named = checkpointed(joined.join(checkpointed(ids), "part").select("fp", "component_id"))
+        return lasting(rows.join(named, "fp").select("doc_id", "fp", "component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,30 +180,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def minima(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The least value of each of BANDS * ROWS hash functions over the shingles; the largest value without words."""
+def sketched(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """The least value of each of BANDS * ROWS hash functions over the shingles (the largest value without words), and the
+    fingerprint of the shingles."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    total, n = np.zeros(64, dtype=np.int64), 0
     for block in _shingles((text or "").encode().lower(), width):
+        total += _counted(block)
+        n += len(block)
         values = np.unique(np.array(block, dtype=np.uint64).astype(np.uint32))
         for lo in range(0, len(values), 256):
             hashed = values[lo : lo + 256, None] * FACTORS + SUMMANDS
             np.minimum(least, hashed.min(axis=0), out=least)
-    return least
+    return least, _majority(total, n)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tid, text -> tid, the keys of the bands, and a sketch of one bit for each minimum."""
+    """tid, text -> tid, the fingerprint, the keys of the bands, and a sketch of one bit for each minimum."""
     for batch in batches:
-        keys, bits = [], []
+        fps, keys, bits = [], [], []
         for text in batch.column(1):
-            least = minima(text.as_py())
+            least, fp = sketched(text.as_py())
+            fps.append(fp)
             keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))])
             bits.append(np.packbits(least & 1, bitorder="little").view("<i8"))
         keys = pa.array(np.array(keys, dtype=np.uint64).view(np.int64).reshape(-1))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BANDS), keys)
         sketch = np.array(bits, dtype=np.int64).reshape(-1, len(SKETCH)).T
-        columns = [batch.column(0), keys, *[pa.array(np.ascontiguousarray(c)) for c in sketch]]
-        yield pa.RecordBatch.from_arrays(columns, ["tid", "keys", *SKETCH])
+        columns = [batch.column(0), pa.array(fps, pa.int64()), keys, *[pa.array(np.ascontiguousarray(c)) for c in sketch]]
+        yield pa.RecordBatch.from_arrays(columns, ["tid", "fp", "keys", *SKETCH])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +245,46 @@ def _alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(_verified, "a long, b long"))
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two lists of (tid, part, shingles) a row -> the pairs between them that are similar and of different parts."""
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets = [np.frombuffer(x["shingles"], "<u8") for x in left]
+            sizes, parts = np.array([len(s) for s in sets]), np.array([x["part"] for x in left])
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            for y in right:
+                other = np.frombuffer(y["shingles"], "<u8")
+                # how many of its shingles each text of the left has, all at once
+                at = np.minimum(np.searchsorted(other, values), max(len(other) - 1, 0))
+                both = np.bincount(owner[other[at] == values], minlength=len(sets)) if len(other) else np.zeros(len(sets), int)
+                like = (both * LEAST[1] >= (sizes + len(other) - both) * LEAST[0]) & (parts != y["part"])
+                out += [(min(left[i]["tid"], y["tid"]), max(left[i]["tid"], y["tid"])) for i in np.nonzero(like)[0]]
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _across(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The links (a, b) between texts (tid, text) of different parts in the same bucket; placed: (key, tid, part).
+
+    The texts of a bucket are packed to blocks, and each block meets each other one of its bucket, so that pairs are
+    compared within a task and only links come out of it.
+    """
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    mixed = checkpointed(mixed.select("key", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks")))
+    rows = checkpointed(placed.join(mixed, "key"))
+    wanted = checkpointed(rows.select("tid").distinct())
+    sets = texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]).mapInArrow(_sets, "tid long, shingles binary")
+    block = F.pmod(F.xxhash64("tid", F.lit(7)), F.col("blocks")).alias("block")
+    met = rows.select("key", "tid", "part", block).join(checkpointed(sets), "tid")
+    # some BLOCK_TEXTS texts a list
+    packed = checkpointed(met.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "part", "shingles")).alias("items")))
+    left = packed.select("key", F.col("block").alias("l"), F.col("items").alias("l_items"))
+    right = packed.select("key", F.col("block").alias("r"), F.col("items").alias("r_items"))
+    pairs = left.join(right, "key").filter("l <= r").select("l_items", "r_items")
+    return checkpointed(pairs.mapInArrow(_linked, "a long, b long").filter("a < b").distinct())
+
+
 def text_hash(text: Column) -> Column:
     """64 bits that stand for a text (null counts as empty) where links are made."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -237,42 +295,68 @@ def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     over any number of links. Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8
     or more; texts without words (and null) are alike.
 
-    At 0.8 the SimHash fingerprints differ in some ten of 64 bits, more than keys of their segments can bridge, so
-    candidates share a band of minima instead, and every link is verified on the shingles themselves. First each text
-    of a bucket is verified against the bucket's smallest, which settles large groups of copies with one pair a text.
-    Then, in buckets whose texts still are in several components, all pairs across these are, unless their sketches rule
-    it out. So no pair that shares a band and could join two components is left out, whatever the size of its bucket.
+    Candidates come in three steps, and every link is verified on the shingles themselves. First, texts whose fingerprints
+    `links` joins through Golay-code keys. At 0.8 fingerprints differ in some ten of 64 bits, more than such keys can
+    bridge, so the others share a band of minima. Second, in rounds, a text is verified against some texts of other
+    components in its buckets (TRIES): that settles even a large group in which a pair in twenty is alike with some tens of
+    pairs a text. Third, in buckets whose texts still are in several components, texts of different ones are compared in
+    blocks. So no pair that shares a band and could join two components is left out, whatever the size of its bucket, and no
+    bucket is expanded into its pairs.
     """
+    with scratch(docs.sparkSession):
+        return lasting(_near_copies(docs, text_col))
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """nodes (tid, fp) -> pairs (a, b), a < b: texts of equal fingerprints with the smallest one, and the smallest ones of
+    fingerprints that are linked."""
+    first = checkpointed(nodes.groupBy("fp").agg(F.min("tid").alias("lead")))
+    same = nodes.join(first, "fp").filter("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b"))
+    near = checkpointed(links(first.select("fp")))
+    ends = [first.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in ("a", "b")]
+    other = near.join(ends[0], "a").join(ends[1], "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    return checkpointed(same.unionByName(other).distinct())
+
+
+def _near_copies(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(text_hash(F.col(text_col)).alias("tid"), text.alias("text"))
-    sketched = ", ".join(f"{s} long" for s in SKETCH)
-    rows = texts.mapInArrow(_banded, f"tid long, keys array<long>, {sketched}")
+    rows = texts.mapInArrow(_banded, f"tid long, fp long, keys array<long>, {', '.join(f'{s} long' for s in SKETCH)}")
     nodes = checkpointed(rows.dropDuplicates(["tid"]))
     keyed = nodes.select("tid", F.explode("keys").alias("key"))
-    leads = checkpointed(keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).filter("lead < last"))
-    shared = checkpointed(keyed.join(leads.select("key", "lead"), "key"))
-    sketches = nodes.select("tid", *SKETCH).join(shared.select("tid").distinct(), "tid", "left_semi")
-    sketches = checkpointed(sketches)
+    leads = keyed.groupBy("key").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).filter("lead < last")
+    shared = checkpointed(keyed.join(checkpointed(leads.select("key")), "key"))
+    sketches = checkpointed(nodes.select("tid", *SKETCH).join(shared.select("tid").distinct(), "tid", "left_semi"))
 
     def sketch(side: str) -> DataFrame:
         return sketches.select(F.col("tid").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in SKETCH])
 
     near = " + ".join(f"bit_count(a_{s} ^ b_{s})" for s in SKETCH) + f" <= {MAX_APART}"
-    stars = shared.filter("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b")).distinct()
-    stars = checkpointed(stars.join(sketch("a"), "a").join(sketch("b"), "b").filter(near).select("a", "b"))
-    first = _alike(texts, stars)
-    parts = checkpointed(connected_components(first))
-
-    placed = shared.join(parts, shared.tid == parts.node, "left").select("key", "tid", F.coalesce("component", "tid").alias("part"))
-    placed = checkpointed(placed)
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    mixed = checkpointed(placed.join(checkpointed(mixed), "key", "left_semi").join(sketches, "tid"))
-    left = mixed.select("key", F.col("tid").alias("a"), F.col("part").alias("a_part"), *[F.col(s).alias(f"a_{s}") for s in SKETCH])
-    right = mixed.select("key", F.col("tid").alias("b"), F.col("part").alias("b_part"), *[F.col(s).alias(f"b_{s}") for s in SKETCH])
-    across = left.join(right, "key").filter(f"a_part < b_part and {near}")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _alike(texts, checkpointed(across.join(stars, ["a", "b"], "left_anti")))
-    parts = checkpointed(connected_components(first.unionByName(second)))
+    found = _alike(texts, _by_fingerprint(nodes.select("tid", "fp")))
+    parts = checkpointed(connected_components(found))
+    placed = checkpointed(shared.join(parts, F.col("tid") == F.col("node"), "left").select("key", "tid", F.coalesce("component", "tid").alias("part")))
+    for turn, tries in enumerate(TRIES):
+        # in each bucket of several components, some texts by a hash: those that the others try
+        lead = lambda j: F.min(F.struct(F.xxhash64("tid", F.lit(64 * turn + j)).alias("h"), "tid", "part")).alias(f"lead{j}")  # noqa: E731, B023
+        leads = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *[lead(j) for j in range(tries)])
+        leads = checkpointed(leads.filter("lo < hi").drop("lo", "hi"))
+        if leads.isEmpty():
+            break
+        placed = checkpointed(placed.join(leads.select("key"), "key", "left_semi"))  # buckets of one component are done
+        # of each, a text tries the one of the bucket that a hash chooses
+        own = lambda j: F.struct(F.xxhash64("key", F.lit(j)).alias("h"), f"lead{j}.tid", f"lead{j}.part")
+        chosen = [F.min(F.when(F.col("part") != F.col(f"lead{j}.part"), own(j))).alias(f"x{j}") for j in range(tries)]
+        asked = placed.join(leads, "key").groupBy("tid", "part").agg(*chosen)
+        every = F.array_distinct(F.filter(F.array(*[F.when(F.col(f"x{j}").isNotNull(), F.struct(f"x{j}.tid", f"x{j}.part")) for j in range(tries)]), F.isnotnull))
+        stars = asked.select(F.col("tid").alias("b"), F.col("part").alias("v"), F.explode(every).alias("x")).select(F.col("x.tid").alias("a"), "b", F.col("x.part").alias("u"), "v")
+        stars = checkpointed(stars.join(sketch("a"), "a").join(sketch("b"), "b").filter(near).select("a", "b", "u", "v"))
+        alike = _alike(texts, stars.select("a", "b"))
+        merged = checkpointed(connected_components(stars.join(alike, ["a", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        placed = placed.join(merged, F.col("part") == F.col("node"), "left")
+        placed = checkpointed(placed.select("key", "tid", F.coalesce("component", "part").alias("part")))
+        found = found.unionByName(alike)
+    found = found.unionByName(_across(texts, placed))
+    parts = checkpointed(connected_components(found))
     return nodes.select("tid").join(parts, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("component", "tid").alias("part"))
 
 
@@ -284,7 +368,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Null and empty texts are a group. Very long texts are compared as a whole; an empty table stays empty; columns of
     other names pass as they are. Texts are told apart by text_hash; of n distinct texts some n^2 / 2^65 pairs share one.
     """
-    parts = checkpointed(near_copies(docs))
+    parts = near_copies(docs)
     ids, text = F.col("doc_id").cast("long"), text_hash(F.col("text"))
     rows = docs.select(ids.alias("id"), text.alias("tid")).groupBy("tid", "id").agg(F.count("*").alias("n"))
     # each text's first row, then that of each group; n tells how many rows share both id and text

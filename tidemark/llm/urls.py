@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, read
+from tidemark.llm.common import checkpointed, lasting, read, scratch
 
 
 @dataclass(frozen=True)
@@ -169,6 +169,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES)
     get equal results; rows without page_id stay; very long urls are taken as a whole; an empty table has no rows, and
     without labels nothing is blocked but by rules. Other columns are not looked at.
     """
+    with scratch(pages.sparkSession):
+        return lasting(_judged(pages, labels, rules))
+
+
+def _judged(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     rest = after_scheme(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(rest).alias("host"), path_of(rest).alias("path"))
