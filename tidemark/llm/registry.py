@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, imatch, language, mixing, pieces, pii, secrets, simhash, topk, toxicity, urls
+from tidemark.llm import html, imatch, language, mixing, phrases, pieces, pii, secrets, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,11 +15,13 @@ QUERIES = {
     "op10_language": language.op10_language,
     "op9_toxicity": toxicity.op9_toxicity,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op11_phrases": phrases.op11_phrases,
     "op12_secrets": secrets.op12_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_topk": topk.OP4_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_secrets": secrets.OP12_SQL,
 }
