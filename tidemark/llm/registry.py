@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, imatch, language, mixing, phrases, pieces, pii, secrets, simhash, topk, toxicity, urls
+from tidemark.llm import html, imatch, language, mixing, phrases, pieces, pii, secrets, simhash, topk, toxicity, trie, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op11_phrases": phrases.op11_phrases,
     "op12_secrets": secrets.op12_secrets,
+    "op13_trie": trie.op13_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
     "op11_phrases": phrases.OP11_SQL,
     "op12_secrets": secrets.OP12_SQL,
+    "op13_trie": trie.OP13_SQL,
 }
