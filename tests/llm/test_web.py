@@ -45,6 +45,16 @@ LONG = "<p>Long, text, with, commas, and more of it, on one thing.</p>" * 8
         ('<div><div><div><div><div><div><div><p>Very deep text.</p></div></div></div></div></div></div></div>', "Very deep text."),
         ("<blockquote>Short, quoted.</blockquote>", "Short, quoted."),
         ("<table><tr><td>One</td><td>1</td></tr></table>", "One"),
+        ('<p title="The hidden valley">A valley.</p>', "A valley."),
+        ("<p title='hidden'>A valley.</p>", "A valley."),
+        ('<p data-hidden="no" class=hidden-gem>A gem.</p>', "A gem."),
+        ('<div class="social"><p>Society, mostly.</p></div>', "Society, mostly."),
+        ('<div class="widget"><h3>A widget</h3><p>How it works.</p></div>', "How it works."),
+        ('<div class="banner"><h2>Banners of war</h2></div>', "Banners of war"),
+        ('<section id="promotion"><p>Pawns may become queens.</p></section>', "Pawns may become queens."),
+        ('<div class="ad-hoc"><p>For this.</p></div>', "For this."),
+        ('<div class="menu-planning"><p>Eat well.</p></div>', "Eat well."),
+        ('<div class="alert">The river rose.</div>', "The river rose."),
     ],
 )
 @pytest.mark.parametrize("page", ["<main><article>{}{}</article></main>", "<body><nav>Home</nav><div><article><div>{}{}</div></article></div></body>"])
@@ -66,12 +76,90 @@ def test_parts_of_an_article_stay(page, part, text):
         '<div class="cookie-notice">Nice cookies.</div>',
         "<aside>Nice side.</aside>",
         '<p hidden>Nice.</p>',
+        '<p HIDDEN="">Nice.</p>',
+        '<p class=x hidden>Nice.</p>',
+        '<div class="user-comment"><p>Nice, post, this.</p></div>',
+        '<div class="comment-body"><p>Nice, post, this.</p></div>',
+        '<div class="sponsored-content"><h3>Buy</h3><p>Nice, things, these.</p></div>',
+        '<div class="ad-large"><p>Nice, things.</p></div>',
+        '<div class="related-content"><h3>More</h3><p>Nice, too.</p></div>',
+        '<div class="subscribe-now"><p>Nice, letters.</p></div>',
+        '<div class="social"><a href="/f">Nice</a> <a href="/t">Nicer</a></div>',
+        '<div class="widget"><h3>Nice</h3><ul><li><a href="/a">Nice one, really, this</a></ul></div>',
+        '<div class="share">Share this</div>',
+        '<p class="copyright">© 2020 Nice.</p>',
+        '<div class="discussion"><div><span class="author">Nice</span><time>1 May</time><p>I, too, think so.</p></div></div>',
     ],
 )
 def test_surroundings_within_an_article_go(part):
     assert html.main_text(f"<article>{LONG}{part}</article>") == html.main_text(f"<article>{LONG}</article>") != ""
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_names_in_quoted_values_hide_nothing(tag):
+    assert html.main_text(f'<body><{tag} title="The hidden valley">{LONG}</{tag}></body>') == html.main_text(f"<body><{tag}>{LONG}</{tag}></body>") != ""
+
+
+def test_short_last_parts_stay():
+    for last in ("<section><p>That, in short, is all.</p></section>", "<div>That, in short, is all.</div>", "<div><div><p>That, in short, is all.</p></div></div>"):
+        assert html.main_text(f"<body><nav>Home</nav><div>{LONG}</div>{last}</body>").split("\n")[-1] == "That, in short, is all."
+    for last in ("<div>Imprint</div>", "<div>© 2020 us. All rights reserved.</div>", '<div><a href="/">Top of the page.</a></div>'):
+        assert html.main_text(f"<body><div>{LONG}</div>{last}</body>") == html.main_text(f"<body><div>{LONG}</div></body>")
+
+
+def plain_scores(tree):
+    """(score, tag) of all containers, each by summing over all paragraphs below it; tree: (tag, children or text)."""
+    def text(x):
+        return x[1] if isinstance(x[1], str) else "".join(map(text, x[1]))
+
+    def linked(x):
+        return len(text(x)) if x[0] == "a" else 0 if isinstance(x[1], str) else sum(map(linked, x[1]))
+
+    def density(x):
+        return linked(x) / max(len(text(x)), 1)
+
+    def paragraphs(x, depth):
+        if x[0] == "p":
+            own = "".join(text(c) for c in x[1] if c[0] != "a")
+            yield (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - density(x)) if own else 0.0, depth
+        elif x[0] != "a" and not isinstance(x[1], str):
+            for c in x[1]:
+                yield from paragraphs(c, depth + 1)
+
+    def containers(x):
+        if x[0] in ("div", "section", "main"):
+            yield x
+            for c in x[1]:
+                yield from containers(c)
+
+    shares = lambda d: 1.0 if d == 1 else 0.5 / 3 ** (d - 2)
+    bonus = {"div": 3, "section": 3, "main": 10}
+    return [(bonus[x[0]] + sum(p * shares(d) for p, d in paragraphs(x, 0))) * (1 - density(x)) for x in containers(tree) if any(p for p, _ in paragraphs(x, 0))]
+
+
+def test_scores_equal_the_plain_sum():
+    draw = random.Random(9)
+
+    def some(depth):
+        kind = draw.choice(["p", "p", "p", "div", "section", "main"]) if depth < 6 else "p"
+        if kind == "p":
+            parts = [(draw.choice(["#", "#", "a"]), "w" + draw.choice(["", ",", "x, y"]) * draw.randrange(30)) for _ in range(draw.randrange(1, 4))]
+            return kind, parts
+        return kind, [some(depth + 1) for _ in range(draw.randrange(1, 5))]
+
+    def markup(x):
+        if isinstance(x[1], str):
+            return f"<a href='/'>{x[1]}</a>" if x[0] == "a" else f"<i>{x[1]}</i>"
+        return f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+    for _ in range(200):
+        tree = "div", [some(0) for _ in range(draw.randrange(1, 5))]
+        best, scores = html.best_container(html.parse(markup(tree))), plain_scores(tree)
+        assert (best is None) == (not scores)
+        if scores:
+            assert best.score == pytest.approx(max(scores))
+
+
 def test_siblings_of_a_container_stay():
     page = f"<body><ul><li><a href=/>Menu</a></ul><h1>Head</h1><div class='story'>{LONG}</div><blockquote>Short quote.</blockquote><table><tr><td>Cell</table><h2>Sources</h2><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div class=footer>Imprint</div></body>"
     found = html.main_text(page).split("\n")

@@ -15,7 +15,7 @@ from tidemark.llm.common import read
 
 OPEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 OPEN_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BARE_END = re.compile(r"""=\s*[^\s"'>]*/$""")  # the slash is part of a value without quotes
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -44,25 +44,29 @@ AROUND = frozenset(
 COMMENT = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ITSELF = frozenset("article content main post entry story body text page".split())
 WITH = frozenset("has with no without layout".split())
-# Words that an article uses of itself too: within one, only their content tells what they mark.
-UNSURE = frozenset("discussion reply replies respond disclaimer copyright side notice notices alert alerts".split())
-# Words that say nothing more where they stand beside a word of AROUND or COMMENT.
-PLAIN = frozenset(
-    "area bar block blocks box button buttons container count form group icons inner item items js left link links list news outer "
-    "panel post posts articles stories right section sections site slot thread top bottom unit wrap wrapper area".split()
+# Within an article: words that name adverts, readers' comments and menus wherever they lead or end a name ...
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adslot sponsor sponsored comment comments commentlist disqus nav navbar "
+    "navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter subscribe signup login pagination".split()
 )
+# ... but not before these, ...
+NOT_SURE = frozenset("hoc on by from price prices planning law policy science study studies history theory".split())
+# ... and words that say so only where the content does: mostly links, a form, names and times of readers, or a mere label.
+HINTS = (AROUND | COMMENT) - SURE
+READER = frozenset("author avatar comment comments commentlist commenter user username reply permalink".split())
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+SENTENCE = re.compile(r"""[.!?…]["'”’)\]]*\s*$""")
 #: Elements beside a container that belong to its text unless they are mostly links.
 BESIDE = frozenset("blockquote pre table figure ul ol dl".split())
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "own", "readers")
+    __slots__ = ("tag", "attributes", "parent", "children", "score", "chars", "linked", "own")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked, self.own = 0.0, 0, 0, ""
-        self.readers: bool | None = None
 
 
 def parse(page: str) -> Node:
@@ -135,33 +139,90 @@ def _named(value: str) -> set[str]:
     return {p.lower() for p in PART.findall(value)}
 
 
-def _of_readers(node: Node) -> bool:
-    """A reader's comment, or what takes one."""
-    if node.tag in ("form", "textarea", "button", "input"):
-        return True
-    values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
-    return bool(_named(f"{values.get('class', '')} {values.get('itemprop', '')} {values.get('itemtype', '')}") & {"comment", "comments", "commentlist"})
+def _attributes(node: Node) -> dict[str, str]:
+    """By lower-cased name; the first of two counts. A name within a quoted value is no attribute."""
+    values: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(node.attributes):
+        values.setdefault(name.lower(), html.unescape(a or b or c))
+    return values
+
+
+class Content:
+    """What stands in an element: code points of text and of linked text, code points of sentences and paragraphs, and whether it
+    has headings, forms, or names and times of readers."""
 
+    __slots__ = ("chars", "linked", "told", "heading", "form", "reader", "first")
 
-def _holds_readers(node: Node) -> bool:
-    """Whether an element below node is of readers; kept for each element, as their names may be nested."""
-    if node.readers is None:
+    def __init__(self, children: list[Node | str], of: dict[int, Content]):
+        self.chars = self.linked = self.told = 0
+        self.heading = self.form = self.reader = False
+        self.first, run = "", []
+        for x in children:
+            if isinstance(x, str):
+                run.append(x)
+                self.chars += len(x.strip())
+                self.first = self.first or x.strip()
+                continue
+            c = of[id(x)]
+            self.first = self.first or c.first
+            self.chars += c.chars
+            self.linked += c.chars if x.tag == "a" else c.linked
+            self.told += c.chars - c.linked if x.tag in ("p", "blockquote", "pre", "table") else c.told
+            self.heading |= c.heading or x.tag in HEADINGS
+            self.form |= c.form or x.tag in ("form", "textarea", "button", "input")
+            names = _named(" ".join(v for k, v in _attributes(x).items() if k in ("class", "itemprop", "itemtype"))) if x.attributes else ()
+            self.reader |= c.reader or x.tag == "time" or not READER.isdisjoint(names)
+        text = " ".join("".join(run).split())
+        if SENTENCE.search(text):
+            self.told = max(self.told, len(text))
+
+
+def _content(node: Node, of: dict[int, Content]) -> Content:
+    """The content of node; that of all below it is kept in `of`, as marked names may be nested."""
+    if id(node) not in of:
         below, todo = [], [node]
         while todo:
             x = todo.pop()
             below.append(x)
-            todo += [c for c in x.children if isinstance(c, Node) and c.readers is None]
+            todo += [c for c in x.children if isinstance(c, Node) and id(c) not in of]
         for x in reversed(below):
-            x.readers = any(isinstance(c, Node) and (c.readers or _of_readers(c)) for c in x.children)
-    return node.readers
+            of[id(x)] = Content(x.children, of)
+    return of[id(node)]
+
+
+def _says_around(node: Node, names: list[str], of: dict[int, Content]) -> bool:
+    """Within an article: whether a class or id, and what the element holds, mark it as no part of the article.
+
+    A sure word that leads or ends a name is enough, unless a word of NOT_SURE tells that it is a topic. Any other marked name
+    is a hint, which an element follows if it holds readers' names, a form, mostly links, a notice of rights or no more
+    than a label. A hint alone takes no headed or running text away.
+    """
+    hinted = set()
+    for name in names:
+        parts = [p.lower() for p in PART.findall(name)]
+        if not parts:
+            continue
+        ends = [p for p in (parts[0], parts[-1]) if p in SURE]
+        if ends and not NOT_SURE & set(parts):
+            return True
+        hinted |= HINTS.intersection(parts) | set(ends)
+    if not hinted:
+        return False
+    c = _content(node, of)
+    if c.chars and c.linked >= 0.5 * c.chars or RIGHTS.match(c.first):
+        return True
+    if hinted & (COMMENT | {"share", "sharing", "social", "signup", "subscription", "popup", "modal"}) and (c.form or c.reader):
+        return True
+    if "related" in hinted and any(_named(n) <= {"related", "content", "posts", "post", "articles", "article", "stories", "story", "links", "news", "items", "reading"} for n in names if "related" in _named(n)):
+        return True
+    return not c.told and not c.heading
 
 
-def unwanted(node: Node, inside: bool = False) -> bool:
+def unwanted(node: Node, inside: bool = False, of: dict[int, Content] | None = None) -> bool:
     """Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and hidden parts.
 
-    inside: whether the node is within an article. There a class or id marks what is around it only if one of its names
-    says nothing else ("related-posts", not "related-work"), and unsure names ("discussion") only where comments or
-    forms are in the element; headings are the article's.
+    inside: whether the node is within an article. There a class or id says so only together with its place in the name or
+    with what the element holds (`_says_around`), and headings are the article's.
     """
     tag = node.tag
     if tag in NEVER_TEXT or tag == "fieldset" and not inside:
@@ -170,22 +231,17 @@ def unwanted(node: Node, inside: bool = False) -> bool:
         return True
     if not node.attributes or tag in ("html", "body", "main"):
         return False
-    values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
-    if values.get("role", "").lower() in NEVER_ROLE or values.get("aria-hidden", "").lower() == "true":
+    values = _attributes(node)
+    if values.get("role", "").lower() in NEVER_ROLE or values.get("aria-hidden", "").lower() == "true" or "hidden" in values:
         return True
-    if "display:none" in values.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|/|$)", node.attributes, re.I):
+    if "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
     names = f"{values.get('class', '')} {values.get('id', '')}"
-    words = _named(names)
     if inside:
         if tag in HEADINGS or tag == "header":
-            return bool(words & {"ad", "ads", "advert"})
-        for name in names.split():
-            parts = _named(name)
-            marks = parts & (AROUND | COMMENT)
-            if marks and parts <= marks | PLAIN and (marks - UNSURE or _holds_readers(node)):
-                return True
-        return False
+            return bool(_named(names) & {"ad", "ads", "advert"})
+        return _says_around(node, names.split(), {} if of is None else of)
+    words = _named(names)
     if words & COMMENT:
         return True
     if tag == "article" or words & WITH:
@@ -198,13 +254,13 @@ def unwanted(node: Node, inside: bool = False) -> bool:
 
 def _walk(node: Node, inside: bool = False) -> Iterator[Node]:
     """All wanted nodes below (and with) node in page order, without recursion; unwanted parts are cut out."""
-    todo = [(node, inside)]
+    todo, of = [(node, inside)], {}
     while todo:
         x, within = todo.pop()
         yield x
         if any(isinstance(c, Node) for c in x.children):
             within = within or x.tag in ("article", "main")
-            x.children = [c for c in x.children if isinstance(c, str) or not unwanted(c, within)]
+            x.children = [c for c in x.children if isinstance(c, str) or not unwanted(c, within, of)]
             todo += [(c, within) for c in reversed(x.children) if isinstance(c, Node)]
 
 
@@ -303,8 +359,8 @@ def main_text(page: str | None) -> str:
     A paragraph's points (one, one for each comma, up to three for its length, less its share of linked text) go to its
     parent, half of them to the grandparent, a sixth to the next and a third of that to each further one. A container's
     sum is discounted by its own share of linked text. Beside the best container, siblings stay that have a fifth of its
-    points (beside an article, only other articles), headings, paragraphs of running text, quotations, tables and lists
-    that aren't mostly links.
+    points (beside an article, only other articles), headings, paragraphs and short containers of running text, quotations,
+    tables and lists that aren't mostly links.
     """
     root = parse(page or "")
     best = best_container(root)
@@ -334,6 +390,8 @@ def main_text(page: str | None) -> str:
                     kept.append(x)
             elif x.score >= bar or x.tag == "p" and dense < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")) and not dense):
                 kept.append(x)
+            elif x.tag in ("div", "section") and dense < 0.25 and _content(x, {}).told and not RIGHTS.match(_content(x, {}).first):
+                kept.append(x)
             elif x.tag in HEADINGS or x.tag in BESIDE and dense < 0.25 and x.chars:
                 kept.append(x)
     if best.tag not in ("article", "main"):
