@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import long, rounded
 from tidemark.operators import checks
+from tidemark.operators.asof import asof_join
 from tidemark.operators.incremental import delete_insert
 from tidemark.operators.joins import calendar_join, point_in_time_join
 from tidemark.operators.rolling import rolling_zscore
@@ -83,6 +84,28 @@ def point_in_time_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["point_in_time_join"] = QUERIES.pop("point_in_time_join_orders")
 
 
+@query
+def asof_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its customer's state at purchase: that of the last move before it, else the one at sign-up."""
+    w = Warehouse.over(spark, sf_dir)
+    known = w.customers_scd2.select("customer_id", "state", "valid_from", "version_number")
+    at_first = known.filter("version_number = 1").select("customer_id", F.col("state").alias("first_state"))
+    moves = known.filter("version_number > 1").withColumn("moved_at", F.col("valid_from"))
+    orders = w.latest.select("order_id", "customer_id", "purchase_at").join(at_first, "customer_id", "left")
+    return asof_join(orders, moves, "customer_id", "purchase_at", "valid_from", ["state", "moved_at"], otherwise={"state": F.col("first_state")})
+
+
+QUERIES["asof_join"] = QUERIES.pop("asof_join_orders")
+
+
+@query
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event of the log with the user's last sign-up until then, if there was one."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    signups = events.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("signup_ts"), F.col("event_id").alias("signup_id"))
+    return asof_join(events, signups.withColumn("since", F.col("signup_ts")), "user_id", "ts", "since", ["signup_ts", "signup_id"])
+
+
 @query
 def pit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose state at purchase is not the customer's present one."""
