@@ -152,7 +152,7 @@ def models() -> tuple[Model, ...]:
         Model("stage_bottlenecks", "kpi", ("fct_orders",), (unique("state"), positive("delivered_orders"))),
         Model("sale_event_impact", "kpi", ("fct_orders",), (unique_together("sale_event", "start_date"), positive("orders_per_day"))),
         Model("order_funnel", "kpi", ("fct_orders",), (unique("order_month"), between("end_to_end_conversion", 0, 1), adds_up("placed", every))),
-        Model("data_quality_daily", "kpi", ("orders_cdc", "fct_orders"), (unique("extract_date"), between("late_arrival_rate", 0, 1))),
+        Model("data_quality_daily", "kpi", ("orders_cdc", "latest"), (unique("extract_date"), between("late_arrival_rate", 0, 1))),
     )
 
 

@@ -19,9 +19,11 @@ def mean(column: str, digits: int = 2) -> Column:
     return rounded(F.avg(F.col(column)), digits).alias(f"avg_{column}")
 
 
-def quantile(column: str, p: float) -> Column:
-    """Exact and interpolated."""
-    return rounded(F.percentile(column, p), 2)
+def with_quantiles(rows: DataFrame, groups: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """groups, one row per value of keys, with the quantiles of column (name: share) over rows, which should be stored."""
+    found = exact_quantiles(rows, keys, column, shares)
+    met = [F.col(f"g.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
+    return groups.alias("g").join(found.alias("q"), met, "left").select("g.*", *[rounded(F.col(n), 2).alias(n) for n in shares])
 
 
 def total(column: str) -> Column:
@@ -29,8 +31,9 @@ def total(column: str) -> Column:
 
 
 def fulfillment_daily(fact: DataFrame) -> DataFrame:
-    delivered = F.count_if("is_delivered")
-    return fact.groupBy("order_date", "customer_state", "customer_region").agg(
+    """fact should be stored."""
+    delivered, keys = F.count_if("is_delivered"), ["order_date", "customer_state", "customer_region"]
+    daily = fact.groupBy(*keys).agg(
         F.any_value("sale_event", True).alias("sale_event"),
         F.count("*").alias("orders"),
         delivered.alias("delivered_orders"),
@@ -41,19 +44,18 @@ def fulfillment_daily(fact: DataFrame) -> DataFrame:
         mean("approval_hours"),
         mean("processing_hours"),
         mean("delivery_days"),
-        quantile("delivery_days", 0.9).alias("p90_delivery_days"),
         rounded(ratio(F.count_if(F.col("is_delivered") & ~F.col("is_late")), delivered), 4).alias("on_time_rate"),
         total("gross_merchandise_value").alias("gmv"),
         total("net_revenue").alias("net_revenue"),
     )
+    return with_quantiles(fact, daily, keys, "delivery_days", {"p90_delivery_days": 0.9})
 
 
 def state_scorecard(fact: DataFrame) -> DataFrame:
     """States against the national averages, which come from the states' own sums. Ranks and national sums run over one row
-    per state; a state may have any number of orders, so its quantiles come from bins of an hour. fact should be stored."""
+    per state; a state may have any number of orders. fact should be stored."""
     keys = ["state", "region", "remoteness_tier"]
     fact = fact.withColumnsRenamed({"customer_state": "state", "customer_region": "region"})
-    quantiles = exact_quantiles(fact, keys, "delivery_days", {"p50": 0.5, "p90": 0.9}, step=1 / 24)
     by_state = fact.groupBy(*keys).agg(
         F.count("*").alias("orders"),
         *[mean(c) for c in ("approval_hours", "processing_hours", "transit_days", "delivery_days")],
@@ -67,10 +69,7 @@ def state_scorecard(fact: DataFrame) -> DataFrame:
         F.count_if(F.col("is_delivered") & ~F.col("is_late")).alias("_punctual"),
         F.count_if(F.col("is_delivered") & F.col("is_late").isNotNull()).alias("_judged"),
     )
-    met = [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]
-    by_state = by_state.alias("s").join(quantiles.alias("q"), met, "left").select(
-        "s.*", rounded(F.col("p50"), 2).alias("p50_delivery_days"), rounded(F.col("p90"), 2).alias("p90_delivery_days")
-    )
+    by_state = with_quantiles(fact, by_state, keys, "delivery_days", {"p50_delivery_days": 0.5, "p90_delivery_days": 0.9})
     rate, national = F.col("on_time_rate"), ratio(overall("_punctual"), overall("_judged"))
     return by_state.withColumns(
         {
@@ -102,23 +101,22 @@ def group_mean(column: str) -> Column:
 
 
 def courier_performance(fact: DataFrame) -> DataFrame:
-    return (
-        fact.filter("shipped_at is not null")
-        .groupBy(
-            F.trunc("order_date", "month").alias("order_month"), "courier", "customer_region", F.col("sale_event").isNotNull().alias("is_sale_period")
-        )
-        .agg(
-            F.count("*").alias("shipments"),
-            F.count_if("is_delivered").alias("delivered"),
-            F.count_if("is_rto").alias("rto"),
-            mean("transit_days"),
-            quantile("transit_days", 0.9).alias("p90_transit_days"),
-            F.count_if("is_late").alias("sla_breaches"),
-            rounded(on_time(), 4).alias("on_time_rate"),
-            rounded(F.avg(F.when(F.col("is_late"), F.col("days_late"))), 2).alias("avg_days_late_when_late"),
-            rounded(share(F.col("is_rto")), 4).alias("rto_rate"),
-        )
+    """fact should be stored."""
+    keys = ["order_month", "courier", "customer_region", "is_sale_period"]
+    shipped = fact.filter("shipped_at is not null").withColumns(
+        {"order_month": F.trunc("order_date", "month"), "is_sale_period": F.col("sale_event").isNotNull()}
+    )
+    couriers = shipped.groupBy(*keys).agg(
+        F.count("*").alias("shipments"),
+        F.count_if("is_delivered").alias("delivered"),
+        F.count_if("is_rto").alias("rto"),
+        mean("transit_days"),
+        F.count_if("is_late").alias("sla_breaches"),
+        rounded(on_time(), 4).alias("on_time_rate"),
+        rounded(F.avg(F.when(F.col("is_late"), F.col("days_late"))), 2).alias("avg_days_late_when_late"),
+        rounded(share(F.col("is_rto")), 4).alias("rto_rate"),
     )
+    return with_quantiles(shipped, couriers, keys, "transit_days", {"p90_transit_days": 0.9})
 
 
 def stage_bottlenecks(fact: DataFrame) -> DataFrame:
@@ -151,7 +149,8 @@ def stage_bottlenecks(fact: DataFrame) -> DataFrame:
 def sale_event_impact(fact: DataFrame, sales: DataFrame, baseline_days: int = 28) -> DataFrame:
     """Each sale against the non-sale orders of the four weeks before it; sales without such orders are left out.
 
-    Periods are widened by the baseline and exploded to days, so the range join is an equality with a small table.
+    Periods are widened by the baseline and exploded to days, so the range join is an equality with a small table. One
+    pass: each figure is taken of the orders during the sale and of those before it, in one aggregate by sale.
     """
     widened = sales.select(
         F.col("sale_event").alias("event"), F.col("start_date").alias("first"), F.col("end_date").alias("last"),
@@ -159,17 +158,22 @@ def sale_event_impact(fact: DataFrame, sales: DataFrame, baseline_days: int = 28
     )
     days = calendar_days(widened).drop("start_date", "end_date")
     inside = F.col("order_date") >= F.col("first")
-    rows = fact.join(days, F.col("order_date") == F.col("calendar_day")).filter(inside | F.col("sale_event").isNull())
-    parts = rows.groupBy("event", "first", "last", inside.alias("inside")).agg(
-        F.countDistinct("order_date").alias("days"), F.count("*").alias("orders"),
-        F.avg("approval_hours").alias("approval"), F.avg("delivery_days").alias("delivery"), on_time().alias("on_time"),
-    )
+    rows = fact.join(days, F.col("order_date") == F.col("calendar_day")).filter(inside | F.col("sale_event").isNull()).withColumn("inside", inside)
+    punctual = F.when(F.col("is_delivered"), (~F.col("is_late")).cast("double"))
+    figures = {"approval": F.col("approval_hours"), "delivery": F.col("delivery_days"), "on_time": punctual}
+    sides = {"": F.col("inside"), "b_": ~F.col("inside")}
     keys = ["event", "first", "last"]
-    e = parts.filter("inside").drop("inside", "days")
-    b = parts.filter("not inside").select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("days", "orders", "approval", "delivery", "on_time")])
+    # days are counted after one more grouping, by day, so that no distinct aggregate doubles the rows
+    daily = rows.groupBy(*keys, "inside", "order_date").agg(
+        F.count("*").alias("orders"), *[F.sum(x).alias(f"sum_{n}") for n, x in figures.items()], *[F.count(x).alias(f"n_{n}") for n, x in figures.items()]
+    )
+    means = [ratio(F.sum(F.when(at, F.col(f"sum_{n}"))), F.sum(F.when(at, F.col(f"n_{n}")))).alias(f"{side}{n}") for side, at in sides.items() for n in figures]
+    both = daily.groupBy(*keys).agg(
+        F.sum(F.when(F.col("inside"), F.col("orders"))).alias("orders"), F.sum(F.when(~F.col("inside"), F.col("orders"))).alias("b_orders"), F.count_if(~F.col("inside")).alias("b_days"), *means
+    ).filter("orders > 0 and b_orders > 0")
     event_days = F.datediff("last", "first") + 1
     per_day, before = ratio(F.col("orders"), event_days), ratio(F.col("b_orders"), F.col("b_days"))
-    return e.join(b, keys).select(
+    return both.select(
         F.col("event").alias("sale_event"),
         F.col("first").alias("start_date"),
         F.col("last").alias("end_date"),
@@ -203,7 +207,9 @@ def order_funnel(fact: DataFrame) -> DataFrame:
     )
 
 
-def data_quality_daily(raw_orders: DataFrame, versions: DataFrame, fact: DataFrame) -> DataFrame:
+def data_quality_daily(raw_orders: DataFrame, versions: DataFrame, latest: DataFrame) -> DataFrame:
+    """An anomaly is an order whose latest version was delivered before it was shipped, on the day of its delivery; the fact
+    isn't needed for that."""
     raw = raw_orders.groupBy(path_date(F.col("_source_file")).alias("extract_date")).agg(F.count("*").alias("raw_rows"))
     kept = versions.groupBy("extract_date").agg(
         F.count("*").alias("distinct_versions"),
@@ -211,7 +217,7 @@ def data_quality_daily(raw_orders: DataFrame, versions: DataFrame, fact: DataFra
         F.count_if("is_late_arrival").alias("late_arriving_versions"),
         F.max(F.datediff("extract_date", F.col("updated_at").cast("date"))).cast("long").alias("max_arrival_lag_days"),
     )
-    skewed = fact.filter("has_timestamp_anomaly").groupBy(F.col("delivered_at").cast("date").alias("extract_date")).agg(
+    skewed = latest.filter("delivered_at < shipped_at").groupBy(F.col("delivered_at").cast("date").alias("extract_date")).agg(
         F.count("*").alias("timestamp_anomalies")
     )
     none = F.lit(0).cast("long")

@@ -115,11 +115,11 @@ class Warehouse:
 
     @cached_property
     def data_quality_daily(self) -> DataFrame:
-        return marts.data_quality_daily(self.feeds.orders, self.orders_cdc, self.fct_orders)
+        return marts.data_quality_daily(self.feeds.orders, self.orders_cdc, self.latest)
 
     @cached_property
     def fulfillment_daily(self) -> DataFrame:
-        return marts.fulfillment_daily(self.fct_orders)
+        return marts.fulfillment_daily(self.stored_fact)
 
     @cached_property
     def state_scorecard(self) -> DataFrame:
@@ -127,7 +127,7 @@ class Warehouse:
 
     @cached_property
     def courier_performance(self) -> DataFrame:
-        return marts.courier_performance(self.fct_orders)
+        return marts.courier_performance(self.stored_fact)
 
     @cached_property
     def stage_bottlenecks(self) -> DataFrame:
