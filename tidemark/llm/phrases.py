@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ GATHERED = 6_000_000
 #: Candidates that a task remembers so as to tell them once.
 TOLD = 500_000
 #: Phrases of one automaton.
-SHARD = 250_000
+SHARD = 600_000
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
 
@@ -105,7 +106,7 @@ class Words:
         inside = (data != 32) & (data != 10)
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.chunk, self.starts, self.ends = chunk, edge[::2], edge[1::2]
-        self.n, self.fresh = len(self.starts), max(0, len(self.starts) - seen)
+        self.n, self.seen, self.fresh = len(self.starts), seen, max(0, len(self.starts) - seen)
         self.new = np.arange(self.n) >= seen
         self.piece = np.cumsum(data == 10, dtype=np.int32)[self.starts]
         up, down = _powers(1 << max(20, len(data).bit_length()))
@@ -123,6 +124,11 @@ class Words:
             found = _mixed(found * np.uint64(_FACTOR) + self.word[i : n + i])
         return found, (self.piece[:n] == self.piece[k - 1 :][:n]) & self.new[k - 1 :][:n]
 
+    def likely(self, pairs: np.ndarray, power: int) -> np.ndarray:
+        """From which words on a pair within a piece is heavy."""
+        found, _ = self.phrases(2)
+        return _heavy(pairs, found >> np.uint64(64 - power)) & (self.piece[:-1] == self.piece[1:]) if len(found) else np.zeros(0, bool)
+
     def text(self, i: int, k: int) -> str:
         return b" ".join(w for w in self.chunk[self.starts[i] : self.ends[i + k - 1]].split(b" ") if w).decode()
 
@@ -149,7 +155,7 @@ def _likely(words: Words, pairs: np.ndarray | None, power: int) -> list[tuple[in
     found, new = words.phrases(2)
     if pairs is None:
         return [(2, found, new)]
-    good = _heavy(pairs, found >> np.uint64(64 - power)) if len(found) else np.zeros(0, bool)
+    good = words.likely(pairs, power)
     out = []
     for k in range(3, WORDS + 1):
         found, new = words.phrases(k)
@@ -283,48 +289,57 @@ def candidates(rows: DataFrame, power: int, pairs, longer) -> DataFrame:
     return rows.mapInArrow(run, "lang string, phrase string").distinct()
 
 
-#: Symbols of what is no word of an automaton's phrases: the end of a piece, which no match crosses, and any other word.
-_END, _OTHER = "\x01", "\x02"
+_SPACES = re.compile(b"  +")
 
 
 class Automata:
     """Counts the occurrences of phrases (lang, phrase) in texts, overlaps included.
 
-    A word of the phrases is one symbol, so that a match ends where words do; pieces are parted by a symbol that no phrase
-    has.
+    Each phrase is guarded by a space on either side, and words of the text are parted by one space, so that a match begins and
+    ends where words do; between stretches of text stands a line feed, which no phrase has. Single words need no automaton.
     """
 
     def __init__(self, phrases: list[tuple[str, str]]):
-        self.known: dict[str, tuple[dict[bytes, str], ahocorasick.Automaton]] = {}
+        self.longer: dict[str, ahocorasick.Automaton] = {}
+        self.words: dict[str, dict[bytes, int]] = {}
         for i, (lang, phrase) in enumerate(phrases):
-            if lang not in self.known:
-                self.known[lang] = ({b"\n": _END, b"": ""}, ahocorasick.Automaton(ahocorasick.STORE_INTS))
-            symbols, automaton = self.known[lang]
-            automaton.add_word("".join([symbols.setdefault(w, self.symbol(len(symbols))) for w in phrase.encode().split(b" ")]), i)
-        for _, automaton in self.known.values():
+            if " " in phrase:
+                self.longer.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", i)
+            else:
+                self.words.setdefault(lang, {})[phrase.encode()] = i
+        for automaton in self.longer.values():
             automaton.make_automaton()
 
-    @staticmethod
-    def symbol(n: int) -> str:
-        """The n-th symbol from 3 on, without surrogates."""
-        return chr(n + 1 if n + 1 < 0xD800 else n + 1 + 0x800)
-
-    def count(self, lang: str, chunk: bytes, seen: int, counts: Counter) -> None:
-        if lang not in self.known:
+    def count(self, lang: str, words: Words, likely: np.ndarray, counts: np.ndarray) -> None:
+        """Adds to counts (by place in phrases) what a chunk has. likely: where words stand whose pair with the next may be part
+        of a phrase; the stretches of such pairs are all that has to be searched."""
+        if known := self.words.get(lang):
+            each = Counter([w for w in words.chunk.replace(b"\n", b" ").split(b" ") if w][words.seen :])
+            for w in each.keys() & known.keys():
+                counts[known[w]] += each[w]
+        if lang not in self.longer or not likely.any():
             return
-        symbols, automaton = self.known[lang]
-        get = symbols.get
-        text = "".join([get(w, _OTHER) for w in chunk.replace(b"\n", b" \n ").split(b" ")])
-        if seen:
-            counts.update([i for end, i in automaton.iter(text) if end >= seen])
-        else:
-            counts.update(map(itemgetter(1), automaton.iter(text)))
+        edge = np.flatnonzero(np.diff(likely, prepend=False, append=False))
+        first, last = edge[::2], edge[1::2]  # a stretch is of the words from first to last
+        parts = [words.chunk[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[last].tolist())]
+        known = next((i for i, a in enumerate(first.tolist()) if a >= words.seen), len(parts))
+        for a, part in zip(first[:known].tolist(), parts):  # begins with words of the chunk before
+            text = self._spaced([part])
+            past = len(" ".join(text.split(" ")[: words.seen - a + 1]))
+            for end, i in self.longer[lang].iter(text):
+                counts[i] += end > past
+        found = np.fromiter(map(itemgetter(1), self.longer[lang].iter(self._spaced(parts[known:]))), np.int64)
+        np.add.at(counts, found, 1)
+
+    @staticmethod
+    def _spaced(parts: list[bytes]) -> str:
+        return _SPACES.sub(b" ", b" %b " % b" \n ".join(parts)).decode()
 
 
 _made: dict[str, Automata] = {}
 
 
-def counted(rows: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+def counted(rows: DataFrame, phrases: list[tuple[str, str]], power: int, pairs) -> DataFrame:
     """(lang, phrase, n): how often each of the phrases, given as a bounded list, occurs in rows (lang, text)."""
     shared, key = rows.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
 
@@ -332,13 +347,16 @@ def counted(rows: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
         if key not in _made:  # one at a time in each worker
             _made.clear()
             _made[key] = Automata(shared.value)
-        counts: Counter = Counter()
+        counts = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for lang, texts in _by_language(batch):
+                salt = _lang_hash(lang)
                 for chunk, seen in chunks(texts):
-                    _made[key].count(lang, chunk, seen, counts)
+                    words = Words(chunk, seen, salt)
+                    _made[key].count(lang, words, words.likely(pairs.value, power), counts)
         release()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["i", "n"])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["i", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +388,7 @@ def frequencies(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> tupl
     for i in range(shards):
         # about `shard` phrases: the hash deals them evenly
         phrases = sorted((r["lang"], r["phrase"]) for r in found.filter(F.col("shard") == i).select("lang", "phrase").collect())
-        parts.append(checkpointed(counted(rows, phrases).filter(F.col("n") >= least)))
+        parts.append(checkpointed(counted(rows, phrases, power, pairs).filter(F.col("n") >= least)))
     return reduce(DataFrame.unionByName, parts), totals
 
 
