@@ -52,7 +52,7 @@ def texts(n=400):
     return [*out, ("en", None), (None, ""), ("en", "new york city hall " * 300), ("fr", "the the the the the " * 50), ("x", " \t\n. ")]
 
 
-@pytest.mark.parametrize(("least", "shard"), [(3, 600_000), (30, 600_000), (12, 40)])
+@pytest.mark.parametrize(("least", "shard"), [(3, 300_000), (30, 300_000), (12, 40)])
 def test_equals_the_definition(spark, least, shard):
     """Also with candidates spread over several automata."""
     docs = texts()

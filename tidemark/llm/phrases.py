@@ -31,11 +31,11 @@ BYTES_PER_CELL, FEWEST, MOST = 24, 16, 30
 #: Cells of a sketch's block; a partial sketch travels block by block.
 BLOCK = 1 << 16
 #: Occurrences that a task gathers before it sends partial counts.
-GATHERED = 6_000_000
+GATHERED = 3_000_000
 #: Candidates that a task remembers so as to tell them once.
 TOLD = 500_000
 #: Phrases of one automaton.
-SHARD = 600_000
+SHARD = 300_000
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
 
@@ -339,15 +339,21 @@ class Automata:
 _made: dict[str, Automata] = {}
 
 
-def counted(rows: DataFrame, phrases: list[tuple[str, str]], power: int, pairs) -> DataFrame:
-    """(lang, phrase, n): how often each of the phrases, given as a bounded list, occurs in rows (lang, text)."""
-    shared, key = rows.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
+def counted(rows: DataFrame, phrases: pa.Table, power: int, pairs) -> DataFrame:
+    """(lang, phrase, n): how often each of the phrases (lang, phrase), a bounded table, occurs in rows (lang, text)."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, phrases.schema) as writer:
+        writer.write_table(phrases)
+    shared, key = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+    def table() -> pa.Table:
+        return pa.ipc.open_stream(shared.value).read_all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:  # one at a time in each worker
             _made.clear()
-            _made[key] = Automata(shared.value)
-        counts = np.zeros(len(shared.value), np.int64)
+            _made[key] = Automata(list(zip(*[c.to_pylist() for c in table().columns])))
+        counts = np.zeros(table().num_rows, np.int64)
         for batch in batches:
             for lang, texts in _by_language(batch):
                 salt = _lang_hash(lang)
@@ -359,10 +365,10 @@ def counted(rows: DataFrame, phrases: list[tuple[str, str]], power: int, pairs)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["i", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table()
         for batch in batches:
-            chosen = [shared.value[i] for i in batch.column(0).to_pylist()]
-            columns = [pa.array([c[x] for c in chosen], pa.string()) for x in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["lang", "phrase", "n"])
+            for part in known.take(batch.column(0)).append_column("n", batch.column(1)).combine_chunks().to_batches():
+                yield part
 
     sums = rows.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     return sums.mapInArrow(named, "lang string, phrase string, n long")
@@ -387,7 +393,7 @@ def frequencies(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> tupl
     parts = []
     for i in range(shards):
         # about `shard` phrases: the hash deals them evenly
-        phrases = sorted((r["lang"], r["phrase"]) for r in found.filter(F.col("shard") == i).select("lang", "phrase").collect())
+        phrases = found.filter(F.col("shard") == i).select("lang", "phrase").toArrow()
         parts.append(checkpointed(counted(rows, phrases, power, pairs).filter(F.col("n") >= least)))
     return reduce(DataFrame.unionByName, parts), totals
 
