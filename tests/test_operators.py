@@ -1,9 +1,10 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import path_date, rounded, status_rank
+from tidemark.functions.columns import STATUS_RANK, path_date, rounded, status_rank
 from tidemark.operators import checks
 from tidemark.operators.incremental import Versioned, affected, delete_insert
 from tidemark.operators.quantiles import exact_quantiles
@@ -21,51 +22,81 @@ def ts(text):
 VERSIONS = "order_id string, order_status string, status_precedence int, updated_at timestamp_ntz, _loaded_at timestamp_ntz, is_late_arrival boolean"
 
 
-def test_latest_version_goes_by_event_time_then_status(spark):
-    rows = [
-        ("A", "shipped", 3, ts("2024-01-03 10:00"), ts("2024-01-04 01:00"), False),
-        ("A", "approved", 2, ts("2024-01-02 09:00"), ts("2024-01-05 01:00"), True),
-        ("B", "delivered", 4, ts("2024-01-09 12:00"), ts("2024-01-10 01:00"), False),
-        ("B", "returned", 6, ts("2024-01-09 12:00"), ts("2024-01-10 01:00"), False),
-    ]
+def test_latest_version_of_many_orders_equals_the_definition(spark):
+    """Random logs with ties of time and of time and rank; when rows arrived tells nothing."""
+    draw = random.Random(12)
+    names = [*STATUS_RANK, "lost"]
+    rows = []
+    for n in range(300):
+        for _ in range(draw.randrange(1, 6)):
+            status = draw.choice(names)
+            at = datetime(2021, 5, 1) + timedelta(hours=draw.randrange(4))
+            rows.append((f"order {n % 120}", status, STATUS_RANK.get(status, 0), at, at + timedelta(days=draw.randrange(9)), draw.random() < 0.2))
     found = {r["order_id"]: r for r in latest_version(spark.createDataFrame(rows, VERSIONS)).collect()}
-    assert [(k, found[k]["order_status"], found[k]["version_count"], found[k]["had_late_arrival"], found[k]["last_loaded_at"]) for k in "AB"] == [
-        ("A", "shipped", 2, True, ts("2024-01-05 01:00")),
-        ("B", "returned", 2, False, ts("2024-01-10 01:00")),
-    ]
+    assert set(found) == {r[0] for r in rows}
+    for key, r in found.items():
+        mine = [x for x in rows if x[0] == key]
+        assert (r["updated_at"], r["status_precedence"]) == max((x[3], x[2]) for x in mine)
+        assert (r["version_count"], r["had_late_arrival"], r["last_loaded_at"]) == (len(mine), any(x[5] for x in mine), max(x[4] for x in mine))
 
 
-def test_lifecycle_takes_the_customer_valid_at_purchase(spark):
-    order = (
-        "order_id string, customer_id string, hub_id string, courier string, payment_method string, order_status string, version_count long, "
-        "had_late_arrival boolean, purchase_at timestamp_ntz, approved_at timestamp_ntz, shipped_at timestamp_ntz, delivered_at timestamp_ntz, "
-        "closed_at timestamp_ntz, estimated_delivery_date date, updated_at timestamp_ntz, last_loaded_at timestamp_ntz"
-    )
-    latest = spark.createDataFrame(
-        [
-            ("O1", "C1", "HUB-BLR", "SwiftShip", "UPI", "delivered", 4, False, ts("2024-03-01 10:00"), ts("2024-03-01 16:00"), ts("2024-03-02 10:00"),
-             ts("2024-03-08 12:00"), None, date(2024, 3, 6), ts("2024-03-08 12:00"), ts("2024-03-09 00:00")),
-            ("O2", "C1", "HUB-BLR", "SwiftShip", "COD", "delivered", 4, False, ts("2024-06-01 10:00"), ts("2024-06-02 10:00"), ts("2024-06-03 10:00"),
-             ts("2024-06-03 05:00"), None, date(2024, 6, 8), ts("2024-06-07 10:00"), ts("2024-06-08 00:00")),
-        ],
-        order,
-    )
+ORDERS = (
+    "order_id string, customer_id string, hub_id string, courier string, payment_method string, order_status string, version_count long, "
+    "had_late_arrival boolean, purchase_at timestamp_ntz, approved_at timestamp_ntz, shipped_at timestamp_ntz, delivered_at timestamp_ntz, "
+    "closed_at timestamp_ntz, estimated_delivery_date date, updated_at timestamp_ntz, last_loaded_at timestamp_ntz"
+)
+
+
+def life(spark, **given):
+    """The life cycle of one order of a customer who lived in Low until 2021-06-10 12:00 and in High from then on."""
+    order = {
+        "order_id": "x", "customer_id": "anna", "hub_id": "h1", "courier": "foot", "payment_method": "Wallet", "order_status": "shipped", "version_count": 3, "had_late_arrival": True,
+        "purchase_at": ts("2021-06-10 12:00"), "approved_at": ts("2021-06-11 13:00"), "shipped_at": ts("2021-06-12 01:00"), "delivered_at": None, "closed_at": None,
+        "estimated_delivery_date": date(2021, 6, 20), "updated_at": ts("2021-06-12 01:00"), "last_loaded_at": ts("2021-06-13"),
+    } | given
+    latest = spark.createDataFrame([tuple(order.values())], ORDERS)
     customers = spark.createDataFrame(
-        [("k1", "C1", "Kerala", ts("2023-01-01"), ts("2024-04-01")), ("k2", "C1", "Delhi", ts("2024-04-01"), ts("9999-12-31"))],
+        [("a1", "anna", "Low", ts("2020-01-01"), ts("2021-06-10 12:00")), ("a2", "anna", "High", ts("2021-06-10 12:00"), ts("9999-12-31"))],
         "customer_sk string, customer_id string, state string, valid_from timestamp_ntz, valid_to timestamp_ntz",
     )
-    states = spark.createDataFrame([("Kerala", "KL", "South", 2), ("Delhi", "DL", "North", 1)], "state string, state_code string, region string, remoteness_tier int")
-    hubs = spark.createDataFrame([("HUB-BLR", "Karnataka", "South")], "hub_id string, hub_state string, hub_region string")
-    sales = spark.createDataFrame([("Test Sale", date(2024, 6, 1), date(2024, 6, 2))], "sale_event string, start_date date, end_date date")
-    versions = spark.createDataFrame([(ts("2024-06-10"),)], "updated_at timestamp_ntz")
-    paid = spark.createDataFrame([("O1", ts("2024-03-10"))], "order_id string, _loaded_at timestamp_ntz")
-    one, two = orders_lifecycle(latest, versions, customers, states, hubs, sales, paid).orderBy("order_id").collect()
-    pick = lambda r: (r["customer_sk"], r["customer_state"], r["customer_region"], r["is_cross_region"], r["sale_event"], r["is_late"], r["days_late"], r["has_timestamp_anomaly"], r["approval_hours"])
-    assert pick(one) == ("k1", "Kerala", "South", False, None, True, 2, False, 6.0)
-    assert pick(two) == ("k2", "Delhi", "North", True, "Test Sale", False, 0, True, 24.0)
-    assert one["transit_days"] == pytest.approx(6.083333333333333) and two["transit_days"] is None
-    assert (one["source_last_loaded_at"], two["source_last_loaded_at"]) == (ts("2024-03-10"), ts("2024-06-08"))
-    assert not two["breached_approval_sla"]
+    states = spark.createDataFrame([("Low", "L", "Plain", 1), ("High", "H", "Hills", 3)], "state string, state_code string, region string, remoteness_tier int")
+    hubs = spark.createDataFrame([("h1", "Low", "Plain")], "hub_id string, hub_state string, hub_region string")
+    sales = spark.createDataFrame([("Fair", date(2021, 6, 8), date(2021, 6, 10))], "sale_event string, start_date date, end_date date")
+    now = spark.createDataFrame([(ts("2021-06-20 23:00"),), (ts("2021-06-01"),)], "updated_at timestamp_ntz")
+    paid = spark.createDataFrame([("x", ts("2021-06-12")), ("y", ts("2021-07-01"))], "order_id string, _loaded_at timestamp_ntz")
+    return orders_lifecycle(latest, now, customers, states, hubs, sales, paid).first()
+
+
+def test_a_purchase_on_the_boundary_belongs_to_the_later_version(spark):
+    r = life(spark)
+    assert (r["customer_sk"], r["customer_state"], r["remoteness_tier"], r["is_cross_region"]) == ("a2", "High", 3, True)
+    before = life(spark, purchase_at=ts("2021-06-10 11:59:59"))
+    assert (before["customer_sk"], before["customer_region"], before["is_cross_region"]) == ("a1", "Plain", False)
+
+
+def test_a_purchase_without_a_known_customer_stays(spark):
+    for order in (life(spark, customer_id="nobody"), life(spark, purchase_at=ts("2019-12-31 23:00")), life(spark, customer_id=None)):
+        assert (order["customer_sk"], order["customer_state"], order["customer_region"], order["is_cross_region"]) == (None, None, None, None)
+    assert life(spark, hub_id="elsewhere")["is_cross_region"] is None
+
+
+def test_open_orders_are_due_on_their_last_day(spark):
+    r = life(spark)
+    assert r["is_open"] and not r["is_open_and_overdue"] and (r["is_late"], r["days_late"], r["transit_days"], r["delivery_days"]) == (None, None, None, None)
+    assert life(spark, estimated_delivery_date=date(2021, 6, 19))["is_open_and_overdue"]
+    assert r["approval_hours"] == 25.0 and r["breached_approval_sla"] and r["processing_hours"] == 12.0 and r["sale_event"] == "Fair"
+    assert life(spark, approved_at=ts("2021-06-11 12:00"))["breached_approval_sla"] is False
+    assert life(spark, purchase_at=ts("2021-06-11 00:00"))["sale_event"] is None
+
+
+def test_deliveries_are_late_by_days(spark):
+    done = {"order_status": "delivered", "delivered_at": ts("2021-06-20 23:59")}
+    r = life(spark, **done)
+    assert (r["is_delivered"], r["is_late"], r["days_late"], r["has_timestamp_anomaly"]) == (True, False, 0, False) and r["transit_days"] == pytest.approx(8 + 22.9833333 / 24)
+    assert life(spark, order_status="delivered", delivered_at=ts("2021-06-23 00:01"))["days_late"] == 3
+    odd = life(spark, order_status="returned", delivered_at=ts("2021-06-11 20:00"))
+    assert odd["has_timestamp_anomaly"] and odd["transit_days"] is None and odd["is_returned"] and odd["is_delivered"]
+    assert r["source_last_loaded_at"] == ts("2021-06-13") and life(spark, last_loaded_at=ts("2021-06-11"))["source_last_loaded_at"] == ts("2021-06-12")
 
 
 def test_history_and_scd2(spark):

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 from datetime import date, datetime, time, timedelta
 from zoneinfo import ZoneInfo
 
@@ -6,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.cli import Project
-from tidemark.plans.build import Builder, BuildError, Check, Model, schema_name, suite
+from tidemark.plans.build import Builder, BuildError, Check, Model, Traced, ordered, schema_name, selected, suite
 from tidemark.plans.warehouse import Warehouse
 from tidemark.session import materialised
-from tidemark.sources.schedule import Daily, Sensor
+from tidemark.sources.commits import CommitLog
+from tidemark.sources.schedule import Daily, Runs, Sensor
 from tidemark.sources.seed_files import SEEDS, alias_table, load_seeds
 from tidemark.sources.simulate import COURIERS, REGIONS, Plan, Simulator
 
@@ -155,10 +157,10 @@ def test_a_red_test_stops_what_is_built_on_it(spark, project, tmp_path):
     builder = Builder(spark, str(tmp_path))
     red, warn = (Check(f"none_{s}", F.lit(True), severity=s) for s in ("error", "warn"))
     builder.models = (
-        Model("sellers", "staging", (), (warn,)),
-        Model("dim_hubs", "core", ("sellers",), (red,)),
-        Model("dim_geography", "core", ("dim_hubs",)),
-        Model("products", "staging"),
+        Model("sellers", "staging", ("feed:sellers",), (warn,)),
+        Model("dim_hubs", "core", ("sellers", "feed:ref_hubs"), (red,)),
+        Model("dim_geography", "core", ("dim_hubs", "feed:ref_states")),
+        Model("products", "staging", ("feed:products",)),
         Model("nothing", "kpi", ("products",)),
     )
     with pytest.raises(BuildError, match="dim_hubs.none_error"):
@@ -170,6 +172,87 @@ def test_a_red_test_stops_what_is_built_on_it(spark, project, tmp_path):
     }
 
 
+def test_results_and_tables_survive_what_raises(spark, project, tmp_path):
+    """A feed whose rows raise, a test that raises and a write that dies: results are kept, and readers have what was there."""
+    builder = Builder(spark, str(tmp_path))
+    hubs = Model("dim_hubs", "core", ("sellers", "feed:ref_hubs"), (Check("hub_is_there", F.col("hub_id").isNull()),))
+    builder.models = (Model("sellers", "staging", ("feed:sellers",)), hubs)
+    builder.run(project.feeds())
+    before, held = builder.stored()["core.dim_hubs"].count(), builder.stored()["core.dim_hubs"]
+    assert before > 0 and builder.failing_rows() is None
+
+    raising = replace(project.feeds(), sellers=project.feeds().sellers.withColumn("seller_name", F.raise_error(F.lit("no such seller")).cast("string")))
+    bad = Check("raises", find=lambda df, w: df.filter(F.raise_error(F.lit("a test raised")).isNotNull()))
+    builder.models = (Model("sellers", "staging", ("feed:sellers",), (Check("unnamed", F.col("seller_name").isNull()), bad)), hubs)
+    with pytest.raises(BuildError, match="no such seller"):
+        builder.run(raising)
+    last = builder.results().orderBy(F.desc("generated_at")).first()["invocation_id"]
+    found = {r["unique_id"]: r["status"] for r in builder.results().filter(F.col("invocation_id") == last).collect()}
+    assert found["test.sellers.unnamed"] == "error" and found["model.dim_hubs"] == "skipped"
+
+    red = Check("red", F.col("hub_id") == held.first()["hub_id"])
+    builder.models = (Model("sellers", "staging", ("feed:sellers",)), replace(hubs, checks=(red,)))
+    with pytest.raises(BuildError, match="dim_hubs.red: [12] violations"):
+        builder.run(replace(project.feeds(), ref_hubs=project.feeds().ref_hubs.limit(1).unionByName(project.feeds().ref_hubs)))
+    assert builder.stored()["core.dim_hubs"].count() == before and held.count() == before
+    assert {r["test"] for r in builder.failing_rows().collect()} == {"dim_hubs.red"}
+
+    table = builder.table(hubs)
+    with pytest.raises(Exception, match="died"):
+        table.publish(held.withColumn("hub_id", F.when(F.rand() < 2, F.raise_error(F.lit("died"))).cast("string")))
+    assert table.read().count() == before
+    assert builder.vacuum(3600) == 0 and builder.vacuum(0) >= 1 and builder.stored()["core.dim_hubs"].count() == before
+
+
+def test_the_graph_is_what_models_read(spark, project):
+    """What each model reads, recorded while it is planned, is what it says that it needs, but for what its tests read."""
+    w = Traced(project.feeds(), project.builder.models)
+    for m in project.builder.models:
+        getattr(w, m.name)
+        assert w.reads[m.name] <= set(m.needs), m.name
+        assert set(m.needs) - w.reads[m.name] <= {"dim_date", "dim_customers", "fct_orders", "dim_products", "dim_geography", "feed:orders"}, m.name
+    with pytest.raises(BuildError, match="need each other"):
+        ordered((Model("a", "core", ("b",)), Model("b", "core", ("a",))))
+    names = lambda s: {m.name for m in selected(project.builder.models, s)}
+    assert names("latest") == {"latest"} and names("+latest") == {"latest", "orders_cdc"}
+    assert names("dim_hubs+") == {"dim_hubs"} and names("stage_bottlenecks order_funnel") == {"stage_bottlenecks", "order_funnel"}
+    assert names("fct_orders+") == {"fct_orders", "fct_order_items", "fct_order_status_history", *(m.name for m in project.builder.models if m.layer == "kpi" and m.name != "data_quality_daily")}
+    with pytest.raises(BuildError, match="called"):
+        names("nothing")
+
+
+def test_a_part_of_the_graph_is_built_alone(project):
+    before = project.builder.paths()
+    project.builder.run(project.feeds(), select="order_funnel stage_bottlenecks")
+    after = project.builder.paths()
+    assert {n for n in after if after[n] != before[n]} == {"kpi.order_funnel", "kpi.stage_bottlenecks"}
+
+
+def test_two_sensors_start_one_run(project, tmp_path):
+    log, now, ran = CommitLog(project.spark, str(tmp_path / "runs")), [1000.0], []
+    one, two = (Sensor(project.loader, Runs(log, lease=60, now=lambda: now[0]), running=True) for _ in range(2))
+
+    def work():
+        ran.append(1)
+        assert two.tick(lambda: ran.append("twice")) is False  # while the first is at it
+
+    assert one.tick(work) is True and ran == [1]
+    assert one.tick(work) is False and two.tick(work) is False  # nothing new
+    # a run that died is taken over when its lease is out
+    runs = Runs(log, lease=60, now=lambda: now[0])
+    with pytest.raises(KeyboardInterrupt):
+        runs.once("k", lambda: (_ for _ in ()).throw(KeyboardInterrupt()))
+    assert Runs(log, 60, lambda: now[0]).once("k", lambda: ran.append(2)) is False
+    now[0] += 61
+    assert Runs(log, 60, lambda: now[0]).once("k", lambda: ran.append(2)) is True and ran[-1] == 2
+    with pytest.raises(ZeroDivisionError):
+        runs.once("fails", lambda: 1 / 0)
+    assert runs.get("fails")["state"] == "failed" and runs.once("fails", lambda: ran.append(3)) is True
+    daily, at = Daily(time(6, 0), "UTC", running=True), datetime(2024, 1, 2, 7, 0, tzinfo=ZoneInfo("UTC"))
+    assert daily.tick(runs, at, lambda: ran.append(4)) and not daily.tick(runs, at + timedelta(hours=5), lambda: ran.append(5)) and ran[-1] == 4
+    assert Daily().tick(runs, at, lambda: ran.append(6)) is False
+
+
 def test_suite_finds_planted_faults(spark, project):
     w = Warehouse(project.feeds())
     fact = project.fact

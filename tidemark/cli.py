@@ -23,7 +23,7 @@ class Project:
     def __init__(self, spark: SparkSession, root: str, plan: Plan = Plan()):
         self.spark, self.root, self.plan = spark, root.rstrip("/"), plan
         self.simulator = Simulator(spark, plan)
-        self.loader = Loader(spark, f"{self.root}/landing", f"{self.root}/raw")
+        self.loader = Loader(spark, f"{self.root}/landing", f"{self.root}/raw", marked=True)
         self.builder = Builder(spark, self.root)
 
     def generate(self, until: date | None = None) -> None:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.loader import is_missing
+from tidemark.sources.commits import CommitLog, Staged, Table
 from tidemark.sources.tables import Feeds
 
 KEY = "order_id"
@@ -44,81 +43,27 @@ def delete_insert(target: DataFrame, rebuilt: DataFrame, keys: DataFrame | None
     return target.join(gone, key, "left_anti").select(target.columns).unionByName(rebuilt)
 
 
-class Versioned:
-    """A Parquet dataset of which each partition has versions, and a pointer to the current ones, for stores without
-    transactions.
+class Versioned(Table):
+    """A table of which an increment writes anew only the partitions that it touches."""
 
-    A change writes the partitions that it touches to a folder of their own and then a small pointer dataset, which makes
-    them current; partitions that it doesn't touch stay where they are. Readers of the former state are not disturbed,
-    and a failed write leaves the pointer alone. `part` is an SQL expression of few values, as a month.
-    """
+    def __init__(self, spark: SparkSession, path: str, part: str = "'all'", log: CommitLog | None = None, name: str = "table"):
+        super().__init__(log or CommitLog(spark, f"{path.rstrip('/')}/_log"), spark, path, name, part)
 
-    POINTER = "pointer string, at timestamp, part string, folder string"
-
-    def __init__(self, spark: SparkSession, path: str, part: str = "'all'"):
-        self.spark, self.path, self.part = spark, path.rstrip("/"), F.coalesce(F.expr(part).cast("string"), F.lit("none"))
-
-    def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self.POINTER).parquet(f"{self.path}/pointer")
-        except Exception as e:
-            if is_missing(e):
-                return None
-            raise
-
-    def current(self) -> dict[str, str]:
-        """The folder of each partition's current version; empty if nothing was published."""
-        pointers = self._pointers()
-        if pointers is None:
-            return {}
-        newest = pointers.orderBy(F.desc("at")).limit(1).select("pointer")
-        return {r["part"]: r["folder"] for r in pointers.join(newest, "pointer", "left_semi").collect()}
-
-    def paths(self, parts: list[str] | None = None) -> list[str]:
-        """Where the current rows are, of these partitions or all."""
-        return [f"{self.path}/{folder}/_part={part}" for part, folder in sorted(self.current().items()) if parts is None or part in parts]
-
-    def read(self, parts: list[str] | None = None) -> DataFrame | None:
-        paths = self.paths(parts)
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def _write(self, df: DataFrame, kept: dict[str, str]) -> None:
-        folder = f"data={uuid.uuid4().hex}"
-        # dealt by partition; a large one goes to several tasks and files
-        df.withColumn("_part", self.part).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
-        written = self.spark.read.parquet(f"{self.path}/{folder}").select(F.col("_part").cast("string").alias("p")).distinct().collect()
-        now = [(part, where) for part, where in kept.items()] + [(r["p"], folder) for r in written]
-        rows = self.spark.createDataFrame(now, "part string, folder string")
-        rows = rows.select(F.lit(uuid.uuid4().hex).alias("pointer"), F.current_timestamp().alias("at"), "part", "folder")
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-
-    def publish(self, df: DataFrame) -> DataFrame:
-        """All rows anew."""
-        self._write(df, {})
-        return self.read()
+    def stage_replace(self, rebuilt: DataFrame, keys: DataFrame, key: str = KEY) -> Staged:
+        """rebuilt in place of the rows of `keys`. Both are read more than once, so they should be stored."""
+        seen = self.log.state()
+        now = Staged(seen, {})
+        old = self.read(staged=now)
+        parts = rebuilt.select(self.part.alias("p"))
+        if old is not None:
+            parts = parts.unionByName(old.join(keys, key, "left_semi").select(self.part.alias("p")))
+        touched = [r["p"] for r in parts.distinct().collect()]
+        if not touched:
+            return Staged(seen, {}, whole=False)
+        before = self.read(touched, now)
+        return self.stage_parts(rebuilt if before is None else delete_insert(before, rebuilt, keys, key), touched, seen)
 
     def replace(self, rebuilt: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:
-        """Publishes rebuilt in place of the rows of `keys`; only the partitions with such rows are written.
-
-        Both are read more than once, so they should be stored.
-        """
-        now, old = self.current(), self.read()
-        both = rebuilt.select(self.part.alias("p")).unionByName(old.join(keys, key, "left_semi").select(self.part.alias("p")))
-        touched = [r["p"] for r in both.distinct().collect()]
-        if touched:
-            before = self.read(touched)
-            rows = rebuilt if before is None else delete_insert(before, rebuilt, keys, key)
-            self._write(rows, {part: folder for part, folder in now.items() if part not in touched})
+        """Publishes rebuilt in place of the rows of `keys`; planned anew if another writer has changed the same partitions."""
+        self.log.retried(lambda: self.commit(self.stage_replace(rebuilt, keys, key)))
         return self.read()
-
-    def vacuum(self) -> int:
-        """Removes the folders that no current partition is in (readers of former states lose them); says how many."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs, used, gone = root.getFileSystem(conf), set(self.current().values()), 0
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("data=") and name not in used:
-                fs.delete(status.getPath(), True)
-                gone += 1
-        return gone

@@ -13,13 +13,15 @@ from tidemark.functions.columns import long, rounded
 from tidemark.operators import checks
 from tidemark.operators.asof import asof_join
 from tidemark.operators.incremental import delete_insert
+from tidemark.operators.intervals import interval_join
 from tidemark.operators.joins import calendar_join, point_in_time_join
 from tidemark.operators.rolling import rolling_zscore
 from tidemark.plans import dashboard, intermediate, marts
 from tidemark.plans.build import models, suite
 from tidemark.plans.seeds import sale_calendar
-from tidemark.plans.warehouse import Warehouse, increment
-from tidemark.session import materialised
+from tidemark.plans.warehouse import Warehouse, clustered_increment, increment
+from tidemark.session import materialised, scratch_folder
+from tidemark.sources.clustered import FeedStore
 from tidemark.sources.tables import read
 
 #: Parameters of the dashboard queries.
@@ -106,6 +108,20 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(events, signups.withColumn("since", F.col("signup_ts")), "user_id", "ts", "since", ["signup_ts", "signup_id"])
 
 
+@query
+def interval_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event of the log with the sign-ups whose period holds it: from an hour to weeks from the sign-up on, overlapping."""
+    events = read(spark, sf_dir, "events")
+    periods = events.filter("event_type = 'signup'").select(
+        F.col("event_id").alias("signup_id"), F.col("ts").alias("begins"), F.expr("timestampadd(HOUR, cast(1 + event_id * event_id % 500 as int), ts)").alias("ends")
+    )
+    found = interval_join(events.select("event_id", "ts", "event_type"), periods, "ts", "begins", "ends", ["signup_id"])
+    return found.groupBy("event_id", "event_type").agg(F.count("*").alias("open_periods"), F.min("signup_id").alias("first_signup"), F.max("signup_id").alias("last_signup"))
+
+
+QUERIES["interval_join"] = QUERIES.pop("interval_join_events")
+
+
 @query
 def pit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose state at purchase is not the customer's present one."""
@@ -237,6 +253,21 @@ def incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_insert(stored, rows, keys).drop("source_last_loaded_at")
 
 
+@query
+def clustered_incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As incremental_fact, over feeds that are stored by the month of their orders."""
+    f = Warehouse.over(spark, sf_dir).feeds
+    until = F.lit(SPLIT).cast("timestamp_ntz")
+    store = FeedStore(spark, scratch_folder(spark))
+    early = replace(f, orders=f.orders.filter(F.col("_loaded_at") <= until), payments=f.payments.filter(F.col("_loaded_at") <= until))
+    store.add(early)
+    stored = materialised(Warehouse(early).fct_orders)
+    none = f.order_items.limit(0)  # all lines came with the first load
+    store.add(replace(f, orders=f.orders.filter(F.col("_loaded_at") > until), payments=f.payments.filter(F.col("_loaded_at") > until), order_items=none))
+    rows, keys = clustered_increment(store, f, stored)
+    return delete_insert(stored, materialised(rows), keys).drop("source_last_loaded_at")
+
+
 @query
 def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of each feed against the newest load: warn from 1 day, error from 3."""

@@ -10,6 +10,7 @@ from tidemark.operators.incremental import affected, restricted
 from tidemark.operators.versions import latest_version, status_history
 from tidemark.plans import core, intermediate, marts, staging
 from tidemark.session import materialised
+from tidemark.sources.clustered import FeedStore
 from tidemark.sources.tables import Feeds, feeds
 
 
@@ -149,3 +150,10 @@ def increment(feeds: Feeds, target: DataFrame, settings: intermediate.Settings =
     """
     keys = materialised(affected(feeds, target))
     return Warehouse(restricted(feeds, keys), settings, clock=feeds.orders).fct_orders, keys
+
+
+def clustered_increment(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
+    """As `increment`, of feeds that are stored by the month of their orders: only folders with newer loads are searched for what
+    was loaded since, and only the months of the affected orders are read."""
+    keys = materialised(store.affected(target))
+    return Warehouse(store.restricted(feeds, keys), settings, clock=store.clock()).fct_orders, keys.select("order_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,15 +22,27 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that spark.checkpoint.dir names, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
 
     Only where that is unset and all of Spark is one process is a folder made here.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder or context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,11 +7,13 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schemas import MANIFEST, RAW, SNAPSHOTS
+from tidemark.session import materialised
+from tidemark.sources.commits import CommitLog, State, Store, Table
 
 TIMESTAMPS = "yyyy-MM-dd HH:mm:ss"
 
@@ -34,24 +36,34 @@ def is_missing(e: Exception) -> bool:
 
 
 class Loader:
-    """Loads landing/<entity>/dt=<day>/*.csv into raw/<entity>/load_id=<id>/ and records each file in a manifest.
+    """Loads landing/<entity>/dt=<day>/*.csv into raw/<entity>/ and records each file in a manifest.
 
-    There are no transactions over several datasets: rows are written first, under their load's id, and the manifest
-    is appended last. Readers keep the loads that the manifest names, so a load that broke off is never seen and runs
-    again as a whole. Files that are in the manifest are skipped; if one has changed since, it is reported and not
-    loaded again. All paths go through Spark, so any store that Spark reads will do.
+    Rows and manifest entries of a load are written first, to folders of their own; one commit of raw/_log makes both current.
+    A load that broke off is never seen and runs again as a whole. Of two loads of an entity at once the second finds that
+    the first has committed, and plans anew: files that are in the manifest by now are skipped, so each is loaded once. If a
+    file has changed since it was loaded, it is reported and not loaded again. Snapshots are written beside the current one
+    and swapped by a commit. All paths go through Spark, so any store that Spark reads will do.
     """
 
-    def __init__(self, spark: SparkSession, landing: str, raw: str):
-        self.spark, self.landing, self.raw = spark, landing.rstrip("/"), raw.rstrip("/")
+    #: Files that are read together. A first load of very many goes in steps, by days.
+    FILES = 10_000
+
+    def __init__(self, spark: SparkSession, landing: str, raw: str, marked: bool = False):
+        """marked: only days with the mark that `write_daily` leaves when a day is complete are read."""
+        self.spark, self.landing, self.raw, self.marked = spark, landing.rstrip("/"), raw.rstrip("/"), marked
+        self.log = CommitLog(spark, f"{self.raw}/_log")
 
     def discover(self, entity: str) -> DataFrame:
         """(entity, file_path relative to the landing folder, file_bytes, file_mtime); contents aren't read."""
+        files = None
+        days = published_days(self.spark, f"{self.landing}/{entity}") if self.marked else ["*"]
         try:
-            files = self.spark.read.format("binaryFile").load(f"{self.landing}/{entity}/dt=*/*.csv")
+            if days:
+                files = self.spark.read.format("binaryFile").load([f"{self.landing}/{entity}/dt={d}/*.csv" for d in days])
         except Exception as e:
             if not is_missing(e):
                 raise
+        if files is None:
             files = self.spark.createDataFrame([], "path string, length long, modificationTime timestamp")
         return files.select(
             F.lit(entity).alias("entity"),
@@ -60,61 +72,79 @@ class Loader:
             F.col("modificationTime").cast("timestamp_ntz").alias("file_mtime"),
         )
 
-    def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.raw}/_manifest")
-        except Exception as e:
-            if not is_missing(e):
-                raise
-            return self.spark.createDataFrame([], MANIFEST)
+    def _loads(self, entity: str, state: State | None = None) -> list[dict[str, str]]:
+        return [json.loads(v) for _, v in sorted((state or self.log.state()).under(f"{entity}/").items())]
+
+    def manifest(self, state: State | None = None) -> DataFrame:
+        state = state or self.log.state()
+        folders = [f"{self.raw}/_manifest/{load['files']}" for entity in RAW for load in self._loads(entity, state)]
+        return self.spark.read.schema(MANIFEST).parquet(*folders) if folders else self.spark.createDataFrame([], MANIFEST)
 
-    def states(self, entity: str) -> DataFrame:
+    def states(self, entity: str, state: State | None = None) -> DataFrame:
         """discover, with state: new, changed (another size or time than when it was loaded) or loaded."""
-        seen = self.manifest().select("entity", "file_path", F.col("file_bytes").alias("_bytes"), F.col("file_mtime").alias("_mtime"))
+        seen = self.manifest(state).select("entity", "file_path", F.col("file_bytes").alias("_bytes"), F.col("file_mtime").alias("_mtime"))
         same = (F.col("file_bytes") == F.col("_bytes")) & (F.col("file_mtime") == F.col("_mtime"))
-        state = F.when(F.col("_bytes").isNull(), "new").when(same, "loaded").otherwise("changed")
-        return self.discover(entity).join(seen, ["entity", "file_path"], "left").withColumn("state", state).drop("_bytes", "_mtime")
-
-    def new_files(self, entity: str) -> DataFrame:
-        return self.states(entity).filter("state = 'new'").drop("state")
-
-    def changed_files(self, entity: str) -> DataFrame:
-        return self.states(entity).filter("state = 'changed'").select("file_path")
+        now = F.when(F.col("_bytes").isNull(), "new").when(same, "loaded").otherwise("changed")
+        return self.discover(entity).join(seen, ["entity", "file_path"], "left").withColumn("state", now).drop("_bytes", "_mtime")
 
     def _read(self, schema: T.StructType, paths: list[str]) -> DataFrame:
         """A line that doesn't fit the schema ends the load, before anything of it is published."""
         reader = self.spark.read.schema(schema).option("header", True).option("timestampNTZFormat", TIMESTAMPS)
         return reader.option("mode", "FAILFAST").csv(paths)
 
-    def _load(self, entity: str, load_id: str, report: LoadReport) -> None:
-        # one listing; to the driver come the names of files that a load has to read or tell of, and a count of the others
-        names = ("entity", "file_path", "file_bytes", "file_mtime")
-        told = F.collect_list(F.when(F.col("state") != "loaded", F.struct(*names)))
-        found = {r["state"]: r for r in self.states(entity).groupBy("state").agg(F.count("*").alias("n"), told.alias("files")).collect()}
-        files = [tuple(f) for f in found["new"]["files"]] if "new" in found else []
-        report.skipped[entity] = sum(r["n"] for state, r in found.items() if state != "new")
-        report.files[entity], report.rows[entity] = len(files), 0
-        report.changed += sorted(f["file_path"] for f in found["changed"]["files"]) if "changed" in found else []
-        if not files:
-            return
-        rows = self._read(RAW[entity], [f"{self.landing}/{path}" for _, path, *_ in files])
+    def _steps(self, files: DataFrame) -> list[list[str]]:
+        """Days of new files, dealt so that a step has about FILES files."""
+        steps, size = [[]], 0
+        for r in sorted(files.groupBy(_day(F.col("file_path")).alias("day")).agg(F.count("*").alias("n")).collect()):
+            if steps[-1] and size + r["n"] > self.FILES:
+                steps.append([])
+                size = 0
+            steps[-1].append(r["day"])
+            size += r["n"]
+        return steps if steps[0] else []
+
+    def write_rows(self, entity: str, load_id: str, files: DataFrame, rows: DataFrame) -> str:
+        """Writes rows (with their `_source_file`) and the manifest's entries of files, under a new name: it says what to commit."""
         now = F.current_timestamp().cast("timestamp_ntz")
-        stamped = rows.withColumns(
-            {
-                "_source_file": F.regexp_extract(F.col("_metadata.file_path"), rf".*({entity}/dt=[^/]+/[^/]+)$", 1),
-                "_loaded_at": now,
-            }
-        )
-        target = f"{self.raw}/{entity}/load_id={load_id}"
-        stamped.write.mode("overwrite").parquet(target)
+        name = f"data={uuid.uuid4().hex}"
+        target = f"{self.raw}/{entity}/{name}"
+        rows.withColumns({"_loaded_at": now, "_load_id": F.lit(load_id)}).write.parquet(target)
         counts = self.spark.read.parquet(target).groupBy(F.col("_source_file").alias("file_path")).agg(F.count("*").alias("n"))
-        found = self.spark.createDataFrame(files, "entity string, file_path string, file_bytes long, file_mtime timestamp_ntz")
-        entry = found.join(counts, "file_path", "left").select(
+        entry = files.join(counts, "file_path", "left").select(
             "entity", "file_path", "file_bytes", "file_mtime", F.coalesce("n", F.lit(0)).cast("long").alias("rows_loaded"),
             F.lit(load_id).alias("load_id"), now.alias("loaded_at"),
         )
-        entry.coalesce(1).write.mode("append").parquet(f"{self.raw}/_manifest")
-        report.rows[entity] = self.manifest().filter((F.col("load_id") == load_id) & (F.col("entity") == entity)).agg(F.sum("rows_loaded")).first()[0]
+        entry.coalesce(1).write.parquet(f"{self.raw}/_manifest/{name}")
+        return json.dumps({"rows": name, "files": name, "load_id": load_id})
+
+    def commit_rows(self, entity: str, seen: State, written: list[str]) -> None:
+        """Makes what was written current, unless another load of the entity has done so since `seen`."""
+        put = {f"{entity}/{json.loads(w)['rows']}": w for w in written}
+        self.log.commit(seen, put, depends=lambda k: k.startswith(f"{entity}/"))
+
+    def _load(self, entity: str, load_id: str, report: LoadReport) -> None:
+        seen = self.log.state()
+        states = materialised(self.states(entity, seen))
+        found = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        changed = sorted(r["file_path"] for r in states.filter("state = 'changed'").select("file_path").collect())
+        fresh = states.filter("state = 'new'").drop("state")
+        written = []
+        for days in self._steps(fresh):
+            files = fresh.filter(_day(F.col("file_path")).isin(days))
+            paths = [f"{self.landing}/{r['file_path']}" for r in files.select("file_path").collect()]
+            rows = self._read(RAW[entity], paths)
+            source = F.regexp_extract(F.col("_metadata.file_path"), rf".*({entity}/dt=[^/]+/[^/]+)$", 1)
+            written.append(self.write_rows(entity, load_id, files, rows.withColumn("_source_file", source)))
+        if written:
+            self.commit_rows(entity, seen, written)
+        report.skipped[entity] = sum(n for state, n in found.items() if state != "new")
+        report.files[entity] = found.get("new", 0)
+        report.changed += changed
+        loaded = self.manifest().filter((F.col("load_id") == load_id) & (F.col("entity") == entity))
+        report.rows[entity] = (loaded.agg(F.sum("rows_loaded")).first()[0] or 0) if written else 0
+
+    def _snapshots(self, entity: str) -> Table:
+        return Table(self.log, self.spark, f"{self.raw}/{entity}", entity)
 
     def _snapshot(self, entity: str, report: LoadReport) -> None:
         try:
@@ -123,14 +153,13 @@ class Loader:
             if not is_missing(e):
                 raise
             return
-        stamped = rows.withColumn("_loaded_at", F.current_timestamp().cast("timestamp_ntz"))
-        stamped.write.mode("overwrite").parquet(f"{self.raw}/{entity}")
-        report.rows[entity] = self.spark.read.parquet(f"{self.raw}/{entity}").count()
+        now = F.current_timestamp().cast("timestamp_ntz")
+        report.rows[entity] = self.log.retried(lambda: self._snapshots(entity).publish(rows.withColumn("_loaded_at", now))).count()
 
     def run(self, load_id: str | None = None) -> LoadReport:
         report = LoadReport(load_id or uuid.uuid4().hex)
         for entity in RAW:
-            self._load(entity, report.load_id, report)
+            self.log.retried(lambda entity=entity: self._load(entity, report.load_id, report))
         for entity in SNAPSHOTS:
             self._snapshot(entity, report)
         return report
@@ -138,34 +167,56 @@ class Loader:
     def table(self, entity: str) -> DataFrame:
         """All rows of published loads, with their lineage columns."""
         if entity in SNAPSHOTS:
-            return self.spark.read.parquet(f"{self.raw}/{entity}")
-        loads = self.manifest().filter(F.col("entity") == entity).select(F.col("load_id").alias("_load_id")).distinct()
-        lineage = T.StructType([*RAW[entity].fields, T.StructField("_source_file", T.StringType()), T.StructField("_loaded_at", T.TimestampNTZType()), T.StructField("load_id", T.StringType())])
-        try:
-            rows = self.spark.read.schema(lineage).parquet(f"{self.raw}/{entity}")
-        except Exception as e:
-            if not is_missing(e):
-                raise
-            rows = self.spark.createDataFrame([], lineage)
-        return rows.withColumnRenamed("load_id", "_load_id").join(loads, "_load_id", "left_semi").select(
-            *RAW[entity].names, "_source_file", "_loaded_at", "_load_id"
-        )
+            found = self._snapshots(entity).read()
+            return self.spark.createDataFrame([], T.StructType([*SNAPSHOTS[entity].fields, T.StructField("_loaded_at", T.TimestampNTZType())])) if found is None else found
+        lineage = T.StructType([*RAW[entity].fields, *[T.StructField(n, k) for n, k in (("_source_file", T.StringType()), ("_loaded_at", T.TimestampNTZType()), ("_load_id", T.StringType()))]])
+        folders = [f"{self.raw}/{entity}/{load['rows']}" for load in self._loads(entity)]
+        return self.spark.read.schema(lineage).parquet(*folders) if folders else self.spark.createDataFrame([], lineage)
+
 
+def _day(path: Column) -> Column:
+    return F.regexp_extract(path, r"dt=([^/]+)/", 1)
 
-def write_daily(df: DataFrame, day: str, landing: str, entity: str, order: tuple[str, ...] = ()) -> None:
-    """Publishes a feed as one folder per day, all at once; days that are there already are left alone. The rows of a file
-    stand in `order`."""
-    path = f"{landing.rstrip('/')}/{entity}"
-    days = df.withColumn("dt", F.col(day).cast("date"))
+
+#: The mark of a day that is complete. Spark's readers skip names that begin so.
+MARK = "_PUBLISHED"
+
+
+def published_days(spark: SparkSession, path: str) -> list[str]:
+    """The days of a daily feed that are complete."""
+    store = Store(spark, path)
+    days = [n.removeprefix("dt=") for n in store.names(path) if n.startswith("dt=")]
+    return sorted(d for d in days if store.exists(f"{path}/dt={d}/{MARK}"))
+
+
+def write_daily(df: DataFrame, day: str, landing: str, entity: str, order: tuple[str, ...] = ()) -> list[str]:
+    """Publishes a feed as one folder per day and says which days are new; complete days are left alone. The rows of a file
+    stand in `order`.
+
+    All days are written aside, then moved into place one by one, and each is marked when it is there as a whole. A writer
+    that dies leaves days that are complete and days that aren't; the next one makes the latter anew.
+    """
+    path, spark = f"{landing.rstrip('/')}/{entity}", df.sparkSession
+    store, aside = Store(spark, path), f"{path}/.aside-{uuid.uuid4().hex}"
+    known = published_days(spark, path)
+    days = df.withColumn("dt", F.col(day).cast("date")).filter("dt is not null")
+    if known:
+        days = days.join(spark.createDataFrame([(d,) for d in known], "d string"), F.col("dt") == F.col("d").cast("date"), "left_anti")
     try:
-        there = df.sparkSession.read.format("binaryFile").load(f"{path}/dt=*/*.csv")
-        known = there.select(F.regexp_extract("path", r"dt=(\d{4}-\d{2}-\d{2})", 1).cast("date").alias("dt")).distinct()
-        days = days.join(known, "dt", "left_anti")
-    except Exception as e:
-        if not is_missing(e):
-            raise
-    # dealt by day, but a day with very many rows goes to several tasks and files
-    days.hint("rebalance", "dt").sortWithinPartitions("dt", *order).write.mode("append").partitionBy("dt").option("header", True).option("timestampNTZFormat", TIMESTAMPS).csv(path)
+        # dealt by day, but a day with very many rows goes to several tasks and files
+        dealt = days.hint("rebalance", "dt").sortWithinPartitions("dt", *order)
+        dealt.write.partitionBy("dt").option("header", True).option("timestampNTZFormat", TIMESTAMPS).csv(aside)
+        fresh = sorted(n for n in store.names(aside) if n.startswith("dt="))
+        for name in fresh:
+            if store.exists(f"{path}/{name}"):
+                if store.exists(f"{path}/{name}/{MARK}"):
+                    continue  # another writer was faster
+                store.delete(f"{path}/{name}")
+            store.move(f"{aside}/{name}", f"{path}/{name}")
+            store.write(f"{path}/{name}/{MARK}", "")
+        return [n.removeprefix("dt=") for n in fresh]
+    finally:
+        store.delete(aside)
 
 
 RUN_RESULTS = (
