@@ -71,13 +71,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and read from the shared folder, so that its lineage ends: a table within `scratch`, else a checkpoint."""
+def checkpointed(df: DataFrame, *parts: str) -> DataFrame:
+    """df, computed and read from the shared folder, so that its lineage ends: a table within `scratch` (with a folder for each
+    value of `parts`, so that a filter on them reads no others), else a checkpoint."""
     folder = _scratch.get()
     if folder is None:
         return lasting(df)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

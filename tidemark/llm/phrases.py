@@ -46,10 +46,10 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 
 def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[bytes, int]]:
-    """(bytes, seen): folded texts, some of them together, parted by line feeds; a long one in several parts.
+    """(bytes, ahead): folded texts, some of them together, parted by line feeds; a long one in several parts.
 
-    A part is cut at the end of a piece where there is one, else between words; it then begins with the last words of the part
-    before. `seen` says how many, so that phrases across the cut are found once, by their last word.
+    A part is cut at the end of a piece where there is one, else between words; it then goes on with the first words of the next
+    part. `ahead` says how many, so that phrases across the cut are found once, by their first word.
     """
     held, total = [], 0
     for text in texts:
@@ -66,18 +66,23 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[bytes, int]]
         yield b"\n".join(held), 0
 
 
+def _end(text: bytes, at: int) -> int:
+    """Where the word that stands at `at` ends."""
+    return min((x for x in (text.find(b" ", at), text.find(b"\n", at)) if x >= 0), default=len(text))
+
+
 def _parts(text: bytes, size: int) -> Iterator[tuple[bytes, int]]:
-    at, words = 0, []
+    at = 0
     while at < len(text):
-        known = b" ".join(words)
         end = text.rfind(b"\n", at + 1, at + size) if at + size < len(text) else len(text)
         if end < 0:
-            ends = [x for x in (text.find(b" ", at + size), text.find(b"\n", at + size)) if x >= 0]
-            end = min(ends, default=len(text))
-        part = known + text[at:end]
-        yield part, len(words)
-        words = part[part.rfind(b"\n") + 1 :].split(b" ") if text[end : end + 1] == b" " else []
-        words = [w for w in words if w][1 - WORDS :]
+            end = _end(text, at + size)
+        words, spot = [], end
+        while text[spot : spot + 1] == b" " and len(words) < WORDS - 1:
+            stop = _end(text, spot + 1)
+            words += [text[spot + 1 : stop]] if stop > spot + 1 else []
+            spot = stop
+        yield b" ".join([text[at:end], *words]), len(words)
         at = end
 
 
@@ -101,13 +106,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a chunk: where they are, in which piece, and the hashes of their phrases."""
 
-    def __init__(self, chunk: bytes, seen: int, lang: int):
+    def __init__(self, chunk: bytes, ahead: int, lang: int):
         data = np.frombuffer(chunk, np.uint8)
         inside = (data != 32) & (data != 10)
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.chunk, self.starts, self.ends = chunk, edge[::2], edge[1::2]
-        self.n, self.seen, self.fresh = len(self.starts), seen, max(0, len(self.starts) - seen)
-        self.new = np.arange(self.n) >= seen
+        self.n, self.fresh = len(self.starts), max(0, len(self.starts) - ahead)
+        self.new = np.arange(self.n) < self.fresh
         self.piece = np.cumsum(data == 10, dtype=np.int32)[self.starts]
         up, down = _powers(1 << max(20, len(data).bit_length()))
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -117,12 +122,12 @@ class Words:
 
     def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, new) of the phrase of k words from each word on (the last k - 1 have none); new: within a piece and not
-        counted in the chunk before."""
+        counted in the next chunk."""
         n = max(0, self.n - k + 1)
         found = self.word[:n]
         for i in range(1, k):
             found = _mixed(found * np.uint64(_FACTOR) + self.word[i : n + i])
-        return found, (self.piece[:n] == self.piece[k - 1 :][:n]) & self.new[k - 1 :][:n]
+        return found, (self.piece[:n] == self.piece[k - 1 :][:n]) & self.new[:n]
 
     def likely(self, pairs: np.ndarray, power: int) -> np.ndarray:
         """From which words on a pair within a piece is heavy."""
@@ -212,8 +217,8 @@ def heavy_cells(rows: DataFrame, power: int, least: int, pairs=None) -> tuple[np
         for batch in batches:
             for lang, texts in _by_language(batch):
                 key = _lang_hash(lang)
-                for chunk, seen in chunks(texts):
-                    words = Words(chunk, seen, key)
+                for chunk, ahead in chunks(texts):
+                    words = Words(chunk, ahead, key)
                     totals[lang] += words.fresh
                     for _, found, new in _likely(words, known, power):
                         sketch.add(found[new])
@@ -256,91 +261,137 @@ def _sketch_rows(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["block", "data", "lang", "n"])
 
 
-def candidates(rows: DataFrame, power: int, pairs, longer) -> DataFrame:
-    """(lang, phrase): what the sketches don't rule out, each once: phrases of 2 to WORDS words, and the words of the pairs."""
+def _shard(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of phrases that begin with pairs of these hashes (other bits than those of a sketch's cells)."""
+    return ((pairs & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+
+
+def routed(rows: DataFrame, power: int, pairs, shards: int) -> DataFrame:
+    """(shard, lang, windows): the places of rows (lang, text) where a phrase may begin, one window a line, blocks of them a row.
+
+    A window is up to WORDS words from a heavy pair on, as far as pairs are heavy: all phrases that begin there lie in it. It goes
+    to the shard of its first pair, so each shard looks at its own windows only, and a frequent pair makes more blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
+        held: dict[tuple[int, str], list[bytes]] = {}
+        sizes: Counter = Counter()
+
+        def given(keys: list[tuple[int, str]]) -> pa.RecordBatch:
+            blocks = [b"\n".join(held.pop(k)) for k in keys]
+            for k in keys:
+                sizes.pop(k)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(blocks, pa.binary())], ["shard", "lang", "windows"])
+
         for batch in batches:
             for lang, texts in _by_language(batch):
-                key, fresh = _lang_hash(lang), set()
-                for chunk, seen in chunks(texts):
-                    words = Words(chunk, seen, key)
-                    _, found, new = _likely(words, None, power)[0]
-                    new = new & _heavy(pairs.value, found >> np.uint64(64 - power)) if len(found) else new
-                    first, _ = words.phrases(1)
-                    at = np.flatnonzero(new)
-                    chosen = [(2, found, at), (1, first, np.union1d(at, at + 1))]
-                    for k, hashes, likely in _likely(words, pairs.value, power):
-                        if len(hashes):
-                            chosen.append((k, hashes, np.flatnonzero(likely & _heavy(longer.value, hashes >> np.uint64(64 - power)))))
-                    for k, hashes, at in chosen:
-                        names, places = np.unique(hashes[at], return_index=True)
-                        for h, i in zip(names.tolist(), at[places].tolist()):
-                            if h not in told:
-                                told.add(h)
-                                fresh.add(words.text(i, k))
+                key = _lang_hash(lang)
+                for chunk, ahead in chunks(texts):
+                    words = Words(chunk, ahead, key)
+                    likely = words.likely(pairs.value, power)
+                    at = np.flatnonzero(likely & words.new[: len(likely)])
+                    if not len(at):
+                        continue
+                    # the last word of each window: on while pairs are heavy
+                    last, goes_on = at + 1, np.ones(len(at), bool)
+                    padded = np.concatenate([likely, np.zeros(WORDS, bool)])
+                    for i in range(1, WORDS - 1):
+                        goes_on &= padded[at + i]
+                        last = last + goes_on
+                    to = _shard(words.phrases(2)[0][at], shards)
+                    order = np.argsort(to, kind="stable")
+                    cut = [chunk[a:b] for a, b in zip(words.starts[at[order]].tolist(), words.ends[last[order]].tolist())]
+                    bounds = np.searchsorted(to[order], np.arange(shards + 1)).tolist()
+                    for s in np.unique(to).tolist():
+                        part = cut[bounds[s] : bounds[s + 1]]
+                        held.setdefault((s, lang), []).extend(part)
+                        sizes[s, lang] += sum(map(len, part))
+                    if full := [k for k, n in sizes.items() if n >= CHUNK]:
+                        yield given(full)
+                    elif sum(sizes.values()) >= 32 * CHUNK:  # many shards, none of them full
+                        yield given(list(sizes))
+        release()
+        if held:
+            yield given(list(sizes))
+
+    return rows.mapInArrow(run, "shard int, lang string, windows binary")
+
+
+def candidates(windows: DataFrame, power: int, longer) -> DataFrame:
+    """(lang, phrase): the phrases at the windows' beginnings that the sketches don't rule out, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in batches:
+            for lang, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words, fresh = Words(block.as_py(), 0, _lang_hash(lang)), []
+                first = np.flatnonzero(np.diff(words.piece, prepend=-1))  # each window is a piece
+                for k in range(2, WORDS + 1):
+                    hashes, whole = words.phrases(k)
+                    at = first[first < len(hashes)]
+                    at = at[whole[at]]
+                    if k > 2:
+                        at = at[_heavy(longer.value, hashes[at] >> np.uint64(64 - power))]
+                    names, places = np.unique(hashes[at], return_index=True)
+                    for h, i in zip(names.tolist(), at[places].tolist()):
+                        if h not in told:
+                            told.add(h)
+                            fresh.append(words.text(i, k))
                 if len(told) > TOLD:  # some are then told again; distinct sees to it
                     told.clear()
                 if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(fresh), pa.string()), pa.array(list(fresh), pa.string())], ["lang", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(fresh), pa.string()), pa.array(fresh, pa.string())], ["lang", "phrase"])
         release()
 
-    return rows.mapInArrow(run, "lang string, phrase string").distinct()
+    return windows.select("lang", "windows").mapInArrow(run, "lang string, phrase string").distinct()
 
 
 _SPACES = re.compile(b"  +")
 
 
 class Automata:
-    """Counts the occurrences of phrases (lang, phrase) in texts, overlaps included.
+    """Counts the phrases (lang, phrase) that windows begin with.
 
-    Each phrase is guarded by a space on either side, and words of the text are parted by one space, so that a match begins and
-    ends where words do; between stretches of text stands a line feed, which no phrase has. Single words need no automaton.
+    A phrase is guarded by the line feed before it and the space behind it, so a match begins where a window does and ends where a
+    word does; phrases that begin alike match at one place, each.
     """
 
     def __init__(self, phrases: list[tuple[str, str]]):
-        self.longer: dict[str, ahocorasick.Automaton] = {}
-        self.words: dict[str, dict[bytes, int]] = {}
+        self.known: dict[str, ahocorasick.Automaton] = {}
         for i, (lang, phrase) in enumerate(phrases):
-            if " " in phrase:
-                self.longer.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", i)
-            else:
-                self.words.setdefault(lang, {})[phrase.encode()] = i
-        for automaton in self.longer.values():
+            self.known.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f"\n{phrase} ", i)
+        for automaton in self.known.values():
             automaton.make_automaton()
 
-    def count(self, lang: str, words: Words, likely: np.ndarray, counts: np.ndarray) -> None:
-        """Adds to counts (by place in phrases) what a chunk has. likely: where words stand whose pair with the next may be part
-        of a phrase; the stretches of such pairs are all that has to be searched."""
-        if known := self.words.get(lang):
-            each = Counter([w for w in words.chunk.replace(b"\n", b" ").split(b" ") if w][words.seen :])
-            for w in each.keys() & known.keys():
-                counts[known[w]] += each[w]
-        if lang not in self.longer or not likely.any():
-            return
-        edge = np.flatnonzero(np.diff(likely, prepend=False, append=False))
-        first, last = edge[::2], edge[1::2]  # a stretch is of the words from first to last
-        parts = [words.chunk[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[last].tolist())]
-        known = next((i for i, a in enumerate(first.tolist()) if a >= words.seen), len(parts))
-        for a, part in zip(first[:known].tolist(), parts):  # begins with words of the chunk before
-            text = self._spaced([part])
-            past = len(" ".join(text.split(" ")[: words.seen - a + 1]))
-            for end, i in self.longer[lang].iter(text):
-                counts[i] += end > past
-        found = np.fromiter(map(itemgetter(1), self.longer[lang].iter(self._spaced(parts[known:]))), np.int64)
-        np.add.at(counts, found, 1)
+    def count(self, lang: str, windows: bytes, counts: np.ndarray) -> None:
+        """Adds to counts, by place in phrases."""
+        if lang in self.known:
+            text = _SPACES.sub(b" ", b"\n%b " % windows.replace(b"\n", b" \n")).decode()
+            np.add.at(counts, np.fromiter(map(itemgetter(1), self.known[lang].iter(text)), np.int64), 1)
+
 
-    @staticmethod
-    def _spaced(parts: list[bytes]) -> str:
-        return _SPACES.sub(b" ", b" %b " % b" \n ".join(parts)).decode()
+class Vocabulary:
+    """Counts the words (lang, word) of chunks."""
 
+    def __init__(self, words: list[tuple[str, str]]):
+        self.known: dict[str, dict[bytes, int]] = {}
+        for i, (lang, word) in enumerate(words):
+            self.known.setdefault(lang, {})[word.encode()] = i
 
-_made: dict[str, Automata] = {}
+    def count(self, lang: str, chunk: bytes, ahead: int, counts: np.ndarray) -> None:
+        known = self.known.get(lang, {})
+        words = [w for w in chunk.replace(b"\n", b" ").split(b" ") if w]
+        each = Counter(words[: len(words) - ahead])
+        for w in each.keys() & known.keys():
+            counts[known[w]] += each[w]
 
 
-def counted(rows: DataFrame, phrases: pa.Table, power: int, pairs) -> DataFrame:
-    """(lang, phrase, n): how often each of the phrases (lang, phrase), a bounded table, occurs in rows (lang, text)."""
+_made: dict[str, Automata | Vocabulary] = {}
+
+
+def counted(rows: DataFrame, phrases: pa.Table, words: bool = False) -> DataFrame:
+    """(lang, phrase, n): how often each of the phrases (lang, phrase), a bounded table, begins a window of rows (lang, windows),
+    or, with words, how often each of the words occurs in rows (lang, text)."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, phrases.schema) as writer:
         writer.write_table(phrases)
@@ -352,14 +403,16 @@ def counted(rows: DataFrame, phrases: pa.Table, power: int, pairs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:  # one at a time in each worker
             _made.clear()
-            _made[key] = Automata(list(zip(*[c.to_pylist() for c in table().columns])))
+            _made[key] = (Vocabulary if words else Automata)(list(zip(*[c.to_pylist() for c in table().columns])))
         counts = np.zeros(table().num_rows, np.int64)
         for batch in batches:
-            for lang, texts in _by_language(batch):
-                salt = _lang_hash(lang)
-                for chunk, seen in chunks(texts):
-                    words = Words(chunk, seen, salt)
-                    _made[key].count(lang, words, words.likely(pairs.value, power), counts)
+            if words:
+                for lang, texts in _by_language(batch):
+                    for chunk, ahead in chunks(texts):
+                        _made[key].count(lang, chunk, ahead, counts)
+            else:
+                for lang, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    _made[key].count(lang, block.as_py(), counts)
         release()
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["i", "n"])
@@ -367,35 +420,48 @@ def counted(rows: DataFrame, phrases: pa.Table, power: int, pairs) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table()
         for batch in batches:
-            for part in known.take(batch.column(0)).append_column("n", batch.column(1)).combine_chunks().to_batches():
-                yield part
+            yield from known.take(batch.column(0)).append_column("n", batch.column(1)).combine_chunks().to_batches()
 
     sums = rows.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     return sums.mapInArrow(named, "lang string, phrase string, n long")
 
 
+def _slices(table: pa.Table, size: int) -> Iterator[pa.Table]:
+    for at in range(0, table.num_rows, size):
+        yield table.slice(at, size)
+
+
 def frequencies(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, n), (lang, n)) of rows (lang, text): how often each phrase of 1 to WORDS words occurs within pieces, of those
-    that occur `least` times and are longer than a word, or are a word of such a pair; and the words of each language.
+    """((lang, phrase, n), (lang, n)) of rows (lang, text): how often each phrase of 2 to WORDS words occurs within pieces, of those
+    that occur `least` times, and each word of these; and the words of each language.
 
-    Sketches bound the counts from above: one of pairs first, then one of longer phrases that have only heavy pairs. What
-    reaches `least` in them is compiled into automata, `shard` phrases each, and counted exactly.
+    Sketches bound the counts from above: one of pairs first, then one of longer phrases that have only heavy pairs. Where phrases
+    may begin, windows of the text are dealt to shards by their first pair. The candidates of a shard are compiled into
+    automata, `shard` phrases each, which count its windows; so the text is read four times, however many shards there are.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     power = min(max((size // BYTES_PER_CELL).bit_length(), FEWEST), MOST)
     bits, totals = heavy_cells(rows, power, least)
     pairs = spark.sparkContext.broadcast(bits)
-    longer = spark.sparkContext.broadcast(heavy_cells(rows, power, least, pairs)[0])
-    found = checkpointed(candidates(rows, power, pairs, longer))
-    shards = max(1, -(-found.count() // shard))
-    found = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+    more, _ = heavy_cells(rows, power, least, pairs)
+    longer = spark.sparkContext.broadcast(more)
+    heavy = int(np.bitwise_count(bits).sum(dtype=np.int64) + np.bitwise_count(more).sum(dtype=np.int64))
+    shards = max(1, -(-heavy // shard))
+    windows = checkpointed(routed(rows, power, pairs, shards), "shard")
     parts = []
     for i in range(shards):
-        # about `shard` phrases: the hash deals them evenly
-        phrases = found.filter(F.col("shard") == i).select("lang", "phrase").toArrow()
-        parts.append(checkpointed(counted(rows, phrases, power, pairs).filter(F.col("n") >= least)))
-    return reduce(DataFrame.unionByName, parts), totals
+        mine = windows.filter(F.col("shard") == i).select("lang", "windows")
+        # about `shard` phrases: the hash deals pairs evenly, and a pair with more longer phrases than that takes several automata
+        for phrases in _slices(candidates(mine, power, longer).toArrow(), shard):
+            parts.append(checkpointed(counted(mine, phrases).filter(F.col("n") >= least)))
+    if not parts:
+        parts = [spark.createDataFrame([], "lang string, phrase string, n long")]
+    found = checkpointed(reduce(DataFrame.unionByName, parts))
+    single = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
+    for words in _slices(single.toArrow(), 2 * shard):
+        found = found.unionByName(checkpointed(counted(rows, words, words=True)))
+    return found, totals
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:
