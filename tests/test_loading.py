@@ -12,9 +12,10 @@ from tidemark.schemas import RAW
 from tidemark.session import materialised
 from tidemark.sources.clustered import FeedStore
 from tidemark.sources.commits import CommitLog, ConflictError, Store
+from tidemark.sources.freshness import freshness
 from tidemark.sources.loader import Loader, last_run, published_days, run_results, write_daily
 from tidemark.sources.tables import feeds
-from tidemark.streaming.ingest import ingest, order_stream
+from tidemark.streaming.ingest import ingest, load_stream, order_stream
 
 HEADER = ",".join(RAW["orders"].names)
 ROW = "O{n},C1,HUB-1,Fast,UPI,2024-01-01 10:00:00,2024-01-08,created,,,,,2024-01-0{d} 10:00:00"
@@ -87,6 +88,38 @@ def test_two_loaders_at_once_load_each_file_once(spark, tmp_path):
     assert slow.table("orders").count() == 2 and slow.manifest().count() == 1
 
 
+def test_a_replayed_stream_loads_once(spark, tmp_path):
+    """Killed between its commit and its checkpoint, the batch is run again and finds itself done; the rest equals a batch load."""
+    landing, checkpoint = tmp_path / "landing", tmp_path / "checkpoint"
+    land(landing, 1, ROW.format(n=1, d=1), ROW.format(n=2, d=1))
+    loader = Loader(spark, str(landing), str(tmp_path / "raw"))
+    load_stream(loader, "orders", str(checkpoint)).awaitTermination()
+    assert loader.table("orders").count() == 2 and loader.manifest().first()["rows_loaded"] == 2
+    for name in ("0", ".0.crc"):
+        (checkpoint / "commits" / name).unlink()
+    land(landing, 2, ROW.format(n=3, d=2))
+    load_stream(loader, "orders", str(checkpoint)).awaitTermination()
+    assert sorted(r["order_id"] for r in loader.table("orders").collect()) == ["O1", "O2", "O3"]
+    land(landing, 3, ROW.format(n=4, d=3))
+    assert loader.run().files["orders"] == 1  # by the batch load; the stream then leaves it out
+    load_stream(loader, "orders", str(checkpoint)).awaitTermination()
+    land(landing, 1, ROW.format(n=9, d=1))
+    assert loader.states("orders").filter("state = 'changed'").first()["file_path"] == "orders/dt=2024-01-01/orders.csv"
+    whole = Loader(spark, str(landing), str(tmp_path / "other"))
+    land(landing, 1, ROW.format(n=1, d=1), ROW.format(n=2, d=1))
+    whole.run()
+    columns = [*RAW["orders"].names, "_source_file"]
+    assert sorted(map(str, loader.table("orders").select(columns).collect())) == sorted(map(str, whole.table("orders").select(columns).collect()))
+
+
+def test_freshness_goes_by_the_clock(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 6),), (datetime(2024, 1, 2, 6),)], "_loaded_at timestamp_ntz")
+    old, new, none = df.limit(1), df, df.limit(0)
+    at = lambda x: {r["source"]: (r["days"], r["status"]) for r in freshness({"old": old, "new": new, "none": none}, x).collect()}
+    assert at(F.lit(datetime(2024, 1, 4, 7))) == {"old": (3, "error"), "new": (2, "warn"), "none": (None, "error")}
+    assert at(None) == {"old": (1, "warn"), "new": (0, "pass"), "none": (None, "error")}
+
+
 def test_loads_go_in_steps(spark, tmp_path):
     landing = tmp_path / "landing"
     for day in range(1, 8):

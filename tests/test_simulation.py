@@ -221,6 +221,14 @@ def test_the_graph_is_what_models_read(spark, project):
         names("nothing")
 
 
+def test_the_project_watches_and_takes_results(project, tmp_path):
+    assert project.watch(seconds=0, times=2) == 1
+    assert {r["source"]: r["status"] for r in project.freshness().collect()}.keys() == {"orders", "order_items", "payments", "customers"}
+    (tmp_path / "r.json").write_text('{"metadata": {"invocation_id": "i", "generated_at": "2024-01-01T00:00:00Z"}, "results": [{"unique_id": "model.x", "status": "success"}]}')
+    assert project.take_results(str(tmp_path / "r.json")) == 1
+    assert project.builder.results().filter("invocation_id = 'i'").first()["command"] == "imported"
+
+
 def test_a_part_of_the_graph_is_built_alone(project):
     before = project.builder.paths()
     project.builder.run(project.feeds(), select="order_funnel stage_bottlenecks")

@@ -1,4 +1,4 @@
-"""Commands: generate, load, transform, run, advance, status and seeds."""
+"""Commands: generate, load, transform, run, advance, watch, status, freshness, results and vacuum."""
 
 from __future__ import annotations
 
@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.ask import Desk
 from tidemark.plans.build import Builder
+from tidemark.schemas import RAW
 from tidemark.session import session
-from tidemark.sources.loader import Loader, last_run
+from tidemark.sources.commits import CommitLog
+from tidemark.sources.freshness import freshness
+from tidemark.sources.loader import Loader, last_run, run_results
+from tidemark.sources.schedule import Runs, Sensor
 from tidemark.sources.seed_files import export_seeds, load_seeds
 from tidemark.sources.simulate import Plan, Simulator
 from tidemark.sources.tables import Feeds
@@ -37,9 +41,10 @@ class Project:
         t = self.loader.table
         return Feeds(t("orders"), t("customers"), t("order_items"), t("payments"), t("products"), t("sellers"), **load_seeds(self.spark, f"{self.root}/seeds"))
 
-    def transform(self, full_refresh: bool = False) -> DataFrame:
-        """Builds and tests all models; the fact takes what was loaded since, unless all of it is to be built anew."""
-        return self.builder.run(self.feeds(), full_refresh, command="transform").fct_orders
+    def transform(self, full_refresh: bool = False, select: str | None = None) -> DataFrame:
+        """Builds and tests all models, or those selected; the fact takes what was loaded since, unless all of it is to be built
+        anew."""
+        return self.builder.run(self.feeds(), full_refresh, command="transform", select=select).fct_orders
 
     def advance(self, days: int) -> DataFrame:
         """Releases the days after the newest landed one, up to the plan's end, loads and builds."""
@@ -49,6 +54,23 @@ class Project:
         self.load()
         return self.transform()
 
+    def freshness(self) -> DataFrame:
+        """Ages of the feeds by the clock of the session: warn from one day, error from three."""
+        now = F.current_timestamp()
+        return freshness({name: self.loader.table(name) for name in RAW}, now)
+
+    def take_results(self, path: str, command: str = "imported") -> int:
+        """Adds the run results of another tool's document (JSON) to those of the builds; how many."""
+        text = self.spark.read.text(path, wholetext=True).first()[0]
+        rows = run_results(self.spark, text, command).withColumn("generated_at", F.col("generated_at").cast("timestamp_ntz"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/ops/run_results")
+        return rows.count()
+
+    def watch(self, seconds: float = 60.0, times: int | None = None) -> int:
+        """Loads and builds whenever files have landed; of several that watch one project, one does it."""
+        sensor = Sensor(self.loader, Runs(CommitLog(self.spark, f"{self.root}/ops/runs")), running=True)
+        return sensor.watch(lambda: (self.load(), self.transform()), seconds, times)
+
     def desk(self) -> Desk:
         return Desk(self.builder)
 
@@ -65,11 +87,14 @@ class Project:
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__)
-    parser.add_argument("command", choices=["generate", "load", "transform", "run", "advance", "status"])
+    parser.add_argument("command", choices=["generate", "load", "transform", "run", "advance", "status", "freshness", "results", "watch", "vacuum"])
     parser.add_argument("--root", default="data")
     parser.add_argument("--days", type=int, default=1)
     parser.add_argument("--until", type=date.fromisoformat)
     parser.add_argument("--full-refresh", action="store_true")
+    parser.add_argument("--select", help="models or layers to build, + before or behind for what they need or what needs them")
+    parser.add_argument("--file", help="a document of run results")
+    parser.add_argument("--times", type=int, help="how often to look, for ever if not given")
     given = parser.parse_args(args)
     project = Project(session(), given.root)
     if given.command in ("generate", "run"):
@@ -77,9 +102,21 @@ def main(args: list[str] | None = None) -> None:
     if given.command in ("load", "run"):
         print(project.load().to_json())
     if given.command in ("transform", "run"):
-        print(f"{project.transform(given.full_refresh).count()} orders")
+        built = project.transform(given.full_refresh, given.select)
+        print(f"{built.count()} orders" if given.select is None else f"built {given.select}")
     if given.command == "advance":
         print(f"{project.advance(given.days).count()} orders")
+    if given.command == "freshness":
+        ages = project.freshness()
+        ages.show(truncate=False)
+        if not ages.filter("status = 'error'").isEmpty():
+            raise SystemExit(1)
+    if given.command == "results":
+        print(f"{project.take_results(given.file)} results")
+    if given.command == "watch":
+        print(f"{project.watch(times=given.times)} runs")
+    if given.command == "vacuum":
+        print(f"{project.builder.vacuum()} folders removed")
     if given.command == "status":
         for title, table in project.status().items():
             print(title)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import long, rounded
@@ -22,6 +22,7 @@ from tidemark.plans.seeds import sale_calendar
 from tidemark.plans.warehouse import Warehouse, clustered_increment, increment
 from tidemark.session import materialised, scratch_folder
 from tidemark.sources.clustered import FeedStore
+from tidemark.sources.freshness import freshness
 from tidemark.sources.tables import read
 
 #: Parameters of the dashboard queries.
@@ -271,11 +272,5 @@ def clustered_incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of each feed against the newest load: warn from 1 day, error from 3."""
-    w = Warehouse.over(spark, sf_dir)
-    ages = None
-    for name in ("orders", "customers", "order_items", "payments"):
-        one = getattr(w.feeds, name).agg(F.lit(name).alias("source"), F.max("_loaded_at").alias("loaded"))
-        ages = one if ages is None else ages.unionByName(one)
-    newest = F.max("loaded").over(Window.partitionBy())
-    days = long(F.timestamp_diff("DAY", F.col("loaded"), newest))
-    return ages.select("source", "loaded", days.alias("days"), F.when(days >= 3, "error").when(days >= 1, "warn").otherwise("pass").alias("status"))
+    f = Warehouse.over(spark, sf_dir).feeds
+    return freshness({name: getattr(f, name) for name in ("orders", "customers", "order_items", "payments")})
