@@ -36,6 +36,8 @@ GATHERED = 3_000_000
 TOLD = 500_000
 #: Phrases of one automaton.
 SHARD = 300_000
+#: Counts that travel together from a task: nearly all tasks have nearly all phrases, so counts without names take least room.
+COUNTS = 1 << 12
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
 
@@ -404,7 +406,7 @@ def counted(rows: DataFrame, phrases: pa.Table, words: bool = False) -> DataFram
         if key not in _made:  # one at a time in each worker
             _made.clear()
             _made[key] = (Vocabulary if words else Automata)(list(zip(*[c.to_pylist() for c in table().columns])))
-        counts = np.zeros(table().num_rows, np.int64)
+        counts = np.zeros(-(-table().num_rows // COUNTS) * COUNTS, np.int64)
         for batch in batches:
             if words:
                 for lang, texts in _by_language(batch):
@@ -414,16 +416,21 @@ def counted(rows: DataFrame, phrases: pa.Table, words: bool = False) -> DataFram
                 for lang, block in zip(batch.column(0).to_pylist(), batch.column(1)):
                     _made[key].count(lang, block.as_py(), counts)
         release()
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["i", "n"])
+        some = [(i, x.tobytes()) for i, x in enumerate(counts.reshape(-1, COUNTS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["block", "counts"])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table()
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            yield from known.take(batch.column(0)).append_column("n", batch.column(1)).combine_chunks().to_batches()
-
-    sums = rows.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    return sums.mapInArrow(named, "lang string, phrase string, n long")
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(data.as_py(), np.int64)
+                sums[block] = sums[block] + counts if block in sums else counts
+        known = table() if sums else None
+        for block, counts in sums.items():
+            some = np.flatnonzero(counts)
+            yield from known.take(some + block * COUNTS).append_column("n", pa.array(counts[some])).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, "block int, counts binary").repartition("block").mapInArrow(summed, "lang string, phrase string, n long")
 
 
 def _slices(table: pa.Table, size: int) -> Iterator[pa.Table]:
