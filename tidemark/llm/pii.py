@@ -1,4 +1,4 @@
-"""Personal data: base patterns, and identifiers that bootstrapped lexical patterns find beside them."""
+"""Personal data: base patterns, and what else fills the slots of the lexical patterns that these seeds induce."""
 
 from __future__ import annotations
 
@@ -22,18 +22,15 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-# What a pattern may find: looser than the base, so that identifiers which the base misses can be learnt. Matches
-# begin where their run of characters does, so each character is read a bounded number of times.
-NAME = r"[^\s@<>()\[\]\"',;]"
-LOOSE = {
-    "email": re.compile(rf"(?<!{NAME}){NAME}++(?:@|\(at\)|\[at\]){NAME}{{3,}}+"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9-])[0-9]{4}(?:[ .-][0-9]{4}){2}[ .-][0-9]{1,7}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+.)-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,5}(?![0-9.-])"),
-}
-#: A lexical pattern is the end of the token before a position, so many code points of it at most.
+# What makes a token more than a plain word: a digit, an @, or one of these signs between two characters of words.
+MARK = re.compile(r"[0-9@._:/=()\[\]#~](?:(?<=[0-9@])|(?<=\w.)(?=\w))", re.DOTALL)
+TOKEN_END = re.compile(r"\S*+")
+NEXT = re.compile(r"[^\S\n]*+(\S*+)")
+LABEL = re.compile(r"[^\W\d_]++[:=](?=.)")
+WORD = re.compile(r"\w")
+OPENING, CLOSING = "\"'<{`*#$%&", "\"'>}`*#$%&.,;:!?"
+#: Tokens of contexts beyond so many code points stand in them as 64 bits of a hash of the whole token.
 TOKEN = 40
-LEFT = re.compile(rf"(\S{{1,{TOKEN}}})([^\S\n]?)\Z")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -80,46 +77,124 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def context(text: str, start: int) -> str | None:
-    """The lexical pattern left of a position: the lower-cased end of the token before it on its line (TOKEN code points)
-    and whether white space follows; None at the start of a line."""
-    m = LEFT.search(text, max(0, start - TOKEN - 2), start)
-    return f"{m[1].lower()}{'_' if m[2] else ''}" if m else None
+def word_key(word: str) -> str:
+    """A token of a context: in lower case, or a hash of that where it is long."""
+    word = word.lower()
+    return word if len(word) <= TOKEN else f"#{xxhash.xxh64_hexdigest(word.encode(errors='surrogatepass'), 7)}"
 
 
-def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, bool]]:
-    """(kind, start, end, context, seed): base matches, and loose matches of a kind apart from all base matches."""
-    out = [(k, a, b, c, True) for k, a, b in found if (c := context(text, a)) is not None]
-    taken: list[list[int]] = []  # the base matches as disjoint stretches
-    for a, b in sorted((a, b) for _, a, b in found):
-        if taken and a < taken[-1][1]:
-            taken[-1][1] = max(b, taken[-1][1])
-        else:
-            taken.append([a, b])
-    taken.append([len(text) + 1, len(text) + 1])
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text and "(at)" not in text and "[at]" not in text:
+def tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs without white space that are more than plain words (MARK)."""
+    out, done = [], 0
+    for m in MARK.finditer(text):
+        if (at := m.start()) >= done:
+            while at > done and not text[at - 1].isspace():
+                at -= 1
+            done = TOKEN_END.match(text, m.start()).end()
+            out.append((at, done))
+    return out
+
+
+def before(text: str, start: int, low: int) -> str | None:
+    """The lexical pattern left of a position: what its token has before it, from `low` on; if that is no more than signs,
+    the token before it on its line too. None without a character of a word."""
+    at = start
+    while at > low and not text[at - 1].isspace():
+        at -= 1
+    glue = text[at:start]
+    if WORD.search(glue):
+        return f"<{word_key(glue)}"
+    if at == low and at and not text[at - 1].isspace():
+        return None
+    while at > low and text[at - 1].isspace() and text[at - 1] != "\n":
+        at -= 1
+    end = at
+    while at > low and not text[at - 1].isspace():
+        at -= 1
+    return f"<{word_key(text[at:end])}_{word_key(glue)}" if WORD.search(text, at, end) else None
+
+
+def after(text: str, end: int, high: int) -> str | None:
+    """The lexical pattern right of a position, up to `high`, like `before`."""
+    at = TOKEN_END.match(text, end, high).end()
+    glue = text[end:at]
+    if WORD.search(glue):
+        return f">{word_key(glue)}"
+    word = NEXT.match(text, at, high)[1]
+    return f">{word_key(glue)}_{word_key(word)}" if WORD.search(word) else None
+
+
+def fillers(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what may fill the slot of a pattern: the longest runs of neighbouring tokens on a line that are more than
+    plain words, without quotes and stops around them or a label before them. Tokens that touch a base match part runs."""
+    taken = sorted((a, b) for _, a, b in found)
+    out, run, at, reach, open_end = [], None, 0, 0, -1
+    for a, b in tokens(text):
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > a:
+            run = None
+            continue
+        core_a, core_b = a, b
+        while core_a < core_b and text[core_a] in OPENING:
+            core_a += 1
+        while core_b > core_a and text[core_b - 1] in CLOSING:
+            core_b -= 1
+        for x, y in ("()", "[]"):  # brackets without their other half
+            if text.startswith(x, core_a, core_b) and text.find(y, core_a, core_b) < 0:
+                core_a += 1
+            elif text.endswith(y, core_a, core_b) and text.find(x, core_a, core_b) < 0:
+                core_b -= 1
+        label = LABEL.match(text, core_a, core_b)
+        if label:
+            core_a = label.end()
+        if core_a >= core_b:
+            run = None
             continue
-        at = 0  # both lists go by position, so one walk over them will do
-        for m in LOOSE[kind].finditer(text):
-            a, b = m.span()
-            while taken[at][1] <= a:
-                at += 1
-            if b <= taken[at][0] and (c := context(text, a)) is not None:
-                out.append((k, a, b, c, False))
+        if run is not None and open_end + 1 == core_a == a and text[open_end] in " \t\xa0":
+            run[1] = core_b
+        else:
+            run = [core_a, core_b]
+            out.append(run)
+        run, open_end = (run, b) if core_b == b else (None, -1)
+    return [(a, b) for a, b in out]
+
+
+def shape(value: str) -> int:
+    """The signature of a value by its classes of characters: digits in steps of four (from 20 on alike), whether letters outnumber
+    them, and whether there are signs."""
+    digits = sum("0" <= c <= "9" for c in value)
+    letters = sum(map(str.isalpha, value))
+    return min(digits // 4, 5) * 4 + (letters > digits) * 2 + (digits + letters < len(value))
+
+
+def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str | None, str | None]]:
+    """(kind, start, end, left, right context): base matches as seeds; fillers with a context, whose kind is -1 as yet."""
+    out = []
+    groups = [[(a, b) for k, a, b in found if k == kind] for kind in range(len(KINDS))]
+    # contexts end where the next candidate of the group begins, so that no character counts for more than two of them
+    for kind, spans in zip([*range(len(KINDS)), -1], [*groups, fillers(text, found)]):
+        for i, (a, b) in enumerate(spans):
+            left = before(text, a, spans[i - 1][1] if i else 0)
+            right = after(text, b, spans[i + 1][0] if i + 1 < len(spans) else len(text))
+            if kind >= 0 or left or right:
+                out.append((kind, a, b, left, right))
     return out
 
 
 SPAN = "struct<kind: int, start: long, end: long>"
+HIT = "struct<kind: int, start: long, end: long, left: string, right: string, value: long, shape: int>"
 _HIT = pa.struct(
-    [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string()), ("value", pa.int64()), ("seed", pa.bool_())]
+    [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("left", pa.string()), ("right", pa.string())]
+    + [("value", pa.int64()), ("shape", pa.int32())]
 )
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def value_hash(value: str) -> int:
     """64 bits of an identifier in lower case, as a signed long; they stand for it in the graph."""
-    found = xxhash.xxh64_intdigest(value.lower().encode(), 5)
+    found = xxhash.xxh64_intdigest(value.lower().encode(errors="surrogatepass"), 5)
     return found - (1 << 64) if found >> 63 else found
 
 
@@ -140,8 +215,8 @@ def detect(docs: DataFrame) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 hits.append(
                     [
-                        {"kind": k, "start": a, "end": b, "context": c, "value": value_hash(text[a:b]), "seed": s}
-                        for k, a, b, c, s in candidates(text, found)
+                        {"kind": k, "start": a, "end": b, "left": x, "right": y, "value": value_hash(text[a:b]), "shape": shape(text[a:b])}
+                        for k, a, b, x, y in candidates(text, found)
                     ]
                 )
             columns = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT))]
@@ -152,80 +227,100 @@ def detect(docs: DataFrame) -> DataFrame:
     )
     return rows.mapInArrow(
         run,
-        f"doc_id long, text_key string, base array<{SPAN}>, "
-        "hits array<struct<kind: int, start: long, end: long, context: string, value: long, seed: boolean>>",
+        f"doc_id long, text_key string, base array<{SPAN}>, hits array<{HIT}>",
     )
 
 
-#: Score from which a pattern is accepted, and the believed instances it needs.
-ACCEPT, SUPPORT = 2.0, 5.0
+#: Score from which a pattern is accepted, the believed instances it (and a shape) needs, and the belief from which a span is added.
+ACCEPT, SUPPORT, BELIEVE = 2.0, 5.0, 0.5
 
 
-def patterns(detected: DataFrame, accept: float = ACCEPT, support: float = SUPPORT) -> DataFrame:
-    """(kind, context) of the accepted patterns, from the graph of patterns and instances of the whole corpus.
+def evidence(detected: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(text_key, kind, start, end, value, context, seed) of each candidate and context of the corpus, each text once; kind is null
+    for what no kind's seeds resemble.
 
-    Instances are distinct values; those of the base are seeds, believed fully. With F the sum of the beliefs in a
-    pattern's n instances, its confidence is F / n and its score F / n * log2(F), so that a pattern which many known
-    identifiers support may bring in many unseen ones. Patterns of score `accept` and F `support` are accepted and stay
-    so. An unseen instance is believed by the noisy-or of its accepted patterns' confidences, so that found identifiers
-    in turn induce patterns. Rounds go on until none is accepted any more.
+    What fills a slot may be of each kind of which `support` seeds have its shape, one a step of digits from it, or the same
+    without signs (signs part digits in many ways; but a kind that never goes without them needs some). Shapes are learnt, not listed.
     """
-    with scratch(detected.sparkSession):
-        return lasting(_patterns(detected, accept, support))
+    hits = checkpointed(detected.select("text_key", F.explode("hits").alias("h")).select("text_key", "h.*").distinct())
+    # at most 24 shapes of 4 kinds and their neighbours: this broadcast has 128 rows
+    near = F.explode(F.array(*[F.col("shape").bitwiseOR(F.lit(sign)) + 4 * step for step in (-1, 0, 1) for sign in (0, 1)])).alias("shape")
+    shapes = hits.filter("kind >= 0").select("kind", "value", near).groupBy("kind", "shape").agg(F.countDistinct("value").alias("n"))
+    shapes = shapes.filter(F.col("n") >= support).select(F.col("kind").alias("typed"), "shape")
+    seeds = hits.filter("kind >= 0").withColumn("typed", F.col("kind"))
+    unseen = hits.filter("kind < 0").join(F.broadcast(shapes), "shape", "left")
+    both = seeds.withColumn("seed", F.lit(True)).unionByName(unseen.withColumn("seed", F.lit(False)))
+    contexts = F.explode(F.array_compact(F.array("left", "right")))
+    return checkpointed(both.select("text_key", F.col("typed").alias("kind"), "start", "end", "value", contexts.alias("context"), "seed"))
+
 
+def patterns(found: DataFrame, accept: float = ACCEPT, support: float = SUPPORT) -> DataFrame:
+    """(kind, context, confidence) of the accepted patterns, from the graph of patterns and instances of the whole corpus.
 
-def _patterns(detected: DataFrame, accept: float, support: float) -> DataFrame:
-    hits = detected.select(F.explode("hits").alias("h"))
-    edges = checkpointed(hits.groupBy("h.kind", "h.context", "h.value").agg(F.max("h.seed").alias("seed")))
-    loose = checkpointed(edges.filter(~F.col("seed")).select("kind", "context", "value"))
+    Instances are distinct values; those of the base are seeds, believed fully. With F the sum of the beliefs in a
+    pattern's instances of a kind, and n the number of all that fills its slot, of whatever kind or none, its confidence is F / n and
+    its score F / n * log2(F), so that a pattern which many known identifiers support may bring in many unseen ones, but one
+    that stands beside everything none. Patterns of score `accept` and F `support` are accepted and stay
+    so. An unseen instance is believed by the noisy-or of its accepted patterns' confidences, so that found identifiers
+    in turn induce patterns. Rounds go on until none is accepted any more. `found` is the evidence.
+    """
+    edges = checkpointed(found.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed")))
+    loose = checkpointed(edges.filter("kind is not null and not seed").select("kind", "context", "value"))
     # only patterns with unseen instances can find anything
-    unseen = loose.groupBy("kind", "context").agg(F.count("*").alias("unseen"))
+    unseen = loose.select("kind", "context").distinct()
     seeds = edges.filter("seed").groupBy("kind", "context").agg(F.count("*").alias("seeds"))
-    graph = checkpointed(
-        unseen.join(seeds, ["kind", "context"], "left").select("kind", "context", "unseen", F.coalesce("seeds", F.lit(0)).alias("seeds"))
-    )
+    totals = edges.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("n"))
+    graph = unseen.join(seeds, ["kind", "context"], "left").join(totals, "context")
+    graph = checkpointed(graph.select("kind", "context", "n", F.coalesce("seeds", F.lit(0)).alias("seeds")))
     scored, accepted = graph.select("*", F.lit(0.0).alias("lift"), F.lit(False).alias("accepted")), 0
     while True:
         believed = F.col("seeds") + F.col("lift")
-        confidence = believed / (F.col("seeds") + F.col("unseen"))
+        confidence = believed / F.col("n")
         good = (believed >= support) & (confidence * F.log2(believed) >= accept)
-        scored = scored.select("kind", "context", "unseen", "seeds", (F.col("accepted") | good).alias("accepted"), confidence.alias("confidence"))
+        scored = scored.select("kind", "context", "n", "seeds", (F.col("accepted") | good).alias("accepted"), confidence.alias("confidence"))
         scored = checkpointed(scored)
-        taken = scored.filter("accepted")
+        taken = scored.filter("accepted").select("kind", "context", "confidence")
         before, accepted = accepted, taken.count()
         if accepted == before:
-            return taken.select("kind", "context")
-        beliefs = (
-            loose.join(taken.select("kind", "context", "confidence"), ["kind", "context"])
-            .groupBy("kind", "value")
-            .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))).alias("belief"))
-        )
+            return taken
+        beliefs = loose.join(taken, ["kind", "context"]).groupBy("kind", "value").agg(noisy_or("confidence").alias("belief"))
         lift = loose.join(beliefs, ["kind", "value"]).groupBy("kind", "context").agg(F.sum("belief").alias("lift"))
         scored = scored.drop("confidence").join(lift, ["kind", "context"], "left").withColumn("lift", F.coalesce("lift", F.lit(0.0)))
 
 
-def additions(detected: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(text_key, added: array of spans) of the texts in which accepted patterns find more than the base."""
-    fresh = (
-        detected.select("text_key", F.explode("hits").alias("h"))
-        .filter("not h.seed")
-        .select("text_key", "h.kind", "h.context", "h.start", "h.end")
-        .distinct()  # copies of a text count once
-    )
-    return (
-        fresh.join(accepted, ["kind", "context"])
-        .groupBy("text_key")
-        .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+def noisy_or(chance: str) -> Column:
+    return 1 - F.exp(F.sum(F.log1p(-F.least(chance, F.lit(1 - 1e-9)))))
+
+
+def additions(found: DataFrame, accepted: DataFrame, believe: float = BELIEVE) -> DataFrame:
+    """(text_key, added: array of spans) of the texts in which accepted patterns find more than the base.
+
+    A span is believed by the noisy-or of the patterns on its sides; that must be `believe`. Of several kinds the likeliest
+    one names it, of equally likely ones the first of KINDS.
+    """
+    spans = (
+        found.filter("not seed")
+        .join(accepted, ["kind", "context"])
+        .groupBy("text_key", "start", "end", "kind")
+        .agg(noisy_or("confidence").alias("belief"))
+        .filter(F.col("belief") >= believe)
+        .groupBy("text_key", "start", "end")
+        .agg(F.max_by("kind", F.struct(F.round("belief", 9), -F.col("kind"))).alias("kind"))
     )
+    return spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
 
 
-#: Rows up to which a table of additions or patterns is broadcast; beyond it, the join shuffles.
-BROADCAST_ROWS = 20_000
+def bootstrapped(detected: DataFrame) -> DataFrame:
+    """`additions` of the whole corpus, by its own patterns; broadcast if small."""
+    with scratch(detected.sparkSession):
+        found = evidence(detected)
+        added = lasting(additions(found, patterns(found)))
+    n = added.agg(F.coalesce(F.sum(F.size("added") + 1), F.lit(0))).first()[0]
+    return F.broadcast(added) if n <= BROADCAST_SPANS else added
 
 
-def small(df: DataFrame) -> DataFrame:
-    df = checkpointed(df)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Added spans (and texts that have some) up to which they are broadcast, which is some 8 MB; beyond it, the join shuffles.
+BROADCAST_SPANS = 100_000
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -237,7 +332,7 @@ def spans(docs: DataFrame) -> DataFrame:
     count once as evidence for patterns. Other columns are not looked at.
     """
     detected = checkpointed(detect(docs))
-    added = small(additions(detected, patterns(detected)))
+    added = bootstrapped(detected)
     none = F.array().cast(f"array<{SPAN}>")
     return detected.join(added, "text_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
@@ -286,7 +381,7 @@ def redact(docs: DataFrame) -> DataFrame:
     the patterns, and to mask.
     """
     detected = checkpointed(detect(docs).filter("size(hits) > 0").select("text_key", "hits"))
-    added = small(additions(detected, patterns(detected)))
+    added = bootstrapped(detected)
     joined = boxed(docs, text_key=text_key(F.col("text"))).join(added, "text_key", "left").select("row", "added")
     at = docs.columns.index("text")
     sizes = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
