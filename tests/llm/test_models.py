@@ -61,6 +61,12 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert hits >= 0.8 * len(toxic) and hits >= 0.9 * (hits + wrong)
     model = toxicity.train(docs, table)
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    # the bound on features selects them (without it, some 2 % of predictions change); twice as many find and accuse about as many
+    wide = toxicity.train(docs, table, max_features=2 * toxicity.MAX_FEATURES)
+    found, accused = (sum(plain_score(wide, texts[r["doc_id"]]) >= 0.5 for r in kind) for kind in (toxic, clean))
+    print(f"with twice the features: {found} found, {accused} accused")
+    assert abs(found - hits) <= 0.03 * len(toxic) and abs(accused - wrong) <= 0.005 * len(clean)
+    assert len(model.weights) <= toxicity.MAX_FEATURES < len(wide.weights) <= 2 * toxicity.MAX_FEATURES
     for r in rows[::7]:
         assert r["score"] == pytest.approx(plain_score(model, texts[r["doc_id"]]), abs=1e-9)
 

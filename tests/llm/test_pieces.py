@@ -47,6 +47,18 @@ def test_odd_rows(odd, empty, library):
         assert r["ids"] == library.encode(text, add_bos=True, add_eos=True) and r["decoded"] == library.decode(r["ids"])
 
 
+def test_kept_columns_may_have_any_name(odd, library):
+    kept = tuple(dict.fromkeys(c for c in odd.columns if c != "doc_id"))
+    rows = encode(odd, keep=kept)
+    taken = {"ids": "kept_ids", "decoded": "kept_decoded"}
+    assert rows.columns == ["doc_id", *[taken.get(c, c) for c in kept], "ids", "decoded"]
+    for r in rows.collect():
+        assert r["ids"] == library.encode(r["text"] or "", add_bos=True, add_eos=True) and r["kept_ids"] == [1]
+        assert r["a.b`c"] == 1 and r["_text"] == "mine _text"
+    renamed = odd.withColumnRenamed("doc_id", "number").selectExpr("*", "'x' doc_id")
+    assert encode(renamed, id_col="number", keep=("doc_id", "doc_id")).columns == ["doc_id", "kept_doc_id", "ids", "decoded"]
+
+
 def test_query(spark, sf_dir, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op8_sentencepiece(spark, sf_dir).collect():

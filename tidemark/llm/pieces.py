@@ -16,8 +16,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidemark.llm.common import Memo, read
+from tidemark.llm.common import Memo, fields, read
 
 SPACE = "▁"
 NEVER = float("inf")
@@ -228,18 +229,20 @@ def encode(
 ) -> DataFrame:
     """One row per row of docs: doc_id, the columns of `keep`, ids (array of int, with begin and end id), decoded.
 
-    A null text counts as empty: its ids are the begin and end id, decoded is empty. Rows without id, repeated rows
+    Columns of `keep` that are named doc_id, ids or decoded come as kept_doc_id, kept_ids, kept_decoded; a name given twice and
+    `id_col` itself count once. A null text counts as empty: its ids are the begin and end id, decoded is empty. Rows without id, repeated rows
     and very long texts are encoded like any other; an empty table has no rows. path names a model file that every executor can read
     (None: the installed public one). Other columns are not looked at.
     """
-    keep = tuple(c for c in keep if c != id_col)
+    keep = tuple(c for c in dict.fromkeys(keep) if c != id_col)
+    shown = [f"kept_{c}" if c in ("doc_id", "ids", "decoded") else c for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                raw = [t.encode_bytes(x.as_py() or "") for x in part.column("_text")]
+                raw = [t.encode_bytes(x.as_py() or "") for x in part.column(part.num_columns - 1)]
                 flat = np.frombuffer(b"".join(raw), "<i4")
                 ends = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
                 decoded = [t.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
@@ -247,12 +250,14 @@ def encode(
                 others = [part.column(k) for k in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*others, ids, pa.array(decoded, pa.string())], names)
 
-    names = ["doc_id", *keep, "ids", "decoded"]
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text")
-    )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    names = ["doc_id", *shown, "ids", "decoded"]
+    by_name = dict(zip(docs.columns, fields(docs)))
+    # numbered on the way, so that no name of theirs clashes
+    others = [by_name[c].alias(f"_{i}") for i, c in enumerate(keep)]
+    rows = docs.select(by_name[id_col].cast("long").alias("doc_id"), *others, by_name[text_col].cast("string").alias("text"))
+    kept = [StructField(name, f.dataType) for name, f in zip(["doc_id", *shown], rows.schema.fields)]
+    schema = StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
