@@ -14,8 +14,8 @@ from tidemark.llm.common import checkpointed, read, small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go (toxicity.clean).
 
-    Null and empty texts score 0 and stay; copies, and rows that share an id, are each judged by their own whole text; an
-    empty table stays empty; other columns pass, whatever their names.
+    Null and empty texts score 0 and stay; copies, and rows that share an id, are each judged by their own whole text, so
+    ties are alike and all stay or go; an empty table stays empty; other columns pass, whatever their names.
     """
     return toxicity.clean(docs, read(spark, sf_dir, "labels"))
 
@@ -34,7 +34,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Emails, addresses, cards and phones in the texts give way to their kinds (pii.redact).
 
     Null texts stay null and empty ones empty; n_chars, where there is one, is that of the new text; rows that repeat are
-    masked alike; very long texts are masked as a whole; an empty table stays empty; other columns pass.
+    masked alike; of overlapping spans the first, of those that begin together the longest names the gap (of equal ones the
+    first kind listed); very long texts are masked as a whole; an empty table stays empty; other columns pass.
     """
     small_batches(spark)
     return pii.redact(docs)
@@ -43,7 +44,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated by a Poisson count with its source's mean, and all are shuffled (mixing.mix).
 
-    Documents with a count of 0 go: that is the sampling. Rows that share an id have equal counts; null sources count
+    Documents with a count of 0 go: that is the sampling. Nothing is ranked, so there are no ties. Rows that share an id have equal counts; null sources count
     as unnamed ones; null, empty and very long texts are mixed as they are; an empty table stays empty; other columns pass.
     """
     return mixing.mix(docs, mixing.WEIGHTS)
@@ -52,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (with begin and end id), n_tokens of every document of the mixture, and decoded.
 
-    Null and empty texts have the begin and end id only; repeated rows are encoded each; very long texts as a whole; an
+    Null and empty texts have the begin and end id only; a text has one encoding (of merges of equal rank the leftmost goes
+    first); repeated rows are encoded each; very long texts as a whole; an
     empty table gives no rows; other columns are not looked at.
     """
     small_batches(spark)
