@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators.intervals import interval_join
+from tidemark.operators.intervals import interval_join, interval_totals
 
 POINTS, PERIODS = "id long, at timestamp_ntz", "begins timestamp_ntz, ends timestamp_ntz, name string"
 
@@ -43,3 +43,28 @@ def test_long_periods_take_few_bins(spark):
     none = spark.createDataFrame([], PERIODS)
     assert interval_join(points, none, "at", "begins", "ends", ["name"]).isEmpty()
     assert interval_join(points, none, "at", "begins", "ends", ["name"], outer=True).count() == 3
+
+
+@pytest.mark.parametrize("sliced", [7, 100, 20_000])
+def test_totals_equal_all_pairs(spark, sliced):
+    """In one slice and in many; values may be null, times may repeat."""
+    points, periods = given(5)
+    values = [(s, e, None if n % 5 == 0 else n * 7919 % 1000 - 500) for n, (s, e, _) in enumerate(periods)]
+    periods_df = spark.createDataFrame(values, "begins timestamp_ntz, ends timestamp_ntz, value long")
+    df = interval_totals(spark.createDataFrame(points, POINTS), periods_df, "at", "begins", "ends", "value", sliced)
+    expected = []
+    for i, at in points:
+        met = [v for s, e, v in values if at and s and e and s <= at < e]
+        known = [v for v in met if v is not None]
+        if met:
+            expected.append((i, len(met), min(known, default=None), max(known, default=None)))
+    assert sorted((r["id"], r["periods"], r["least"], r["most"]) for r in df.collect()) == sorted(expected)
+    assert interval_totals(spark.createDataFrame(points, POINTS), periods_df.limit(0), "at", "begins", "ends", "value").isEmpty()
+
+
+def test_totals_make_no_pairs(spark):
+    """40000 points in 40000 overlapping periods: 8e8 pairs, which a join by pairs would have to make."""
+    points = spark.range(40_000).selectExpr("id", "timestamp_seconds(id) as at")
+    periods = spark.range(40_000).selectExpr("timestamp_seconds(id) as begins", "timestamp_seconds(100000 + id) as ends", "id as value")
+    found = interval_totals(points, periods, "at", "begins", "ends", "value", 1_000)
+    assert found.filter("periods = id + 1 and least = 0 and most = id").count() == 40_000

@@ -13,7 +13,7 @@ from tidemark.functions.columns import long, rounded
 from tidemark.operators import checks
 from tidemark.operators.asof import asof_join
 from tidemark.operators.incremental import delete_insert
-from tidemark.operators.intervals import interval_join
+from tidemark.operators.intervals import interval_totals
 from tidemark.operators.joins import calendar_join, point_in_time_join
 from tidemark.operators.rolling import rolling_zscore
 from tidemark.plans import dashboard, intermediate, marts
@@ -116,8 +116,8 @@ def interval_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = events.filter("event_type = 'signup'").select(
         F.col("event_id").alias("signup_id"), F.col("ts").alias("begins"), F.expr("timestampadd(HOUR, cast(1 + event_id * event_id % 500 as int), ts)").alias("ends")
     )
-    found = interval_join(events.select("event_id", "ts", "event_type"), periods, "ts", "begins", "ends", ["signup_id"])
-    return found.groupBy("event_id", "event_type").agg(F.count("*").alias("open_periods"), F.min("signup_id").alias("first_signup"), F.max("signup_id").alias("last_signup"))
+    found = interval_totals(events.select("event_id", "ts", "event_type"), periods, "ts", "begins", "ends", "signup_id")
+    return found.groupBy("event_id", "event_type").agg(F.sum("periods").alias("open_periods"), F.min("least").alias("first_signup"), F.max("most").alias("last_signup"))
 
 
 QUERIES["interval_join"] = QUERIES.pop("interval_join_events")
