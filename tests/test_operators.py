@@ -10,7 +10,9 @@ from tidemark.operators.incremental import Versioned, affected, delete_insert
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rolling import rolling_zscore
 from tidemark.operators.versions import keep_one, latest_version, scd2, status_history
+from tidemark.plans import marts
 from tidemark.plans.intermediate import orders_lifecycle
+from tidemark.plans.warehouse import Warehouse
 from tidemark.schemas import FACT, ContractError, conform
 from tidemark.sources.tables import Feeds
 
@@ -231,3 +233,20 @@ def test_marts_have_no_percentile_aggregates(spark, sf_dir):
     w = Warehouse.over(spark, sf_dir)
     for mart in (w.fulfillment_daily, w.courier_performance, w.state_scorecard):
         assert "ObjectHashAggregate" not in mart._jdf.queryExecution().toString()
+
+
+def test_a_fact_for_one_mart_leaves_out_what_the_mart_does_not_take(spark, sf_dir):
+    """Couriers need neither lines nor payments, states no payments: tables and joins that bring them aren't planned."""
+    w = Warehouse.over(spark, sf_dir)
+    taken = w.fct_orders.select(*marts.GUARDED, *marts.FACT_COLUMNS["courier_performance"])
+    assert "l_orderkey" not in taken._jdf.queryExecution().optimizedPlan().toString()
+    assert set(w.fact_for("courier_performance").columns) == set(taken.columns)
+
+
+def test_orders_move_to_their_customers_and_not_back(spark, sf_dir):
+    """Versions are sorted once, and the rows of the fact are dealt anew by customer alone after they were dealt by order."""
+    fact = Warehouse.over(spark, sf_dir).fct_orders
+    whole = fact._jdf.queryExecution().executedPlan().toString().split("\n")
+    above = whole[: next(i for i, row in enumerate(whole) if "hashpartitioning(customer_id" in row)]
+    assert not any("hashpartitioning(order_id" in row for row in above)
+    assert not any("status_precedence" in row and "DESC" in row and "Sort [" in row for row in whole)

@@ -28,17 +28,20 @@ def _whole(w: WindowSpec) -> WindowSpec:
 
 def latest_version(versions: DataFrame, key: str = "order_id") -> DataFrame:
     """The row of each key with the latest event time (then the furthest status), with version_count, last_loaded_at
-    and had_late_arrival over all of the key's versions. When rows arrived doesn't matter. One sort serves all windows."""
-    order = [F.desc("updated_at"), F.desc("status_precedence")]
-    every = _whole(Window.partitionBy(key).orderBy(*order))
+    and had_late_arrival over all of the key's versions. When rows arrived doesn't matter.
+
+    The last row in ascending order is kept, so that versions in this order (as staging leaves them) aren't sorted again."""
+    w = Window.partitionBy(key).orderBy("updated_at", "status_precedence")
+    every = _whole(w)
     counted = versions.withColumns(
         {
             "version_count": F.count("*").over(every),
             "last_loaded_at": F.max("_loaded_at").over(every),
             "had_late_arrival": F.bool_or("is_late_arrival").over(every),
+            "_later": F.lead(F.lit(True)).over(w),
         }
     )
-    return keep_one(counted, [key], order)
+    return counted.filter("_later is null").drop("_later")
 
 
 def status_history(versions: DataFrame) -> DataFrame:

@@ -231,6 +231,8 @@ class _Feeds:
 class Traced(Warehouse):
     """A warehouse that notes in `reads` what each model reads: models, and feeds as feed:name."""
 
+    by_models = True
+
     def __init__(self, source: Feeds, among: tuple[Model, ...], **more):
         self.reads, self._among, self._at = {m.name: set() for m in among}, {m.name for m in among}, threading.local()
         super().__init__(source, **more)

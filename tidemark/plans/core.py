@@ -11,8 +11,12 @@ from tidemark.schemas import FACT, conform
 
 
 def fct_orders(lifecycle: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
-    """One row per order, in the fact's contract. Money without payments is 0; item columns without items stay null."""
-    joined = lifecycle.join(items, "order_id", "left").join(payments, "order_id", "left")
+    """One row per order, in the fact's contract."""
+    return in_contract(lifecycle.join(items, "order_id", "left").join(payments, "order_id", "left"))
+
+
+def in_contract(joined: DataFrame) -> DataFrame:
+    """Money without payments is 0; item columns without items stay null."""
     zero = F.lit(0).cast("decimal(14,2)")
     made = {
         "order_date_key": F.date_format("purchase_at", "yyyyMMdd").cast("int"),

@@ -68,8 +68,9 @@ def orders_lifecycle(
     sales: DataFrame,
     raw_payments: DataFrame,
     settings: Settings = Settings(),
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Latest orders with the customer version valid at purchase, region, hub, sale, durations and service flags.
+    """Latest orders (and their columns `also`) with the customer version valid at purchase, region, hub, sale, durations and service flags.
 
     `now` is the newest event in the feed. Orders and customer versions are joined on the customer; states, hubs and
     the sale calendar are seeds, which Spark broadcasts as long as their size is below its threshold.
@@ -109,4 +110,5 @@ def orders_lifecycle(
         F.when(arrived.isNotNull(), F.greatest(F.datediff(arrived.cast("date"), "estimated_delivery_date"), F.lit(0)).cast("long")).alias("days_late"),
         (status.isin(*OPEN) & (F.col("as_of_ts").cast("date") > F.col("estimated_delivery_date"))).alias("is_open_and_overdue"),
         (approval > settings.approval_sla_hours).alias("breached_approval_sla"),
+        *also,
     )

@@ -11,6 +11,25 @@ from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.rolling import rolling_zscore
 
 
+#: What marts that read the fact more than once take from it: a fact that is stored for them alone holds no more, and then the
+#: joins that bring the rest (lines, payments) aren't planned at all. The columns that the contract guards are among them.
+GUARDED = ("order_id", "current_status")
+FACT_COLUMNS = {
+    "fulfillment_daily": (
+        "order_date", "customer_state", "customer_region", "sale_event", "is_delivered", "is_cancelled", "is_rto", "is_returned", "is_late",
+        "approval_hours", "processing_hours", "delivery_days", "gross_merchandise_value", "net_revenue",
+    ),
+    "state_scorecard": (
+        "customer_state", "customer_region", "remoteness_tier", "approval_hours", "processing_hours", "transit_days", "delivery_days",
+        "is_delivered", "is_late", "is_cancelled", "is_rto", "is_returned", "is_cross_region", "gross_merchandise_value",
+    ),
+    "courier_performance": (
+        "order_date", "courier", "customer_region", "sale_event", "shipped_at", "is_delivered", "is_rto", "transit_days", "is_late", "days_late",
+    ),
+    "order_funnel": ("approved_at", "shipped_at", "is_delivered", "is_returned", "is_cancelled", "is_rto", "order_date"),
+}
+
+
 def on_time() -> Column:
     return share(~F.col("is_late"), F.col("is_delivered"))
 

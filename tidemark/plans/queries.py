@@ -213,7 +213,7 @@ def data_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def marts_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the marts beside those of the fact."""
-    stored = Warehouse.over(spark, sf_dir).stored_fact
+    stored = Warehouse.over(spark, sf_dir).fact_for("fulfillment_daily", "state_scorecard", "order_funnel", "courier_performance")
     fact = stored.agg(F.count("*").alias("fact_value"), F.count("shipped_at").alias("fact_shipped"))
     parts = [
         ("fulfillment_daily", marts.fulfillment_daily(stored).agg(F.sum("orders").alias("v")), "fact_value"),

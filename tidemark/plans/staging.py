@@ -12,16 +12,17 @@ from tidemark.operators.versions import keep_one
 def orders_cdc(orders: DataFrame) -> DataFrame:
     """One row per order version; of copies that were sent again the one loaded first stays.
 
-    Rows are dealt by order, which suits this step and all that follow by order: the versions move once.
+    Rows are dealt by order, which suits this step and all that follow by order: the versions move once. They are sorted once,
+    too: the precedence, which the status decides, stands among the keys so that versions leave in the order of their history.
     """
-    kept = keep_one(
-        orders.repartition("order_id"), ["order_id", "order_status", "updated_at"], [F.col("_loaded_at"), F.col("_source_file")], copies="_copies"
-    )
+    ranked = orders.repartition("order_id").withColumn("status_precedence", status_rank(F.col("order_status")))
+    keys = ["order_id", "updated_at", "status_precedence", "order_status"]
+    kept = keep_one(ranked, keys, [F.col("_loaded_at"), F.col("_source_file")], copies="_copies")
     extracted = path_date(F.col("_source_file"))
     return kept.select(
         surrogate_key(F.col("order_id"), F.col("order_status"), F.col("updated_at")).alias("order_version_id"),
         "order_id", "customer_id", "hub_id", "courier", "payment_method", "order_status",
-        status_rank(F.col("order_status")).alias("status_precedence"),
+        "status_precedence",
         "purchase_at", "approved_at", "shipped_at", "delivered_at", "closed_at", "estimated_delivery_date", "updated_at",
         extracted.alias("extract_date"),
         (extracted > F.col("updated_at").cast("date")).alias("is_late_arrival"),

@@ -17,6 +17,9 @@ from tidemark.sources.tables import Feeds, feeds
 class Warehouse:
     """Each model is a lazy DataFrame: a query plans (and reads) only what it needs."""
 
+    #: Whether each model is made of the models that it names alone.
+    by_models = False
+
     def __init__(self, source: Feeds, settings: intermediate.Settings = intermediate.Settings(), clock: DataFrame | None = None):
         """clock: rows whose newest updated_at is now; the order feed itself, unless that is a part of one."""
         self.feeds, self.settings, self.clock = source, settings, source.orders if clock is None else clock
@@ -69,23 +72,40 @@ class Warehouse:
     def payments_by_order(self) -> DataFrame:
         return intermediate.payments_by_order(self.payments)
 
-    @cached_property
-    def lifecycle(self) -> DataFrame:
+    def _lifecycle(self, latest: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
         f = self.feeds
         # the newest event of the feed is that of its versions: copies repeat event times
-        return intermediate.orders_lifecycle(
-            self.latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings
-        )
+        return intermediate.orders_lifecycle(latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings, also)
+
+    @cached_property
+    def lifecycle(self) -> DataFrame:
+        return self._lifecycle(self.latest)
 
     @cached_property
     def fct_orders(self) -> DataFrame:
-        return core.fct_orders(self.lifecycle, self.items_by_order, self.payments_by_order)
+        """Of a stored life cycle, if there is one. Otherwise all that goes by order is joined while orders are still dealt by
+        order, so that they move to their customers once and not back."""
+        if self.by_models or "lifecycle" in self.__dict__:
+            return core.fct_orders(self.lifecycle, self.items_by_order, self.payments_by_order)
+        items, payments = self.items_by_order, self.payments_by_order
+        also = tuple(c for c in (*items.columns, *payments.columns) if c != "order_id")
+        joined = self.latest.join(items, "order_id", "left").join(payments, "order_id", "left")
+        return core.in_contract(self._lifecycle(joined, also))
 
     @cached_property
     def stored_fact(self) -> DataFrame:
         """The fact, computed once for what reads it more than once."""
         return materialised(self.fct_orders)
 
+    def fact_for(self, *names: str) -> DataFrame:
+        """The fact, computed once for these marts, which read it more than once: the stored one, if there is one, else what they
+        take from it."""
+        if self.by_models or "stored_fact" in self.__dict__:
+            return self.stored_fact
+        taken = {c for m in names for c in marts.FACT_COLUMNS[m]} | set(marts.GUARDED)
+        fact = self.fct_orders
+        return materialised(fact.select([c for c in fact.columns if c in taken]))
+
     @cached_property
     def dim_geography(self) -> DataFrame:
         return core.dim_geography(self.feeds.ref_states)
@@ -120,15 +140,15 @@ class Warehouse:
 
     @cached_property
     def fulfillment_daily(self) -> DataFrame:
-        return marts.fulfillment_daily(self.stored_fact)
+        return marts.fulfillment_daily(self.fact_for("fulfillment_daily"))
 
     @cached_property
     def state_scorecard(self) -> DataFrame:
-        return marts.state_scorecard(self.stored_fact)
+        return marts.state_scorecard(self.fact_for("state_scorecard"))
 
     @cached_property
     def courier_performance(self) -> DataFrame:
-        return marts.courier_performance(self.stored_fact)
+        return marts.courier_performance(self.fact_for("courier_performance"))
 
     @cached_property
     def stage_bottlenecks(self) -> DataFrame:
