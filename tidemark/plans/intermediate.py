@@ -69,6 +69,7 @@ def orders_lifecycle(
     raw_payments: DataFrame,
     settings: Settings = Settings(),
     also: tuple[str, ...] = (),
+    by_order: bool = False,
 ) -> DataFrame:
     """Latest orders (and their columns `also`) with the customer version valid at purchase, region, hub, sale, durations and service flags.
 
@@ -81,6 +82,8 @@ def orders_lifecycle(
     paid = raw_payments.groupBy("order_id").agg(F.max("_loaded_at").alias("_paid"))
     latest = latest.join(paid, "order_id", "left")
     rows = point_in_time_join(latest, valid, "customer_id", F.col("purchase_at"), ["customer_sk", "customer_state"])
+    if by_order:  # dealt by order again before columns are added that can be worked out there
+        rows = rows.repartition("order_id")
     rows = rows.join(states.select(F.col("state").alias("customer_state"), F.col("region").alias("customer_region"), "remoteness_tier"), "customer_state", "left")
     rows = rows.join(hubs.select("hub_id", "hub_state", "hub_region"), "hub_id", "left")
     rows = calendar_join(rows, sales, F.col("purchase_at").cast("date"))

@@ -249,7 +249,7 @@ def incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     the load time, which is left out."""
     f = Warehouse.over(spark, sf_dir).feeds
     early = F.col("_loaded_at") <= F.lit(SPLIT).cast("timestamp_ntz")
-    stored = materialised(Warehouse(replace(f, orders=f.orders.filter(early), payments=f.payments.filter(early))).fct_orders)
+    stored = materialised(Warehouse(replace(f, orders=f.orders.filter(early), payments=f.payments.filter(early))).fct_by_order)
     rows, keys = increment(f, stored)
     return delete_insert(stored, rows, keys).drop("source_last_loaded_at")
 
@@ -262,7 +262,7 @@ def clustered_incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = FeedStore(spark, scratch_folder(spark))
     early = replace(f, orders=f.orders.filter(F.col("_loaded_at") <= until), payments=f.payments.filter(F.col("_loaded_at") <= until))
     store.add(early)
-    stored = materialised(Warehouse(early).fct_orders)
+    stored = materialised(Warehouse(early).fct_by_order)
     none = f.order_items.limit(0)  # all lines came with the first load
     store.add(replace(f, orders=f.orders.filter(F.col("_loaded_at") > until), payments=f.payments.filter(F.col("_loaded_at") > until), order_items=none))
     rows, keys = clustered_increment(store, f, stored)

@@ -72,10 +72,10 @@ class Warehouse:
     def payments_by_order(self) -> DataFrame:
         return intermediate.payments_by_order(self.payments)
 
-    def _lifecycle(self, latest: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    def _lifecycle(self, latest: DataFrame, also: tuple[str, ...] = (), by_order: bool = False) -> DataFrame:
         f = self.feeds
         # the newest event of the feed is that of its versions: copies repeat event times
-        return intermediate.orders_lifecycle(latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings, also)
+        return intermediate.orders_lifecycle(latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings, also, by_order)
 
     @cached_property
     def lifecycle(self) -> DataFrame:
@@ -92,6 +92,11 @@ class Warehouse:
         joined = self.latest.join(items, "order_id", "left").join(payments, "order_id", "left")
         return core.in_contract(self._lifecycle(joined, also))
 
+    @cached_property
+    def fct_by_order(self) -> DataFrame:
+        """fct_orders dealt by order, for what is joined with it by order later and would have to move the whole of it."""
+        return core.fct_orders(self._lifecycle(self.latest, by_order=True), self.items_by_order, self.payments_by_order)
+
     @cached_property
     def stored_fact(self) -> DataFrame:
         """The fact, computed once for what reads it more than once."""
