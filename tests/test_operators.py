@@ -250,3 +250,17 @@ def test_orders_move_to_their_customers_and_not_back(spark, sf_dir):
     above = whole[: next(i for i, row in enumerate(whole) if "hashpartitioning(customer_id" in row)]
     assert not any("hashpartitioning(order_id" in row for row in above)
     assert not any("status_precedence" in row and "DESC" in row and "Sort [" in row for row in whole)
+
+
+def test_a_fact_by_order_moves_before_its_columns_are_worked_out(spark, sf_dir):
+    """What goes back from customers to orders is the order with its customer; durations and flags come after that."""
+    plan = Warehouse.over(spark, sf_dir).fct_by_order._jdf.queryExecution().executedPlan().toString().split("\n")
+    back = next(i for i, row in enumerate(plan) if "hashpartitioning(order_id" in row and "REPARTITION" in row)
+    assert "hashpartitioning(customer_id" not in "".join(plan[:back])
+    assert not any("approval_hours" in row for row in plan[back:])
+
+
+def test_lines_move_to_their_products_without_what_can_be_worked_out(spark, sf_dir):
+    plan = Warehouse.over(spark, sf_dir).fct_order_items._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    product_join = next(i for i, row in enumerate(plan) if "Join" in row)
+    assert not any("order_item_id" in row or "line_amount" in row for row in plan[product_join:])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import long
 from tidemark.operators.joins import calendar_join
+from tidemark.plans.staging import item_id, line_amount
 from tidemark.schemas import FACT, conform
 
 
@@ -83,12 +84,14 @@ def dim_date(versions: DataFrame, sales: DataFrame, days_after: int = 60) -> Dat
 
 
 def fct_order_items(items: DataFrame, fact: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines of orders in the fact; others are dropped."""
+    """Lines of orders in the fact; others are dropped. Lines move to their products, so what can be worked out of their other
+    columns is, after that."""
     orders = fact.select("order_id", "order_date_key", "customer_sk", "current_status", "is_returned")
-    joined = items.join(orders, "order_id").join(products.select("product_id", "category", "hub_id"), "product_id", "left")
+    lines = items.select("order_id", "order_item_seq", "product_id", "seller_id", "quantity", "unit_price")
+    joined = lines.join(orders, "order_id").join(products.select("product_id", "category", "hub_id"), "product_id", "left")
     return joined.select(
-        "order_item_id", "order_id", "order_item_seq", "order_date_key", "customer_sk", "product_id", "category", "seller_id",
-        "hub_id", "quantity", "unit_price", "line_amount", "current_status", "is_returned",
+        item_id().alias("order_item_id"), "order_id", "order_item_seq", "order_date_key", "customer_sk", "product_id", "category", "seller_id",
+        "hub_id", "quantity", "unit_price", line_amount().alias("line_amount"), "current_status", "is_returned",
     )
 
 

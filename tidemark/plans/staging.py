@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import long, path_date, status_rank, surrogate_key
@@ -50,15 +50,23 @@ def customers_cdc(customers: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def item_id() -> Column:
+    return F.concat("order_id", F.lit("-"), F.lpad(F.col("order_item_seq").cast("string"), 2, "0"))
+
+
+def line_amount() -> Column:
+    return (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)")
+
+
 def order_items(items: DataFrame) -> DataFrame:
     """One row per order line. The load time alone may tie, so the order names enough columns to be total. Lines are dealt by
     order, as what follows goes by order too: they move once."""
     order = [F.col(c) for c in ("_loaded_at", "product_id", "seller_id", "quantity", "unit_price")]
     kept = keep_one(items.repartition("order_id"), ["order_id", "order_item_seq"], order)
     return kept.select(
-        F.concat("order_id", F.lit("-"), F.lpad(F.col("order_item_seq").cast("string"), 2, "0")).alias("order_item_id"),
+        item_id().alias("order_item_id"),
         "order_id", "order_item_seq", "product_id", "seller_id", "quantity", "unit_price",
-        (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)").alias("line_amount"),
+        line_amount().alias("line_amount"),
         "created_at", "_loaded_at",
     )
 
