@@ -59,5 +59,6 @@ def scd2_no_overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame
 
 
 def missing(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of source that don't reach target."""
-    return source.select(key).subtract(target.select(key))
+    """Distinct keys of source that don't reach target. They are made distinct before they move."""
+    keys, reached = source.select(key).distinct(), target.select(F.col(key).alias("_reached"))
+    return keys.join(reached, F.col(key).eqNullSafe(F.col("_reached")), "left_anti")

@@ -31,34 +31,40 @@ def latest_version(versions: DataFrame, key: str = "order_id") -> DataFrame:
     and had_late_arrival over all of the key's versions. When rows arrived doesn't matter.
 
     The last row in ascending order is kept, so that versions in this order (as staging leaves them) aren't sorted again."""
-    w = Window.partitionBy(key).orderBy("updated_at", "status_precedence")
-    every = _whole(w)
+    every = _whole(Window.partitionBy(key).orderBy("updated_at", "status_precedence"))
     counted = versions.withColumns(
         {
             "version_count": F.count("*").over(every),
             "last_loaded_at": F.max("_loaded_at").over(every),
             "had_late_arrival": F.bool_or("is_late_arrival").over(every),
-            "_later": F.lead(F.lit(True)).over(w),
+            "_last": is_last(key),
         }
     )
-    return counted.filter("_later is null").drop("_later")
+    return counted.filter("_last").drop("_last")
+
+
+def is_last(key: str = "order_id") -> Column:
+    """Whether a version is the one that latest_version keeps."""
+    return F.lead(F.lit(True)).over(Window.partitionBy(key).orderBy("updated_at", "status_precedence")).isNull()
 
 
 def status_history(versions: DataFrame) -> DataFrame:
     """Half-open intervals of each order's statuses; valid_to is null for the current one."""
+    return versions.select("order_version_id", "order_id", "order_status", *[c.alias(n) for n, c in history_columns().items()])
+
+
+def history_columns() -> dict[str, Column]:
+    """What status_history adds to versions."""
     w = Window.partitionBy("order_id").orderBy("updated_at", "status_precedence")
     following = F.lead("updated_at").over(w)
-    return versions.select(
-        "order_version_id",
-        "order_id",
-        "order_status",
-        F.col("updated_at").alias("valid_from"),
-        following.alias("valid_to"),
-        following.isNull().alias("is_current"),
-        F.lag("order_status").over(w).alias("previous_status"),
-        hours_between(F.col("updated_at"), following).alias("hours_in_status"),
-        long(F.row_number().over(w)).alias("status_sequence"),
-    )
+    return {
+        "valid_from": F.col("updated_at"),
+        "valid_to": following,
+        "is_current": following.isNull(),
+        "previous_status": F.lag("order_status").over(w),
+        "hours_in_status": hours_between(F.col("updated_at"), following),
+        "status_sequence": long(F.row_number().over(w)),
+    }
 
 
 def scd2(versions: DataFrame, key: str = "customer_id", at: str = "updated_at", sk: str = "customer_sk") -> DataFrame:

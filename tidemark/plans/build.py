@@ -169,27 +169,45 @@ def _counted(check: Check, df: DataFrame, w: Warehouse) -> DataFrame:
     return check.find(df, w).agg(F.lit(check.name).alias("test"), F.count("*").alias("n"))
 
 
-def _repeated(df: DataFrame, tests: list[Check]) -> DataFrame:
-    """(test, key, n): the keys that more than one row has, of all tests by one grouping. A null single key is no key."""
-    keyed = [
-        F.when(F.lit(len(c.keys) > 1) | F.col(c.keys[0]).isNotNull(), F.struct(F.lit(c.name).alias("test"), F.to_json(F.struct(*c.keys), {"ignoreNullFields": "false"}).alias("key")))
-        for c in tests
-    ]
-    each = df.select(F.explode(F.array_compact(F.array(*keyed))).alias("k"))
-    return each.groupBy("k.test", "k.key").agg(F.count("*").alias("n")).filter("n > 1")
+def _keyed(df: DataFrame, check: Check) -> DataFrame:
+    """The rows that have a key: a null single key is no key."""
+    return df if len(check.keys) > 1 else df.filter(F.col(check.keys[0]).isNotNull())
+
+
+def _repeated(df: DataFrame, check: Check) -> DataFrame:
+    """(test, key, n): the keys that more than one row has."""
+    found = _keyed(df, check).groupBy(*check.keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    key = F.to_json(F.struct(*check.keys), {"ignoreNullFields": "false"})
+    return found.select(F.lit(check.name).alias("test"), key.alias("key"), F.col("_n").alias("n"))
+
+
+def _tallied(df: DataFrame, tests: list[Check], key: Check | None = None) -> DataFrame:
+    """(test, n): the rows that meet each condition; with a key, in the same pass, how many 64-bit hashes of it more than one row has.
+    Equal keys have equal hashes, so none means that no key is repeated."""
+    met = [F.count_if(c.rows).alias(f"_c{i}") for i, c in enumerate(tests)]
+    if key is None:
+        sums, counts = [f"_c{i}" for i in range(len(tests))], df.agg(*met)
+    else:
+        hashed = F.xxhash64(*key.keys) if len(key.keys) > 1 else F.when(F.col(key.keys[0]).isNotNull(), F.xxhash64(*key.keys))
+        by_hash = df.groupBy(hashed.alias("_hash")).agg(F.count("*").alias("_n"), *met)
+        sums = [f"_c{i}" for i in range(len(tests) + 1)]
+        whole = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums[:-1]]
+        counts = by_hash.agg(*whole, F.count_if((F.col("_n") > 1) & F.col("_hash").isNotNull()).alias(sums[-1]))
+    named = zip([c.name for c in tests] + ([key.name] if key else []), sums)
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("test"), F.col(c).alias("n")) for name, c in named])))
 
 
 def failures(df: DataFrame, model: Model, w: Warehouse, seen: dict[str, int] | None = None) -> dict[str, int]:
     """Violations of each data test of a model, by one job: one pass for all that rows can tell (none if `seen` has them from
-    the write), one grouping for all keys, and what each other test takes, put together."""
+    the write) and for a key, one for each further key, and what each other test takes, put together. Only keys of which hashes are
+    repeated are grouped themselves, by a job more."""
     by_row, by_key = [c for c in model.checks if c.rows is not None and not (seen and c.name in seen)], [c for c in model.checks if c.keys]
     parts = [_counted(c, df, w) for c in model.checks if c.find is not None]
-    if by_row:
-        counts = df.agg(*[F.count_if(c.rows).alias(f"c{i}") for i, c in enumerate(by_row)])
-        parts.append(counts.select(F.inline(F.array(*[F.struct(F.lit(c.name).alias("test"), F.col(f"c{i}").alias("n")) for i, c in enumerate(by_row)]))))
-    if by_key:
-        parts.append(_repeated(df, by_key).groupBy("test").agg(F.count("*").alias("n")))
+    if by_row or by_key:
+        parts.append(_tallied(df, by_row, by_key[0] if by_key else None))
+    parts += [_tallied(df, [], c) for c in by_key[1:]]
     found = {r["test"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+    found |= {c.name: _repeated(df, c).count() for c in by_key if found[c.name]}
     return {c.name: (seen or {}).get(c.name, found.get(c.name, 0)) for c in model.checks}
 
 
@@ -197,14 +215,19 @@ def violations(df: DataFrame, check: Check, w: Warehouse) -> DataFrame:
     """The rows (or keys, or findings) that fail a test."""
     if check.rows is not None:
         return df.filter(check.rows)
-    return _repeated(df, [check]) if check.keys else check.find(df, w)
+    return _repeated(df, check) if check.keys else check.find(df, w)
 
 
-def suite(w: Warehouse, chosen: tuple[Model, ...] | None = None) -> list[tuple[str, str, str, int, str]]:
-    """(model, test, severity, failures, status) of all data tests."""
+def suite(w: Warehouse, chosen: tuple[Model, ...] | None = None, threads: int = 4) -> list[tuple[str, str, str, int, str]]:
+    """(model, test, severity, failures, status) of all data tests; some models are tested at once, so that the last tasks of one
+    leave no workers idle."""
+    among = chosen or models()
+    made = [getattr(w, m.name) for m in among]
+    with ThreadPoolExecutor(threads) as pool:
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(failures), df, m, w) for df, m in zip(made, among)]
     out = []
-    for model in chosen or models():
-        found = failures(getattr(w, model.name), model, w)
+    for model, run in zip(among, running):
+        found = run.result()
         out += [(model.name, c.name, c.severity, found[c.name], _status(c, found[c.name])) for c in model.checks]
     return out
 

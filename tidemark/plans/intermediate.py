@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import DELIVERED, OPEN, days_between, hours_between, long
 from tidemark.operators.joins import calendar_join, point_in_time_join
 from tidemark.operators.versions import scd2
+from tidemark.session import unkept
 
 
 @dataclass(frozen=True)
@@ -37,15 +38,29 @@ def items_by_order(items: DataFrame, products: DataFrame) -> DataFrame:
     joined = items.join(products.select("product_id", "category"), "product_id", "left")
     by_amount = F.when(F.col("category").isNotNull(), F.struct(-F.col("line_amount"), F.col("category")))
     return joined.groupBy("order_id").agg(
-        F.count("*").alias("item_count"),
-        long(F.sum("quantity")).alias("units"),
-        F.sum("line_amount").cast("decimal(14,2)").alias("gross_merchandise_value"),
+        *_amounts(),
         distinct("category").alias("distinct_categories"),
         F.min(by_amount)["category"].alias("primary_category"),
         distinct("seller_id").alias("distinct_sellers"),
     )
 
 
+def _amounts() -> list[Column]:
+    return [
+        F.count("*").alias("item_count"),
+        long(F.sum("quantity")).alias("units"),
+        F.sum("line_amount").cast("decimal(14,2)").alias("gross_merchandise_value"),
+    ]
+
+
+def amounts_by_order(items: DataFrame) -> DataFrame:
+    """items_by_order for those who read no categories: where no product is listed twice, amounts are those of the lines, which then
+    needn't move to their products and back."""
+    grouped = items.groupBy("order_id").agg(*_amounts(), distinct("seller_id").alias("distinct_sellers"))
+    named = [unkept("distinct_categories", "long"), unkept("primary_category", "string")]
+    return grouped.select("order_id", "item_count", "units", "gross_merchandise_value", *named, "distinct_sellers")
+
+
 def payments_by_order(payments: DataFrame) -> DataFrame:
     charge, refund = ~F.col("is_refund"), F.col("is_refund")
     money = "decimal(14,2)"

@@ -5,15 +5,21 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import affected, restricted
-from tidemark.operators.versions import latest_version, status_history
+from tidemark.operators.versions import history_columns, is_last, latest_version, status_history
 from tidemark.plans import core, intermediate, marts, staging
-from tidemark.session import materialised
+from tidemark.session import materialised, unkept, written
 from tidemark.sources.clustered import FeedStore
 from tidemark.sources.tables import Feeds, feeds
 
 
+def _in_schema_of(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """kept with the columns of df; those that aren't there raise if they are read."""
+    return kept.select([f.name if f.name in kept.columns else unkept(f.name, f.dataType) for f in df.schema])
+
+
 class Warehouse:
     """Each model is a lazy DataFrame: a query plans (and reads) only what it needs."""
 
@@ -28,6 +34,27 @@ class Warehouse:
     def over(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
         return cls(feeds(spark, sf_dir))
 
+    def store(self, name: str, folder: str, *columns: str) -> None:
+        """Has a model computed once, into a folder, for what is made of it from now on. With columns, these alone are kept."""
+        df = getattr(self, name)
+        self.__dict__[name] = _in_schema_of(df, written(df.select(*columns) if columns else df, f"{folder}/{name}"))
+
+    def store_versions(self, folder: str, columns: tuple[str, ...], of_latest: tuple[str, ...]) -> None:
+        """As `store`, orders_cdc with these columns and, from the same sort, status_history as far as they go, and latest with the
+        columns `of_latest` beside them, which other versions leave empty."""
+        made = {"orders_cdc": self.orders_cdc, "status_history": self.status_history, "latest": self.latest}
+        added = history_columns()
+        history = ["is_current", "hours_in_status"]
+        rows = self.orders_cdc.select(*columns, *of_latest, *[added[n].alias(n) for n in history], is_last().alias("_last"))
+        rows = rows.withColumns({c: F.when(F.col("_last"), F.col(c)) for c in of_latest})
+        kept = written(rows, f"{folder}/orders_cdc")
+        stored = {
+            "orders_cdc": kept.select(*columns),
+            "status_history": kept.select("order_version_id", "order_id", "order_status", F.col("updated_at").alias("valid_from"), *history),
+            "latest": kept.filter("_last").select(*columns, *of_latest),
+        }
+        self.__dict__.update({n: _in_schema_of(df, stored[n]) for n, df in made.items()})
+
     @cached_property
     def orders_cdc(self) -> DataFrame:
         return staging.orders_cdc(self.feeds.orders)

@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,6 +46,30 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, which is removed at the end."""
+    folder = scratch_folder(spark)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once and written as a table, of which readers take the columns that they need. Unlike a checkpoint's, its rows
+    aren't known to be dealt by any key; under adaptive execution a checkpoint's aren't either. It is read but a few times, which
+    dictionaries don't pay for."""
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unkept(name: str, kind: DataType | str) -> Column:
+    """A column that isn't kept: it is there for plans that leave it out in the end, and raises if it is read."""
+    return F.raise_error(F.lit(f"{name} is not kept")).cast(kind).alias(name)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder."""
     shared_folder(df.sparkSession)

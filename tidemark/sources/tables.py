@@ -71,15 +71,15 @@ def _orders(orders: DataFrame) -> DataFrame:
         "*",
         F.explode(
             F.expr(
-                "filter(array("
+                "array("
                 "named_struct('order_status', 'created', 'r', 1, 'updated_at', purchase_at), "
                 "named_struct('order_status', 'approved', 'r', 2, 'updated_at', approved_at), "
                 "named_struct('order_status', 'shipped', 'r', 3, 'updated_at', shipped_at), "
                 "named_struct('order_status', 'delivered', 'r', 4, 'updated_at', arrived_at), "
-                "named_struct('order_status', closing, 'r', 5, 'updated_at', closed_at)), v -> v.updated_at is not null)"
+                "named_struct('order_status', closing, 'r', 5, 'updated_at', closed_at))"
             )
         ).alias("v"),
-    )
+    ).filter("v.updated_at is not null")
     # one row in 50 is extracted one to three days late, one in 211 is sent again the day after
     log = log.withColumn(
         "day", F.expr("date_add(cast(v.updated_at as date), cast(case when (k + v.r) % 50 = 0 then 1 + k % 3 else 0 end as int))")
@@ -156,13 +156,13 @@ def _payments(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.get(methods, (F.col("k") % len(METHODS)).cast("int")).alias("payment_method"),
         F.explode(
             F.expr(
-                "filter(array("
+                "array("
                 "named_struct('type', 'charge', 'amount', cast(total + case when total < 499 then 49 else 0 end as decimal(12,2)), 'at', case when k % 6 = 1 then arrived_at else purchase_at end), "
                 "named_struct('type', 'refund', 'amount', cast(-total as decimal(12,2)), 'at', case when closing = 'returned' then timestampadd(DAY, 1, closed_at) end)"
-                "), p -> p.at is not null)"
+                ")"
             )
         ).alias("p"),
-    )
+    ).filter("p.at is not null")
     return rows.select(
         F.expr("concat(upper(left(p.type, 1)), cast(k as string))").alias("payment_id"),
         F.col("k").cast("string").alias("order_id"),
