@@ -1,15 +1,18 @@
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import Versioned, delete_insert
+from tidemark.plans.queries import QUERIES
 from tidemark.plans.warehouse import Warehouse, clustered_increment, increment
 from tidemark.schemas import RAW
-from tidemark.session import materialised
+from tidemark.session import REMOVAL, materialised, shuffles_removed
 from tidemark.sources.clustered import FeedStore
 from tidemark.sources.commits import CommitLog, ConflictError, Store
 from tidemark.sources.freshness import freshness
@@ -260,3 +263,54 @@ def test_versions_are_replaced_by_partition(spark, tmp_path):
     assert sorted(tuple(r) for r in now.collect()) == sorted(expected)
     assert store.vacuum(0) == 0 and store.publish(first.limit(3)).count() == 3
     assert store.vacuum(3600) == 0 and store.vacuum(0) == 2 and store.read().count() == 3
+
+
+def shuffled(spark):
+    """The files that this process keeps of what was shuffled, with their sizes."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+@pytest.mark.parametrize("name", ["clustered_incremental_fact", "incremental_fact"])
+def test_a_maintained_fact_leaves_no_shuffles_behind_and_moves_no_stored_row(spark, sf_dir, name):
+    """What a step has shuffled is gone once its result is stored, and then delete and insert go on where rows are."""
+    key, removal = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get(REMOVAL)
+    threshold, before = spark.conf.get(key), shuffled(spark)
+    spark.conf.set(key, "-1")  # tables as small as these would be broadcast
+    try:
+        df = QUERIES[name](spark, sf_dir)
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, threshold)
+    for _ in range(50):  # files are removed in the background; those of a few collected aggregates may stay
+        left = sum(size for path, size in shuffled(spark).items() if path not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.2)
+    assert left < 20_000 and spark.conf.get(REMOVAL) == removal
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+    assert df.count() == 1500
+
+
+def test_a_fact_by_steps_is_the_fact(spark, sf_dir, tmp_path):
+    """Also with lines and payments of orders that aren't there, and orders without customers, lines or payments."""
+    f = feeds(spark, sf_dir)
+    number = F.col("order_id").cast("long")
+    f = replace(
+        f,
+        orders=f.orders.filter(number % 5 != 0).withColumn("customer_id", F.when(number % 7 != 0, F.col("customer_id"))),
+        order_items=f.order_items.filter(number % 3 != 0),
+        payments=f.payments.filter(number % 4 != 0),
+    )
+    expected, found = materialised(Warehouse(f).fct_orders), materialised(Warehouse(f).fct_by_steps(str(tmp_path)))
+    assert found.columns == expected.columns and found.count() == expected.count() > 1000
+    assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+
+
+def test_shuffles_are_removed_while_anyone_asks(spark):
+    before = spark.conf.get(REMOVAL)
+    with shuffles_removed(spark):
+        with shuffles_removed(spark):
+            assert spark.conf.get(REMOVAL) == "true"
+        assert spark.conf.get(REMOVAL) == "true"
+    assert spark.conf.get(REMOVAL) == before

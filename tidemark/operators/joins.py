@@ -23,7 +23,7 @@ def calendar_days(calendar: DataFrame) -> DataFrame:
 
 
 def calendar_join(df: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:
-    """df with sale_event of the period that holds `day`. The calendar is configuration, some periods a year, so Spark sees that
-    it may be broadcast."""
+    """df with sale_event of the period that holds `day`. The calendar is configuration, some periods a year, and is broadcast by a
+    hint: of rows that come from the driver Spark doesn't know how few they are, and would move df to its days."""
     days = calendar_days(calendar).select("calendar_day", "sale_event")
-    return df.join(days, day == F.col("calendar_day"), "left").drop("calendar_day")
+    return df.join(F.broadcast(days), day == F.col("calendar_day"), "left").drop("calendar_day")

@@ -74,6 +74,22 @@ def payments_by_order(payments: DataFrame) -> DataFrame:
     )
 
 
+#: What the life cycle takes of an order's latest version.
+OF_LATEST = (
+    "order_id", "customer_id", "hub_id", "courier", "payment_method", "order_status", "purchase_at", "approved_at", "shipped_at", "delivered_at",
+    "closed_at", "estimated_delivery_date", "updated_at", "version_count", "had_late_arrival", "last_loaded_at",
+)
+
+
+def customers_at_purchase(latest: DataFrame, customers: DataFrame) -> DataFrame:
+    """(order_id, customer_sk, customer_state) of the customer version valid at purchase: what moves is three columns of an order."""
+    valid = customers.select("customer_id", "customer_sk", F.col("state").alias("customer_state"), "valid_from", "valid_to")
+    found = point_in_time_join(
+        latest.select("order_id", "customer_id", "purchase_at"), valid, "customer_id", F.col("purchase_at"), ["customer_sk", "customer_state"]
+    )
+    return found.select("order_id", "customer_sk", "customer_state")
+
+
 def orders_lifecycle(
     latest: DataFrame,
     versions: DataFrame,
@@ -85,22 +101,28 @@ def orders_lifecycle(
     settings: Settings = Settings(),
     also: tuple[str, ...] = (),
     by_order: bool = False,
+    placed: DataFrame | None = None,
 ) -> DataFrame:
     """Latest orders (and their columns `also`) with the customer version valid at purchase, region, hub, sale, durations and service flags.
 
     `now` is the newest event in the feed. Orders and customer versions are joined on the customer; states, hubs and
-    the sale calendar are seeds, which Spark broadcasts as long as their size is below its threshold.
+    the sale calendar are seeds and broadcast by a hint: where they come from joins themselves, Spark takes the product of
+    the sizes for theirs. `placed` has the customers_at_purchase, if they are known already.
     """
     now = F.broadcast(versions.agg(F.max("updated_at").alias("as_of_ts")))
     valid = customers.select("customer_id", "customer_sk", F.col("state").alias("customer_state"), "valid_from", "valid_to")
     # by order first, as the latest versions are dealt; then by customer
     paid = raw_payments.groupBy("order_id").agg(F.max("_loaded_at").alias("_paid"))
     latest = latest.join(paid, "order_id", "left")
-    rows = point_in_time_join(latest, valid, "customer_id", F.col("purchase_at"), ["customer_sk", "customer_state"])
+    if placed is None:
+        rows = point_in_time_join(latest, valid, "customer_id", F.col("purchase_at"), ["customer_sk", "customer_state"])
+    else:
+        rows = latest.join(placed, "order_id", "left")
     if by_order:  # dealt by order again before columns are added that can be worked out there
         rows = rows.repartition("order_id")
-    rows = rows.join(states.select(F.col("state").alias("customer_state"), F.col("region").alias("customer_region"), "remoteness_tier"), "customer_state", "left")
-    rows = rows.join(hubs.select("hub_id", "hub_state", "hub_region"), "hub_id", "left")
+    places = states.select(F.col("state").alias("customer_state"), F.col("region").alias("customer_region"), "remoteness_tier")
+    rows = rows.join(F.broadcast(places), "customer_state", "left")
+    rows = rows.join(F.broadcast(hubs.select("hub_id", "hub_state", "hub_region")), "hub_id", "left")
     rows = calendar_join(rows, sales, F.col("purchase_at").cast("date"))
     rows = rows.join(now)
     status, arrived = F.col("order_status"), F.col("delivered_at")

@@ -19,11 +19,11 @@ from tidemark.operators.rolling import rolling_zscore
 from tidemark.plans import core, dashboard, intermediate, marts
 from tidemark.plans.build import models, suite
 from tidemark.plans.seeds import sale_calendar
-from tidemark.plans.warehouse import Warehouse, clustered_increment, increment
-from tidemark.session import materialised, scratch, scratch_folder
+from tidemark.plans.warehouse import Warehouse, changes, clustered_changes
+from tidemark.session import dealt, scratch, scratch_folder
 from tidemark.sources.clustered import FeedStore
 from tidemark.sources.freshness import freshness
-from tidemark.sources.tables import read
+from tidemark.sources.tables import Feeds, read
 
 #: Parameters of the dashboard queries.
 FILTERS = dashboard.Filters(date(1996, 1, 1), date(2000, 12, 31), ("ASIA", "EUROPE", "AMERICA"), "Prepaid")
@@ -268,30 +268,35 @@ def revenue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.abs(F.col("net_revenue") - F.col("expected")) > F.lit(s.tolerance).cast("decimal(4,2)")).select("order_id", "net_revenue", "expected")
 
 
+def _landed(f: Feeds) -> Feeds:
+    """f with payments stored as they come in: they are derived from a join of all lines, and an increment reads them again and again."""
+    return replace(f, payments=dealt(f.payments, "order_id"))
+
+
 @query
 def incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact built and stored from what was loaded up to SPLIT, then maintained with the rest. Equals a full build but for
     the load time, which is left out."""
-    f = Warehouse.over(spark, sf_dir).feeds
+    f = _landed(Warehouse.over(spark, sf_dir).feeds)
     early = F.col("_loaded_at") <= F.lit(SPLIT).cast("timestamp_ntz")
-    stored = materialised(Warehouse(replace(f, orders=f.orders.filter(early), payments=f.payments.filter(early))).fct_by_order)
-    rows, keys = increment(f, stored)
-    return delete_insert(stored, rows, keys).drop("source_last_loaded_at")
+    stored = Warehouse(replace(f, orders=f.orders.filter(early), payments=f.payments.filter(early))).dealt_fact()
+    late, keys = changes(f, stored)
+    return delete_insert(stored, late.fct_by_steps(scratch_folder(spark)), keys).drop("source_last_loaded_at")
 
 
 @query
 def clustered_incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As incremental_fact, over feeds that are stored by the month of their orders."""
-    f = Warehouse.over(spark, sf_dir).feeds
+    f = _landed(Warehouse.over(spark, sf_dir).feeds)
     until = F.lit(SPLIT).cast("timestamp_ntz")
     store = FeedStore(spark, scratch_folder(spark))
     early = replace(f, orders=f.orders.filter(F.col("_loaded_at") <= until), payments=f.payments.filter(F.col("_loaded_at") <= until))
     store.add(early)
-    stored = materialised(Warehouse(early).fct_by_order)
+    stored = Warehouse(early).dealt_fact()
     none = f.order_items.limit(0)  # all lines came with the first load
     store.add(replace(f, orders=f.orders.filter(F.col("_loaded_at") > until), payments=f.payments.filter(F.col("_loaded_at") > until), order_items=none))
-    rows, keys = clustered_increment(store, f, stored)
-    return delete_insert(stored, materialised(rows), keys).drop("source_last_loaded_at")
+    late, keys = clustered_changes(store, f, stored)
+    return delete_insert(stored, late.fct_by_steps(scratch_folder(spark)), keys).drop("source_last_loaded_at")
 
 
 @query

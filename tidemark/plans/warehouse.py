@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.incremental import affected, restricted
 from tidemark.operators.versions import history_columns, is_last, latest_version, status_history
 from tidemark.plans import core, intermediate, marts, staging
-from tidemark.session import materialised, unkept, written
+from tidemark.session import dealt, materialised, scratch, unkept, written
 from tidemark.sources.clustered import FeedStore
 from tidemark.sources.tables import Feeds, feeds
 
@@ -99,10 +99,10 @@ class Warehouse:
     def payments_by_order(self) -> DataFrame:
         return intermediate.payments_by_order(self.payments)
 
-    def _lifecycle(self, latest: DataFrame, also: tuple[str, ...] = (), by_order: bool = False) -> DataFrame:
+    def _lifecycle(self, latest: DataFrame, also: tuple[str, ...] = (), by_order: bool = False, placed: DataFrame | None = None) -> DataFrame:
         f = self.feeds
         # the newest event of the feed is that of its versions: copies repeat event times
-        return intermediate.orders_lifecycle(latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings, also, by_order)
+        return intermediate.orders_lifecycle(latest, self.clock, self.customers_scd2, f.ref_states, f.ref_hubs, f.sale_calendar, f.payments, self.settings, also, by_order, placed)
 
     @cached_property
     def lifecycle(self) -> DataFrame:
@@ -124,6 +124,23 @@ class Warehouse:
         """fct_orders dealt by order, for what is joined with it by order later and would have to move the whole of it."""
         return core.fct_orders(self._lifecycle(self.latest, by_order=True), self.items_by_order, self.payments_by_order)
 
+    def fct_by_steps(self, folder: str) -> DataFrame:
+        """fct_orders, made of steps that are stored in a folder, in buckets by order: the join of them moves no row, and disks hold
+        what one step moves at a time. Lines of orders that aren't there go no further than to where their orders would be, and
+        orders go to their customers and back with the columns alone that this takes."""
+        f = self.feeds
+        latest = dealt(self.latest.select(*intermediate.OF_LATEST), "order_id", f"{folder}/latest")
+        lines = f.order_items.join(latest.select("order_id"), "order_id", "left_semi")
+        items = dealt(intermediate.items_by_order(staging.order_items(lines), self.products), "order_id", f"{folder}/items")
+        payments = dealt(self.payments_by_order, "order_id", f"{folder}/payments")
+        placed = dealt(intermediate.customers_at_purchase(latest, self.customers_scd2), "order_id", f"{folder}/placed")
+        return core.fct_orders(self._lifecycle(latest, placed=placed), items, payments)
+
+    def dealt_fact(self) -> DataFrame:
+        """fct_by_steps, stored in buckets by order itself; the steps are removed."""
+        with scratch(self.feeds.orders.sparkSession) as folder:
+            return dealt(self.fct_by_steps(folder), "order_id", move=False)  # the contract's guards hide how orders lie
+
     @cached_property
     def stored_fact(self) -> DataFrame:
         """The fact, computed once for what reads it more than once."""
@@ -195,17 +212,29 @@ class Warehouse:
         return marts.order_funnel(self.fct_orders)
 
 
-def increment(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
-    """(rows, keys): the fact's rows of the orders that are affected by what was loaded since target, and these orders.
+def changes(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[Warehouse, DataFrame]:
+    """(models, keys): the models over the orders that are affected by what was loaded since target, and these orders.
 
     Feeds are cut down to the affected orders first, so that an increment costs what it touches.
     """
-    keys = materialised(affected(feeds, target))
-    return Warehouse(restricted(feeds, keys), settings, clock=feeds.orders).fct_orders, keys
+    keys = dealt(affected(feeds, target), "order_id")
+    return Warehouse(restricted(feeds, keys), settings, clock=feeds.orders), keys
 
 
-def clustered_increment(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
-    """As `increment`, of feeds that are stored by the month of their orders: only folders with newer loads are searched for what
+def clustered_changes(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[Warehouse, DataFrame]:
+    """As `changes`, of feeds that are stored by the month of their orders: only folders with newer loads are searched for what
     was loaded since, and only the months of the affected orders are read."""
-    keys = materialised(store.affected(target))
-    return Warehouse(store.restricted(feeds, keys), settings, clock=store.clock()).fct_orders, keys.select("order_id")
+    keys = dealt(store.affected(target), "order_id")
+    return Warehouse(store.restricted(feeds, keys), settings, clock=store.clock()), keys.select("order_id")
+
+
+def increment(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
+    """(rows, keys): the fact's rows of the orders that are affected by what was loaded since target, and these orders."""
+    models, keys = changes(feeds, target, settings)
+    return models.fct_orders, keys
+
+
+def clustered_increment(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
+    """As `increment`, of feeds that are stored by the month of their orders."""
+    models, keys = clustered_changes(store, feeds, target, settings)
+    return models.fct_orders, keys

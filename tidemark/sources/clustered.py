@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialised
+from tidemark.session import dealt, scratch, shuffles_removed
 from tidemark.sources.commits import CommitLog, State
 from tidemark.sources.tables import Feeds
 
@@ -62,8 +62,11 @@ class FeedStore:
 
     def add(self, feeds: Feeds) -> None:
         """Adds rows of the three feeds (new ones: what is there already is not looked for) in one commit."""
-        state, load = self.log.state(), uuid.uuid4().hex
-        homes = materialised(self._homes(feeds.orders, state))
+        with scratch(self.spark) as folder:
+            self._add(feeds, self.log.state(), folder)
+
+    def _add(self, feeds: Feeds, state: State, folder: str) -> None:
+        load, homes = uuid.uuid4().hex, dealt(self._homes(feeds.orders, state), KEY, f"{folder}/homes")
         known = self.read("homes", state=state)
         put = {}
         parts = {"homes": homes if known is None else homes.join(known.select(KEY), KEY, "left_anti")}
@@ -71,7 +74,8 @@ class FeedStore:
         for feed, rows in parts.items():
             # dealt by home; a month with very many rows goes to several tasks and files
             target = f"{self.root}/{feed}"
-            rows.withColumn("load", F.lit(load)).hint("rebalance", HOME).write.partitionBy(HOME, "load").mode("append").parquet(target)
+            with shuffles_removed(self.spark):
+                rows.withColumn("load", F.lit(load)).hint("rebalance", HOME).write.partitionBy(HOME, "load").mode("append").parquet(target)
             written = [f"{target}/{n}/load={load}" for n in self.log.store.names(target) if n.startswith(f"{HOME}=") and self.log.store.exists(f"{target}/{n}/load={load}")]
             if not written:
                 continue
