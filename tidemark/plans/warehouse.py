@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,29 +213,38 @@ class Warehouse:
         return marts.order_funnel(self.fct_orders)
 
 
-def changes(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[Warehouse, DataFrame]:
-    """(models, keys): the models over the orders that are affected by what was loaded since target, and these orders.
+def by_order(df: DataFrame) -> DataFrame:
+    return dealt(df, "order_id")
+
+
+def changes(
+    feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings(), keep: Callable[[DataFrame], DataFrame] = by_order
+) -> tuple[Warehouse, DataFrame]:
+    """(models, keys): the models over the orders that are affected by what was loaded since target, and these orders, as `keep`
+    stores them.
 
     Feeds are cut down to the affected orders first, so that an increment costs what it touches.
     """
-    keys = dealt(affected(feeds, target), "order_id")
+    keys = keep(affected(feeds, target))
     return Warehouse(restricted(feeds, keys), settings, clock=feeds.orders), keys
 
 
-def clustered_changes(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[Warehouse, DataFrame]:
+def clustered_changes(
+    store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings(), keep: Callable[[DataFrame], DataFrame] = by_order
+) -> tuple[Warehouse, DataFrame]:
     """As `changes`, of feeds that are stored by the month of their orders: only folders with newer loads are searched for what
     was loaded since, and only the months of the affected orders are read."""
-    keys = dealt(store.affected(target), "order_id")
+    keys = keep(store.affected(target))
     return Warehouse(store.restricted(feeds, keys), settings, clock=store.clock()), keys.select("order_id")
 
 
 def increment(feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
     """(rows, keys): the fact's rows of the orders that are affected by what was loaded since target, and these orders."""
-    models, keys = changes(feeds, target, settings)
+    models, keys = changes(feeds, target, settings, materialised)
     return models.fct_orders, keys
 
 
 def clustered_increment(store: FeedStore, feeds: Feeds, target: DataFrame, settings: intermediate.Settings = intermediate.Settings()) -> tuple[DataFrame, DataFrame]:
     """As `increment`, of feeds that are stored by the month of their orders."""
-    models, keys = clustered_changes(store, feeds, target, settings)
+    models, keys = clustered_changes(store, feeds, target, settings, materialised)
     return models.fct_orders, keys
